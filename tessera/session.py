@@ -22,6 +22,7 @@ def local_session(app: str = "tessera", cpus: int | str = 8, partitions: int = 8
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -38,3 +39,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="spark-"))
         root = _LOCAL_SCRATCH[0]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, purpose: str):
+    """Write a frame to the shared scratch folder and read it back.
+
+    Used where several actions need one expensive result: unlike a cache the
+    written table survives the loss of executors.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
