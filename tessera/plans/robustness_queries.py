@@ -226,8 +226,8 @@ RI_CTES = "evalm feats cells pairs sims near votes kacc bestk pnear pri ri"
 
 @query(
     "robustness_index_by_pair",
-    with_ctes(CTES, RI_CTES.replace("(SELECT k FROM bestk)", "7"), "SELECT pair_id, so, os, round(value, 6) AS value FROM ri"),
-)
+    with_ctes(CTES, RI_CTES, "SELECT pair_id, so, os, round(value, 6) AS value FROM ri"),
+)
 def robustness_index_by_pair(spark, sf):
     df = X.eval_features(spark, sf)
     cells = A.cell_counts(df, *R.CELL)
