@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions.text import stratum_value
-from tessera.operators.ranking import bucketed_row_number
+from tessera.operators.ranking import bucketed_row_number, salted_join
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,9 @@ def window_tissue(slides: DataFrame, mask_runs: DataFrame, include_empty: bool =
     disjoint. Windows without tissue appear only with ``include_empty``.
     """
     geometry = slides.select("slide_id", "grid_size", "grid_stride", "grid_last_x", "grid_last_y")
-    runs = mask_runs.select("slide_id", "y0", "y1", "x0", "x1").join(geometry, "slide_id")
+    runs = salted_join(
+        mask_runs.select("slide_id", "y0", "y1", "x0", "x1"), geometry, ["slide_id"], ["y0", "x0"]
+    )
     for axis in ("y", "x"):
         first, final = _touched(F.col(f"{axis}0"), F.col(f"{axis}1"), F.col(f"grid_last_{axis}"))
         runs = (
@@ -222,7 +224,7 @@ def anchor_catalog(
         "grid_stride",
     )
     kept = (
-        tissue.join(slide_columns, "slide_id")
+        salted_join(tissue, slide_columns, ["slide_id"], ["iy", "ix"])
         .withColumn("fraction", fraction)
         .where(F.col("fraction") >= F.lit(float(profile.min_tissue_fraction)))
     )

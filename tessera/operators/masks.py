@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions.arrays import token_complement
+from tessera.functions.control import let
 from tessera.functions.hashing import hash_hex, hash_u32, hash_unit
-from tessera.operators.targets import let
 
 
 def footprint_tokens(

@@ -21,16 +21,48 @@ BUCKET = "__bucket"
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Null-safe equi-join that keeps only the left copy of the keys."""
+    """Equi-join that keeps only the left copy of the keys."""
     renamed = right
     for key in keys:
         renamed = renamed.withColumnRenamed(key, f"__r_{key}")
-    condition = reduce(
-        lambda a, b: a & b, [left[key].eqNullSafe(renamed[f"__r_{key}"]) for key in keys]
-    )
+    condition = reduce(lambda a, b: a & b, [left[key] == renamed[f"__r_{key}"] for key in keys])
     return left.join(renamed, condition, how).drop(*[f"__r_{key}" for key in keys])
 
 
+def _attach(rows: DataFrame, per_bucket: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join per-(key, bucket) values to the rows they were made from.
+
+    The left join keeps the rows' partitioning, so the window that follows needs
+    no further shuffle. Every row finds its bucket unless a key is NULL, which is
+    reported instead of dropping the row.
+    """
+    marked = per_bucket.withColumn("__there", F.lit(True))
+    joined = _join_on(rows, marked, [*keys, BUCKET], "left")
+    loud = F.when(
+        F.col("__there").isNull(), F.raise_error(F.lit("ranking keys and buckets must not be NULL"))
+    ).otherwise(F.col(BUCKET))
+    return joined.withColumn("__check", loud).where(F.col("__check").isNotNull()).drop(
+        "__there", "__check"
+    )
+
+
+def salted_join(
+    facts: DataFrame, dimension: DataFrame, keys: Sequence[str], spread_by: Sequence[str], salts: int = 16
+) -> DataFrame:
+    """Inner join of a large table to a smaller one on keys that may be hot.
+
+    The smaller side is repeated once per salt and the larger one spread over the
+    salts by hash, so no key is tied to one task. Where the smaller side is found
+    small at run time, AQE turns this into a broadcast join.
+    """
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
+    left = facts.withColumn("__salt", salt)
+    right = dimension.withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    )
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
 def _before(keys: Sequence[str], order: Sequence) -> Window:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -58,7 +90,7 @@ def bucketed_row_number(
     )
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     return (
-        _join_on(rows, offsets, [*keys, BUCKET])
+        _attach(rows, offsets, keys)
         .withColumn(out, (F.col("__offset") + F.row_number().over(inside) - 1).cast("bigint"))
         .drop(BUCKET, "__offset")
     )
@@ -103,7 +135,7 @@ def running(
         ],
     )
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    joined = _join_on(rows, offsets, [*keys, BUCKET])
+    joined = _attach(rows, offsets, keys)
     for out, (fn, column, inclusive) in specs.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         joined = joined.withColumn(
@@ -123,7 +155,7 @@ def previous_value(
     )
     inside = Window.partitionBy(*keys, BUCKET).orderBy(order)
     return (
-        _join_on(rows, carried, [*keys, BUCKET])
+        _attach(rows, carried, keys)
         .withColumn("__first", F.row_number().over(inside) == 1)
         .withColumn(
             out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.lag(column).over(inside))

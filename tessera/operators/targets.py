@@ -9,7 +9,6 @@ the rectangles have been attached.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions.arrays import threshold_schedule
+from tessera.functions.control import evaluate_once, let
 from tessera.functions.hashing import hash_hex, hex_to_long
 from tessera.operators.index import SamplingProfile
+from tessera.operators.ranking import salted_join
 
 MAX_ATTEMPTS = 4000  # fixed value
 BOX_TYPE = "array<struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint,fraction:double>>"
@@ -42,11 +43,6 @@ class PlacementPolicy:
         )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def resolution_plan(slides: DataFrame, profile: SamplingProfile, patch: int) -> DataFrame:
     """Per slide: pyramid spacing, mode and source size for context, target and
     mask crops. Joined to anchors by slide; Catalyst broadcasts it when small."""
@@ -86,7 +82,7 @@ def resolution_plan(slides: DataFrame, profile: SamplingProfile, patch: int) ->
 
 
 def with_plan(anchors: DataFrame, plan: DataFrame) -> DataFrame:
-    return anchors.join(plan, "slide_id")
+    return salted_join(anchors, plan, ["slide_id"], ["anchor_id"])
 
 
 def context_windows(planned: DataFrame) -> DataFrame:
@@ -202,6 +198,10 @@ def place_targets(
     hold enough tissue (tested only where the slide has a mask).
     """
     key = F.col("anchor_id") if key is None else key
+    # The search costs far more per byte than any other stage, so its parallelism
+    # is set by hand: partitions coalesced by size would leave cores idle.
+    tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    anchors = anchors.repartition(tasks, key)
     ctx, size = F.col("context_size_requested_px"), F.col("target_size_in_context_px")
     margin = G.margin_for_anchor(
         F.col("target_margin_um"), F.col("context_effective_mpp"), size, ctx
@@ -272,7 +272,7 @@ def place_targets(
 
     found = F.when(possible, F.aggregate("__thresholds", start, relax))
     return (
-        ready.withColumn("__found", found)
+        ready.withColumn("__found", evaluate_once(found))
         .withColumn("effective_threshold", F.col("__found.threshold"))
         .withColumn(
             "targets", F.when(F.col("effective_threshold").isNotNull(), F.col("__found.boxes"))

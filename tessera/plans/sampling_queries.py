@@ -9,16 +9,23 @@ from tessera.operators import index as I
 from tessera.operators import masks as K
 from tessera.operators import sampling as W
 from tessera.operators import targets as T
+from tessera.operators.ranking import bucketed_row_number
 from tessera.plans.index_queries import ANCHOR_CTES, P, anchors
 from tessera.plans.oracle_ctes import CTES
 from tessera.plans.registry import query, with_ctes
 from tessera.plans.sampling_pass import sampling_plan
+from tessera.session import materialize
 from tessera.sources import fixtures as X
 
 SEED = 7
 GRID, PATCH = 32, 16
 
 
+def _catalog(spark, sf):
+    """The catalog as a sampler meets it: a stored table, not a plan to re-run."""
+    return materialize(anchors(spark, sf), "catalog")
+
+
 def _draws(spark, sf):
     """One draw per order."""
     return X.table(spark, sf, "orders").select(
@@ -49,7 +56,7 @@ CTES["strata"] = "SELECT stratum_id, count(*) AS anchors FROM anchors GROUP BY 1
     ),
 )
 def stratum_weights(spark, sf):
-    catalog = anchors(spark, sf)
+    catalog = _catalog(spark, sf)
     counts = W.stratum_counts(catalog)
     parts = [
         W.stratum_weights(counts, mode).withColumn("mode", F.lit(name))
@@ -115,13 +122,13 @@ def _draw_cte_names(n: int) -> str:
 
 @query("sample_anchors", with_ctes(CTES, _draw_cte_names(1), DRAWN.format(1)))
 def sample_anchors(spark, sf):
-    catalog = I.with_shards(anchors(spark, sf), 8)
+    catalog = I.with_shards(_catalog(spark, sf), 8)
     return W.sample_anchors(catalog, _draws(spark, sf), SEED, 2).select(*DRAW_COLUMNS)
 
 
 @query("sample_anchors_partitioned", with_ctes(CTES, _draw_cte_names(3), DRAWN.format(3)))
 def sample_anchors_partitioned(spark, sf):
-    catalog = I.with_shards(anchors(spark, sf), 8)
+    catalog = I.with_shards(_catalog(spark, sf), 8)
     drawn = W.sample_anchors(catalog, _reader_draws(spark, sf), SEED, 2, partitions=3)
     return drawn.select(*DRAW_COLUMNS)
 
@@ -138,11 +145,9 @@ def sample_anchors_partitioned(spark, sf):
     ),
 )
 def anchor_by_index(spark, sf):
-    from tessera.operators.ranking import bucketed_row_number
-
     # Slides are the buckets: positions run through them in id order.
     numbered = bucketed_row_number(
-        anchors(spark, sf).select("anchor_id", "slide_id", "anchor_idx", "tissue_fraction"),
+        _catalog(spark, sf).select("anchor_id", "slide_id", "anchor_idx", "tissue_fraction"),
         [], ["anchor_idx"], F.col("slide_id"), "position",
     ).withColumn("usable", F.col("tissue_fraction") >= 0.5)
     requests = X.table(spark, sf, "orders").select(
@@ -177,7 +182,7 @@ def resolution_plan(spark, sf):
 
 def _contexts(spark, sf):
     slides = X.slides(spark, sf)
-    planned = T.with_plan(anchors(spark, sf), T.resolution_plan(slides, P, PATCH))
+    planned = T.with_plan(_catalog(spark, sf), T.resolution_plan(slides, P, PATCH))
     return T.attach_context_tissue(planned, X.mask_runs(spark, sf))
 
 
@@ -517,7 +522,7 @@ def multiblock_masks(spark, sf):
 @query("sampling_plan")
 def sampling_plan_query(spark, sf):
     plan = sampling_plan(
-        X.slides(spark, sf), X.mask_runs(spark, sf), anchors(spark, sf), _draws(spark, sf), P,
+        X.slides(spark, sf), X.mask_runs(spark, sf), _catalog(spark, sf), _draws(spark, sf), P,
         T.PlacementPolicy(), seed=SEED, batch_size=8, rows_per_shard=8,
     )
     return plan.groupBy("stratum_id").agg(
