@@ -182,7 +182,7 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation jobs with queue times in epoch seconds."""
     e = F.col("event_id")
-    enqueued = F.unix_micros("ts") / 1e6
+    enqueued = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     started = enqueued + (e % 60)
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("run"), (F.col("user_id") % 10).cast("string")).alias("run"),
