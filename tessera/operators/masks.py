@@ -1,7 +1,8 @@
 """Token masks on a patch grid: footprints, random splits, multi-block masks.
 
 All set logic is array logic within a row; only the truncation of a batch to a
-common length looks at other rows, through a window over the (small) batch.
+common length looks at other rows, through a window over the (small) batch. Rows
+are spread by batch before lists are built, which is the only shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from tessera.functions import geometry as G
 from tessera.functions.arrays import token_complement
 from tessera.functions.control import let
 from tessera.functions.hashing import hash_hex, hash_u32, hash_unit
+from tessera.operators.ranking import spread
 
 
 def footprint_tokens(
@@ -47,7 +49,8 @@ def footprint_masks(
     """
     total = grid_w * grid_h
     in_batch = Window.partitionBy(batch)
-    tokens = footprint_tokens(samples, grid_w, grid_h, patch, boxes).withColumn(
+    # Shuffle boxes, not the token lists they grow into; the window reuses it.
+    tokens = footprint_tokens(spread(samples, batch), grid_w, grid_h, patch, boxes).withColumn(
         "union_tokens", F.array_sort(F.array_distinct(F.flatten("raw_tokens")))
     )
     rest = tokens.withColumn("__rest", token_complement(F.col("union_tokens"), total))
@@ -125,7 +128,8 @@ def random_token_split(
     )
     keep = F.floor(F.lit(float(tokens)) * (1.0 - F.col("mask_ratio"))).cast("int")
     return (
-        samples.withColumn("mask_ratio", drawn)
+        spread(samples, sample)
+        .withColumn("mask_ratio", drawn)
         .withColumn("__perm", F.transform(order, lambda e: e["i"]))
         .withColumn("__keep", keep)
         .withColumn("enc_mask", F.slice("__perm", F.lit(1), F.col("__keep")))
@@ -177,7 +181,7 @@ def multiblock_masks(
     length. A block size that can never keep enough tokens is an error.
     """
     in_batch = Window.partitionBy(batch)
-    sized = samples.withColumn(
+    sized = spread(samples, batch).withColumn(
         "pred_size", _block_size(hash_unit(seed, "pred", F.col(batch)), pred_scale, aspect, height, width)
     ).withColumn(
         "enc_size", _block_size(hash_unit(seed, "enc", F.col(batch)), enc_scale, (1.0, 1.0), height, width)

@@ -13,10 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.operators.ranking import _join_on
 
@@ -26,8 +28,12 @@ SIM_DIGITS = 9  # similarities are compared after rounding, ties go to the lower
 _TILE = 512
 
 
-def _unit_matrix(column: pd.Series) -> np.ndarray:
-    matrix = np.stack(column.to_numpy()).astype(np.float64)
+def _matrix(column: pa.ChunkedArray, unit: bool = True) -> np.ndarray:
+    """Vectors of a list column as rows, by default scaled to unit length."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    matrix = flat.astype(np.float64).reshape(len(column), -1)
+    if not unit:
+        return matrix
     return matrix / (np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)) + 1e-12)
 
 
@@ -106,33 +112,32 @@ def neighbour_partials(
             *[T.StructField(f"n_{c}", types[c]) for c in carry],
         ]
     )
-    names = [f.name for f in schema.fields]
+    arrow = to_arrow_schema(schema)
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
-        right = right.sort_values(id_col, kind="stable").reset_index(drop=True)
-        base = _unit_matrix(right[vector])
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return arrow.empty_table()
+        right = right.sort_by(id_col)
+        base, queries = _matrix(right[vector]), _matrix(left[vector])
         parts = []
         for start in range(0, len(left), _TILE):
-            tile = left.iloc[start : start + _TILE]
-            sims = np.round(_unit_matrix(tile[vector]) @ base.T, SIM_DIGITS)
+            sims = np.round(queries[start : start + _TILE] @ base.T, SIM_DIGITS)
             rows, cols, values = _best_per_row(sims, m)
-            q, c = tile.iloc[rows], right.iloc[cols]
-            data = {
-                "query_id": q[id_col].to_numpy(),
-                "neighbour_id": c[id_col].to_numpy(),
-                "similarity": values,
-            }
-            data.update({f"q_{x}": q[x].to_numpy() for x in carry})
-            data.update({f"n_{x}": c[x].to_numpy() for x in carry})
-            parts.append(pd.DataFrame(data, columns=names))
-        return pd.concat(parts, ignore_index=True)
+            q, c = left.take(rows + start), right.take(cols)
+            parts.append(
+                pa.Table.from_arrays(
+                    [q[id_col], c[id_col], pa.array(values)]
+                    + [q[x] for x in carry]
+                    + [c[x] for x in carry],
+                    names=arrow.names,
+                )
+            )
+        return pa.concat_tables(parts).cast(arrow)
 
     return (
         queries.groupBy("qblock", "cblock")
         .cogroup(candidates.groupBy("qblock", "cblock"))
-        .applyInPandas(kernel, schema)
+        .applyInArrow(kernel, schema)
     )
 
 
@@ -198,47 +203,47 @@ def cluster_distance_sums(
             T.StructField("n", T.LongType()),
         ]
     )
-    names = [f.name for f in schema.fields]
-
-    def matrix(column: pd.Series) -> np.ndarray:
-        return _unit_matrix(column) if normalize else np.stack(column.to_numpy()).astype(np.float64)
+    arrow = to_arrow_schema(schema)
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
-        base = matrix(right[vector])
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return arrow.empty_table()
+        base, queries = _matrix(right[vector], normalize), _matrix(left[vector], normalize)
         base_sq = (base * base).sum(axis=1)
-        codes, clusters = pd.factorize(right[cluster])
-        member = np.eye(len(clusters))[codes]
-        parts = []
+        coded = right[cluster].combine_chunks().dictionary_encode()
+        clusters = coded.dictionary
+        member = np.eye(len(clusters))[coded.indices.to_numpy(zero_copy_only=False)]
+        itself = pc.index_in(left[id_col].combine_chunks(), right[id_col].combine_chunks())
+        at = itself.fill_null(-1).to_numpy(zero_copy_only=False)
+        sums = np.empty((len(left), len(clusters)))
+        counts = np.tile(member.sum(axis=0), (len(left), 1))
         for start in range(0, len(left), _TILE):
-            tile = left.iloc[start : start + _TILE]
-            x = matrix(tile[vector])
+            x = queries[start : start + _TILE]
             squared = (x * x).sum(axis=1)[:, None] + base_sq[None, :] - 2.0 * (x @ base.T)
             distance = np.sqrt(np.maximum(squared, 0.0))
-            itself = tile[id_col].to_numpy()[:, None] == right[id_col].to_numpy()[None, :]
-            distance[itself] = 0.0
-            sums = distance @ member
-            counts = (~itself).astype(np.float64) @ member
-            rows = len(tile)
-            parts.append(
-                pd.DataFrame(
-                    {
-                        id_col: np.repeat(tile[id_col].to_numpy(), len(clusters)),
-                        "own": np.repeat(tile[cluster].to_numpy(), len(clusters)),
-                        "other": np.tile(np.asarray(clusters), rows),
-                        "distance": sums.ravel(),
-                        "n": np.rint(counts.ravel()).astype(np.int64),
-                    },
-                    columns=names,
-                )
-            )
-        return pd.concat(parts, ignore_index=True)
+            own = at[start : start + _TILE]
+            hit = np.nonzero(own >= 0)[0]
+            distance[hit, own[hit]] = 0.0
+            sums[start : start + _TILE] = distance @ member
+        hit = np.nonzero(at >= 0)[0]
+        counts[hit] -= member[at[hit]]
+        repeat = np.repeat(np.arange(len(left)), len(clusters))
+        which = np.tile(np.arange(len(clusters)), len(left))
+        return pa.Table.from_arrays(
+            [
+                left[id_col].take(repeat),
+                left[cluster].take(repeat),
+                clusters.take(which),
+                pa.array(sums.ravel()),
+                pa.array(np.rint(counts.ravel()).astype(np.int64)),
+            ],
+            names=arrow.names,
+        ).cast(arrow)
 
     partial = (
         queries.groupBy("qblock", "cblock")
         .cogroup(candidates.groupBy("qblock", "cblock"))
-        .applyInPandas(kernel, schema)
+        .applyInArrow(kernel, schema)
     )
     return partial.groupBy(id_col, "own", "other").agg(
         F.sum("distance").alias("distance"), F.sum("n").alias("n")

@@ -63,6 +63,15 @@ def salted_join(
     return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Hash-partition by ``keys`` into as many tasks as a shuffle has.
+
+    For stages whose cost per byte is far above average: partitions sized by bytes,
+    and coalesced by AQE for being small, would leave most cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _before(keys: Sequence[str], order: Sequence) -> Window:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 

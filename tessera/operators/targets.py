@@ -9,17 +9,17 @@ the rectangles have been attached.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
-from tessera.functions.arrays import threshold_schedule
 from tessera.functions.control import evaluate_once, let
 from tessera.functions.hashing import hash_hex, hex_to_long
 from tessera.operators.index import SamplingProfile
-from tessera.operators.ranking import salted_join
+from tessera.operators.ranking import salted_join, spread
 
 MAX_ATTEMPTS = 4000  # fixed value
 BOX_TYPE = "array<struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint,fraction:double>>"
@@ -37,10 +37,17 @@ class PlacementPolicy:
     policy: str = "lower_threshold"
     max_attempts: int = MAX_ATTEMPTS
 
-    def thresholds(self) -> Column:
-        return threshold_schedule(
-            self.min_tissue, self.min_tissue_floor, self.min_tissue_step, self.policy
-        )
+    def thresholds(self) -> list[float]:
+        """The values of ``threshold_schedule``, as numbers known to the plan."""
+        if not 0.0 <= self.min_tissue_floor <= self.min_tissue or self.min_tissue_step <= 0:
+            raise ValueError("need 0 <= floor <= start and step > 0")
+        if self.policy == "skip_anchor":
+            return [self.min_tissue]
+        if self.policy != "lower_threshold":
+            raise ValueError(f"unknown insufficient-target policy: {self.policy!r}")
+        steps = math.ceil((self.min_tissue - self.min_tissue_floor - 1e-9) / self.min_tissue_step)
+        above = [round(self.min_tissue - i * self.min_tissue_step, 6) for i in range(max(0, steps))]
+        return list(dict.fromkeys([*above, round(self.min_tissue_floor, 6)]))
 
 
 def resolution_plan(slides: DataFrame, profile: SamplingProfile, patch: int) -> DataFrame:
@@ -198,17 +205,17 @@ def place_targets(
     hold enough tissue (tested only where the slide has a mask).
     """
     key = F.col("anchor_id") if key is None else key
-    # The search costs far more per byte than any other stage, so its parallelism
-    # is set by hand: partitions coalesced by size would leave cores idle.
-    tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = anchors.repartition(tasks, key)
+    # Hashing the key keeps this exchange apart from one on the key itself, which
+    # AQE would coalesce by size.
+    anchors = spread(anchors, F.xxhash64(key))
     ctx, size = F.col("context_size_requested_px"), F.col("target_size_in_context_px")
     margin = G.margin_for_anchor(
         F.col("target_margin_um"), F.col("context_effective_mpp"), size, ctx
     )
     ready = anchors.withColumn("__margin", margin).withColumn(
         "__range", G.aligned_origin_range(F.col("__margin"), ctx, size, policy.patch)
-    ).withColumn("__thresholds", policy.thresholds())
+    )
+    thresholds = policy.thresholds()
     spec = {
         "size": size,
         "lo": F.col("__margin"),
@@ -220,64 +227,84 @@ def place_targets(
     wanted = F.lit(profile.targets_per_context)
     none = F.array().cast(BOX_TYPE)
 
-    def attempt(accepted: Column, i: Column, threshold: Column) -> Column:
+    def candidate(i: Column) -> Column:
         digest = F.substring(hash_hex(seed, pass_index, key, i), 1, 16)
+        return _candidate(digest, spec, policy.aligned, policy.patch)
 
-        def judge(b: Column) -> Column:
-            bad = ~G.box_within(b, ctx, ctx) | G.overlaps_too_much(b, accepted, size)
-            fraction = F.when(F.col("tissue").isNotNull(), _fraction(b, F.col("tissue"), size))
-            return F.when(bad, accepted).otherwise(
-                let(
-                    F.struct(fraction.alias("f")),
-                    lambda m: F.when(m["f"] < threshold, accepted).otherwise(
-                        F.concat(
-                            accepted,
-                            F.array(
-                                F.struct(
-                                    b["x0"].alias("x0"),
-                                    b["y0"].alias("y0"),
-                                    b["x1"].alias("x1"),
-                                    b["y1"].alias("y1"),
-                                    m["f"].alias("fraction"),
-                                )
-                            ),
-                        )
-                    ),
-                )
-            )
+    def fraction(b: Column) -> Column:
+        return F.when(F.col("tissue").isNotNull(), _fraction(b, F.col("tissue"), size))
 
-        return F.when(F.size(accepted) >= wanted, accepted).otherwise(
-            let(_candidate(digest, spec, policy.aligned, policy.patch), judge)
-        )
+    def judged(b: Column, f: Column) -> Column:
+        return F.struct(*[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")], f.alias("fraction"))
 
-    def search(threshold: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(policy.max_attempts)),
-            none,
-            lambda acc, i: attempt(acc, i, threshold),
-        )
+    def full(accepted: Column) -> Column:
+        return F.size(accepted) >= wanted
+
+    def accept(accepted: Column, c: Column, threshold: Column) -> Column:
+        return F.when(c["fraction"] < threshold, accepted).otherwise(F.concat(accepted, F.array(c)))
 
-    start = F.struct(none.alias("boxes"), F.lit(None).cast("double").alias("threshold"))
+    def clashes(b: Column, accepted: Column) -> Column:
+        return ~G.box_within(b, ctx, ctx) | G.overlaps_too_much(b, accepted, size)
 
-    def relax(acc: Column, threshold: Column) -> Column:
-        return F.when(acc["threshold"].isNotNull(), acc).otherwise(
+    def attempt(accepted: Column, i: Column, threshold: Column) -> Column:
+        """Try candidate i; tissue is only measured where the box would fit."""
+        return F.when(full(accepted), accepted).otherwise(
             let(
-                search(threshold),
-                lambda boxes: F.struct(
-                    boxes.alias("boxes"),
-                    F.when(F.size(boxes) >= wanted, threshold).alias("threshold"),
+                candidate(i),
+                lambda b: F.when(clashes(b, accepted), accepted).otherwise(
+                    let(judged(b, fraction(b)), lambda c: accept(accepted, c, threshold))
                 ),
             )
         )
 
-    found = F.when(possible, F.aggregate("__thresholds", start, relax))
+    numbers = F.sequence(F.lit(1), F.lit(policy.max_attempts))
+    first, lowest = F.lit(thresholds[0]), F.lit(thresholds[-1])
+    others = [F.lit(t) for t in thresholds[1:]]
+
+    def result(boxes: Column, threshold: Column) -> Column:
+        return F.struct(boxes.alias("boxes"), F.when(full(boxes), threshold).alias("threshold"))
+
+    def relaxed() -> Column:
+        """Lower thresholds share one list of the candidates any of them can take."""
+        measured = F.filter(
+            F.transform(numbers, lambda i: let(candidate(i), lambda b: judged(b, fraction(b)))),
+            lambda c: c["fraction"].isNull() | (c["fraction"] >= lowest),
+        )
+
+        def refold(cands: Column, threshold: Column) -> Column:
+            return F.aggregate(
+                cands,
+                none,
+                lambda acc, c: F.when(full(acc) | (c["fraction"] < threshold), acc)
+                .when(clashes(c, acc), acc)
+                .otherwise(F.concat(acc, F.array(c))),
+            )
+
+        def lower(acc: Column, threshold: Column, cands: Column) -> Column:
+            return F.when(acc["threshold"].isNotNull(), acc).otherwise(
+                let(refold(cands, threshold), lambda boxes: result(boxes, threshold))
+            )
+
+        start = F.struct(none.alias("boxes"), F.lit(None).cast("double").alias("threshold"))
+        return let(
+            measured,
+            lambda cands: F.aggregate(F.array(*others), start, lambda acc, t: lower(acc, t, cands)),
+        )
+
+    search = let(
+        F.aggregate(numbers, none, lambda acc, i: attempt(acc, i, first)),
+        lambda boxes: F.when(full(boxes), result(boxes, first)).otherwise(
+            relaxed() if others else result(boxes, first)
+        ),
+    )
+    found = F.when(possible, search)
     return (
         ready.withColumn("__found", evaluate_once(found))
         .withColumn("effective_threshold", F.col("__found.threshold"))
         .withColumn(
             "targets", F.when(F.col("effective_threshold").isNotNull(), F.col("__found.boxes"))
         )
-        .drop("__found", "__margin", "__range", "__thresholds")
+        .drop("__found", "__margin", "__range")
     )
 
 
