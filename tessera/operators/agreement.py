@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import _join_on
+from tessera.operators.ranking import _join_on, bucketed_row_number, fixed_width_bucket
 
 EPS = 1e-12
+CODE_BUCKET = 1 << 16
 
 
 def cell_counts(df: DataFrame, label: str, center: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -108,16 +109,15 @@ def balanced_accuracy(
 def first_appearance_codes(df: DataFrame, column: str, order: str, out: str = "code") -> DataFrame:
     """(value, code): 0-based integer codes by first appearance along ``order``."""
     first = df.groupBy(column).agg(F.min(order).alias("__first"))
-    return first.select(
-        column, (F.row_number().over(Window.orderBy("__first", column)) - 1).cast("bigint").alias(out)
-    )
+    bucket = fixed_width_bucket(F.col("__first"), CODE_BUCKET)
+    return bucketed_row_number(first, [], ["__first", column], bucket, out).select(column, out)
 
 
 def sorted_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """(value, code): 0-based integer codes in sorted order."""
-    return df.select(column).distinct().select(
-        column, (F.row_number().over(Window.orderBy(column)) - 1).cast("bigint").alias(out)
-    )
+    """(value, code): 0-based integer codes in sorted order of a string column."""
+    values = df.select(column).distinct()
+    prefix = F.substring(F.col(column).cast("string"), 1, 4)
+    return bucketed_row_number(values, [], [column], prefix, out)
 
 
 def majority_vote(

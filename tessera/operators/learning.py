@@ -22,6 +22,7 @@ from tessera.operators.agreement import cell_counts, clustering_agreement, mean_
 from tessera.operators.neighbours import silhouette
 from tessera.operators.performance_drop import accuracy_by_rho, average_performance_drop
 from tessera.operators.robustness import CELL, infer_pairs, subsample_pairs, subset_by_pair
+from tessera.operators.ranking import salted_join
 from tessera.session import materialize
 
 MIN_PAIR_ROWS = 8  # fixed value: smaller pairs are not clustered
@@ -75,7 +76,7 @@ def linear_probe(
     """
     codes = sorted_codes(aligned, "label")
     stored = materialize(
-        aligned.join(codes, "label").select(
+        salted_join(aligned, codes, ["label"], ["sample_id"]).select(
             "rep", "split_id", "correlation_level", "partition", "feature", F.col("code")
         ),
         "probe",

@@ -47,9 +47,14 @@ def _attach(rows: DataFrame, per_bucket: DataFrame, keys: Sequence[str]) -> Data
 
 
 def salted_join(
-    facts: DataFrame, dimension: DataFrame, keys: Sequence[str], spread_by: Sequence[str], salts: int = 16
+    facts: DataFrame,
+    dimension: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    salts: int = 16,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of a large table to a smaller one on keys that may be hot.
+    """Inner or left join of a large table to a smaller one on keys that may be hot.
 
     The smaller side is repeated once per salt and the larger one spread over the
     salts by hash, so no key is tied to one task. Where the smaller side is found
@@ -60,7 +65,7 @@ def salted_join(
     right = dimension.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
-    return left.join(right, [*keys, "__salt"]).drop("__salt")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:
@@ -216,7 +221,7 @@ def sample_per_cell(
         F.col(BUCKET).alias("__cut"),
         (F.col("__want") - F.col("__before")).alias("__need"),
     )
-    candidates = _join_on(tagged, cutoffs, cell)
+    candidates = salted_join(tagged, cutoffs, cell, [BUCKET])
     inside = candidates.where(F.col(BUCKET) < F.col("__cut"))
     edge_order = Window.partitionBy(*cell, BUCKET).orderBy("__h", *identity)
     edge = (

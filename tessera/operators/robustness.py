@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_hex
@@ -21,6 +21,7 @@ from tessera.operators.neighbours import (
     neighbour_partials,
     slide_aware_neighbours,
 )
+from tessera.operators.ranking import salted_join
 from tessera.session import materialize
 
 K_CANDIDATES = (3, 5, 7, 10, 15)  # fixed values: default neighbour counts
@@ -72,12 +73,12 @@ def subsample_pairs(pairs: DataFrame, max_pairs: int | None, seed: int = 0) -> D
     """At most ``max_pairs`` pairs, chosen by hash; all of them when unset."""
     if not max_pairs or max_pairs <= 0:
         return pairs
-    order = Window.orderBy(hash_hex(seed, F.col("pair_id")), "pair_id")
-    return (
-        pairs.withColumn("__r", F.row_number().over(order))
-        .where(F.col("__r") <= max_pairs)
-        .drop("__r")
-    )
+    return pairs.orderBy(hash_hex(seed, F.col("pair_id")), "pair_id").limit(max_pairs)
+
+
+def align_centers(df: DataFrame, centers: Sequence[str]) -> DataFrame:
+    """Rows of the named centres."""
+    return df.where(F.col("medical_center").isin(list(centers)))
 
 
 def pair_membership(pairs: DataFrame) -> DataFrame:
@@ -93,7 +94,8 @@ def pair_membership(pairs: DataFrame) -> DataFrame:
 
 def subset_by_pair(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of every pair in one pass, tagged with ``pair_id``."""
-    return df.join(pair_membership(pairs).select("pair_id", "pair_rows", *CELL), list(CELL))
+    member = pair_membership(pairs).select("pair_id", "pair_rows", *CELL)
+    return salted_join(df, member, CELL, ["sample_id"])
 
 
 def cell_neighbours(
@@ -115,15 +117,13 @@ def knn_label_accuracy(
     neighbours = slide_aware_neighbours(partials, kmax, window)
     codes = first_appearance_codes(df, "label", "row_idx")
     ks = F.array(*[F.lit(int(k)).cast("bigint") for k in k_values])
-    votes = (
-        neighbours.select(
-            "query_id",
-            F.col("q_label").alias("truth"),
-            F.col("n_label").alias("label"),
-            F.explode(F.filter(ks, lambda k: k >= F.col("rank"))).alias("k"),
-        )
-        .join(codes, "label")
+    seen = neighbours.select(
+        "query_id",
+        F.col("q_label").alias("truth"),
+        F.col("n_label").alias("label"),
+        F.explode(F.filter(ks, lambda k: k >= F.col("rank"))).alias("k"),
     )
+    votes = salted_join(seen, codes, ["label"], ["query_id"])
     predicted = majority_vote(votes, ["k", "query_id", "truth"], "label", "code")
     return balanced_accuracy(predicted, "truth", "predicted", ["k"])
 
@@ -150,9 +150,8 @@ def pair_robustness(partials: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         "pair_id", F.col("label").alias("n_label"), F.col("medical_center").alias("n_medical_center")
     )
     cell_pairs = queries.join(nears, "pair_id")
-    scoped = partials.join(
-        cell_pairs, ["q_label", "q_medical_center", "n_label", "n_medical_center"]
-    )
+    corners = ["q_label", "q_medical_center", "n_label", "n_medical_center"]
+    scoped = salted_join(partials, cell_pairs, corners, ["query_id"])
     window = F.least(F.lit(k + WINDOW_EXTRA), F.col("pair_rows") - 1)
     chosen = slide_aware_neighbours(scoped, k, window, keys=("pair_id", "query_id"))
     same_label = F.col("q_label") == F.col("n_label")

@@ -22,7 +22,7 @@ from tessera.operators.allocations import (
     tabulated_allocation,
     tabulated_designs,
 )
-from tessera.operators.ranking import _join_on, sample_per_cell
+from tessera.operators.ranking import salted_join, sample_per_cell
 from tessera.schemas import SPLIT_ROW
 from tessera.session import materialize
 
@@ -65,7 +65,7 @@ def slide_level_split(
     held = held.withColumn("__held", F.lit(True))
     tagged = id_rows.withColumn("rep", _numbers(0, repetitions - 1))
     return (
-        tagged.join(held, ["rep", *CELL, "slide_id"], "left")
+        salted_join(tagged, held, ["rep", *CELL, "slide_id"], ["sample_id"], how="left")
         .withColumn("held_out", F.coalesce("__held", F.lit(False)))
         .drop("__held")
     )
@@ -178,8 +178,9 @@ def generate_splits(
     realized = cramers_v(
         allocation.withColumnRenamed("want", "n"), "label", "medical_center", ["rep", "split_id"]
     ).select("rep", "split_id", F.col("cramers_v").alias("cramers_v_realized"))
-    splits = allocation.select("split_id", "correlation_level").distinct()
-    count = int(splits.agg(F.max("split_id")).first()[0])
+    levels_used = allocation.select("split_id", "correlation_level").distinct()
+    per_split = realized.join(levels_used, "split_id")  # one row per repetition and level
+    count = int(levels_used.agg(F.max("split_id")).first()[0])
     columns = ["rep", "split_id", "sample_id", *CELL, "slide_id"]
     key = [seed, F.col("rep"), F.col("split_id"), F.col("sample_id")]
     train = sample_per_cell(
@@ -203,9 +204,7 @@ def generate_splits(
     )
     rows = train.unionByName(tests)
     return (
-        rows.join(splits, "split_id")
-        .join(realized, ["rep", "split_id"])
-        .select(
+        salted_join(rows, per_split, ["rep", "split_id"], ["sample_id"]).select(
             "sample_id",
             *CELL,
             "slide_id",

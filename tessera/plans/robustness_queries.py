@@ -318,3 +318,48 @@ def silhouette_fixed(spark, sf):
     return N.silhouette(X.eval_features(spark, sf), "cluster").select(
         F.round("silhouette", 6).alias("silhouette"), "n"
     )
+
+
+@query(
+    "majority_vote",
+    with_ctes(
+        CTES,
+        SIMS + " near votes",
+        "SELECT k, q AS query_id, cl AS predicted FROM votes QUALIFY row_number() OVER (PARTITION BY k, q ORDER BY n DESC, code) = 1",
+    ),
+)
+def majority_vote(spark, sf):
+    df = X.eval_features(spark, sf)
+    chosen = N.slide_aware_neighbours(R.cell_neighbours(df, 15), 15, min(79, df.count() - 1))
+    ks = F.array(*[F.lit(k).cast("bigint") for k in R.K_CANDIDATES])
+    votes = chosen.select(
+        "query_id",
+        F.col("n_label").alias("label"),
+        F.explode(F.filter(ks, lambda k: k >= F.col("rank"))).alias("k"),
+    ).join(A.first_appearance_codes(df, "label", "row_idx"), "label")
+    return A.majority_vote(votes, ["k", "query_id"], "label", "code")
+
+
+@query(
+    "align_centers",
+    with_ctes(
+        CTES,
+        "evalm",
+        "SELECT medical_center, count(*) AS n FROM evalm WHERE medical_center IN ('C1', 'C3') GROUP BY 1",
+    ),
+)
+def align_centers(spark, sf):
+    kept = R.align_centers(X.eval_manifest(spark, sf), ["C1", "C3", "C9"])
+    return kept.groupBy("medical_center").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "pair_mean_std",
+    """SELECT lang, round(avg(n), 6) AS value, round(stddev_pop(n), 6) AS std, count(*) AS n
+       FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang""",
+)
+def pair_mean_std(spark, sf):
+    cells = A.cell_counts(X.table(spark, sf, "documents"), "lang", "source")
+    return A.mean_std(cells, "n", ["lang"]).select(
+        "lang", F.round("value", 6).alias("value"), F.round("std", 6).alias("std"), "n"
+    )

@@ -33,18 +33,22 @@ def sampling_plan(
     batch_size: int = 8,
     rows_per_shard: int = 100_000,
     min_keep: int = 4,
+    bin_px: int = 64,
 ) -> DataFrame:
     """One row per usable sample: anchor, boxes, effective threshold, token masks.
 
-    Context tissue is attached once per anchor of the catalog; draws that cannot
-    place all targets are dropped, the others fill batches in draw order per reader.
+    Context tissue is computed once per anchor and joined to its draws; draws that
+    cannot place all targets are dropped, the others fill batches in draw order per
+    reader. ``bin_px`` should be near the context size in mask pixels.
     """
     contexts = attach_context_tissue(
-        with_plan(anchors, resolution_plan(slides, profile, policy.patch)), mask_runs
+        with_plan(anchors, resolution_plan(slides, profile, policy.patch)), mask_runs, bin_px
     )
     drawn = sample_anchors(
-        with_shards(contexts, rows_per_shard), draws, seed, pass_index, partitions, weights, strategy
+        with_shards(anchors, rows_per_shard), draws, seed, pass_index, partitions, weights, strategy
     )
+    added = [c for c in contexts.columns if c not in anchors.columns]
+    drawn = drawn.join(contexts.select("anchor_id", *added), "anchor_id")
     key = F.concat_ws("/", F.col("partition").cast("string"), F.col("draw_idx").cast("string"))
     placed = place_targets(drawn, profile, policy, seed, key, pass_index).where(
         F.col("targets").isNotNull()

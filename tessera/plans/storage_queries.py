@@ -89,6 +89,17 @@ def source_anchor_catalog(spark, sf):
     )
 
 
+@query(
+    "stratum_anchors",
+    with_ctes(CTES, ANCHOR_CTES, "SELECT anchor_id, tissue_fraction FROM anchors WHERE stratum_id = 'EUROPE'"),
+)
+def stratum_anchors(spark, sf):
+    """One stratum of a stored catalog: only its directory is read."""
+    path = scratch_dir(spark, "anchor-catalog")
+    C.write_anchor_catalog(anchors(spark, sf), path, P)
+    return C.read_anchor_catalog(spark, path, "EUROPE").select("anchor_id", "tissue_fraction")
+
+
 @query(
     "anchor_catalog_summary",
     with_ctes(
