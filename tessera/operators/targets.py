@@ -164,7 +164,7 @@ def attach_context_tissue(planned: DataFrame, mask_runs: DataFrame, bin_px: int
 
 
 def _candidate(digest: Column, spec: dict[str, Column], aligned: bool, patch: int) -> Column:
-    """Box number i of an anchor from 16 hex digits of its hash."""
+    """Box number i of an anchor from the first 16 hex digits of its hash."""
     size = spec["size"]
     hx = hex_to_long(F.substring(digest, 1, 8))
     hy = hex_to_long(F.substring(digest, 9, 8))
@@ -228,8 +228,10 @@ def place_targets(
     none = F.array().cast(BOX_TYPE)
 
     def candidate(i: Column) -> Column:
-        digest = F.substring(hash_hex(seed, pass_index, key, i), 1, 16)
-        return _candidate(digest, spec, policy.aligned, policy.patch)
+        return let(
+            hash_hex(seed, pass_index, key, i),
+            lambda digest: _candidate(digest, spec, policy.aligned, policy.patch),
+        )
 
     def fraction(b: Column) -> Column:
         return F.when(F.col("tissue").isNotNull(), _fraction(b, F.col("tissue"), size))
