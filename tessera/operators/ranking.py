@@ -57,8 +57,10 @@ def salted_join(
     """Inner or left join of a large table to a smaller one on keys that may be hot.
 
     The smaller side is repeated once per salt and the larger one spread over the
-    salts by hash, so no key is tied to one task. Where the smaller side is found
-    small at run time, AQE turns this into a broadcast join.
+    salts by hash, so no key is tied to one task, and AQE may split what is still too
+    large because nothing above relies on this partitioning. The number of salts is
+    kept low: where even the repeated side turns out small at run time, AQE makes
+    this a broadcast join and the large side is not shuffled at all.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
     left = facts.withColumn("__salt", salt)
@@ -185,7 +187,7 @@ def sample_per_cell(
     identity: Sequence[str],
     seed_parts: Sequence,
     want: str = "want",
-    hex_digits: int = 3,
+    hex_digits: int = 4,
 ) -> DataFrame:
     """Exactly ``want`` rows of each cell, drawn without replacement by hash order.
 

@@ -51,7 +51,8 @@ def test_probe_separates_what_is_separable(spark):
 def test_many_classes_are_scored_by_argmax(spark):
     rows = spark.createDataFrame([([1.0, 0.0], 0, 1), ([0.0, 1.0], 0, 1), ([-1.0, -1.0], 0, 1)], "feature array<double>, rep bigint, split_id bigint")
     models = spark.createDataFrame([(0, 1, [[2.0, 0.0], [0.0, 2.0], [-1.0, -1.0]], [0.0, 0.0, 0.5])], M.MODEL_SCHEMA)
-    assert [r["predicted"] for r in M.score_linear(rows, models).collect()] == [0, 1, 2]
+    got = {tuple(r["feature"]): r["predicted"] for r in M.score_linear(rows, models).collect()}
+    assert got == {(1.0, 0.0): 0, (0.0, 1.0): 1, (-1.0, -1.0): 2}
 
 
 def test_plugins():
