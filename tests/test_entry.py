@@ -41,3 +41,9 @@ def test_query(spark, con, sf, name):
     columns = [d[0] for d in cursor.description]
     assert rows_of(df.columns, got) == rows_of(columns, cursor.fetchall())
     assert canonical(float("nan")) is None
+
+
+def test_task_functions_travel_by_value():
+    from pyspark import cloudpickle
+
+    assert "tessera" in cloudpickle.list_registry_pickle_by_value()
