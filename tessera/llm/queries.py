@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, line_dedup, packing, token_counts
+from pyspark.sql import functions as F
+
+from tessera.llm import chat, exact_dedup, licenses, line_dedup, near_dedup, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +75,42 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(replace({}, '&', '&amp;'), '<|', '&lt;|'), '<s>', '&lt;s>'), '</s>', '&lt;/s>'), '[INST]', '&lb;INST]'), '[/INST]', '&lb;/INST]')"
+
+
+@query(
+    "op4_chat_formatting",
+    rf"""
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(12 + length(replace({_ESCAPED.format("role")}, chr(10), '&nl;')) + 1 + length({_ESCAPED.format("text")}) + 10 + 1) AS BIGINT) AS formatted_chars,
+      CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens
+    FROM turns GROUP BY conv_id
+    """,
+)
+def format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
+    turns = given.unionByName(hostile).withColumn("parts", chat.text_part(F.col("text")))
+    return chat.digest(chat.read_back(chat.format_conversations(turns)))
+
+
+@query("op9_license_scan")
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the file source/lang/doc_id."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    return licenses.scan_licenses(docs, "doc_id", path)
+
+
+@query("op3_near_dedup")
+def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
