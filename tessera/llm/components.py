@@ -21,9 +21,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
+        least = materialize(least, "least-neighbours")  # so that the join can be split at a node with many links
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
         large = materialize(large, "large-star")
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        least = materialize(large.groupBy("v").agg(F.min("u").alias("m")), "least-neighbours")
         small = large.join(least, "v")
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).where("u <> v").distinct()
         edges = materialize(small, "small-star")

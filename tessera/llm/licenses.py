@@ -115,6 +115,7 @@ def scan_licenses(files: DataFrame, id_column: str, path: Column, text_column: s
         .groupBy("directory").agg(F.max(F.struct("depth", "declared_in", "given", "given_similarity")).alias("up"))
         .select("directory", "up.declared_in", "up.given", "up.given_similarity")
     )
+    nearest = materialize(nearest, "nearest-declarations")
     has_own = F.col("own").isNotNull()
     return (
         found.select("doc_id", "path", "row", "is_file", directory.alias("directory"))

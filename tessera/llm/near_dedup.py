@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     placed = rows.select("row", "doc_id", "n", "hi", "lo").join(named.select("hi", "lo", "node"), ["hi", "lo"], "left").join(final, "node", "left")
     placed = placed.withColumn("group", F.when(F.col("n") > 0, F.coalesce("label", "node")).otherwise(F.col("row")))
     least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
+    least = materialize(least, "least-ids")
     return placed.join(least, "group").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("size") == 1)).alias("kept")
     )
