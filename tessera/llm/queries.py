@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, licenses, line_dedup, near_dedup, packing, token_counts
+from tessera.llm import chat, exact_dedup, licenses, line_dedup, near_dedup, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_near_dedup")
 def dedup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_classifier")
+def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
