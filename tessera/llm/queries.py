@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, inner_products, licenses, line_dedup, near_dedup, packing, quality, token_counts
+from tessera.llm import chat, exact_dedup, inner_products, licenses, line_dedup, near_dedup, packing, quality, sentencepieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,11 @@ def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_products.top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op6_sentencepiece_codec")
+def encode_and_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text that they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = sentencepieces.decode(sentencepieces.encode(_table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
