@@ -1,27 +1,41 @@
 """Documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``. All but the last return the
+columns of ``docs``. Rows that repeat a doc_id are one document: its rows stay or go
+together.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, packing
+from tessera.llm import exact_dedup, near_dedup, packing, quality
 from tessera.session import materialize
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents but for those whose id is in ``dropped``."""
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+def _without(docs: DataFrame, found: DataFrame, stays: str) -> DataFrame:
+    """Documents but for those that ``found`` drops in favour of the id in ``stays``."""
+    dropped = found.where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col(stays))).select(F.col("doc_id").alias("dropped_id"))
+    dropped = materialize(dropped, "dropped")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal without white space, one stays."""
-    found = exact_dedup.exact_duplicates(docs)
-    return _without(docs, materialize(found.where("not kept and not (doc_id <=> keep_id)").select("doc_id"), "dropped"))
+    return _without(docs, exact_dedup.exact_duplicates(docs), "keep_id")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest id stays."""
+    return _without(docs, near_dedup.near_duplicates(docs), "component_id")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +43,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact dedup", exact_copies), ("best-fit packing", packed)]
-#: Tokenisation and model fitting have no SQL form; the stages are tested on small inputs.
+STAGES = [("quality classifier", good_quality), ("exact dedup", exact_copies), ("near dedup", near_copies), ("best-fit packing", packed)]
+#: Model fitting and tokenisation have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.tasks import arrow_batch, byte_texts
 from tessera.session import materialize
@@ -176,29 +175,27 @@ def _sample(rows: DataFrame, n: int) -> np.ndarray:
     return np.array([r["features"] for r in chosen], np.float32).reshape(-1, N_FEATURES)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_columns: bool = False, prior: float | None = None, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted (1 from 0.5 on).
-
-    Trusted positives are the rows of ``labels`` (doc_id, quality) with quality 1 that
-    are not held out, at most ``max_positives``; unlabelled are documents that are not
-    held out, at most ``max_unlabelled``; which ones depends on their content alone.
-    The class prior is the share of quality 1 among all labels that are not held out,
-    and where those have one value only it is estimated from the scores (``fit``).
-    Labels and ids are no inputs of a score. NULL and empty texts are scored like any
-    other. Without positives or without documents to learn from, every score is 0.5.
-    Rows are scored as they come: repeated rows repeat, NULL ids stay NULL. With
-    ``keep_columns`` the columns of ``docs`` are returned too, and a clashing name
-    among them keeps the document's value.
-    """
-    spark = docs.sparkSession
+def _features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """doc_id and the features of each whole text, written out."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield arrow_batch({"doc_id": batch.column(0), "features": pa.array([shape(t) for t in byte_texts(batch.column(1))], pa.list_(pa.float32()))})
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    rows = materialize(source.mapInArrow(describe, f"doc_id {kind}, features array<float>"), "features")
+    return materialize(source.mapInArrow(describe, f"doc_id {kind}, features array<float>"), "features")
+
+
+def learn(rows: DataFrame, labels: DataFrame, prior: float | None = None, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> StepModel | None:
+    """The model fitted on rows (doc_id, features) that are not held out; None without any.
+
+    Trusted positives are the rows of ``labels`` (doc_id, quality) with quality 1, at
+    most ``max_positives``; unlabelled are all documents, at most ``max_unlabelled``;
+    which ones depends on their content alone. The class prior is the share of quality
+    1 among all labels, and where those have one value only it is estimated from the
+    scores (``fit``).
+    """
     learnable = rows.where(~held_out_rows(F.col("doc_id")))
     known = labels.where(~held_out_rows(F.col("doc_id")) & F.col("quality").isin(0, 1))
     trusted = known.where("quality = 1").select(F.col("doc_id").alias("trusted")).distinct()
@@ -207,28 +204,42 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
         prior = share if share is not None and 0 < share < 1 else None
     positive = _sample(learnable.join(trusted, F.col("doc_id") == F.col("trusted"), "left_semi"), max_positives)
     unlabelled = _sample(learnable, max_unlabelled)
-    model = fit(positive, unlabelled, prior)[0] if len(positive) and len(unlabelled) else None
-    shared = spark.sparkContext.broadcast(model)
+    return fit(positive, unlabelled, prior)[0] if len(positive) and len(unlabelled) else None
 
-    def apply(features: np.ndarray) -> np.ndarray:
-        return shared.value.score(features) if shared.value and len(features) else np.full(len(features), 0.5)
 
-    if keep_columns:
-        added = [T.StructField(n, t) for n, t in (("score", T.DoubleType()), ("predicted", T.IntegerType())) if n not in docs.columns]
-        at = docs.columns.index(text_column)
+def _scores(model: StepModel | None, features: np.ndarray) -> np.ndarray:
+    return model.score(features) if model and len(features) else np.full(len(features), 0.5)
 
-        def append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                score = apply(np.array([shape(t) for t in byte_texts(batch.column(at).cast(pa.string()))], np.float32).reshape(-1, N_FEATURES))
-                new = {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(new[f.name] for f in added)], names=[*batch.schema.names, *(f.name for f in added)])
 
-        return docs.mapInArrow(append, T.StructType([*docs.schema, *added]))
+def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **learning) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted (1 from 0.5 on).
+
+    Learns as ``learn`` says; labels and ids are no inputs of a score. NULL and empty
+    texts are scored like any other. Without positives or without documents to learn
+    from, every score is 0.5. Rows are scored as they come: repeated rows repeat, NULL
+    ids stay NULL and count as not held out. No rows give no rows; other columns are
+    ignored.
+    """
+    rows = _features(docs, id_column, text_column)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(rows, labels, **learning))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = apply(batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES))
+            value = _scores(shared.value, batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES))
             yield arrow_batch({"doc_id": batch.column("doc_id"), "score": pa.array(value), "predicted": pa.array((value >= 0.5).astype(np.int32))})
 
-    scored = rows.mapInArrow(score, f"doc_id {kind}, score double, predicted int")
+    scored = rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
     return scored.select("doc_id", held_out_rows(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **learning) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(_features(docs, id_column, text_column), labels, **learning))
+    at = docs.columns.index(text_column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = np.array([shape(t) for t in byte_texts(batch.column(at).cast(pa.string()))], np.float32).reshape(-1, N_FEATURES)
+            yield batch.filter(pa.array(_scores(shared.value, features) >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

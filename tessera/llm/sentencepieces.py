@@ -19,22 +19,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.tasks import arrow_batch, str_texts, worker_store
-from tessera.session import materialize
+from tessera.llm.blocks import BLOCK_CHARS, read_tables, unpack, with_values, write_blocks
+from tessera.llm.tasks import arrow_batch, worker_store
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-BLOCK_CHARS = 12_000_000
-_BLOCK_BITS = 24
 # Piece types and the penalty of unknown characters in the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
@@ -140,19 +136,6 @@ class Pieces:
             end = starts[end]
         return np.array(out[::-1], "<u4").tobytes()
 
-    def encode_sorted(self, words: Iterable[str]) -> Iterator[bytes]:
-        """Ids of words in sorted order; states of shared prefixes are kept."""
-        last, starts, scores = "", [0], [0.0]
-        for word in words:
-            same, most = 0, min(len(last), len(word))
-            while same < most and word[same] == last[same]:
-                same += 1
-            del starts[same + 1 :], scores[same + 1 :]
-            while len(starts) <= len(word):
-                self.step(word, starts, scores)
-            yield self.ids_of(word, starts)
-            last = word
-
     def decode_table(self) -> list[bytes | int]:
         """Bytes of each piece; a byte piece is the byte's number."""
         table: list[bytes | int] = []
@@ -166,14 +149,38 @@ class Pieces:
         return table
 
 
-def _pack(places: np.ndarray) -> bytes:
-    """Numbers as compressed byte planes (most high bytes are 0)."""
-    return pa.compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
-
-
-def _unpack(packed: bytes, n: int) -> np.ndarray:
-    planes = pa.decompress(packed, 4 * n, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel()
+class SortedWords:
+    """Words in sorted order are a depth-first walk; states of the shared prefix stay."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces, self.last, self.ids = pieces, "", b""
+        self.starts, self.scores = [0], [0.0]
+
+    def ids_of(self, word: str) -> bytes:
+        last, same = self.last, 0
+        if word == last:
+            return self.ids
+        most = min(len(last), len(word))
+        while same < most and word[same] == last[same]:
+            same += 1
+        del self.starts[same + 1 :], self.scores[same + 1 :]
+        while len(self.starts) <= len(word):
+            self.pieces.step(word, self.starts, self.scores)
+        self.last, self.ids = word, self.pieces.ids_of(word, self.starts)
+        return self.ids
+
+
+def _sequence(units: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words in order, plus 1; a word's first occurrence in its block is 0."""
+    out = np.empty(len(units), np.uint32)
+    for k, unit in enumerate(units):
+        place = known.get(unit)
+        if place is None:
+            known[unit] = len(known)
+            out[k] = 0
+        else:
+            out[k] = place + 1
+    return out, np.zeros(0, np.uint32)
 
 
 def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -184,76 +191,41 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
     rows give no rows. A text longer than ``block_chars`` is a block of its own. Other
     columns are ignored.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType
+    kind = docs.schema[id_column].dataType.simpleString()
     load = lambda: worker_store(f"pieces:{model}", lambda: Pieces.load(model))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, number = load(), TaskContext.get().partitionId() << _BLOCK_BITS
-        vocabulary: dict[str, int] = {}
-        rows, sequences, sizes, chars = [], [], [], 0
-
-        def block() -> pa.RecordBatch:
-            ids = pa.concat_arrays(rows)
-            return arrow_batch({
-                "block": pa.array([number], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                "sizes": pa.array([sizes], pa.list_(pa.int64())), "sequence": pa.array([_pack(np.concatenate(sequences))], pa.binary()), "vocabulary": pa.array([list(vocabulary)], pa.list_(pa.string())),
-            })
-
-        for batch in batches:
-            begin = 0
-            for row, text in enumerate(str_texts(batch.column(1))):
-                if sizes and chars + len(text) > block_chars:
-                    rows.append(batch.column(0)[begin:row])
-                    yield block()
-                    vocabulary, number, begin = {}, number + 1, row
-                    rows, sequences, sizes, chars = [], [], [], 0
-                words = WORD.findall(pieces.mark(text))
-                for word in words:
-                    if word not in vocabulary:
-                        vocabulary[word] = len(vocabulary)
-                sequences.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words)))
-                sizes.append(len(words))
-                chars += len(text)
-            rows.append(batch.column(0)[begin:])
-        if sizes:
-            yield block()
-
-    blocks = materialize(source.mapInArrow(gather, f"block long, ids array<{kind.simpleString()}>, sizes array<long>, sequence binary, vocabulary array<string>"), "piece-blocks")
-    local = blocks.select("block", F.posexplode("vocabulary").alias("place", "word"))
-    words = materialize(local.select("word").distinct(), "words")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut() -> Callable[[str], list[str]]:
         pieces = load()
-        for batch in batches:
-            yield arrow_batch({"word": batch.column(0), "ids": pa.array(list(pieces.encode_sorted(batch.column(0).to_pylist())), pa.binary())})
+        return lambda text: WORD.findall(pieces.mark(text))
+
+    def search() -> Callable[[Iterable[str]], Iterator[bytes]]:
+        walk = SortedWords(load())
+        return lambda words: map(walk.ids_of, words)
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = words.repartitionByRange(tasks, "word").sortWithinPartitions("word").mapInArrow(search, "word string, ids binary")
-    tables = local.join(encoded, "word").groupBy("block").agg(F.collect_list(F.struct("place", F.col("ids"))).alias("words"))
+    blocks = write_blocks(docs, id_column, text_column, cut, _sequence, block_chars)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                cell = lambda name, k=k: batch.column(name)[k]
-                ids, sizes, words = cell("ids").values, cell("sizes").values.to_numpy(), cell("words").values
-                table: list[bytes] = [b""] * (0 if words is None else len(words))
-                if words is not None:
-                    for place, value in zip(words.field("place").to_pylist(), words.field("ids").to_pylist(), strict=True):
-                        table[place] = value
-                sequence = _unpack(cell("sequence").as_py(), int(sizes.sum()))
-                ends = np.cumsum(sizes)
-                # Handed on some documents at a time.
-                for first in range(0, len(ids), 512):
-                    own = range(first, min(first + 512, len(ids)))
-                    texts = [b"".join(map(table.__getitem__, sequence[ends[d] - sizes[d] : ends[d]].tolist())) for d in own]
-                    n = np.array([len(t) // 4 for t in texts], np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.frombuffer(b"".join(texts), "<i4")))
-                    yield arrow_batch({"doc_id": ids[first : first + 512], "ids": lists, "n_pieces": pa.array(n), "ids_crc32": pa.array([zlib.crc32(t) for t in texts], pa.int64())})
-
-    together = blocks.drop("vocabulary").join(tables, "block", "left")
-    return together.select("ids", "sizes", "sequence", "words").mapInArrow(assemble, f"doc_id {kind.simpleString()}, ids array<int>, n_pieces long, ids_crc32 long")
+            for row in range(batch.num_rows):
+                cell = lambda name, row=row: batch.column(name)[row]
+                ids, sizes = cell("ids").values, cell("sizes").values.to_numpy()
+                places = unpack(cell("first").as_py(), int(sizes.sum())).astype(np.int64) - 1
+                new = places < 0
+                places[new] = np.arange(np.count_nonzero(new))
+                values, ends = read_tables(cell("tables").as_py())
+                lengths, stops = np.diff(ends), np.cumsum(sizes)
+                for first in range(0, len(ids), 512):  # some documents at a time
+                    last = min(first + 512, len(ids))
+                    own = places[stops[first] - sizes[first] : stops[last - 1]]
+                    n = lengths[own]
+                    after = np.r_[0, np.cumsum(n)]
+                    found = values[np.repeat(ends[own] - after[:-1], n) + np.arange(after[-1])].astype("<u4")
+                    bounds = after[np.r_[0, np.cumsum(sizes[first:last])]]
+                    crcs = [zlib.crc32(found[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+                    yield arrow_batch({"doc_id": ids[first:last], "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.view(np.int32))), "n_pieces": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crcs, pa.int64())})
+
+    found = with_values(blocks, search, in_order=True)
+    return found.select("ids", "sizes", "first", "tables").mapInArrow(assemble, f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long")
 
 
 def decode(encoded: DataFrame, model: str, ids_column: str = "ids", into: str = "text") -> DataFrame:
