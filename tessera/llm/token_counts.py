@@ -1,55 +1,35 @@
 """Token counts of whole texts without materialising token ids.
 
-A text is a bag of pre-tokens, and the number of tokens is a sum over the bag. Tasks
-turn runs of documents ("blocks" of bounded text) into a local vocabulary and a
-sparse document x vocabulary count matrix. Distinct pre-tokens are merged once,
-joined to the vocabularies, and each block's matrix is multiplied by its vector of
-piece counts. Neither ids nor (document, pre-token) rows are ever shuffled.
+A text is a bag of pre-tokens, and its number of tokens is a sum over the bag. Blocks of
+documents (see ``blocks``) keep a local vocabulary and a sparse matrix of documents x
+pre-tokens. Each distinct pre-token is merged once, its number of pieces is joined back
+to the blocks, and each block's matrix is multiplied by its vector of counts. Neither
+ids nor (document, pre-token) rows are ever shuffled.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.tasks import arrow_batch, str_texts, worker_store
+from tessera.llm.blocks import BLOCK_CHARS, read_tables, unpack, with_values, write_blocks
+from tessera.llm.tasks import arrow_batch, worker_store
 from tessera.llm.tokens import BytePieces
-from tessera.session import materialize
-
-BLOCK_CHARS = 12_000_000
-_BLOCK_BITS = 24  # blocks of one task
-
-
-class _Block:
-    """Documents whose pre-tokens share one local vocabulary."""
-
-    def __init__(self) -> None:
-        self.rows: list[pa.Array] = []
-        self.n_bytes: list[int] = []
-        self.ends: list[int] = []
-        self.places: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.vocabulary: dict[str, int] = {}
-        self.chars = self.entries = 0
-
-    def add(self, pre_tokens: list[str], n_bytes: int, chars: int) -> None:
-        bag = Counter(pre_tokens)
-        known = self.vocabulary
-        for p in bag:
-            if p not in known:
-                known[p] = len(known)
-        self.places.append(np.fromiter(map(known.__getitem__, bag), np.uint32, len(bag)))
-        self.counts.append(np.fromiter(bag.values(), np.uint32, len(bag)))
-        self.entries += len(bag)
-        self.ends.append(self.entries)
-        self.n_bytes.append(n_bytes)
-        self.chars += chars
+
+
+def _bag(units: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places as differences, and how often each occurs."""
+    bag = Counter(units)
+    for unit in bag:
+        if unit not in known:
+            known[unit] = len(known)
+    places = np.fromiter(map(known.__getitem__, bag), np.uint32, len(bag))
+    order = np.argsort(places)
+    return np.diff(places[order], prepend=np.uint32(0)), np.fromiter(bag.values(), np.uint32, len(bag))[order]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 512, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -61,76 +41,36 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
     longer than ``block_chars`` is a block of its own and is counted whole. Other
     columns are ignored.
     """
-    id_type = docs.schema[id_column].dataType
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-
-    def write(block: _Block, number: int) -> pa.RecordBatch:
-        one = lambda values, kind: pa.array([values], pa.list_(kind))
-        ids = pa.concat_arrays(block.rows)
-        return arrow_batch({
-            "block": pa.array([number], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "n_bytes": one(block.n_bytes, pa.int64()), "ends": one(block.ends, pa.int64()),
-            "places": pa.array([b"".join(p.tobytes() for p in block.places)], pa.binary()), "counts": pa.array([b"".join(_narrow(c).tobytes() for c in block.counts)], pa.binary()),
-            "large": pa.array([b"".join(_large(c, e - len(c)).tobytes() for c, e in zip(block.counts, block.ends, strict=True))], pa.binary()),
-            "vocabulary": one(list(block.vocabulary), pa.string()),
-        })
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_store(f"pieces:{tokenizer}", lambda: BytePieces(tokenizer))
-        number = TaskContext.get().partitionId() << _BLOCK_BITS
-        block = _Block()
-        for batch in batches:
-            ids, begin = batch.column(0), 0
-            for row, text in enumerate(str_texts(batch.column(1))):
-                if block.ends and block.chars + len(text) > block_chars:
-                    block.rows.append(ids[begin:row])
-                    yield write(block, number)
-                    block, number, begin = _Block(), number + 1, row
-                block.add(pieces.pre_tokens(text), len(text.encode()), len(text))
-            block.rows.append(ids[begin:])
-        if block.ends:
-            yield write(block, number)
-
-    blocks = materialize(
-        source.mapInArrow(gather, f"block long, ids array<{id_type.simpleString()}>, n_bytes array<long>, ends array<long>, places binary, counts binary, large binary, vocabulary array<string>"),
-        "token_blocks",
-    )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_store(f"pieces:{tokenizer}", lambda: BytePieces(tokenizer))
-        for batch in batches:
-            yield arrow_batch({"pre_token": batch.column(0), "n": pa.array([pieces.count(p) for p in batch.column(0).to_pylist()], pa.int64())})
+    kind = docs.schema[id_column].dataType.simpleString()
+    pieces = lambda: worker_store(f"bytes:{tokenizer}", lambda: BytePieces(tokenizer))
+
+    def count() -> Callable[[Iterable[str]], Iterator[bytes]]:
+        model, known = pieces(), {}
+
+        def values(pre_tokens: Iterable[str]) -> Iterator[bytes]:
+            """Pieces of each pre-token; equal ones of a task are merged once."""
+            for p in pre_tokens:
+                n = known.get(p)
+                if n is None:
+                    n = known[p] = model.count(p).to_bytes(4, "little")
+                yield n
+
+        return values
 
-    words = blocks.select("block", F.posexplode("vocabulary").alias("place", "pre_token"))
-    counted = words.select("pre_token").distinct().mapInArrow(count, "pre_token string, n long")
-    vectors = words.join(counted, "pre_token").groupBy("block").agg(F.collect_list(F.struct("place", F.col("n").cast("int").alias("n"))).alias("sizes"))
+    blocks = write_blocks(docs, id_column, text_column, lambda: pieces().pre_tokens, _bag, block_chars)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                cell = lambda name, k=k: batch.column(name)[k]
-                ids, sizes = cell("ids").values, cell("sizes").values
-                vector = np.zeros(1 if sizes is None else len(sizes), np.int64)
-                if sizes is not None:
-                    vector[sizes.field("place").to_numpy()] = sizes.field("n").to_numpy()
-                places = np.frombuffer(cell("places").as_py(), np.uint32)
-                counts = np.frombuffer(cell("counts").as_py(), np.uint8).astype(np.int64)
-                large = np.frombuffer(cell("large").as_py(), np.int64).reshape(-1, 2)
-                counts[large[:, 0]] = large[:, 1]
-                running = np.r_[0, np.cumsum(vector[places] * counts)]
-                n_tokens = np.diff(running[np.r_[0, cell("ends").values.to_numpy()]])
-                yield arrow_batch({"doc_id": ids, "n_bytes": cell("n_bytes").values, "n_tokens": pa.array(n_tokens), "over_limit": pa.array(n_tokens > limit)})
-
-    return blocks.drop("vocabulary").join(vectors, "block", "left").select("ids", "n_bytes", "ends", "places", "counts", "large", "sizes").mapInArrow(
-        add_up, f"doc_id {id_type.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
-    )
-
-
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    """Counts as bytes; those above 255 are listed apart."""
-    return np.minimum(counts, 255).astype(np.uint8)
-
-
-def _large(counts: np.ndarray, start: int) -> np.ndarray:
-    """(place in the block, count) of the counts that a byte can't hold."""
-    at = np.flatnonzero(counts > 255)
-    return np.stack([at + start, counts[at]], axis=1).astype(np.int64)
+            for row in range(batch.num_rows):
+                cell = lambda name, row=row: batch.column(name)[row]
+                sizes = cell("sizes").values.to_numpy()
+                ends = np.r_[0, np.cumsum(sizes)]
+                steps, often = (unpack(cell(c).as_py(), int(ends[-1])).astype(np.int64) for c in ("first", "second"))
+                running = np.r_[0, np.cumsum(steps)]
+                places = running[1:] - np.repeat(running[ends[:-1]], sizes)
+                vector, _ = read_tables(cell("tables").as_py())
+                total = np.r_[0, np.cumsum(vector[places] * often if len(places) else places)]
+                n_tokens = np.diff(total[ends])
+                yield arrow_batch({"doc_id": cell("ids").values, "n_bytes": cell("n_bytes").values, "n_tokens": pa.array(n_tokens), "over_limit": pa.array(n_tokens > limit)})
+
+    return with_values(blocks, count).select("ids", "n_bytes", "sizes", "first", "second", "tables").mapInArrow(add_up, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
