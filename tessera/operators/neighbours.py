@@ -1,21 +1,21 @@
 """Exact cosine neighbours and distance sums over an embedding table.
 
 All-pairs similarity is the definition of these metrics, so the work is
-quadratic; what Spark controls is its shape. Rows are hashed into blocks of
-bounded size, one task multiplies one query block with one candidate block, and
-only the best ``m`` candidates of each query - or one distance sum per cluster -
-leave the task. No row pair is ever shuffled and no block depends on how labels
-or sources are distributed.
+quadratic; what Spark controls is its shape. Queries are hashed into blocks of
+bounded size, a task streams the candidates past a block, and only the best ``m`` of
+each query and cell - or one distance sum per cluster - leave the task. No row pair is
+ever shuffled, and what is written grows with the rows, not with their square.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tessera.operators.ranking import _join_on
 
 BLOCK_ROWS = 16384
+LEAST_BLOCK = 256
+CELL_NUMBER = "__cell"
 WINDOW_EXTRA = 64  # fixed value: extra candidates looked at beyond k
 SIM_DIGITS = 9  # similarities are compared after rounding, ties go to the lower id
 _TILE = 512
@@ -51,37 +53,76 @@ def _best_per_row(sims: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.
     return rows[keep], cols[keep], values[keep]
 
 
-def _blocked(
-    df: DataFrame, id_col: str, cells: Sequence[str], block_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """Query and candidate copies of ``df`` laid out on a (qblock, cblock) grid.
+class _Fold(Protocol):
+    """Work of one query block that meets its candidates batch by batch."""
 
-    A candidate block holds rows of a single cell; a large cell gets several.
+    def add(self, candidates: pa.Table) -> None: ...
+
+    def result(self) -> pa.Table: ...
+
+
+def _fold_blocks(
+    df: DataFrame,
+    id_col: str,
+    cells: Sequence[str],
+    block_rows: int,
+    schema: T.StructType,
+    begin: Callable[[pa.Table], _Fold],
+) -> DataFrame:
+    """Result of ``begin(query block)`` after it has seen all candidates of a cell.
+
+    A task streams the candidates of a cell past one block of queries at a time. What
+    it holds is the block, its running result and one batch, and only the final result
+    leaves it: its size doesn't depend on how many candidates there are.
     """
+    spark = df.sparkSession
     counts = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n"))
-    blocks = F.ceil(F.col("__n") / F.lit(block_rows)).cast("bigint")
-    earlier = Window.orderBy(*(cells or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1)
-    layout = counts.withColumn("__blocks", blocks).withColumn(
-        "__base", F.coalesce(F.sum("__blocks").over(earlier), F.lit(0))
-    )
-    total = layout.agg(F.sum("__n").alias("n"), F.sum("__blocks").alias("blocks")).first()
-    n, c_blocks = int(total["n"] or 0), max(1, int(total["blocks"] or 0))
-    q_blocks = max(1, -(-n // block_rows))
-    spread = F.xxhash64(id_col)
-    queries = df.withColumn("qblock", F.pmod(spread, F.lit(q_blocks))).withColumn(
-        "cblock", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(c_blocks - 1).cast("bigint")))
-    )
-    if cells:
-        placed = _join_on(df, layout.drop("__n"), cells).withColumn(
-            "cblock", F.col("__base") + F.pmod(spread, F.col("__blocks"))
-        )
-    else:
-        placed = df.withColumn("cblock", F.pmod(spread, F.lit(c_blocks)))
-    candidates = placed.drop("__blocks", "__base").withColumn(
-        "qblock", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint")))
-    )
-    # Fresh column ids, so that both sides of the cogroup can share an origin.
-    return queries, candidates.select(*[F.col(c).alias(c) for c in candidates.columns])
+    numbered = counts.withColumn(CELL_NUMBER, F.row_number().over(Window.orderBy(*(cells or [F.lit(0)]))) - 1)
+    total = numbered.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("cells")).first()
+    n, n_cells = int(total["n"] or 0), max(1, int(total["cells"]))
+    # Blocks of at most block_rows, and enough of them to keep the cluster busy.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, -(-n // block_rows), min(-(-tasks // n_cells), -(-n // LEAST_BLOCK)))
+    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    columns = df.columns
+
+    def upto(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    queries = df.select(own.alias("__block"), upto(n_cells).alias(CELL_NUMBER), F.lit(0).alias("__kind"), *columns)
+    placed = _join_on(df, numbered.drop("__n"), cells) if cells else df.withColumn(CELL_NUMBER, F.lit(0))
+    candidates = placed.select(upto(blocks).alias("__block"), CELL_NUMBER, F.lit(1).alias("__kind"), *columns)
+    key = ["__block", CELL_NUMBER]
+    dealt = queries.unionByName(candidates).repartition(min(blocks * n_cells, 32 * tasks), *key)
+    arrow = to_arrow_schema(schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, work = None, [], None
+
+        def results() -> Iterator[pa.RecordBatch]:
+            if work is not None:
+                yield from work.result().cast(arrow).to_batches(max_chunksize=65536)
+
+        for batch in batches:
+            parts = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = np.flatnonzero((parts[:, 1:] != parts[:, :-1]).any(axis=0)) + 1
+            rows = pa.Table.from_batches([batch]).drop_columns([*key, "__kind"])
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if start == end:
+                    continue
+                group, kind = tuple(parts[:2, start]), parts[2, start]
+                if group != now:
+                    yield from results()
+                    now, waiting, work = group, [], None
+                if kind == 0:
+                    waiting.append(rows.slice(start, end - start))
+                elif waiting or work is not None:
+                    if work is None:
+                        work, waiting = begin(pa.concat_tables(waiting)), []
+                    work.add(rows.slice(start, end - start))
+        yield from results()
+
+    return dealt.sortWithinPartitions(*key, "__kind", id_col).mapInArrow(fold, schema)
 
 
 def neighbour_partials(
@@ -93,15 +134,14 @@ def neighbour_partials(
     cells: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The ``m`` most similar candidates (self included) of each query in each
-    candidate block: (query_id, neighbour_id, similarity, q_*, n_*).
+    """The ``m`` most similar candidates (self included) of each query in each cell:
+    (query_id, neighbour_id, similarity, q_*, n_*).
 
-    With ``cells``, every cell keeps its own best ``m``, so the neighbours
-    within any union of cells can be merged from one computation.
+    Without ``cells`` all rows are one cell. With them, the neighbours within any
+    union of cells can be merged from one result of at most rows x cells x m rows.
     """
     carry = list(dict.fromkeys([*carry, *cells]))
     slim = df.select(id_col, vector, *[c for c in carry if c != id_col])
-    queries, candidates = _blocked(slim, id_col, list(cells), block_rows)
     types = {f.name: f.dataType for f in slim.schema.fields}
     schema = T.StructType(
         [
@@ -112,33 +152,32 @@ def neighbour_partials(
             *[T.StructField(f"n_{c}", types[c]) for c in carry],
         ]
     )
-    arrow = to_arrow_schema(schema)
 
-    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return arrow.empty_table()
-        right = right.sort_by(id_col)
-        base, queries = _matrix(right[vector]), _matrix(left[vector])
-        parts = []
-        for start in range(0, len(left), _TILE):
-            sims = np.round(queries[start : start + _TILE] @ base.T, SIM_DIGITS)
-            rows, cols, values = _best_per_row(sims, m)
-            q, c = left.take(rows + start), right.take(cols)
-            parts.append(
-                pa.Table.from_arrays(
-                    [q[id_col], c[id_col], pa.array(values)]
-                    + [q[x] for x in carry]
-                    + [c[x] for x in carry],
-                    names=arrow.names,
-                )
-            )
-        return pa.concat_tables(parts).cast(arrow)
-
-    return (
-        queries.groupBy("qblock", "cblock")
-        .cogroup(candidates.groupBy("qblock", "cblock"))
-        .applyInArrow(kernel, schema)
-    )
+    class Nearest:
+        def __init__(self, queries: pa.Table) -> None:
+            self.queries, self.vectors = queries, _matrix(queries[vector])
+            self.best = None
+
+        def add(self, candidates: pa.Table) -> None:
+            candidates = candidates.sort_by(id_col)
+            base = _matrix(candidates[vector])
+            slim = candidates.select([id_col, *(c for c in carry if c != id_col)])
+            found = [] if self.best is None else [self.best]
+            for start in range(0, len(self.vectors), _TILE):
+                sims = np.round(self.vectors[start : start + _TILE] @ base.T, SIM_DIGITS)
+                rows, cols, values = _best_per_row(sims, m)
+                found.append(slim.take(cols).append_column("__row", pa.array(rows + start)).append_column("__sim", pa.array(values)))
+            every = pa.concat_tables(found)
+            every = every.take(pc.sort_indices(every, [("__row", "ascending"), ("__sim", "descending"), (id_col, "ascending")]))
+            row = every["__row"].to_numpy()
+            self.best = every.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < m))
+
+        def result(self) -> pa.Table:
+            q = self.queries.take(self.best["__row"])
+            columns = [q[id_col], self.best[id_col], self.best["__sim"], *(q[c] for c in carry), *(self.best[c] for c in carry)]
+            return pa.Table.from_arrays(columns, names=schema.names)
+
+    return _fold_blocks(slim, id_col, list(cells), block_rows, schema, Nearest)
 
 
 def _nearest_first(keys: Sequence[str]) -> Window:
@@ -192,7 +231,6 @@ def cluster_distance_sums(
     """Euclidean distance sum and row count from each row to each cluster:
     (id, own, other, distance, n), self excluded from the count."""
     slim = df.select(id_col, vector, cluster)
-    queries, candidates = _blocked(slim, id_col, [], block_rows)
     types = {f.name: f.dataType for f in slim.schema.fields}
     schema = T.StructType(
         [
@@ -203,51 +241,52 @@ def cluster_distance_sums(
             T.StructField("n", T.LongType()),
         ]
     )
-    arrow = to_arrow_schema(schema)
 
-    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return arrow.empty_table()
-        base, queries = _matrix(right[vector], normalize), _matrix(left[vector], normalize)
-        base_sq = (base * base).sum(axis=1)
-        coded = right[cluster].combine_chunks().dictionary_encode()
-        clusters = coded.dictionary
-        member = np.eye(len(clusters))[coded.indices.to_numpy(zero_copy_only=False)]
-        itself = pc.index_in(left[id_col].combine_chunks(), right[id_col].combine_chunks())
-        at = itself.fill_null(-1).to_numpy(zero_copy_only=False)
-        sums = np.empty((len(left), len(clusters)))
-        counts = np.tile(member.sum(axis=0), (len(left), 1))
-        for start in range(0, len(left), _TILE):
-            x = queries[start : start + _TILE]
-            squared = (x * x).sum(axis=1)[:, None] + base_sq[None, :] - 2.0 * (x @ base.T)
-            distance = np.sqrt(np.maximum(squared, 0.0))
-            own = at[start : start + _TILE]
-            hit = np.nonzero(own >= 0)[0]
-            distance[hit, own[hit]] = 0.0
-            sums[start : start + _TILE] = distance @ member
-        hit = np.nonzero(at >= 0)[0]
-        counts[hit] -= member[at[hit]]
-        repeat = np.repeat(np.arange(len(left)), len(clusters))
-        which = np.tile(np.arange(len(clusters)), len(left))
-        return pa.Table.from_arrays(
-            [
-                left[id_col].take(repeat),
-                left[cluster].take(repeat),
-                clusters.take(which),
-                pa.array(sums.ravel()),
-                pa.array(np.rint(counts.ravel()).astype(np.int64)),
-            ],
-            names=arrow.names,
-        ).cast(arrow)
-
-    partial = (
-        queries.groupBy("qblock", "cblock")
-        .cogroup(candidates.groupBy("qblock", "cblock"))
-        .applyInArrow(kernel, schema)
-    )
-    return partial.groupBy(id_col, "own", "other").agg(
-        F.sum("distance").alias("distance"), F.sum("n").alias("n")
-    )
+    class Sums:
+        """Distance sums of a query block to the clusters seen so far."""
+
+        def __init__(self, queries: pa.Table) -> None:
+            self.queries, self.vectors = queries, _matrix(queries[vector], normalize)
+            self.squares = (self.vectors * self.vectors).sum(axis=1)
+            self.sums: dict = {}
+
+        def add(self, candidates: pa.Table) -> None:
+            base = _matrix(candidates[vector], normalize)
+            base_sq = (base * base).sum(axis=1)
+            coded = candidates[cluster].combine_chunks().dictionary_encode()
+            member = np.eye(len(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+            itself = pc.index_in(self.queries[id_col].combine_chunks(), candidates[id_col].combine_chunks())
+            at = itself.fill_null(-1).to_numpy(zero_copy_only=False)
+            sums, counts = np.empty((len(at), member.shape[1])), np.tile(member.sum(axis=0), (len(at), 1))
+            for start in range(0, len(at), _TILE):
+                tile = slice(start, start + _TILE)
+                squared = self.squares[tile, None] + base_sq[None, :] - 2.0 * (self.vectors[tile] @ base.T)
+                distance = np.sqrt(np.maximum(squared, 0.0))
+                hit = np.flatnonzero(at[tile] >= 0)
+                distance[hit, at[tile][hit]] = 0.0
+                sums[tile] = distance @ member
+            hit = np.flatnonzero(at >= 0)
+            counts[hit] -= member[at[hit]]
+            for k, name in enumerate(coded.dictionary.to_pylist()):
+                before = self.sums.get(name, (0.0, 0.0))
+                self.sums[name] = (before[0] + sums[:, k], before[1] + counts[:, k])
+
+        def result(self) -> pa.Table:
+            names = pa.array(list(self.sums), self.queries[cluster].type)
+            distance, count = (np.stack([v[k] for v in self.sums.values()]) for k in (0, 1))
+            rows = np.tile(np.arange(len(self.vectors)), len(names))
+            return pa.Table.from_arrays(
+                [
+                    self.queries[id_col].take(rows),
+                    self.queries[cluster].take(rows),
+                    names.take(np.repeat(np.arange(len(names)), len(self.vectors))),
+                    pa.array(distance.ravel()),
+                    pa.array(np.rint(count.ravel()).astype(np.int64)),
+                ],
+                names=schema.names,
+            )
+
+    return _fold_blocks(slim, id_col, [], block_rows, schema, Sums)
 
 
 def silhouette(df: DataFrame, cluster: str, **layout) -> DataFrame:
