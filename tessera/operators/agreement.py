@@ -29,23 +29,25 @@ def contingency(df: DataFrame, label: str = "label", center: str = "medical_cent
 
 
 def cramers_v(cells: DataFrame, label: str, center: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Cramer's V per key from its non-zero cells (columns label, center, n).
+    """Cramer's V per key from counts (columns label, center, n).
 
-    Chi-square is ``N * (sum(n^2 / (row * col)) - 1)``, which empty cells do not
-    enter. No rows at all give 0.
+    The table is the given labels times the given centres: those that only have zero
+    counts enlarge it, and pairs that are not listed count 0. Chi-square sums
+    ``(n - e)^2 / e`` over the listed pairs and ``e`` over the others, whose sum is the
+    total less the listed expectations. No rows at all give 0.
     """
-    rows = F.sum("n").over(Window.partitionBy(*keys, label))
-    cols = F.sum("n").over(Window.partitionBy(*keys, center))
-    shares = cells.where("n > 0").withColumn(
-        "__share", F.col("n") * F.col("n") / (rows * cols).cast("double")
-    )
-    degrees = F.greatest(
-        F.least(F.countDistinct(label), F.countDistinct(center)) - 1, F.lit(1)
-    )
-    chi2_per_n = F.greatest(F.sum("__share") - 1.0, F.lit(0.0))
-    return shares.groupBy(*keys).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sqrt(chi2_per_n / degrees), F.lit(0.0)).alias("cramers_v"),
+    row, col, whole = (F.sum("n").over(Window.partitionBy(*keys, *by)) for by in ((label,), (center,), ()))
+    expected = F.when(F.col("__all") > 0, F.col("__row") * F.col("__col") / F.col("__all").cast("double")).otherwise(0.0)
+    listed = (
+        cells.groupBy(*keys, label, center).agg(F.sum("n").alias("n"))
+        .withColumns({"__row": row, "__col": col, "__all": whole}).withColumn("__e", expected)
+    )
+    apart = F.sum(F.when(F.col("__e") > 0, (F.col("n") - F.col("__e")) * (F.col("n") - F.col("__e")) / F.col("__e")).otherwise(0.0))
+    unlisted = F.greatest(F.sum("n") - F.sum("__e"), F.lit(0.0))
+    degrees = F.greatest(F.least(F.countDistinct(label), F.countDistinct(center)) - 1, F.lit(1))
+    chi2_per_n = F.when(F.sum("n") > 0, (apart + unlisted) / F.sum("n")).otherwise(0.0)
+    return listed.groupBy(*keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sqrt(chi2_per_n / degrees), F.lit(0.0)).alias("cramers_v")
     )
 
 

@@ -12,22 +12,21 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ranking import _join_on
 
-# Correlation levels of the tabulated 2 x 2 designs, the count on
-# their diagonal and off it (rows: sorted labels, columns: sorted centres), and
-# the names of the datasets they were published for.
-TABULATED_LEVELS = (0.00, 0.14, 0.29, 0.43, 0.57, 0.71, 0.86, 1.00)
-TABULATED_DIAGONAL = (2100, 1800, 1500, 1200, 900, 600, 300, 0)
-TABULATED_OFF_DIAGONAL = (2100, 2400, 2700, 3000, 3300, 3600, 3900, 4200)
+# The published 2 x 2 tables by correlation level (rows: sorted labels,
+# columns: sorted centres), and the datasets they were published for.
+TABULATED = {
+    0.00: [[2100, 2100], [2100, 2100]],
+    0.14: [[1800, 2400], [2400, 1800]],
+    0.29: [[1500, 2700], [2700, 1500]],
+    0.43: [[1200, 3000], [3000, 1200]],
+    0.57: [[900, 3300], [3300, 900]],
+    0.71: [[600, 3600], [3600, 600]],
+    0.86: [[300, 3900], [3900, 300]],
+    1.00: [[0, 4200], [4200, 0]],
+}
 TABULATED_DATASETS = ("camelyon", "camelyon16", "camelyon17")
 
 
-def tabulated_designs() -> dict[float, list[list[int]]]:
-    return {
-        level: [[d, o], [o, d]]
-        for level, d, o in zip(TABULATED_LEVELS, TABULATED_DIAGONAL, TABULATED_OFF_DIAGONAL)
-    }
-
-
 def nearest_design(designs: dict[float, list[list[int]]], level: float) -> list[list[int]]:
     """Design of a level; a level that is not tabulated takes the nearest one."""
     return designs[min(designs, key=lambda known: abs(known - level))]

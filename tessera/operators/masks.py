@@ -55,7 +55,7 @@ def footprint_masks(
     )
     rest = tokens.withColumn("__rest", token_complement(F.col("union_tokens"), total))
     short = F.size("__rest") < min_keep
-    first_ids = F.sequence(F.lit(0).cast("bigint"), F.lit(max(min_keep, 1) - 1).cast("bigint"))
+    first_ids = F.sequence(F.lit(0).cast("bigint"), F.lit(min(max(min_keep, 1), total) - 1).cast("bigint"))
     masked = (
         rest.withColumn("__enc", F.when(short, first_ids).otherwise(F.col("__rest")))
         .withColumn("leak", short & F.arrays_overlap("__enc", "union_tokens"))
@@ -142,8 +142,8 @@ def _block_size(u: Column, scale, aspect, height: int, width: int) -> Column:
     """Block height and width from one uniform that sets both area and aspect."""
     area = F.floor(F.lit(float(height * width)) * (F.lit(scale[0]) + u * (scale[1] - scale[0])))
     ratio = F.lit(float(aspect[0])) + u * (aspect[1] - aspect[0])
-    h = F.least(F.bround(F.sqrt(area * ratio), 0).cast("bigint"), F.lit(height - 1))
-    w = F.least(F.bround(F.sqrt(area / ratio), 0).cast("bigint"), F.lit(width - 1))
+    h = F.greatest(F.least(F.bround(F.sqrt(area * ratio), 0).cast("bigint"), F.lit(height - 1)), F.lit(0))
+    w = F.greatest(F.least(F.bround(F.sqrt(area / ratio), 0).cast("bigint"), F.lit(width - 1)), F.lit(0))
     return F.struct(h.alias("h"), w.alias("w"))
 
 
@@ -193,14 +193,15 @@ def multiblock_masks(
         return F.struct(top.cast("bigint").alias("top"), left.cast("bigint").alias("left"))
 
     def tokens_of(block: Column, size: Column) -> Column:
-        return F.flatten(
+        rows = F.flatten(
             F.transform(
-                F.sequence(block["top"], block["top"] + size["h"] - 1),
+                F.sequence(block["top"], block["top"] + F.greatest(size["h"], F.lit(1)) - 1),
                 lambda y: F.transform(
-                    F.sequence(block["left"], block["left"] + size["w"] - 1), lambda x: y * width + x
+                    F.sequence(block["left"], block["left"] + F.greatest(size["w"], F.lit(1)) - 1), lambda x: y * width + x
                 ),
             )
         )
+        return F.when((size["h"] > 0) & (size["w"] > 0), rows).otherwise(F.array().cast("array<bigint>"))
 
     psize, esize = F.col("pred_size"), F.col("enc_size")
     blocks = F.transform(

@@ -8,9 +8,9 @@ itself is never sorted or ranked - it is joined once, on (shard, row).
 
 from __future__ import annotations
 
-import json
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import hash_hex, hash_partition, hash_unit
@@ -27,18 +27,37 @@ UNIT_BINS = 4096
 ALL_STRATA = "__all__"
 
 
-def parse_weights(value) -> str | dict[str, float]:
-    """'uniform', 'inverse_frequency', a map, or a JSON object string."""
-    if isinstance(value, dict):
-        return {str(k): float(v) for k, v in value.items()}
-    if isinstance(value, str):
-        text = value.strip()
-        if text.startswith("{"):
-            parsed = json.loads(text)
-            return {str(k): float(v) for k, v in parsed.items()}
-        if text.lower() in ("uniform", "inverse_frequency"):
-            return text.lower()
-    raise ValueError("weights must be 'inverse_frequency', 'uniform', or a map")
+#: Weight of a stratum from its number of anchors, by the name of the rule.
+WEIGHT_RULES = {
+    "uniform": lambda anchors: F.lit(1.0),
+    "inverse_frequency": lambda anchors: 1.0 / F.greatest(F.lit(1), anchors).cast("double"),
+}
+
+
+def raw_weight(weights: str | Mapping[str, float]) -> Column:
+    """Unnormalised weight of a row (stratum_id, anchors).
+
+    Given is the name of a rule, a map from stratum to weight, or such a map as a JSON
+    object. A stratum that a map lacks weighs 0; a negative weight and anything else
+    that is given are errors.
+    """
+    if isinstance(weights, str):
+        rule = WEIGHT_RULES.get(weights.strip().lower())
+        if rule is not None:
+            return rule(F.col("anchors"))
+        if not weights.lstrip().startswith("{"):
+            raise ValueError(f"{weights!r} is no rule; there are {sorted(WEIGHT_RULES)}, and maps")
+        table = F.from_json(F.lit(weights), "map<string,double>", {"mode": "FAILFAST"})
+    elif isinstance(weights, Mapping):
+        if min(weights.values(), default=0) < 0:
+            raise ValueError(f"negative weights: {dict(weights)}")
+        table = F.map_from_entries(F.array(*[F.struct(F.lit(str(k)), F.lit(float(v))) for k, v in weights.items()]))
+        table = table if weights else F.create_map().cast("map<string,double>")
+    else:
+        raise ValueError(f"weights are a rule or a map, not {type(weights).__name__}")
+    weight = F.coalesce(F.element_at(table, F.col("stratum_id")), F.lit(0.0))
+    complain = F.raise_error(F.concat(F.lit("negative weight of stratum "), F.col("stratum_id"))).cast("double")
+    return F.when(weight < 0, complain).otherwise(weight)
 
 
 def stratum_weights(counts: DataFrame, weights="inverse_frequency") -> DataFrame:
@@ -47,17 +66,7 @@ def stratum_weights(counts: DataFrame, weights="inverse_frequency") -> DataFrame
     A stratum missing from a map weighs 0; negative weights are an error; if
     nothing has weight, all strata weigh the same.
     """
-    mode = parse_weights(weights)
-    if mode == "uniform":
-        raw = F.lit(1.0)
-    elif mode == "inverse_frequency":
-        raw = 1.0 / F.greatest(F.lit(1), F.col("anchors")).cast("double")
-    else:
-        if any(v < 0 for v in mode.values()):
-            raise ValueError("weights cannot be negative")
-        pairs = [F.lit(x) for item in sorted(mode.items()) for x in item]
-        table = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-        raw = F.coalesce(F.element_at(table, F.col("stratum_id")), F.lit(0.0))
+    raw = raw_weight(weights)
     everything = Window.partitionBy()
     weighted = counts.withColumn("__raw", raw).withColumn("__sum", F.sum("__raw").over(everything))
     share = F.when(F.col("__sum") > 0, F.col("__raw") / F.col("__sum")).otherwise(

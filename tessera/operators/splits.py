@@ -6,8 +6,6 @@ over splits on the driver.
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -16,11 +14,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators.agreement import cramers_v
 from tessera.operators.allocations import (
+    TABULATED,
     TABULATED_DATASETS,
-    TABULATED_LEVELS,
     custom_allocation,
     tabulated_allocation,
-    tabulated_designs,
 )
 from tessera.operators.ranking import salted_join, sample_per_cell
 from tessera.schemas import SPLIT_ROW
@@ -120,11 +117,11 @@ def split_allocation(
     if mode not in ("tabulated", "custom"):
         raise ValueError(f"unknown split mode: {mode!r}")
     if mode == "tabulated" and designs is None:
-        designs = tabulated_designs() if dataset.lower() in TABULATED_DATASETS else None
+        designs = TABULATED if dataset.lower() in TABULATED_DATASETS else None
         if designs is None:
             mode = "custom"
         else:
-            levels = TABULATED_LEVELS
+            levels = tuple(TABULATED)
     elif mode == "tabulated":
         levels = sorted(designs)
     if not levels:
@@ -248,36 +245,35 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     ).select(F.sha2(F.concat_ws("|", "n", "s", "x"), 256).alias("fingerprint"))
 
 
-def cache_key(dataset: str, params: dict, fingerprint: str) -> str:
-    document = json.dumps(
-        {"dataset": dataset, "params": params, "fingerprint": fingerprint},
-        sort_keys=True,
-        separators=(",", ":"),
-    )
-    return hashlib.sha256(document.encode("utf-8")).hexdigest()
+def entry_name(manifest: DataFrame, dataset: str, params: dict) -> DataFrame:
+    """One row (name, document): what a cache entry is called and what it was made from."""
+    given = "\n".join(f"{name} = {params[name]!r}" for name in sorted(params))
+    document = F.concat_ws("\n", F.lit(dataset), F.lit(given), F.col("fingerprint"))
+    return table_fingerprint(manifest).select(F.sha2(document, 256).alias("name"), document.alias("document"))
 
 
 def cached_splits(
-    manifest: DataFrame, dataset: str, cache_root: str, **params
+    manifest: DataFrame, dataset: str, cache_root: str, shared_roots: Sequence[str] = (), **params
 ) -> tuple[DataFrame, bool]:
     """Stored splits of the same content and parameters, or freshly made ones.
 
-    Returns the splits and whether the cache was hit. The parameter document is
-    written last, so an interrupted write is never mistaken for an entry.
+    Looks below ``cache_root``, then below each of ``shared_roots``, which are only
+    read. Returns the splits and whether there was an entry. The document of an entry
+    is written last, so an interrupted write is never mistaken for one.
     """
     spark = manifest.sparkSession
-    fingerprint = table_fingerprint(manifest).first()["fingerprint"]
-    plain = {k: list(v) if isinstance(v, tuple) else v for k, v in params.items()}
-    key = cache_key(dataset, plain, fingerprint)
-    root = f"{cache_root.rstrip('/')}/{key}"
-    stored = json.dumps({"params": plain, "fingerprint": fingerprint}, sort_keys=True)
-    try:
-        hit = spark.read.schema("document string").text(f"{root}/params").first()
-        if hit is not None and hit["document"] == stored:
-            return read_splits(spark, f"{root}/splits"), True
-    except AnalysisException:
-        pass
+    entry = entry_name(manifest, dataset, params)
+    wanted = entry.first()
+    for root in (cache_root, *shared_roots):
+        found = f"{root.rstrip('/')}/{wanted['name']}"
+        try:
+            documents = spark.read.parquet(f"{found}/document")
+        except AnalysisException:
+            continue
+        if not documents.where(F.col("document") == wanted["document"]).isEmpty():
+            return read_splits(spark, f"{found}/splits"), True
+    own = f"{cache_root.rstrip('/')}/{wanted['name']}"
     splits = generate_splits(manifest, dataset, **params)
-    splits.write.mode("overwrite").partitionBy("dataset", "rep", "split_id").parquet(f"{root}/splits")
-    spark.createDataFrame([(stored,)], "document string").write.mode("overwrite").text(f"{root}/params")
-    return read_splits(spark, f"{root}/splits"), False
+    splits.write.mode("overwrite").partitionBy("dataset", "rep", "split_id").parquet(f"{own}/splits")
+    entry.write.mode("overwrite").parquet(f"{own}/document")
+    return read_splits(spark, f"{own}/splits"), False

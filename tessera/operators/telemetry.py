@@ -195,14 +195,12 @@ def running_counters(log: DataFrame, keys: Sequence[str], order: str, counters:
     )
 
 
-def cache_events(visits: DataFrame, keys: Sequence[str], order: str, slide: str, capacity: int) -> DataFrame:
+def cache_events(visits: DataFrame, keys: Sequence[str], order: str, slide: str) -> DataFrame:
     """Hit/miss flag per visit of a reader holding its last slide only.
 
     Larger caches depend on the whole visit history of a worker and belong to the
     reader; their counters enter through the step log.
     """
-    if capacity != 1:
-        raise ValueError("only a capacity of one slide can be derived from the visit order")
     seen = previous_value(
         visits, keys, order, fixed_width_bucket(F.col(order), ORDER_BUCKET), slide, "__before"
     )

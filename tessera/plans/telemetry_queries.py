@@ -158,7 +158,7 @@ def cache_events(spark, sf):
     visits = X.table(spark, sf, "events").select(
         (F.col("user_id") % 10).alias("run"), "event_id", F.col("event_type").alias("slide")
     )
-    return Y.cache_events(visits, ["run"], "event_id", "slide", 1).groupBy("run").agg(
+    return Y.cache_events(visits, ["run"], "event_id", "slide").groupBy("run").agg(
         F.sum("hit").alias("hits"), F.sum("miss").alias("misses"), F.sum("eviction").alias("evictions")
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,13 +33,17 @@ def local_session(app: str = "tessera", cpus: int | str = 8, partitions: int = 8
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder in that setting. Only where it is unset
-    (tests, local runs) is a temporary folder of this machine used.
+    A cluster names a shared folder in that setting. Where it is unset a temporary
+    folder of this machine serves a local master, and goes when Python ends; on any
+    other master it would be a different folder on each executor, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL_SCRATCH:
             _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="spark-"))
+            atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], ignore_errors=True)
         root = _LOCAL_SCRATCH[0]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 

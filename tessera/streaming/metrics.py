@@ -13,10 +13,15 @@ from tessera.operators.telemetry import METRIC_MODES, image_window, throughput_a
 from tessera.sources.logs import METRIC_KEY
 
 
-def step_log_rollup(log: DataFrame, interval: int, anchor_count: int, images_per_step: int) -> DataFrame:
+def step_log_rollup(log: DataFrame, interval: int, anchor_count: int, images_in_step: str | int) -> DataFrame:
     """Throughput per image-count window (update mode). State holds one row of
-    partial aggregates per window."""
-    windowed = log.withColumn("prev_images", F.col("images_seen") - images_per_step).withColumn(
+    partial aggregates per window.
+
+    ``images_in_step`` is the column with the images of a step (the last step of a
+    budget has fewer), or their number where all steps are alike.
+    """
+    images = F.col(images_in_step) if isinstance(images_in_step, str) else F.lit(images_in_step)
+    windowed = log.withColumn("prev_images", F.col("images_seen") - images).withColumn(
         "window_id", image_window(F.col("prev_images"), interval)
     )
     return windowed.groupBy("window_id").agg(*throughput_aggregates(anchor_count))
@@ -39,21 +44,32 @@ STOP_SCHEMA = (
     "run string, metric string, tune_index bigint, value double, best double, evals bigint, "
     "bad_streak bigint, should_stop boolean"
 )
-STOP_STATE = "best double, evals bigint, bad_streak bigint, should_stop boolean"
+STOP_STATE = "last bigint, best double, evals bigint, bad_streak bigint, should_stop boolean"
+
+
+def _in_order(chunks: Iterator[pd.DataFrame], order: str, last: int | None, key: tuple) -> pd.DataFrame:
+    """A key's rows of one micro-batch in order; a row that comes after a later one
+    of an earlier micro-batch is an error, for what was emitted can't be taken back."""
+    rows = pd.concat(list(chunks)).sort_values(order)
+    if last is not None and len(rows) and rows[order].iloc[0] <= last:
+        raise RuntimeError(f"{order} {rows[order].iloc[0]} of {key} arrived after {last}")
+    return rows
 
 
 def early_stop_stream(metrics: DataFrame, patience: int, min_evals: int = 1, modes=None) -> DataFrame:
-    """Stateful early stopping per (run, metric); four numbers of state per key.
+    """Stateful early stopping per (run, metric); five numbers of state per key.
 
-    Rows of a key are taken in ``tune_index`` order within a micro-batch.
+    Rows of a key are taken in ``tune_index`` order within a micro-batch, and
+    micro-batches have to follow that order: a row that arrives late stops the stream
+    instead of giving another result than the same rows in one batch.
     """
     modes = dict(METRIC_MODES if modes is None else modes)
 
     def advance(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, metric = key
         sign = {"max": 1.0, "min": -1.0}[modes[metric]]
-        best, evals, streak, stopped = state.get if state.exists else (None, 0, 0, False)
-        rows = pd.concat(list(chunks)).sort_values("tune_index")
+        last, best, evals, streak, stopped = state.get if state.exists else (None, None, 0, 0, False)
+        rows = _in_order(chunks, "tune_index", last, key)
         out = []
         for index, value in zip(rows["tune_index"], rows["value"]):
             evals += 1
@@ -62,8 +78,9 @@ def early_stop_stream(metrics: DataFrame, patience: int, min_evals: int = 1, mod
             else:
                 streak += 1
                 stopped = stopped or (evals >= min_evals and streak >= patience)
-            out.append((run, metric, int(index), float(value), best, evals, streak, stopped))
-        state.update((best, evals, streak, stopped))
+            last = int(index)
+            out.append((run, metric, last, float(value), best, evals, streak, stopped))
+        state.update((last, best, evals, streak, stopped))
         yield pd.DataFrame(
             out,
             columns=["run", "metric", "tune_index", "value", "best", "evals", "bad_streak", "should_stop"],
@@ -79,25 +96,27 @@ def early_stop_stream(metrics: DataFrame, patience: int, min_evals: int = 1, mod
 
 
 QUEUE_SCHEMA = "run string, seq bigint, tune_index bigint, outcome string, queue_depth bigint, dropped_total bigint"
-QUEUE_STATE = "pending array<bigint>, dropped_total bigint"
+QUEUE_STATE = "last bigint, pending array<bigint>, dropped_total bigint"
 
 
 def bounded_queue_stream(events: DataFrame, max_pending: int, fail_on_backlog: bool = False) -> DataFrame:
     """Bounded queue per run that keeps the newest jobs.
 
     Events are (run, seq, tune_index, kind) with kind 'submit' or 'take', replayed
-    in ``seq`` order. Emits 'kept' and 'dropped' for submissions, 'taken' for takes.
+    in ``seq`` order; one that arrives after a later one stops the stream. Emits 'kept'
+    and 'dropped' for submissions, 'taken' for takes.
     """
     if max_pending <= 0:
         raise ValueError("max_pending must be > 0")
 
     def advance(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (run,) = key
-        pending, dropped_total = state.get if state.exists else ([], 0)
+        last, pending, dropped_total = state.get if state.exists else (None, [], 0)
         pending = list(pending)
-        rows = pd.concat(list(chunks)).sort_values("seq")
+        rows = _in_order(chunks, "seq", last, key)
         out = []
         for seq, index, kind in zip(rows["seq"], rows["tune_index"], rows["kind"]):
+            last = int(seq)
             if kind == "take":
                 if pending:
                     out.append((run, seq, pending.pop(0), "taken", len(pending), dropped_total))
@@ -109,7 +128,7 @@ def bounded_queue_stream(events: DataFrame, max_pending: int, fail_on_backlog: b
                 out.append((run, seq, pending.pop(0), "dropped", len(pending), dropped_total))
             pending.append(int(index))
             out.append((run, seq, int(index), "kept", len(pending), dropped_total))
-        state.update((pending, dropped_total))
+        state.update((last, pending, dropped_total))
         columns = ["run", "seq", "tune_index", "outcome", "queue_depth", "dropped_total"]
         yield pd.DataFrame(out, columns=columns)
 

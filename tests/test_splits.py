@@ -92,7 +92,7 @@ def test_single_slide_cells_never_lose_their_training_rows(spark):
 def test_tabulated_designs_reach_their_levels(spark):
     from tessera.operators.agreement import cramers_v
 
-    for level, table in L.tabulated_designs().items():
+    for level, table in L.TABULATED.items():
         cells = spark.createDataFrame(
             [(str(i), str(j), n) for i, r in enumerate(table) for j, n in enumerate(r)],
             "label string, medical_center string, n bigint",

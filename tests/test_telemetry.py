@@ -60,10 +60,8 @@ def test_pass_budget(spark, anchors, budget, expected):
 
 def test_cache_events(spark):
     visits = spark.createDataFrame([(1, i, s) for i, s in enumerate("aab")], "w bigint, i bigint, s string")
-    row = one(Y.cache_events(visits, ["w"], "i", "s", 1).agg(F.sum("hit"), F.sum("miss"), F.sum("eviction")))
+    row = one(Y.cache_events(visits, ["w"], "i", "s").agg(F.sum("hit"), F.sum("miss"), F.sum("eviction")))
     assert tuple(row) == (1, 2, 1)
-    with pytest.raises(ValueError):
-        Y.cache_events(visits, ["w"], "i", "s", 2)
 
 
 def test_throughput_without_time_is_zero(spark, sf):
