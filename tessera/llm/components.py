@@ -11,26 +11,24 @@ from tessera.session import materialize
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in ``links`` (columns a, b: longs); label is the smallest node.
 
-    Alternating large-star and small-star: each round ties a node's larger neighbours,
-    then its smaller ones, to the smallest of them, until nothing moves. Minima are
-    taken before the shuffle, and the joins can be split where a node has many links.
+    Every node starts with the smallest of itself and its neighbours. In each round all
+    nodes of a label move together to the smallest label that any of them has for a
+    neighbour, and then to that label's own label, until none moves. Minima are taken
+    before the shuffle, and the joins are between written tables, so that Spark can
+    split them where a node or label has many rows, or broadcast a small side.
     """
-    edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct()
-    edges = materialize(edges, "links")
-    state = None
+    one_way = links.select("a", "b").where("a <> b")
+    edges = materialize(one_way.union(one_way.select("b", "a")).toDF("node", "other"), "links")
+    labels = edges.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label"))
+    labels = materialize(labels, "labels")
     while True:
-        both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
-        least = materialize(least, "least-neighbours")  # so that the join can be split at a node with many links
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        large = materialize(large, "large-star")
-        least = materialize(large.groupBy("v").agg(F.min("u").alias("m")), "least-neighbours")
-        small = large.join(least, "v")
-        small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).where("u <> v").distinct()
-        edges = materialize(small, "small-star")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == state:
-            break
-        state = now
-    # Stars: every node but the centre has one smaller neighbour, its centre.
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
+        theirs = labels.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
+        own = labels.select("node", "label")
+        near = edges.join(theirs, "other").join(own, "node").groupBy("label").agg(F.min("theirs").alias("target"))
+        moves = materialize(near.where("target < label"), "moves")
+        if moves.isEmpty():
+            return labels
+        # A target may move itself in this round, always to a smaller label.
+        onward = moves.select(F.col("label").alias("target"), F.col("target").alias("onward"))
+        jumped = moves.join(onward, "target", "left").select("label", F.coalesce("onward", "target").alias("target"))
+        labels = materialize(own.join(jumped, "label", "left").select("node", F.coalesce("target", "label").alias("label")), "labels")

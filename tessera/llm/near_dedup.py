@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.filters import bit_filter, filter_position, may_hold
 from tessera.llm.shingles import HASHES, MinHasher, WordHashes, overlap, shingle_set, words_of
 from tessera.llm.tasks import arrow_batch, byte_texts, worker_store
 from tessera.session import materialize
@@ -114,7 +115,35 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return materialize(classes.select("node", "signature").mapInArrow(band, "bucket long, node long"), "buckets")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets_of, percent: int, bounds) -> DataFrame:
+def _sets(docs: DataFrame, id_column: str, text_column: str, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the given classes, made anew from their texts.
+
+    A bit filter on the id leaves out most other documents where they are read, so no
+    text is shuffled; the name of the set then decides.
+    """
+    wanted = materialize(classes.select("node", "doc_id", "hi", "lo").join(nodes, "node", "left_semi"), "wanted")
+    packed = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(filter_position(F.col("doc_id")))))
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = worker_store("word_hashes", WordHashes), set()
+        for batch in batches:
+            stay = pa.array(may_hold(packed.value, batch.column(0).to_numpy()))
+            out = []
+            for text in byte_texts(batch.column(1).filter(stay)):
+                own = shingle_set(words_of(text), hashes)
+                name = set_name(own)
+                if name not in seen:
+                    seen.add(name)
+                    out.append((*name, own.tobytes()))
+            hi, lo, shingles = zip(*out, strict=True) if out else ((), (), ())
+            yield arrow_batch({"hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "shingles": pa.array(shingles, pa.binary())})
+
+    source = docs.select(filter_position(F.col(id_column)).alias("place"), F.col(text_column).cast("string").alias("text"))
+    made = source.mapInArrow(shingle, "hi long, lo long, shingles binary")
+    return materialize(made.join(wanted.select("node", "hi", "lo"), ["hi", "lo"]).select("node", "shingles"), "shingle-sets")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, bounds: list[tuple[int, int]]) -> DataFrame:
     """The pairs (a, b) that are linked: pruned by signatures, then compared in full."""
     left = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
     right = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
@@ -127,7 +156,6 @@ def _verify(pairs: DataFrame, classes: DataFrame, sets_of, percent: int, bounds)
             yield arrow_batch({"a": batch.column("a").take(stay), "b": batch.column("b").take(stay)})
 
     likely = materialize(sized.select("a", "b", "s_a", "s_b").mapInArrow(prune, "a long, b long"), "candidates")
-    sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +167,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, sets_of, percent: int, bounds)
     return materialize(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
 
 
-def _across(mixed: DataFrame, classes: DataFrame, sets_of, percent: int, bounds, block: int) -> DataFrame:
+def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, bounds: list[tuple[int, int]], block: int) -> DataFrame:
     """Links between components (bucket, node, label, members) inside buckets that hold several.
 
     A bucket's members are dealt to blocks by a hash of their node; a task gets the
@@ -149,7 +177,6 @@ def _across(mixed: DataFrame, classes: DataFrame, sets_of, percent: int, bounds,
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    sets = sets_of(mixed.select("node").distinct())
     rows = dealt.join(classes.select("node", "n", "signature"), "node").join(sets, "node")
 
     def compare(key, group: pd.DataFrame) -> pd.DataFrame:
@@ -200,32 +227,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     buckets = _buckets(classes)
     first = materialize(buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1"), "shared-buckets")
     crowded = materialize(buckets.join(first, "bucket"), "crowded")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """(node, shingles) of the given classes, made anew from their texts."""
-        wanted = materialize(classes.select("node", F.col("doc_id").alias("wanted"), "hi", "lo").join(nodes, "node", "left_semi"), "wanted")
-        source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-        texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["wanted"])).select("node", "hi", "lo", "text")
-
-        def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = worker_store("word_hashes", WordHashes)
-            for batch in batches:
-                sets = [shingle_set(words_of(t), hashes) for t in byte_texts(batch.column("text"))]
-                right = [set_name(s) == name for s, name in zip(sets, zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist(), strict=True), strict=True)]
-                keep = pa.array(right)
-                yield arrow_batch({"node": batch.column("node").filter(keep), "shingles": pa.array([s.tobytes() for s, r in zip(sets, right, strict=True) if r], pa.binary())})
-
-        made = texts.mapInArrow(shingle, "node long, shingles binary")
-        return materialize(made.dropDuplicates(["node"]), "shingle-sets")
+    sets = _sets(docs, id_column, text_column, classes, crowded.select("node").distinct())
 
     pairs = crowded.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = _verify(pairs, classes, sets_of, percent, bounds)
+    stars = _verify(pairs, classes, sets, percent, bounds)
     labels = components(stars)
     members = crowded.where("members > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), "members")
     members = materialize(members, "labelled")
     several = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     mixed = materialize(members.join(several, "bucket", "left_semi"), "mixed")
-    across = _across(mixed, classes, sets_of, percent, bounds, block)
+    across = _across(mixed, classes, sets, percent, bounds, block)
     final = materialize(components(stars.union(across)), "components")
 
     placed = rows.select("row", "doc_id", "n", "hi", "lo").join(named.select("hi", "lo", "node"), ["hi", "lo"], "left").join(final, "node", "left")
