@@ -8,10 +8,10 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from tessera.llm.sentencepieces import WORD, Pieces, SortedWords, decode, encode
+from tessera.llm.sentencepieces import Pieces, SortedWords, decode, encode
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-UNITS = ["a", "b", "e", "the", "in", "tion", " ", "  ", "   ", "\n", "\t", "é", "▁", "▁▁", "漢", "😀", "1", "00", "...", "!!", "A", "Th", "́", "\x00", " \n ", "ing", "--", "er"]
+UNITS = ["a", "b", "e", "the", "in", "tion", " ", "  ", "   ", "\n", "\t", "é", "▁", "▁▁", "漢", "😀", "1", "00", "...", "!!", "A", "Th", "́", "\x00", " \n ", "ing", "--", "er", "a.b", "(a)", "'s", ".com", "://", "_x", "$\\", "},", "a,"]
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def library():
 
 
 def encoded(pieces, text):
-    words = WORD.findall(pieces.mark(text))
+    words = pieces.words.findall(pieces.mark(text))
     walk = SortedWords(pieces)
     table = {w: walk.ids_of(w) for w in sorted(set(words))}
     return np.frombuffer(b"".join(table[w] for w in words), "<u4").tolist()
