@@ -1,8 +1,8 @@
-"""Linear probes and k-means scores on top of MLlib.
+"""Linear probes on top of MLlib, and scores of joint k-means fits.
 
 MLlib fits one model per call; independent fits are submitted from a small thread
-pool so their jobs overlap on the cluster. What goes through the driver is model
-coefficients and scores, never rows.
+pool so their jobs overlap on the cluster, each reading its own partition of the
+stored rows. What goes through the driver is model coefficients and scores, never rows.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.arrays import dot, l2_normalize, to_doubles, vector_column
-from tessera.operators.agreement import cell_counts, clustering_agreement, mean_std, sorted_codes
-from tessera.operators.neighbours import silhouette
+from tessera.operators import clustering
+from tessera.operators.agreement import cell_counts, mean_std, sorted_codes
+from tessera.operators.clustering import assign_clusters, best_attempts, fit_kmeans
 from tessera.operators.performance_drop import accuracy_by_rho, average_performance_drop
 from tessera.operators.robustness import CELL, infer_pairs, subsample_pairs, subset_by_pair
 from tessera.operators.ranking import salted_join
@@ -80,6 +80,7 @@ def linear_probe(
             "rep", "split_id", "correlation_level", "partition", "feature", F.col("code")
         ),
         "probe",
+        partition_by=("rep", "split_id"),
     )
     train = stored.where("partition = 'train'").withColumn("x", vector_column(F.col("feature")))
 
@@ -114,37 +115,17 @@ def compute_apd(splits: DataFrame, features: DataFrame, **probe) -> tuple[DataFr
     return average_performance_drop(accuracy), accuracy_by_rho(accuracy)
 
 
-def kmeans(
-    df: DataFrame, k: int, restarts: int = 10, seed: int = 0, parallelism: int = 8, feature: str = "feature"
-) -> DataFrame:
+def kmeans(df: DataFrame, k: int, restarts: int = 10, seed: int = 0, feature: str = "feature") -> DataFrame:
     """Rows with ``cluster`` from the restart with the lowest cost."""
-    data = df.withColumn("x", vector_column(to_doubles(F.col(feature))))
-
-    def fit(attempt: int):
-        model = KMeans(k=k, seed=seed + attempt, featuresCol="x", predictionCol="cluster").fit(data)
-        return model.summary.trainingCost, attempt, model
+    rows = materialize(df.withColumn("group_id", F.lit("all")).withColumn("feature", to_doubles(F.col(feature))), "points")
+    best = best_attempts(fit_kmeans(rows, [("all", k, a) for a in range(restarts)], seed))
+    return assign_clusters(rows, list(enumerate(best))).drop("group_id", "fit")
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        best = min(pool.map(fit, range(restarts)), key=lambda r: r[:2])[2]
-    return best.transform(data).drop("x")
 
-
-def best_k_by_silhouette(
-    df: DataFrame, k_min: int = 2, k_max: int = 10, restarts: int = 10, seed: int = 0, parallelism: int = 8
-) -> int:
+def best_k_by_silhouette(df: DataFrame, k_min: int = 2, k_max: int = 10, restarts: int = 10, seed: int = 0) -> int:
     """First k with the highest mean silhouette; partitions into one cluster are skipped."""
-    n = df.count()
-    best, best_score = int(k_min), -1.0
-    for k in range(max(2, k_min), min(k_max, n - 1) + 1):
-        labelled = materialize(
-            kmeans(df, k, restarts, seed, parallelism).select("sample_id", "feature", "cluster"), "clusters"
-        )
-        if labelled.select("cluster").distinct().limit(2).count() < 2:
-            continue
-        score = silhouette(labelled, "cluster", vector="feature", normalize=False).first()["silhouette"]
-        if score > best_score:
-            best, best_score = k, score
-    return best
+    points = df.select("sample_id", F.lit("all").alias("group_id"), to_doubles(F.col("feature")).alias("feature"))
+    return clustering.best_k_by_silhouette(materialize(points, "points"), k_min, k_max, restarts, seed).get("all", int(k_min))
 
 
 def clustering_score(
@@ -157,27 +138,17 @@ def clustering_score(
     seed: int = 0,
     search_restarts: int = 10,
     score_restarts: int = 5,
-    parallelism: int = 8,
 ) -> DataFrame:
     """ARI with the label minus ARI with the centre, averaged over repeats and
-    pairs: (value, std, n)."""
+    pairs: (value, std, n). All pairs are searched and scored together."""
     pairs = subsample_pairs(infer_pairs(cell_counts(df, *CELL), dataset), max_pairs, seed)
-    wanted = pairs.where(F.col("pair_rows") >= MIN_PAIR_ROWS).orderBy("pair_id")
-    ids = [r["pair_id"] for r in wanted.select("pair_id").collect()]  # label/centre combinations
-    if not ids:
+    large = materialize(pairs.where(F.col("pair_rows") >= MIN_PAIR_ROWS), "large-pairs")
+    if large.isEmpty():
         raise RuntimeError(f"{dataset}: no pair is large enough to cluster")
-    unit = df.withColumn("feature", l2_normalize(F.col("embedding"))).drop("embedding")
-    rows = materialize(subset_by_pair(unit, pairs), "pairs")
-    scores = []
-    for number, pair_id in enumerate(ids):
-        subset = rows.where(F.col("pair_id") == pair_id)
-        k = best_k_by_silhouette(subset, max(2, k_min), k_max, search_restarts, seed + number, parallelism)
-        for repeat in range(repeats):
-            labelled = kmeans(subset, k, score_restarts, seed + repeat + number * 1000, parallelism)
-            value = clustering_agreement(labelled, "cluster").first()["score"]
-            scores.append((pair_id, k, repeat, float(value)))
-    frame = df.sparkSession.createDataFrame(scores, "pair_id string, k bigint, repeat bigint, score double")
-    return mean_std(frame.groupBy("pair_id").agg(F.avg("score").alias("score")), "score")
+    unit = df.withColumn("feature", to_doubles(l2_normalize(F.col("embedding")))).drop("embedding")
+    rows = materialize(subset_by_pair(unit, large).withColumnRenamed("pair_id", "group_id"), "pairs")
+    ks = clustering.best_k_by_silhouette(rows, k_min, k_max, search_restarts, seed)
+    return mean_std(clustering.agreement_of_clusters(rows, ks, repeats, score_restarts, seed), "value")
 
 
 def embed(

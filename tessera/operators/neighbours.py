@@ -68,8 +68,10 @@ def _fold_blocks(
     block_rows: int,
     schema: T.StructType,
     begin: Callable[[pa.Table], _Fold],
+    own_cell: bool = False,
 ) -> DataFrame:
-    """Result of ``begin(query block)`` after it has seen all candidates of a cell.
+    """Result of ``begin(query block)`` after it has seen all candidates of a cell;
+    of its own cell only if ``own_cell``.
 
     A task streams the candidates of a cell past one block of queries at a time. What
     it holds is the block, its running result and one batch, and only the final result
@@ -89,8 +91,9 @@ def _fold_blocks(
     def upto(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    queries = df.select(own.alias("__block"), upto(n_cells).alias(CELL_NUMBER), F.lit(0).alias("__kind"), *columns)
     placed = _join_on(df, numbered.drop("__n"), cells) if cells else df.withColumn(CELL_NUMBER, F.lit(0))
+    meets = F.col(CELL_NUMBER) if own_cell else upto(n_cells)
+    queries = (placed if own_cell else df).select(own.alias("__block"), meets.alias(CELL_NUMBER), F.lit(0).alias("__kind"), *columns)
     candidates = placed.select(upto(blocks).alias("__block"), CELL_NUMBER, F.lit(1).alias("__kind"), *columns)
     key = ["__block", CELL_NUMBER]
     dealt = queries.unionByName(candidates).repartition(min(blocks * n_cells, 32 * tasks), *key)
@@ -227,13 +230,16 @@ def cluster_distance_sums(
     vector: str = "embedding",
     normalize: bool = True,
     block_rows: int = BLOCK_ROWS,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Euclidean distance sum and row count from each row to each cluster:
-    (id, own, other, distance, n), self excluded from the count."""
-    slim = df.select(id_col, vector, cluster)
+    (*keys, id, own, other, distance, n), self excluded from the count. Rows meet
+    within their keys only."""
+    slim = df.select(*keys, id_col, vector, cluster)
     types = {f.name: f.dataType for f in slim.schema.fields}
     schema = T.StructType(
         [
+            *[T.StructField(k, types[k]) for k in keys],
             T.StructField(id_col, types[id_col]),
             T.StructField("own", types[cluster]),
             T.StructField("other", types[cluster]),
@@ -277,6 +283,7 @@ def cluster_distance_sums(
             rows = np.tile(np.arange(len(self.vectors)), len(names))
             return pa.Table.from_arrays(
                 [
+                    *(self.queries[k].take(rows) for k in keys),
                     self.queries[id_col].take(rows),
                     self.queries[cluster].take(rows),
                     names.take(np.repeat(np.arange(len(names)), len(self.vectors))),
@@ -286,20 +293,20 @@ def cluster_distance_sums(
                 names=schema.names,
             )
 
-    return _fold_blocks(slim, id_col, [], block_rows, schema, Sums)
+    return _fold_blocks(slim, id_col, list(keys), block_rows, schema, Sums, own_cell=True)
 
 
-def silhouette(df: DataFrame, cluster: str, **layout) -> DataFrame:
-    """Mean Euclidean silhouette (1 row); rows alone in their cluster count 0."""
+def silhouette(df: DataFrame, cluster: str, keys: Sequence[str] = (), **layout) -> DataFrame:
+    """Mean Euclidean silhouette per keys (1 row without); rows alone in their cluster count 0."""
     id_col = layout.get("id_col", "sample_id")
-    sums = cluster_distance_sums(df, cluster, **layout)
+    sums = cluster_distance_sums(df, cluster, keys=keys, **layout)
     mean = F.col("distance") / F.col("n")
     own = F.col("own") == F.col("other")
-    per_row = sums.groupBy(id_col).agg(
+    per_row = sums.groupBy(*keys, id_col).agg(
         F.max(F.when(own & (F.col("n") > 0), mean)).alias("a"), F.min(F.when(~own, mean)).alias("b")
     )
     widest = F.greatest("a", "b")
     value = F.when(F.col("a").isNull() | (widest == 0), F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / widest
     )
-    return per_row.agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    return per_row.groupBy(*keys).agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n"))

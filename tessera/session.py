@@ -48,12 +48,12 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df, purpose: str):
+def materialize(df, purpose: str, partition_by: tuple[str, ...] = ()):
     """Write a frame to the shared scratch folder and read it back.
 
     Used where several actions need one expensive result: unlike a cache the
     written table survives the loss of executors.
     """
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
