@@ -131,11 +131,12 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         .select("fingerprint", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("sha"), "group_size")
     )
     groups = materialize(groups, "copies")
-    members = rows.join(groups, ["fingerprint", "sha"])
-    best = F.min(F.struct((-F.col("chars")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "group_size"))
-    chosen = members.groupBy("fingerprint", "sha").agg(best.alias("best")).select(
-        "fingerprint", "sha", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"), F.col("best.group_size").alias("copies")
+    # Folded before the shuffle; written, so that the joins below can be split on a hot group.
+    best = F.min(F.struct((-F.col("chars")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
+    chosen = rows.groupBy("fingerprint", "sha").agg(best.alias("best")).join(groups, ["fingerprint", "sha"]).select(
+        "fingerprint", "sha", F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"), F.col("group_size").alias("copies")
     )
+    chosen = materialize(chosen, "kept-copies")
     grouped = F.col("best_row").isNotNull()
     return rows.join(chosen, ["fingerprint", "sha"], "left").select(
         "doc_id",
