@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.telemetry import early_stop
 from tessera.sources import fixtures as X
-from tessera.streaming.metrics import bounded_queue_stream, early_stop_stream
+from tessera.streaming.events import late_rows, tumbling_windows
+from tessera.streaming.metrics import bounded_queue_stream, early_stop_stream, step_log_rollup
 from tessera.streaming.run import drain
 
 
@@ -44,3 +45,39 @@ def test_queue_can_fail_on_backlog(spark, tmp_path):
         drain(bounded_queue_stream(batches(spark, df, tmp_path, [df]), 2, fail_on_backlog=True), "queue")
     with pytest.raises(ValueError):
         bounded_queue_stream(df, 0)
+
+
+def test_rows_that_arrive_late_stop_the_stream(spark, tmp_path):
+    rows = [("r", "ri", i, v) for i, v in enumerate([0.1, 0.5, 0.4, 0.3])]
+    df = spark.createDataFrame(rows, "run string, metric string, tune_index bigint, value double")
+    parts = [df.where("tune_index >= 2"), df.where("tune_index < 2")]
+    with pytest.raises(Exception, match="arrived after"):
+        drain(early_stop_stream(batches(spark, df, tmp_path / "a", parts), 2), "late")
+    events = spark.createDataFrame([("r", *e) for e in EVENTS], QUEUE)
+    with pytest.raises(Exception, match="arrived after"):
+        drain(bounded_queue_stream(batches(spark, events, tmp_path / "b", [events.where("seq >= 3"), events.where("seq < 3")]), 2), "late")
+
+
+def test_last_step_of_a_budget_has_fewer_images(spark, tmp_path):
+    log = spark.createDataFrame(
+        [(i, 64 * (i + 1) if i < 3 else 200, 64 if i < 3 else 8, 1.0, 10, 10, 5.0, 0.1, 0.1) for i in range(4)],
+        "iteration long, images_seen long, images_processed long, loss double, context_keep_tokens long, target_predict_tokens long, iteration_time_ms double, learning_rate double, weight_decay double",
+    )
+    rolled = step_log_rollup(log, 100, 10, "images_processed").collect()
+    assert sum(r["images"] for r in rolled) == 200
+
+
+def test_late_events_are_left_out_and_counted(spark, tmp_path):
+    rows = [("u", f"2024-01-01 00:{m:02d}:00", 1.0) for m in (0, 1, 30, 31)] + [("u", "2024-01-01 00:02:00", 5.0), ("u", "2024-01-01 00:50:00", 1.0), ("u", "2024-01-01 01:30:00", 1.0)]
+    df = spark.createDataFrame(rows, "user string, t string, value double").select("user", F.to_timestamp("t").alias("ts"), "value")
+    # A batch's rows are late by the watermark that the batch before it started with.
+    parts = [df.where("minute(ts) in (0, 1, 30, 31) and hour(ts) = 0"), df.where("minute(ts) = 50"), df.where("minute(ts) = 2"), df.where("hour(ts) = 1")]
+    stream = tumbling_windows(batches(spark, df, tmp_path / "in", parts), "10 minutes", "5 minutes", ["user"])
+    query = (
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = {r["window_start"].minute: (r["events"], r["total"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (2, 2.0), 30: (2, 2.0), 50: (1, 1.0)}
+    assert late_rows(query) == 1
