@@ -150,6 +150,7 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     lines = materialize(source.mapInArrow(suspect, lines_schema), "suspect_lines")
     suspects = lines.select("row", "doc_id", F.explode("suspects").alias("key"))
     shared_keys = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
+    shared_keys = materialize(shared_keys, "shared-lines")  # a join of two plain shuffles can be split on a hot key
     drops = suspects.join(shared_keys, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("row").agg(F.collect_list("key").alias("keys"))
 
     def rejoin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
