@@ -9,8 +9,8 @@ from tools.check import TABLES, canonical, rows_of
 
 # Queries on training data have tests of their own.
 NAMES = list(catalog.queries())
-# Heavy at any scale (4000 candidates per anchor in SQL, or repeated model fits).
-SLOW = {"target_boxes_relaxed", "target_boxes_aligned", "sampling_plan", "clustering_score", "best_cluster_count"}
+# Heavy at any scale (4000 candidates per anchor in SQL).
+SLOW = {"target_boxes_relaxed", "target_boxes_aligned", "sampling_plan"}
 
 
 @pytest.fixture(scope="module")
