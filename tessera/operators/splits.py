@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import hex_to_long
 from tessera.operators.agreement import cramers_v
 from tessera.operators.allocations import (
     TABULATED,
@@ -236,12 +237,14 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-independent content hash (1 row): row count, sum and xor of row hashes."""
-    row = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.agg(
+    """Content hash (1 row) that no order of rows or columns changes: number of rows, sum
+    and xor of parts of the md5 of each row's named values."""
+    values = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\\N"))) for c in sorted(df.columns)]
+    digits = df.select(F.md5(F.concat_ws("|", *values)).alias("row"))
+    return digits.agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).alias("s"),
-        F.coalesce(F.bit_xor(row), F.lit(0)).alias("x"),
+        F.coalesce(F.sum(hex_to_long(F.substring("row", 1, 15)).cast("decimal(38,0)")), F.lit(0)).alias("s"),
+        F.coalesce(F.bit_xor(hex_to_long(F.substring("row", 16, 15))), F.lit(0)).alias("x"),
     ).select(F.sha2(F.concat_ws("|", "n", "s", "x"), 256).alias("fingerprint"))
 
 

@@ -351,6 +351,15 @@ def parsed_levels(spark, sf):
     )
 
 
-@query("table_fingerprint")
+@query(
+    "table_fingerprint",
+    with_ctes(
+        CTES,
+        "evalm",
+        """, h AS (SELECT md5(concat_ws('|', 'cluster=' || cluster, 'dataset=tiles', 'image_path=/e/' || row_idx || '.png', 'label=' || label, 'medical_center=' || medical_center,
+             'row_idx=' || row_idx, 'sample_id=' || sample_id, 'slide_id=' || slide_id)) AS r FROM evalm)
+           SELECT sha256(count(*) || '|' || sum(('0x' || substr(r, 1, 15))::BIGINT) || '|' || bit_xor(('0x' || substr(r, 16, 15))::BIGINT)) AS fingerprint FROM h""",
+    ),
+)
 def table_fingerprint(spark, sf):
     return S.table_fingerprint(X.eval_manifest(spark, sf))
