@@ -18,7 +18,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 class WordHashes(dict):
     """Word -> 64-bit hash, filled on demand and emptied when it grows too long."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

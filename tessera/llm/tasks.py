@@ -12,15 +12,18 @@ _STORE = "_tessera_worker_store"
 
 
 def worker_store(key: str, make: Callable):
-    """An object kept for as long as the Python worker lives.
+    """An object kept while tasks of a Python worker ask for the same key.
 
     Task functions travel by value, so their module globals are new in every
-    task; a tokenizer or a word cache is worth keeping between them.
+    task; a tokenizer or a word cache is worth keeping between them. Only the last
+    one is kept: workers serve stage after stage, and their memory is bounded.
     """
     store = sys.modules.setdefault(_STORE, types.ModuleType(_STORE))
-    if not hasattr(store, key):
-        setattr(store, key, make())
-    return getattr(store, key)
+    kept = getattr(store, "kept", None)
+    if kept is None or kept[0] != key:
+        store.kept = kept = None
+        store.kept = kept = (key, make())
+    return kept[1]
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

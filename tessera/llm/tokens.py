@@ -37,7 +37,7 @@ def byte_alphabet() -> list[str]:
 class WordIds(dict):
     """Lower-case run without white space -> its ids as little-endian uint32 bytes."""
 
-    LIMIT = 1_500_000
+    LIMIT = 600_000
 
     def __init__(self, path: str) -> None:
         super().__init__()
