@@ -1,10 +1,11 @@
 """Quality classifier from trusted positives and unlabelled text.
 
 Positive-unlabelled learning: the non-negative unbiased risk
-``pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)])`` with logistic loss, where the
-class prior ``pi`` is estimated from the data. No document enters as a negative. Features
-describe the shape of a text in any language; the model is a sum of one step function
-per feature, fitted on samples of bounded size and applied to every whole text.
+``pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)])`` with the sigmoid loss
+``l(z) = 1 / (1 + exp(z))``, which bounds what a single text can add. The class prior
+``pi`` is estimated from the data. No document enters as a negative. Features describe
+the shape of a text in any language; the model is a sum of one step function per
+feature, fitted on samples of bounded size and applied to every whole text.
 """
 
 from __future__ import annotations
@@ -126,16 +127,20 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.01, 0.99))
 
 
-def _adam(gradient, width: int, steps: int, rate: float) -> np.ndarray:
-    w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
+def _adam(gradient, w: np.ndarray, steps: int, rate: float) -> np.ndarray:
+    """Steps that shrink to a twentieth; the mean of the last third of the way."""
+    m, v, mean = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w))
+    last = max(1, steps // 3)
     for t in range(1, steps + 1):
         g = gradient(w)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - rate * 0.05 ** (t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        if t > steps - last:
+            mean += w / last
+    return mean
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 240, rate: float = 0.05, ridge: float = 1e-3) -> tuple[StepModel, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 120, rate: float = 0.05, ridge: float = 1e-3) -> tuple[StepModel, float]:
     """The model of least non-negative risk, and the class prior it was fitted with."""
     edges = [np.unique(np.quantile(unlabelled[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(unlabelled.shape[1])]
     model = StepModel(edges, np.zeros(sum(len(e) + 1 for e in edges)), 0.0)
@@ -147,19 +152,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     def against(w: np.ndarray) -> np.ndarray:  # positives against unlabelled
         return p.gather(-_sigmoid(-(p @ w)) / (2 * len(p))) + u.gather(_sigmoid(u @ w) / (2 * len(u))) + shrink * w
 
+    # The order of positives against unlabelled is convex to learn and a good start; the
+    # border goes where the share of the prior lies above it.
+    w = _adam(against, np.zeros(width), steps, rate)
     if prior is None:
-        w = _adam(against, width, steps // 2, rate)
         prior = estimate_prior(p @ w, u @ w)
+    z = u @ w
+    border = np.quantile(z, 1 - prior)
+    w[-1] -= border
+    w *= 2 / max(np.abs(z - border).mean(), 1e-6)
 
     def risk(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = u.gather(_sigmoid(zu) / len(u)) - prior * p.gather(_sigmoid(zp) / len(p))
-        if negative < 0:  # the estimate went below zero: step back instead of fitting it
-            return -of_negative + shrink * w
-        return prior * p.gather(-_sigmoid(-zp) / len(p)) + of_negative + shrink * w
-
-    w = _adam(risk, width, steps, rate)
+        """Gradient of the non-negative risk; its slope at a score is the same for both signs."""
+        at_p, at_u = _sigmoid(p @ w), _sigmoid(u @ w)
+        slope_p, slope_u = at_p * (1 - at_p) / len(p), at_u * (1 - at_u) / len(u)
+        of_positive = -prior * p.gather(slope_p) + shrink * w
+        if at_u.mean() < prior * at_p.mean():  # an estimate below zero counts as zero: nothing is left to fit there
+            return of_positive
+        return of_positive + u.gather(slope_u) - prior * p.gather(slope_p)
+
+    w = _adam(risk, w, steps, rate)
     model.weights, model.bias = w[:-1], float(w[-1])
     return model, prior
 
@@ -170,8 +182,9 @@ def held_out_rows(doc_id: Column) -> Column:
 
 
 def _sample(rows: DataFrame, n: int) -> np.ndarray:
-    """Features of the n rows with the smallest hashes of their features."""
-    chosen = rows.select("features", F.xxhash64("features").alias("h")).orderBy("h").limit(n).collect()
+    """Features of the n rows with the smallest hashes (of ids too, so that copies are
+    drawn apart)."""
+    chosen = rows.select("features", F.xxhash64("doc_id", "features").alias("h")).orderBy("h").limit(n).collect()
     return np.array([r["features"] for r in chosen], np.float32).reshape(-1, N_FEATURES)
 
 
@@ -192,7 +205,7 @@ def learn(rows: DataFrame, labels: DataFrame, prior: float | None = None, max_po
 
     Trusted positives are the rows of ``labels`` (doc_id, quality) with quality 1, at
     most ``max_positives``; unlabelled are all documents, at most ``max_unlabelled``;
-    which ones depends on their content alone. The class prior is the share of quality
+    which ones depends on a hash of the rows alone. The class prior is the share of quality
     1 among all labels, and where those have one value only it is estimated from the
     scores (``fit``).
     """

@@ -62,5 +62,13 @@ def test_risk_stays_non_negative():
     rng = np.random.default_rng(3)
     p, u = rng.normal(1, 1, (30, 4)).astype(np.float32), rng.normal(0, 1, (400, 4)).astype(np.float32)
     model, _ = quality.fit(p, u, prior=0.8)
-    z_p, z_u = model.logits(p), model.logits(u)
-    assert np.logaddexp(0, z_u).mean() - 0.8 * np.logaddexp(0, z_p).mean() > -0.1
+    assert model.score(u).mean() - 0.8 * model.score(p).mean() > -0.1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fit_is_stable(seed):
+    """Other samples of one population give classifiers that keep the good and drop the bad."""
+    rng = np.random.default_rng(seed)
+    good, bad = rng.normal(1.2, 1, (4000, 6)).astype(np.float32), rng.normal(-1.2, 1, (700, 6)).astype(np.float32)
+    model, _ = quality.fit(good[:1500], np.r_[good[1500:], bad], prior=2500 / 3200)
+    assert (model.score(good) >= 0.5).mean() > 0.97 and (model.score(bad) >= 0.5).mean() < 0.15
