@@ -1,13 +1,14 @@
 """Per-document work on distinct strings without shuffling documents or occurrences.
 
 Tasks turn runs of documents ("blocks" of bounded text) into a vocabulary of distinct
-units and, for each document, places in it. Only vocabularies are shuffled: equal units
-of all blocks meet in one task, get their value once, and go back to their blocks as
-one packed table per task and block.
+units and, for each document, places in it. Only vocabularies are shuffled, packed in
+groups of units with equal beginnings: equal units of all blocks meet in one task, in
+sorted order, get their value once, and go back to their blocks as packed tables.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,33 +18,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tasks import arrow_batch, str_texts
-from tessera.session import materialize
+from tessera.session import scratch_dir
 
 #: Characters of a block; a longer text is a block of its own.
-BLOCK_CHARS = 32_000_000
-_PLACE_BITS, _TASK_BLOCK_BITS = 28, 12
-_FLUSH = 1_000_000
+BLOCK_CHARS = 24_000_000
+_TASK_BLOCK_BITS = 12
+#: Units whose first characters are equal are in one group.
+PREFIX = 6
+
+_GROUPS = pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("lengths", pa.binary()), ("size", pa.int64()), ("units", pa.binary()), ("places", pa.binary())]))
+
+
+def _squeeze(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
+
+
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of uint32 numbers, first all lowest ones and so on."""
+    return numbers.view(np.uint8).reshape(-1, 4).T[:width].tobytes()
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """uint32 numbers as compressed byte planes (most high bytes are 0)."""
-    return pa.compress(np.asarray(numbers).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(numbers) else b""
+    """uint32 numbers, compressed: how many bytes each needs (1, 2 or 4), then the bytes
+    of those that need the same number, plane by plane."""
+    numbers = np.asarray(numbers).astype("<u4")
+    if not len(numbers):
+        return b""
+    kind = (numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF)
+    plain = kind.tobytes() + b"".join(_planes(numbers[kind == k], 1 << k) for k in range(3))
+    return len(plain).to_bytes(8, "little") + _squeeze(plain)
 
 
 def unpack(packed: bytes, n: int) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint32)
-    planes = pa.decompress(packed, 4 * n, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel()
+    plain = np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True), np.uint8)
+    kind, at, out = plain[:n], n, np.zeros((n, 4), np.uint8)
+    for k in range(3):
+        own = np.flatnonzero(kind == k)
+        for byte in range(1 << k):
+            out[own, byte] = plain[at : at + len(own)]
+            at += len(own)
+    return out.view("<u4").ravel()
 
 
 def write_blocks(docs: DataFrame, id_column: str, text_column: str, cut: Callable[[], Callable[[str], list[str]]], note: Callable[[list[str], dict[str, int]], tuple[np.ndarray, np.ndarray]], block_chars: int) -> DataFrame:
-    """Written table: block, ids, n_bytes, sizes, first, second, vocabulary; a row per block.
+    """Written table: block, ids, n_bytes, sizes, first, second, groups; a row per block.
 
     ``cut()`` gives the function that cuts a text into units; ``note(units, known)``
     adds new units to the vocabulary and turns a document into two arrays of numbers,
-    ``sizes`` being the lengths of the first.
+    ``sizes`` being the lengths of the first. A group is (part, n, lengths, units, places).
     """
+    parts = 2 * _tasks(docs)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -52,11 +78,24 @@ def write_blocks(docs: DataFrame, id_column: str, text_column: str, cut: Callabl
         known: dict[str, int] = {}
         rows, first, second, sizes, n_bytes, chars = [], [], [], [], [], 0
 
+        def groups() -> list[dict]:
+            units = list(known)
+            order = np.array(sorted(range(len(units)), key=units.__getitem__), np.int64)
+            part = np.array([zlib.crc32(units[k][:PREFIX].encode()) % parts for k in order], np.int64)
+            regrouped = np.argsort(part, kind="stable")
+            order, part = order[regrouped], part[regrouped]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+            out = []
+            for a, b in zip(starts, [*starts[1:], len(part)], strict=False):
+                own = [units[k].encode() for k in order[a:b]]
+                out.append({"part": int(part[a]), "n": len(own), "lengths": pack(np.array([len(u) for u in own])), "size": sum(map(len, own)), "units": _squeeze(b"".join(own)), "places": pack(order[a:b])})
+            return out
+
         def block() -> pa.RecordBatch:
             ids, one = pa.concat_arrays(rows), lambda values: pa.array([values], pa.list_(pa.int64()))
             return arrow_batch({
                 "block": pa.array([number], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "n_bytes": one(n_bytes), "sizes": one(sizes),
-                "first": pa.array([pack(np.concatenate(first))], pa.binary()), "second": pa.array([pack(np.concatenate(second))], pa.binary()), "vocabulary": pa.array([list(known)], pa.list_(pa.string())),
+                "first": pa.array([pack(np.concatenate(first))], pa.binary()), "second": pa.array([pack(np.concatenate(second))], pa.binary()), "groups": pa.array([groups()], _GROUPS),
             })
 
         for batch in batches:
@@ -74,54 +113,61 @@ def write_blocks(docs: DataFrame, id_column: str, text_column: str, cut: Callabl
         if sizes:
             yield block()
 
-    return materialize(source.mapInArrow(gather, f"block long, ids array<{kind}>, n_bytes array<long>, sizes array<long>, first binary, second binary, vocabulary array<string>"), "blocks")
+    schema = f"block long, ids array<{kind}>, n_bytes array<long>, sizes array<long>, first binary, second binary, groups array<struct<part:int,n:int,lengths:binary,size:long,units:binary,places:binary>>"
+    path = scratch_dir(docs.sparkSession, "blocks")
+    source.mapInArrow(gather, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def with_values(blocks: DataFrame, value: Callable[[], Callable[[Iterable[str]], Iterator[bytes]]], in_order: bool = False) -> DataFrame:
-    """Blocks with ``tables``: packed (n, places, lengths, values) of their units.
+
+def with_values(blocks: DataFrame, value: Callable[[], Callable[[list[str]], Iterable[bytes]]]) -> DataFrame:
+    """Blocks with ``tables``: packed (n, places, lengths, n_values, values) of their units.
 
     ``value()`` gives the function from units to values (uint32 numbers as bytes). It
-    sees equal units one after the other if ``in_order``, and then all units of a task
-    in sorted order.
+    gets the units of one part at a time, sorted, so equal units follow each other.
     """
-    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = blocks.select("block", F.posexplode("vocabulary").alias("place", "unit"))
-    units = units.select(F.shiftleft("block", _PLACE_BITS).bitwiseOR(F.col("place")).alias("key"), "unit")
-    dealt = units.repartitionByRange(tasks, "unit").sortWithinPartitions("unit") if in_order else units.repartition(tasks, "unit")
+    packed = blocks.select("block", F.explode("groups").alias("g")).select("block", "g.*")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values_of = value()
-        keys: list[np.ndarray] = []
-        values: list[bytes] = []
+        values_of, now, rows = value(), None, []
 
         def tables() -> Iterator[pa.RecordBatch]:
-            every = np.concatenate(keys)
-            order = np.argsort(every, kind="stable")
-            block = every[order] >> _PLACE_BITS
-            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            out = []
-            for a, b in zip(starts, [*starts[1:], len(order)], strict=False):
-                own = order[a:b]
-                found = [values[k] for k in own.tolist()]
-                places = every[own] & ((1 << _PLACE_BITS) - 1)
-                joined = np.frombuffer(b"".join(found), "<u4")
-                out.append((int(block[a]), len(own), pack(np.diff(places, prepend=0)), pack([len(v) // 4 for v in found]), len(joined), pack(joined)))
-            columns = list(zip(*out, strict=True))
+            units: list[str] = []
+            for r in rows:
+                data, ends = pa.decompress(r["units"], r["size"], "zstd", asbytes=True), np.cumsum(unpack(r["lengths"], r["n"])).tolist()
+                units += [data[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
+            order = sorted(range(len(units)), key=units.__getitem__)
+            found: list[bytes] = [b""] * len(units)
+            for k, v in zip(order, values_of([units[k] for k in order]), strict=True):
+                found[k] = v
+            out, at = [], 0
+            for r in rows:
+                own, at = found[at : at + r["n"]], at + r["n"]
+                places = unpack(r["places"], r["n"]).astype(np.int64)
+                by_place = np.argsort(places)
+                own = [own[k] for k in by_place.tolist()]
+                joined = np.frombuffer(b"".join(own), "<u4")
+                out.append((r["block"], r["n"], pack(np.diff(places[by_place], prepend=0)), pack(np.array([len(v) // 4 for v in own])), len(joined), pack(joined)))
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
-            yield arrow_batch({n: pa.array(c, k) for n, c, k in zip(("block", "n", "places", "lengths", "n_values", "values"), columns, kinds, strict=True)})
+            yield arrow_batch({n: pa.array(c, k) for n, c, k in zip(("block", "n", "places", "lengths", "n_values", "values"), zip(*out, strict=True), kinds, strict=True)})
 
         for batch in batches:
-            keys.append(batch.column("key").to_numpy())
-            values += values_of(batch.column("unit").to_pylist())
-            if len(values) >= _FLUSH:
-                yield from tables()
-                keys, values = [], []
-        if values:
+            for r in batch.to_pylist():
+                if r["part"] != now and rows:
+                    yield from tables()
+                    rows = []
+                now = r["part"]
+                rows.append(r)
+        if rows:
             yield from tables()
 
+    dealt = packed.repartition(_tasks(blocks), "part").sortWithinPartitions("part")
     found = dealt.mapInArrow(resolve, "block long, n int, places binary, lengths binary, n_values int, values binary")
     gathered = found.groupBy("block").agg(F.collect_list(F.struct("n", "places", "lengths", "n_values", "values")).alias("tables"))
-    return blocks.drop("vocabulary").join(gathered, "block", "left")
+    return blocks.drop("groups").join(gathered, "block", "left")
 
 
 def read_tables(tables: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:

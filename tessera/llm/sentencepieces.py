@@ -18,6 +18,7 @@ the corpus are never shuffled, only vocabularies are.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,7 +31,6 @@ from tessera.llm.blocks import BLOCK_CHARS, read_tables, unpack, with_values, wr
 from tessera.llm.tasks import arrow_batch, worker_store
 
 MARK = "▁"
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 # Piece types and the penalty of unknown characters in the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
@@ -39,7 +39,7 @@ UNKNOWN_PENALTY = 10.0
 class Pieces:
     """Pieces of a model, with the forward step of its kind."""
 
-    PAIRS = 1_500_000
+    PAIRS = 400_000
 
     def __init__(self, pieces: Iterable[tuple[str, float, int]], unigram: bool, dummy_prefix: bool = True) -> None:
         self.pieces = list(pieces)
@@ -53,6 +53,12 @@ class Pieces:
         self.bytes = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next((k for k, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
         self.unknown_score = min((s for _, s, kind in self.pieces if kind == NORMAL), default=0.0) - UNKNOWN_PENALTY
+        joined = self.joined()
+        some = "".join(rf"|(?<=[{''.join(map(re.escape, sorted(a)))}]){re.escape(p)}" for p, a in joined.items() if a)
+        on = rf"(?:[^\w{MARK}{''.join(map(re.escape, joined))}]{some})"
+        other = rf"(?:[^\w{MARK}]|_)*"
+        # Marks and other characters, then letters, going on past characters that don't end a word.
+        self.words = re.compile(rf"(?=[\s\S]){MARK}*{other}(?:[^\W_]+(?:{on}{other})?)*")
         self.borders: dict[int, bool] = {}
         self.wholes: dict[str, bool] = {}
 
@@ -68,6 +74,16 @@ class Pieces:
             raise ValueError("only models that leave characters and spaces as they are, with marks before words, are supported")
         return cls(((p.piece, p.score, p.type) for p in model.pieces), model.trainer_spec.model_type == 1, rules.add_dummy_prefix)
 
+    def joined(self) -> dict[str, set[str]]:
+        """Punctuation, and the letters and digits that it follows in some piece. After
+        all others the border before it always stands, so a word can end there."""
+        found: dict[str, set[str]] = {p: set() for p in string.punctuation}
+        for piece in self.ids:
+            for a, b in zip(piece, piece[1:]):
+                if b in found and a.isalnum():
+                    found[b].add(a)
+        return found
+
     def mark(self, text: str) -> str:
         return (MARK if text and self.dummy_prefix else "") + text.replace(" ", MARK)
 
@@ -196,11 +212,10 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
 
     def cut() -> Callable[[str], list[str]]:
         pieces = load()
-        return lambda text: WORD.findall(pieces.mark(text))
+        return lambda text: pieces.words.findall(pieces.mark(text))
 
-    def search() -> Callable[[Iterable[str]], Iterator[bytes]]:
-        walk = SortedWords(load())
-        return lambda words: map(walk.ids_of, words)
+    def search() -> Callable[[list[str]], Iterable[bytes]]:
+        return lambda words: map(SortedWords(load()).ids_of, words)
 
     blocks = write_blocks(docs, id_column, text_column, cut, _sequence, block_chars)
 
@@ -209,14 +224,14 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
             for row in range(batch.num_rows):
                 cell = lambda name, row=row: batch.column(name)[row]
                 ids, sizes = cell("ids").values, cell("sizes").values.to_numpy()
-                places = unpack(cell("first").as_py(), int(sizes.sum())).astype(np.int64) - 1
-                new = places < 0
-                places[new] = np.arange(np.count_nonzero(new))
+                places = unpack(cell("first").as_py(), int(sizes.sum()))  # plus 1; 0 is the next new word
+                new = places == 0
+                places[new] = np.arange(1, np.count_nonzero(new) + 1, dtype=np.uint32)
                 values, ends = read_tables(cell("tables").as_py())
                 lengths, stops = np.diff(ends), np.cumsum(sizes)
-                for first in range(0, len(ids), 512):  # some documents at a time
-                    last = min(first + 512, len(ids))
-                    own = places[stops[first] - sizes[first] : stops[last - 1]]
+                for first in range(0, len(ids), 256):  # some documents at a time
+                    last = min(first + 256, len(ids))
+                    own = places[stops[first] - sizes[first] : stops[last - 1]].astype(np.int64) - 1
                     n = lengths[own]
                     after = np.r_[0, np.cumsum(n)]
                     found = values[np.repeat(ends[own] - after[:-1], n) + np.arange(after[-1])].astype("<u4")
@@ -224,7 +239,7 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
                     crcs = [zlib.crc32(found[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
                     yield arrow_batch({"doc_id": ids[first:last], "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.view(np.int32))), "n_pieces": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    found = with_values(blocks, search, in_order=True)
+    found = with_values(blocks, search)
     return found.select("ids", "sizes", "first", "tables").mapInArrow(assemble, f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long")
 
 
@@ -240,13 +255,22 @@ def decode(encoded: DataFrame, model: str, ids_column: str = "ids", into: str =
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = worker_store(f"pieces:{model}", lambda: Pieces.load(model))
         table = [bytes([p]) if isinstance(p, int) else p for p in pieces.decode_table()]
-        lost = "�".encode()
+        nothing, lost = len(table), len(table) + 1
+        table += [b"", "\ufffd".encode()]
+
+        def texts_of(lists: pa.ListArray) -> Iterator[str]:
+            """Some lists at a time: as Python numbers they are large."""
+            for first in range(0, len(lists), 256):
+                part = lists[first : first + 256]
+                ids = part.flatten().fill_null(nothing).to_numpy().astype(np.int64)
+                ids = np.where((ids >= 0) & (ids <= nothing), ids, lost)
+                ends = np.cumsum(part.value_lengths().fill_null(0).to_numpy())
+                for a, b in zip([0, *ends], ends, strict=False):
+                    text = b"".join([table[i] for i in ids[a:b].tolist()]).decode("utf-8", "replace")
+                    yield text[1:] if pieces.dummy_prefix and text.startswith(" ") else text
+
         for batch in batches:
-            texts = []
-            for ids in batch.column(ids_column).to_pylist():
-                data = b"".join([table[i] if 0 <= i < len(table) else lost for i in ids or () if i is not None])
-                text = data.decode("utf-8", "replace")
-                texts.append(text[1:] if pieces.dummy_prefix and text.startswith(" ") else text)
+            texts = list(texts_of(batch.column(ids_column)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, into])
 
     return encoded.select(*kept, ids_column).mapInArrow(join, schema)

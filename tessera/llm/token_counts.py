@@ -44,15 +44,15 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
     kind = docs.schema[id_column].dataType.simpleString()
     pieces = lambda: worker_store(f"bytes:{tokenizer}", lambda: BytePieces(tokenizer))
 
-    def count() -> Callable[[Iterable[str]], Iterator[bytes]]:
-        model, known = pieces(), {}
+    def count() -> Callable[[list[str]], Iterable[bytes]]:
+        model = pieces()
 
-        def values(pre_tokens: Iterable[str]) -> Iterator[bytes]:
-            """Pieces of each pre-token; equal ones of a task are merged once."""
+        def values(pre_tokens: list[str]) -> Iterator[bytes]:
+            """Pieces of each pre-token; equal ones follow each other and are merged once."""
+            last, n = None, b""
             for p in pre_tokens:
-                n = known.get(p)
-                if n is None:
-                    n = known[p] = model.count(p).to_bytes(4, "little")
+                if p != last:
+                    last, n = p, model.count(p).to_bytes(4, "little")
                 yield n
 
         return values
