@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tessera.llm import exact_dedup, near_dedup, packing, quality
 from tessera.session import materialize
 
+#: Near copies link from this similarity of their sets of five-word shingles; op3 has its own.
+NEAR_PERCENT = 80
+
 
 def _without(docs: DataFrame, found: DataFrame, stays: str) -> DataFrame:
     """Documents but for those that ``found`` drops in favour of the id in ``stays``."""
@@ -35,7 +38,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest id stays."""
-    return _without(docs, near_dedup.near_duplicates(docs), "component_id")
+    return _without(docs, near_dedup.near_duplicates(docs, percent=NEAR_PERCENT), "component_id")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,13 @@ def test_empty_and_odd_tables(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 50
+
+
+def test_near_copies_from_four_fifths(spark, sf):
+    """The stage against all pairs at 0.80, and what follows it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    near = steps["near dedup"](spark, docs, sf)
+    assert set(rows(near)) == {r[0] for r in brute([(r["doc_id"], r["text"]) for r in docs.collect()], percent=80) if r[3]}
+    assert rows(near) == {i: r for i, r in rows(docs).items() if i in rows(near)}
+    assert {r["doc_id"] for r in steps["best-fit packing"](spark, near, sf).collect()} == set(rows(near))
