@@ -33,7 +33,7 @@ TEMPLATES = (
 )
 CUE = r"(?i)licen[sc]e|copyright|spdx|public domain|\bCC[ -]?(BY|0)|redistribution"
 FILE_NAME = r"(?i)^(licen[sc]e|copying|unlicense|notice)([._-].*)?$"
-COMMENT_BLOCK = r"\A((?:[ \t]*(?:#|//|/?\*|--|;|<!--)[^\n]*(?:\n|\z))+)"
+COMMENT_LINE = r"^[ \t]*(?:#|//|/?\*|--|;|<!--)"
 MIN_SIMILARITY = 0.7
 
 
@@ -41,6 +41,12 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\.+"), lambda t: t != "")
 
 
+def _comment_block(lines: Column) -> Column:
+    """The leading comment lines as one text. Java's matcher recurses on a repeated group, so no pattern spans lines."""
+    other = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT_LINE)), F.lit(False)).cast("int")
+    return F.array_join(F.slice(lines, F.lit(1), F.when(other == 0, F.size(lines)).otherwise(other - 1)), "\n")
+
+
 def _weights(statements: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """(key, term, weight) of unit length: tf * idf."""
     counts = statements.select(key, F.explode(_terms(F.col("statement"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -84,7 +90,7 @@ def scan_licenses(files: DataFrame, id_column: str, path: Column, text_column: s
     where = F.coalesce(path.cast("string"), F.lit(""))
     lines = F.split(text, "\n")
     is_file = F.substring_index(where, "/", -1).rlike(FILE_NAME)
-    block = F.regexp_extract(text, COMMENT_BLOCK, 1)
+    block = _comment_block(lines)
     stated = F.array_distinct(F.when(is_file, F.array(text)).otherwise(F.concat(F.filter(lines, lambda x: x.rlike(CUE)), F.filter(F.array(block), lambda x: x != ""))))
     found = materialize(
         files.select(F.col(id_column).alias("doc_id"), where.alias("path"), F.monotonically_increasing_id().alias("row"), is_file.alias("is_file"), F.element_at(lines, 1).alias("opening"), stated.alias("stated"))

@@ -1,5 +1,6 @@
 """License scans: statements, files, inheritance, against a plain computation."""
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -66,3 +67,16 @@ def test_scores(spark, sf):
     got = {r["statement"]: (r["license"], r["similarity"]) for r in licenses.score_statements(rows, templates).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_long_comments(spark):
+    """A comment block has no limit of lines, whatever they start with."""
+    header = "# Licensed under the Apache License, Version 2.0."
+    texts = ["* item\n" * 100_000, "# x\n// y\n-- z\n; w\n/* v\n" * 20_000 + header, header + "\n" + "* item\n" * 100_000, header + "\n//\ncode\n# not in the block", "", "code\n# x", "\t<!-- a\n  * b\n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    blocks = {r["doc_id"]: r["block"] for r in df.select("doc_id", licenses._comment_block(F.split("text", "\n")).alias("block")).collect()}
+    comment = re.compile(r"[ \t]*(?:#|//|/?\*|--|;|<!--)")
+    want = lambda t: "\n".join(itertools.takewhile(comment.match, t.split("\n")))
+    assert blocks == {k: want(t) for k, t in enumerate(texts)}
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(df, "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("/x"))).collect()}
+    assert got == {0: None, 1: "Apache-2.0", 2: "Apache-2.0", 3: "Apache-2.0", 4: None, 5: None, 6: None}
