@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
-columns of ``docs``. Rows that repeat a doc_id are one document: its rows stay or go
-together.
+columns of ``docs``. Every row is a document of its own: rows that repeat a doc_id, or
+have none, stay or go one by one.
 """
 
 from __future__ import annotations
@@ -15,15 +15,22 @@ from pyspark.sql import functions as F
 from tessera.llm import exact_dedup, near_dedup, packing, quality
 from tessera.session import materialize
 
+
 #: Near copies link from this similarity of their sets of five-word shingles; op3 has its own.
 NEAR_PERCENT = 80
+#: Name of the row numbers inside a stage.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents, written with a number for each row."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-def _without(docs: DataFrame, found: DataFrame, stays: str) -> DataFrame:
-    """Documents but for those that ``found`` drops in favour of the id in ``stays``."""
-    dropped = found.where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col(stays))).select(F.col("doc_id").alias("dropped_id"))
-    dropped = materialize(dropped, "dropped")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+def _kept(numbered: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of which ``found`` (row, keep_row) says that they stay."""
+    dropped = materialize(found.where("row <> keep_row").select(F.col("row").alias(ROW)), "dropped")
+    return numbered.join(dropped, ROW, "left_anti").drop(ROW)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +40,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal without white space, one stays."""
-    return _without(docs, exact_dedup.exact_duplicates(docs), "keep_id")
+    numbered = _numbered(docs)
+    return _kept(numbered, exact_dedup.exact_duplicates(numbered, row_column=ROW))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays."""
-    return _without(docs, near_dedup.near_duplicates(docs, percent=NEAR_PERCENT), "component_id")
+    """Of each group of near-duplicates, the row with the smallest id stays (NULL ids last)."""
+    numbered = _numbered(docs)
+    return _kept(numbered, near_dedup.near_duplicates(numbered, percent=NEAR_PERCENT, row_column=ROW))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

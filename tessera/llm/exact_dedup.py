@@ -100,14 +100,15 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), WHITE, "")
 
 
-def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", quotient_bits: int = QUOTIENT_BITS, remainder_bits: int = REMAINDER_BITS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", quotient_bits: int = QUOTIENT_BITS, remainder_bits: int = REMAINDER_BITS, row_column: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical without ASCII white space; NULL is an
     empty text, and empty texts are equal. The row with the longest original text
     stays, then the one with the smallest id (NULL ids last), then one of the rows
     that repeat it: exactly one row of a group is kept. Without documents there are
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. Where ``row_column`` has numbers of the rows,
+    the result also has row and keep_row, the number of the row that stays.
     """
     bits = quotient_bits + remainder_bits
     text = F.col(text_column)
@@ -118,7 +119,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
             F.length(F.coalesce(text.cast("string"), F.lit(""))).cast("long").alias("chars"),
             fingerprint.alias("fingerprint"),
             F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("sha"),
-            F.monotonically_increasing_id().alias("row"),
+            (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("row"),
         ),
         "fingerprints",
     )
@@ -144,4 +145,5 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
         F.when(grouped, F.col("best_row") == F.col("row")).otherwise(True).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *([F.col("row"), F.coalesce("best_row", "row").alias("keep_row")] if row_column else []),
     )

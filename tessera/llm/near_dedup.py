@@ -73,7 +73,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _classes(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _classes(docs: DataFrame, id_column: str, text_column: str, row_column: str | None) -> DataFrame:
     """row, doc_id, n, hi, lo (128 bits that name the shingle set), signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +83,13 @@ def _classes(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             sets = [shingle_set(words_of(t), hashes) for t in byte_texts(batch.column(1))]
             names = [set_name(s) for s in sets]
             yield arrow_batch({
-                "row": pa.array(range(row, row + len(sets)), pa.int64()), "doc_id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "row": batch.column(2) if row_column else pa.array(range(row, row + len(sets)), pa.int64()), "doc_id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "hi": pa.array([n[0] for n in names], pa.int64()), "lo": pa.array([n[1] for n in names], pa.int64()),
                 "signature": pa.array([signer(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             })
             row += len(sets)
 
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"), *([F.col(row_column)] if row_column else []))
     kind = source.schema["doc_id"].dataType.simpleString()
     return materialize(source.mapInArrow(sign, f"row long, doc_id {kind}, n long, hi long, lo long, signature binary"), "signatures")
 
@@ -206,7 +206,7 @@ def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
     return materialize(rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long"), "links-across")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, miss: float = MISS, block: int = BLOCK, row_column: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set is its
@@ -216,10 +216,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     and NULL texts, are alone. A NULL id is larger than any other; a component of NULL
     ids has none and keeps none of them but where it is a single document. Rows that
     repeat an id are documents of their own, and with the smallest id all are kept. No
-    rows give no rows; other columns are ignored.
+    rows give no rows; other columns are ignored. Where ``row_column`` has numbers of
+    the rows, the result also has row and keep_row, the number of the one row of the
+    component that stays: of those with the smallest id the first.
     """
     bounds = least_agreements(percent / 100, miss)
-    rows = _classes(docs, id_column, text_column)
+    rows = _classes(docs, id_column, text_column, row_column)
     named = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     named = materialize(named, "classes")
     classes = materialize(rows.join(named.select("hi", "lo", "node"), ["hi", "lo"]).where("row = node").select("node", "doc_id", "n", "hi", "lo", "signature"), "class-signatures")
@@ -241,8 +243,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     placed = rows.select("row", "doc_id", "n", "hi", "lo").join(named.select("hi", "lo", "node"), ["hi", "lo"], "left").join(final, "node", "left")
     placed = placed.withColumn("group", F.when(F.col("n") > 0, F.coalesce("label", "node")).otherwise(F.col("row")))
-    least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("stays")
+    least = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"), *([stays] if row_column else []))
     least = materialize(least, "least-ids")
     return placed.join(least, "group").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("size") == 1)).alias("kept")
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("size") == 1)).alias("kept"),
+        *([F.col("row"), F.col("stays.row").alias("keep_row")] if row_column else []),
     )

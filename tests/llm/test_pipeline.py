@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import quality
 from tests.llm.test_near_dedup import brute
@@ -55,3 +57,26 @@ def test_near_copies_from_four_fifths(spark, sf):
     assert set(rows(near)) == {r[0] for r in brute([(r["doc_id"], r["text"]) for r in docs.collect()], percent=80) if r[3]}
     assert rows(near) == {i: r for i, r in rows(docs).items() if i in rows(near)}
     assert {r["doc_id"] for r in steps["best-fit packing"](spark, near, sf).collect()} == set(rows(near))
+
+
+def test_rows_stay_one_by_one(spark, sf):
+    """NULL and repeated ids with different texts: a stage drops the copies and nothing else."""
+    long = " ".join(f"w{k}" for k in range(60))
+    near = long.replace("w30", "other")
+    given = [
+        (None, ""), (1, None), (None, "unique without id"), (None, "another without id"), (2, "said twice"), (2, "said twice"), (2, "its own text"), (3, "saidtwice "),
+        (None, long), (None, near), (4, "alone"), (5, long + " end"), (6, "x y z q"), (6, "x y z q"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(given)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    steps = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted([(r["doc_id"], r["text"]) for r in df.collect()], key=str)
+    exact = steps["exact dedup"](spark, docs, sf)
+    assert exact.columns == docs.columns
+    kept = [(1, None), (None, "unique without id"), (None, "another without id"), (2, "its own text"), (2, "said twice"), (None, long), (None, near), (4, "alone"), (5, long + " end"), (6, "x y z q")]
+    assert texts(exact) == sorted(kept, key=str)
+    kept = [x for x in kept if x not in ((None, long), (None, near))]
+    assert texts(steps["near dedup"](spark, exact, sf)) == sorted(kept, key=str)
+    # Without any id one row of a component stays, and so with one id.
+    copies = docs.where(F.col("text").isin(long, near)).withColumn("doc_id", F.lit(None).cast("long"))
+    for ids in (copies, copies.withColumn("doc_id", F.lit(9).cast("long"))):
+        assert steps["near dedup"](spark, ids, sf).count() == 1
