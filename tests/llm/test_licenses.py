@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import textwrap
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -80,3 +81,24 @@ def test_long_comments(spark):
     assert blocks == {k: want(t) for k, t in enumerate(texts)}
     got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(df, "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("/x"))).collect()}
     assert got == {0: None, 1: "Apache-2.0", 2: "Apache-2.0", 3: "Apache-2.0", 4: None, 5: None, 6: None}
+
+
+def test_whole_texts_headers_and_identifiers(spark):
+    """Complete license files with a copyright line of their own, headers of one and several lines, SPDX lines."""
+    texts = {n: t.replace("<year>", "2019").replace("<copyright holders>", "Some Body").replace("<copyright holder>", "Some Body, Inc.") for n, t in licenses.TEXTS.items()}
+    files = [(n, t) for n, t in texts.items()] + [("MIT", texts["MIT"].split("\n", 1)[1]), ("CC-BY-4.0", licenses.WHOLE[-2][1])]
+    block = lambda words, mark, width=70: "".join(f"{mark} {x}\n" for x in textwrap.wrap(words, width)) + "code = 1"
+    heads = [
+        ("MIT", "MIT License"), ("MIT", "Distributed under the terms of the MIT license."), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2"), ("GPL-3.0", "Released under the GPLv3."),
+        ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("CC-BY-NC-SA-4.0", "Licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+        ("MIT", "// SPDX-License-Identifier: MIT"), ("Apache-2.0", "# spdx-license-identifier: apache-2.0"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */"), ("ISC", "# SPDX-License-Identifier: ISC"),
+        ("Apache-2.0", "# SPDX-License-Identifier: (MIT OR Apache-2.0)"), (None, "Distributed under the terms of the ISC license."), (None, "ISC License"), (None, "# SPDX-License-Identifier: NONE"),
+        ("Apache-2.0", block(licenses.NOTICES[0][1], "#")), ("GPL-2.0", block(licenses.NOTICES[1][1], " *")), ("LGPL-3.0", block(licenses.NOTICES[4][1], "//")), ("MPL-2.0", block(licenses.NOTICES[5][1], "--")),
+        ("MIT", block(texts["MIT"], "//")),
+    ]
+    rows = [(k, f"f{k}/LICENSE", t, n) for k, (n, t) in enumerate(files)] + [(100 + k, f"h{k}/x.c", t, n) for k, (n, t) in enumerate(heads)]
+    rows += [(1000 + k, f"f{k}/src/x.c", "code", n) for k, (n, _) in enumerate(files)]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["found_in"]) for r in licenses.scan_licenses(df, "doc_id", F.col("path")).collect()}
+    want = {k: (n, None if n is None else "file" if k < 100 else "statement" if k < 1000 else "inherited") for k, _, _, n in rows}
+    assert {k: (v, got[k], rows[[r[0] for r in rows].index(k)][2][:60]) for k, v in want.items() if got[k] != v} == {}
