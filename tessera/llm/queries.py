@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, inner_products, licenses, line_dedup, near_dedup, packing, quality, sentencepieces, token_counts
+from tessera.llm import byte_bpe, chat, exact_dedup, inner_products, licenses, line_dedup, merkle, near_dedup, packing, periodic_runs, quality, sentencepieces, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +143,96 @@ def encode_and_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     decoded = sentencepieces.decode(sentencepieces.encode(_table(spark, sf_dir, "documents"), model), model)
     return decoded.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+#: Unsigned crc32 of a decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({id}::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"""
+
+
+def _id_crc() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf_sql(text: str) -> str:
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(field.format(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+      SELECT doc_id, coalesce('.' || lang, '') AS tree, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {_CRC.format(id="doc_id")} % 3 = 0 THEN {_leaf_sql(_LOWER.format("text"))} ELSE {_leaf_sql("text")} END AS shown FROM documents
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+    ), low AS (
+      SELECT tree, 0 AS h, pos, leaf AS digest, n FROM placed
+      UNION ALL
+      SELECT tree, h + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 7) // 8 FROM low WHERE n > 1 GROUP BY tree, h, pos // 8
+    ), sub AS (
+      SELECT tree, h, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+    ), high AS (
+      SELECT '^' AS tree, 0 AS h, pos, digest, n FROM sub
+      UNION ALL
+      SELECT tree, h + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 7) // 8 FROM high WHERE n > 1 GROUP BY tree, h, pos // 8
+    ), nodes AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+    links AS (
+      SELECT tree, h, pos, n, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+        coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+      FROM nodes WINDOW run AS (PARTITION BY tree, h, pos // 8 ORDER BY pos)
+    ), climb AS (
+      SELECT doc_id, tree, 0 AS h, pos, shown AS folded, '' AS proof, NULL::VARCHAR AS subroot, false AS done FROM placed
+      UNION ALL
+      SELECT c.doc_id, CASE WHEN l.n > 1 OR l.tree = '^' THEN c.tree ELSE '^' END, CASE WHEN l.n > 1 THEN c.h + 1 ELSE 0 END, CASE WHEN l.n > 1 THEN c.pos // 8 ELSE coalesce(s.pos, 0) END,
+        CASE WHEN l.n > 1 THEN sha256(l.before || c.folded || l.after) ELSE c.folded END, CASE WHEN l.n > 1 THEN c.proof || l.before || l.after ELSE c.proof END,
+        coalesce(c.subroot, s.digest), l.n = 1 AND l.tree = '^'
+      FROM climb c JOIN links l ON c.tree = l.tree AND c.h = l.h AND c.pos = l.pos LEFT JOIN sub s ON l.n = 1 AND l.tree = s.tree WHERE NOT c.done
+    ), top AS (SELECT digest AS root FROM high WHERE n = 1)
+    SELECT c.doc_id, p.leaf, c.subroot, root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = root AS verified
+    FROM climb c JOIN placed p ON c.doc_id = p.doc_id, top WHERE c.done
+    """,
+)
+def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, checked against a table where some texts lost their capitals."""
+    text = F.col("text")
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(_id_crc() % 3 == 0, lowered).otherwise(text)
+    proved = merkle.manifest_rows(_table(spark, sf_dir, "documents"), presented={"text": tampered})
+    digests = [merkle.hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")]
+    return proved.select("doc_id", *digests, F.sha2(merkle.hex_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "verified")
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth (by crc32 of the id) repeats some of its words to its end."""
+    h, words = _id_crc(), F.col("__words")
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    marked = docs.select("doc_id", "text", F.when(h % 10 == 0, split).alias("__words"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+    return marked.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def find_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in all documents, some of which got runs planted."""
+    found = periodic_runs.periodic_runs(planted_runs(_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return best.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_byte_bpe_codec")
+def encode_and_decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the bytes that they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -26,6 +26,28 @@ def worker_store(key: str, make: Callable):
     return kept[1]
 
 
+class RecentValues:
+    """Values of keys asked for lately, in two generations.
+
+    What is asked for moves to the young generation. When that is full it becomes the
+    old one, and what wasn't asked for since then goes: frequent keys always stay.
+    """
+
+    def __init__(self, limit: int = 300_000) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def of(self, keys: set, make: Callable[[set], dict]) -> dict:
+        """A dict that has all of ``keys``; ``make`` gives the values of those that aren't kept."""
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        missing = keys.difference(self.young)
+        if missing:
+            again = missing & self.old.keys()
+            self.young.update((k, self.old[k]) for k in again)
+            self.young.update(make(missing - again))
+        return self.young
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; NULL counts as the empty text."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
