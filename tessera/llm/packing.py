@@ -120,8 +120,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows, pieces, starts, lengths, crcs, nths = [], [], [], [], [], []
-            for row, text in enumerate(str_texts(batch.column(1))):
-                ids = words.encode(text) + last
+            for row, ids in enumerate(words.texts(str_texts(batch.column(1)))):
+                ids += last
                 for piece, at in enumerate(range(0, len(ids), width)):
                     own = ids[at : at + width]
                     size = len(own) // 4
