@@ -22,7 +22,7 @@ from tessera.session import scratch_dir
 
 #: Characters of a block; a longer text is a block of its own.
 BLOCK_CHARS = 24_000_000
-_TASK_BLOCK_BITS = 12
+_TASK_BLOCK_BITS = 32
 #: Units whose first characters are equal are in one group.
 PREFIX = 6
 

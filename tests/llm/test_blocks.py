@@ -15,3 +15,16 @@ def test_round_trip(high):
     edges = np.array([0, 255, 256, 65535, 65536, 2**32 - 1], np.uint32)
     out = unpack(pack(edges), len(edges))
     assert (out == edges).all() and out.flags.writeable
+
+
+def test_many_blocks_in_a_task(spark):
+    """Blocks of different tasks have different numbers, however many a task has."""
+    import public_tokenizers
+
+    from tessera.llm.token_counts import token_counts
+
+    rows = [(k, f"text number {k} of {k % 7}") for k in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    count = lambda chars: sorted((r["doc_id"], r["n_tokens"]) for r in token_counts(docs, path, block_chars=chars).collect())
+    assert count(1) == count(10**6)
