@@ -90,7 +90,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, id_column: str = "v
     non-finite components, and rows without an id, take no part. Shorter vectors
     count as filled up with zeros. Queries that repeat an id with the same vector are
     one query; candidates that repeat are candidates each. With fewer candidates than
-    k all are returned; without queries no rows. Other columns are ignored.
+    k all are returned; without queries no rows. Other columns are ignored. A vector of
+    length 2^31 or more, with which a score might leave 64 bits, is an error.
     """
     spark = vectors.sparkSession
     whole = scale_floor(F.col(vector_column), scale)
@@ -106,6 +107,9 @@ def top_inner_products(vectors: DataFrame, is_query: Column, id_column: str = "v
             blobs = [np.array(v, np.int64).tobytes() for v in batch.column("whole").to_pylist()]
             yield arrow_batch({"id": batch.column("id"), "query": batch.column("query"), "norm": batch.column("norm"), "data": pa.array(blobs, pa.binary())})
 
+    # No score is larger than the product of the two greatest lengths.
+    fits = F.col("norm") < float(2**31)
+    rows = rows.withColumn("norm", F.when(fits, F.col("norm")).otherwise(F.raise_error(F.lit("a vector is too long for scores of 64 bits"))))
     rows = materialize(rows.mapInArrow(pack, "id long, query boolean, norm double, data binary"), "vectors")
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("data")), F.lit(0)).alias("bytes"), F.sum(F.col("query").cast("long")).alias("queries")).first()
     width = max(1, size["bytes"] // 8)

@@ -36,3 +36,9 @@ def test_few_and_none(spark):
     assert got == [(5, 1, 7, 1024 * 512), (5, 2, 8, 1024 * 512)]
     assert top_inner_products(df, F.lit(False)).collect() == []
     assert top_inner_products(df.limit(0), F.lit(True)).collect() == []
+
+
+def test_scores_that_leave_64_bits_are_an_error(spark):
+    far = spark.createDataFrame([(0, [3e6] * 4), (1, [3e6] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too long for scores"):
+        top_inner_products(far, F.col("vec_id") == 0).collect()
