@@ -112,9 +112,9 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     documents loses all its lines except in the largest id that holds it. Result, a
     row per document: doc_id, n_lines, n_dropped, kept_text (NULL where nothing was
     dropped: the text is as it was), kept_sha256. NULL and empty texts are one empty
-    line. Each row counts as a document; rows that repeat the id that keeps a line
-    all keep it. A NULL id is smaller than any other. No rows give no rows; other
-    columns are ignored.
+    line. Rows that repeat an id count as one document, and with the id that keeps a
+    line all keep it; each row with a NULL id counts as a document, and a NULL id is
+    smaller than any other. No rows give no rows; other columns are ignored.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(twice_seen(source.select("text"), bits, min_chars))
@@ -149,7 +149,9 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     lines = materialize(source.mapInArrow(suspect, lines_schema), "suspect_lines")
     suspects = lines.select("row", "doc_id", F.explode("suspects").alias("key"))
-    shared_keys = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
+    # Rows of one id are one document; each row without an id is one of its own.
+    holders = suspects.select("key", "doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("nameless")).distinct()
+    shared_keys = holders.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
     shared_keys = materialize(shared_keys, "shared-lines")  # a join of two plain shuffles can be split on a hot key
     drops = suspects.join(shared_keys, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("row").agg(F.collect_list("key").alias("keys"))
 

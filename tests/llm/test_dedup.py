@@ -41,7 +41,7 @@ def brute_lines(rows, least=20):
     for n, (i, text) in enumerate(rows):
         for line in (text or "").split("\n"):
             if len(key(line)) >= least:
-                held.setdefault(key(line), {})[n] = i
+                held.setdefault(key(line), {})[n if i is None else f"id {i}"] = i
     gone = {k: max((i for i in v.values() if i is not None), default=None) for k, v in held.items() if len(v) >= 3}
     out = []
     for i, text in rows:
@@ -57,6 +57,7 @@ def test_lines(spark, bits):
     rows = [
         (1, f"{a}\n{b}\n{c}"), (2, f" {a.upper()}\t\nother\n{a}"), (3, f"{a}\r\n{c}\n"), (4, b), (5, f"{b}\n\n{b}"), (6, c), (None, a), (7, None), (8, ""), (3, f"{a}\r\n{c}\n"),
         (None, "held by nulls only, thrice"), (None, "held by nulls only, thrice"), (None, "held by nulls only, thrice"),
+        (11, "said by two ids in three rows"), (11, "said by two ids in three rows"), (12, "said by two ids in three rows"), (13, "long\n" * 40000 + f"{a}\nend"),
     ]
     docs = spark.createDataFrame([(i, t, "clash", 7) for i, t in rows], "doc_id long, text string, suspects string, row long")
     got = line_dedup.drop_repeated_lines(docs, bits=bits).collect()
@@ -69,3 +70,21 @@ def test_full_filters_change_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     small, large = (line_dedup.drop_repeated_lines(docs, bits=b).drop("kept_text") for b in (16, 26))
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
+def test_repeated_ids_against_the_sql(spark):
+    """Rows (1, L), (1, L), (2, L): two documents hold L, too few to lose it."""
+    import duckdb
+
+    from tessera.llm import queries
+
+    line = "a line that is long enough"
+    rows = [(1, line), (1, line), (2, line), (3, line + "!"), (4, line + "!"), (4, line + "!"), (5, f"x\n{line}!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_repeated_lines(docs).collect()}
+    by_id = dict(con.execute(f"select doc_id, n_dropped from ({queries.ORACLES['op10_line_dedup']})").fetchall())
+    assert found[1] == by_id[1] == 0 and found[2] == 0
+    assert (found[3], found[4], found[5]) == (1, 1, 0)
