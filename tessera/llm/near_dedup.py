@@ -36,8 +36,8 @@ PERCENT = 85
 BANDS, ROWS = 25, 5  # misses 4e-7 of the pairs at 0.85
 BATCH = 16
 MISS = 1e-6
-#: Members of a block of a bucket: what one task holds of it at a time.
-BLOCK = 1024
+#: Shingles of a block of a bucket: two blocks are what one task holds of it at a time.
+BLOCK = 1 << 22
 
 
 def least_agreements(threshold: float, miss: float, hashes: int = HASHES, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -101,18 +101,18 @@ def set_name(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, node) for each band of each class."""
+    """(bucket, node, n) for each band of each class; n is the size of its set."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
+            nodes, sizes = batch.column("node").to_numpy(), batch.column("n")
             signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(len(nodes), HASHES)
             for b in range(BANDS):
                 own = np.ascontiguousarray(signatures[:, b * ROWS : (b + 1) * ROWS])
                 keys = np.array([xxhash.xxh3_64_intdigest(r, b) for r in own], np.uint64).view(np.int64)
-                yield arrow_batch({"bucket": pa.array(keys), "node": pa.array(nodes)})
+                yield arrow_batch({"bucket": pa.array(keys), "node": pa.array(nodes), "n": sizes})
 
-    return materialize(classes.select("node", "signature").mapInArrow(band, "bucket long, node long"), "buckets")
+    return materialize(classes.select("node", "n", "signature").mapInArrow(band, "bucket long, node long, n long"), "buckets")
 
 
 def _sets(docs: DataFrame, id_column: str, text_column: str, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -168,12 +168,12 @@ def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
 
 
 def _across(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, bounds: list[tuple[int, int]], block: int) -> DataFrame:
-    """Links between components (bucket, node, label, members) inside buckets that hold several.
+    """Links between components (bucket, node, label, shingles) inside buckets that hold several.
 
-    A bucket's members are dealt to blocks by a hash of their node; a task gets the
-    members of one pair of blocks.
+    A bucket's members are dealt to blocks by a hash of their node, as many as its
+    shingles need; a task gets the members of one pair of blocks.
     """
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
+    blocks = F.ceil(F.col("shingles") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set is its
-    distinct 5-word shingles, with fewer words the whole sequence. Documents are linked
+    distinct 5-word shingles (as 64-bit hashes), with fewer words the whole sequence. Documents are linked
     when 100 * intersection >= percent * union. component_id is the smallest id that
     links reach, and kept says whether the document has it. Documents without words,
     and NULL texts, are alone. A NULL id is larger than any other; a component of NULL
@@ -227,14 +227,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = materialize(rows.join(named.select("hi", "lo", "node"), ["hi", "lo"]).where("row = node").select("node", "doc_id", "n", "hi", "lo", "signature"), "class-signatures")
 
     buckets = _buckets(classes)
-    first = materialize(buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1"), "shared-buckets")
-    crowded = materialize(buckets.join(first, "bucket"), "crowded")
+    first = materialize(buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1"), "shared-buckets")
+    crowded = materialize(buckets.drop("n").join(first, "bucket"), "crowded")
     sets = _sets(docs, id_column, text_column, classes, crowded.select("node").distinct())
 
     pairs = crowded.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     stars = _verify(pairs, classes, sets, percent, bounds)
     labels = components(stars)
-    members = crowded.where("members > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), "members")
+    members = crowded.where("members > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), "shingles")
     members = materialize(members, "labelled")
     several = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     mixed = materialize(members.join(several, "bucket", "left_semi"), "mixed")
