@@ -3,9 +3,14 @@
 Positive-unlabelled learning: the non-negative unbiased risk
 ``pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)])`` with the sigmoid loss
 ``l(z) = 1 / (1 + exp(z))``, which bounds what a single text can add. The class prior
-``pi`` is estimated from the data. No document enters as a negative. Features describe
-the shape of a text in any language; the model is a sum of one step function per
-feature, fitted on samples of bounded size and applied to every whole text.
+``pi`` is estimated from the scores of positives and of unlabelled text; labels that say
+bad are not read, and no document enters as a negative. Features describe the shape of
+a text in any language; the model is a sum of one step function per feature.
+
+Trusted positives are a sample of bounded size; the unlabelled are all documents that
+may be learned from. These are dealt to blocks by chance, tasks minimise the risk on
+the positives and their own block, and the mean of the blocks' weights is the model.
+Bin edges, the prior and the border at the prior come from all unlabelled rows.
 """
 
 from __future__ import annotations
@@ -16,16 +21,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tasks import arrow_batch, byte_texts
-from tessera.session import materialize
+from tessera.session import intermediate_tables, materialize
 
-#: Bounds of the samples that the model is fitted on.
-MAX_POSITIVES, MAX_UNLABELLED = 6000, 12000
+#: Bound of the sample of labelled rows, and unlabelled rows of a block.
+MAX_POSITIVES, BLOCK_ROWS = 6000, 12000
 BINS = 12
+#: Cells of the histogram of scores.
+_CELLS = 4096
 _KINDS = 8
 
 
@@ -72,24 +81,34 @@ def shape(text: bytes) -> np.ndarray:
 
 
 class StepModel:
-    """Sum of a step function per feature: bin edges and a weight for each bin."""
+    """Sum of a step function per feature: bin edges and a weight for each bin.
+
+    Plain arrays, so that it travels to executors that don't have this package.
+    """
 
     def __init__(self, edges: list[np.ndarray], weights: np.ndarray, bias: float) -> None:
         self.edges, self.weights, self.bias = edges, weights, bias
 
-    def columns(self, x: np.ndarray) -> np.ndarray:
-        """Place of each feature's bin among the weights (rows x features)."""
-        out, at = np.empty(x.shape, np.int64), 0
-        for k, edges in enumerate(self.edges):
-            out[:, k] = at + np.searchsorted(edges, x[:, k], "right")
-            at += len(edges) + 1
-        return out
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return step_scores((self.edges, self.weights, self.bias), x)
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return self.weights[self.columns(x)].sum(axis=1) + self.bias
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x), -50, 50)))
+def bins_of(edges: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Bin of each feature (rows x features, uint8)."""
+    out = np.empty(x.shape, np.uint8)
+    for k, own in enumerate(edges):
+        out[:, k] = np.searchsorted(own, x[:, k], "right")
+    return out
+
+
+def first_places(edges: list[np.ndarray]) -> np.ndarray:
+    """Place of each feature's first bin among the weights; at the end the number of weights."""
+    return np.r_[0, np.cumsum([len(e) + 1 for e in edges])].astype(np.int64)
+
+
+def step_scores(model: tuple[list[np.ndarray], np.ndarray, float], x: np.ndarray) -> np.ndarray:
+    edges, weights, bias = model
+    return _sigmoid(weights[first_places(edges)[:-1] + bins_of(edges, x)].sum(axis=1) + bias)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -112,17 +131,21 @@ class _Rows:
         return np.bincount(self.columns.ravel(), np.repeat(per_row, self.columns.shape[1]), self.width)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+def prior_cuts(positive: np.ndarray) -> np.ndarray:
+    """Scores of positives at which ``estimate_prior`` looks."""
+    return np.quantile(positive, np.linspace(0.02, 0.98, 97))
+
+
+def estimate_prior(positive: np.ndarray, above_u: np.ndarray, n_unlabelled: int, delta: float = 0.1) -> float:
     """Share of positives among the unlabelled, from scores of positives against unlabelled.
 
-    Where scores are high hardly any negative is left, so the share of unlabelled
-    above a cut over the share of positives above it bounds the prior from above; the
-    cut with the tightest bound, sampling error included, is taken.
+    ``above_u`` is the share of unlabelled rows that reach each of ``prior_cuts``. Where
+    scores are high hardly any negative is left, so the share of unlabelled above a cut
+    over the share of positives above it bounds the prior from above; the cut with the
+    tightest bound, sampling error included, is taken.
     """
-    cuts = np.quantile(positive, np.linspace(0.02, 0.98, 97))
-    above_p = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
-    above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
-    slack = math.sqrt(math.log(4 / delta) / 2) * (1 / math.sqrt(len(positive)) + 1 / math.sqrt(len(unlabelled)))
+    above_p = 1 - np.searchsorted(np.sort(positive), prior_cuts(positive), "left") / len(positive)
+    slack = math.sqrt(math.log(4 / delta) / 2) * (1 / math.sqrt(len(positive)) + 1 / math.sqrt(n_unlabelled))
     best = int(np.argmin((above_u + slack) / np.maximum(above_p, 1e-9)))
     return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.01, 0.99))
 
@@ -140,30 +163,28 @@ def _adam(gradient, w: np.ndarray, steps: int, rate: float) -> np.ndarray:
     return mean
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 120, rate: float = 0.05, ridge: float = 1e-3) -> tuple[StepModel, float]:
-    """The model of least non-negative risk, and the class prior it was fitted with."""
-    edges = [np.unique(np.quantile(unlabelled[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(unlabelled.shape[1])]
-    model = StepModel(edges, np.zeros(sum(len(e) + 1 for e in edges)), 0.0)
-    width = len(model.weights) + 1
-    varying = [k for k, e in enumerate(edges) if len(e)]
-    p, u = (_Rows(model.columns(x)[:, varying], width) for x in (positive, unlabelled))
-    shrink = np.r_[np.full(width - 1, ridge), 0]
+STEPS, RATE, RIDGE = 120, 0.05, 1e-3
+
 
-    def against(w: np.ndarray) -> np.ndarray:  # positives against unlabelled
+def _shrink(width: int) -> np.ndarray:
+    return np.r_[np.full(width - 1, RIDGE), 0]
+
+
+def order_weights(p: _Rows, u: _Rows) -> np.ndarray:
+    """Positives against unlabelled: convex to learn, and a good start for the risk."""
+    shrink = _shrink(p.width)
+
+    def slope(w: np.ndarray) -> np.ndarray:
         return p.gather(-_sigmoid(-(p @ w)) / (2 * len(p))) + u.gather(_sigmoid(u @ w) / (2 * len(u))) + shrink * w
 
-    # The order of positives against unlabelled is convex to learn and a good start; the
-    # border goes where the share of the prior lies above it.
-    w = _adam(against, np.zeros(width), steps, rate)
-    if prior is None:
-        prior = estimate_prior(p @ w, u @ w)
-    z = u @ w
-    border = np.quantile(z, 1 - prior)
-    w[-1] -= border
-    w *= 2 / max(np.abs(z - border).mean(), 1e-6)
+    return _adam(slope, np.zeros(p.width), STEPS, RATE)
+
 
-    def risk(w: np.ndarray) -> np.ndarray:
-        """Gradient of the non-negative risk; its slope at a score is the same for both signs."""
+def risk_weights(p: _Rows, u: _Rows, w: np.ndarray, prior: float) -> np.ndarray:
+    """From w on to the least non-negative risk; its slope at a score is the same for both signs."""
+    shrink = _shrink(p.width)
+
+    def slope(w: np.ndarray) -> np.ndarray:
         at_p, at_u = _sigmoid(p @ w), _sigmoid(u @ w)
         slope_p, slope_u = at_p * (1 - at_p) / len(p), at_u * (1 - at_u) / len(u)
         of_positive = -prior * p.gather(slope_p) + shrink * w
@@ -171,9 +192,41 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
             return of_positive
         return of_positive + u.gather(slope_u) - prior * p.gather(slope_p)
 
-    w = _adam(risk, w, steps, rate)
-    model.weights, model.bias = w[:-1], float(w[-1])
-    return model, prior
+    return _adam(slope, w, STEPS, RATE)
+
+
+def at_border(w: np.ndarray, cells: np.ndarray, counts: np.ndarray, positive: np.ndarray, prior: float | None) -> tuple[np.ndarray, float]:
+    """Weights moved so that the share of the prior lies above zero, with a mean margin of 2.
+
+    ``counts`` are the unlabelled rows from each of ``cells`` (scores, rising) to the next.
+    """
+    total = counts.sum()
+    if prior is None:
+        from_here = np.r_[np.cumsum(counts[::-1])[::-1], 0]
+        above = from_here[np.searchsorted(cells, prior_cuts(positive), "left")]
+        prior = estimate_prior(positive, above / total, int(total))
+    border = cells[min(int(np.searchsorted(np.cumsum(counts), (1 - prior) * total)), len(cells) - 1)]
+    w = w.copy()
+    w[-1] -= border
+    return w * (2 / max(float((np.abs(cells - border) * counts).sum() / total), 1e-6)), prior
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> tuple[StepModel, float]:
+    """The model of least non-negative risk on one block, and the class prior it was fitted with."""
+    edges = [np.unique(np.quantile(unlabelled[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(unlabelled.shape[1])]
+    p, u = (_rows(edges, bins_of(edges, x)) for x in (positive, unlabelled))
+    w = order_weights(p, u)
+    cells, counts = np.unique(u @ w, return_counts=True)
+    w, prior = at_border(w, cells, counts, p @ w, prior)
+    w = risk_weights(p, u, w, prior)
+    return StepModel(edges, w[:-1], float(w[-1])), prior
+
+
+def _rows(edges: list[np.ndarray], bins: np.ndarray) -> _Rows:
+    """Rows of bins as places of their weights, without the features that have one bin only."""
+    first = first_places(edges)
+    varying = [k for k, e in enumerate(edges) if len(e)]
+    return _Rows((first[:-1] + bins)[:, varying], int(first[-1]) + 1)
 
 
 def held_out_rows(doc_id: Column) -> Column:
@@ -189,39 +242,98 @@ def _sample(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id and the features of each whole text, written out."""
+    """row, doc_id and the features of each whole text, written out."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+            yield arrow_batch({"row": rows, "doc_id": batch.column(0), "features": pa.array([shape(t) for t in byte_texts(batch.column(1))], pa.list_(pa.float32()))})
+            row += batch.num_rows
+
+    return materialize(source.mapInArrow(describe, f"row long, doc_id {kind}, features array<float>"), "features")
+
+
+def _edges(rows: DataFrame) -> list[np.ndarray]:
+    """Bin edges of each feature: approximate quantiles of all rows, folded in the tasks."""
+    shares = np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    found = rows.agg(*[F.percentile_approx(F.col("features")[k], shares, 2000).alias(f"f{k}") for k in range(N_FEATURES)]).first()
+    return [np.unique(np.array(found[k] or [], np.float32)) for k in range(N_FEATURES)]
+
+
+def _mean_of_blocks(binned: DataFrame, blocks: int, work) -> np.ndarray:
+    """Weights that ``work(bins)`` gives on each block of rows, averaged by the blocks' rows."""
+
+    def on_block(key, group: pd.DataFrame) -> pd.DataFrame:
+        bins = np.frombuffer(b"".join(group["bins"]), np.uint8).reshape(-1, N_FEATURES)
+        w = work(bins)
+        return pd.DataFrame({"place": np.arange(len(w)), "w": w * len(bins), "n": len(bins)})
+
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")
+    sums = binned.groupBy(block).applyInPandas(on_block, "place int, w double, n long").groupBy("place").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    return np.array([r["w"] / r["n"] for r in sorted(sums.collect())])  # a row per weight
+
+
+def _score_counts(binned: DataFrame, first: np.ndarray, w: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by score: cells, among them ``cuts``, and the rows from each to the next."""
+    ends = [np.array([f(w[a:b]) for a, b in zip(first, first[1:], strict=False)]).sum() + w[-1] for f in (np.min, np.max)]
+    cells = np.unique(np.r_[np.linspace(ends[0] - 1e-6, ends[1], _CELLS), cuts])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(cells), np.int64)
         for batch in batches:
-            yield arrow_batch({"doc_id": batch.column(0), "features": pa.array([shape(t) for t in byte_texts(batch.column(1))], pa.list_(pa.float32()))})
+            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, N_FEATURES)
+            z = w[first[:-1] + bins].sum(axis=1) + w[-1]
+            n += np.bincount(np.maximum(np.searchsorted(cells, z, "right") - 1, 0), minlength=len(cells))
+        yield arrow_batch({"cell": pa.array(range(len(cells)), pa.int32()), "n": pa.array(n)})
 
-    return materialize(source.mapInArrow(describe, f"doc_id {kind}, features array<float>"), "features")
+    counts = np.zeros(len(cells), np.int64)
+    for r in binned.select("bins").mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[r["cell"]] = r["n"]
+    return cells, counts
 
 
-def learn(rows: DataFrame, labels: DataFrame, prior: float | None = None, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> StepModel | None:
-    """The model fitted on rows (doc_id, features) that are not held out; None without any.
+def learn(rows: DataFrame, labels: DataFrame, prior: float | None = None, max_positives: int = MAX_POSITIVES, block_rows: int = BLOCK_ROWS) -> StepModel | None:
+    """The model fitted on rows (row, doc_id, features) that are not held out; None without any.
 
     Trusted positives are the rows of ``labels`` (doc_id, quality) with quality 1, at
-    most ``max_positives``; unlabelled are all documents, at most ``max_unlabelled``;
-    which ones depends on a hash of the rows alone. The class prior is the share of quality
-    1 among all labels, and where those have one value only it is estimated from the
-    scores (``fit``).
+    most ``max_positives`` of them, by a hash of the rows; unlabelled are all documents,
+    in blocks of about ``block_rows``. The class prior is estimated from the scores
+    (``estimate_prior``) unless given. Labels of 0 are not read.
     """
     learnable = rows.where(~held_out_rows(F.col("doc_id")))
-    known = labels.where(~held_out_rows(F.col("doc_id")) & F.col("quality").isin(0, 1))
-    trusted = known.where("quality = 1").select(F.col("doc_id").alias("trusted")).distinct()
-    if prior is None:
-        share = known.agg(F.avg("quality").alias("share")).first()["share"]
-        prior = share if share is not None and 0 < share < 1 else None
+    trusted = labels.where(~held_out_rows(F.col("doc_id")) & (F.col("quality") == 1)).select(F.col("doc_id").alias("trusted")).distinct()
     positive = _sample(learnable.join(trusted, F.col("doc_id") == F.col("trusted"), "left_semi"), max_positives)
-    unlabelled = _sample(learnable, max_unlabelled)
-    return fit(positive, unlabelled, prior)[0] if len(positive) and len(unlabelled) else None
+    n = learnable.count()
+    if not len(positive) or not n:
+        return None
+    edges = _edges(learnable)
+    first = first_places(edges)
+
+    def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = bins_of(edges, batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES))
+            yield arrow_batch({"row": batch.column("row"), "bins": pa.array([b.tobytes() for b in bins], pa.binary())})
+
+    binned = materialize(learnable.select("row", "features").mapInArrow(to_bins, "row long, bins binary"), "binned")
+    own, blocks = bins_of(edges, positive), max(1, round(n / block_rows))
+    w = _mean_of_blocks(binned, blocks, lambda bins: order_weights(_rows(edges, own), _rows(edges, bins)))
+    of_positive = w[first[:-1] + own].sum(axis=1) + w[-1]
+    cells, counts = _score_counts(binned, first, w, prior_cuts(of_positive))
+    start, prior = at_border(w, cells, counts, of_positive, prior)
+    w = _mean_of_blocks(binned, blocks, lambda bins: risk_weights(_rows(edges, own), _rows(edges, bins), start, prior))
+    return StepModel(edges, w[:-1], float(w[-1]))
+
+
+def _shared(spark: SparkSession, model: StepModel | None):
+    """Broadcast of the model's arrays (objects of this package would be looked up by name)."""
+    return spark.sparkContext.broadcast((model.edges, model.weights, model.bias) if model else None)
 
 
-def _scores(model: StepModel | None, features: np.ndarray) -> np.ndarray:
-    return model.score(features) if model and len(features) else np.full(len(features), 0.5)
+def _scores(model: tuple | None, features: np.ndarray) -> np.ndarray:
+    return step_scores(model, features) if model and len(features) else np.full(len(features), 0.5)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **learning) -> DataFrame:
@@ -234,20 +346,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     ignored.
     """
     rows = _features(docs, id_column, text_column)
-    shared = docs.sparkSession.sparkContext.broadcast(learn(rows, labels, **learning))
+    shared = _shared(docs.sparkSession, learn(rows, labels, **learning))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = _scores(shared.value, batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES))
             yield arrow_batch({"doc_id": batch.column("doc_id"), "score": pa.array(value), "predicted": pa.array((value >= 0.5).astype(np.int32))})
 
-    scored = rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    scored = rows.select("doc_id", "features").mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
     return scored.select("doc_id", held_out_rows(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **learning) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(_features(docs, id_column, text_column), labels, **learning))
+    with intermediate_tables(docs.sparkSession):
+        shared = _shared(docs.sparkSession, learn(_features(docs, id_column, text_column), labels, **learning))
     at = docs.columns.index(text_column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,3 +72,30 @@ def test_fit_is_stable(seed):
     good, bad = rng.normal(1.2, 1, (4000, 6)).astype(np.float32), rng.normal(-1.2, 1, (700, 6)).astype(np.float32)
     model, _ = quality.fit(good[:1500], np.r_[good[1500:], bad], prior=2500 / 3200)
     assert (model.score(good) >= 0.5).mean() > 0.97 and (model.score(bad) >= 0.5).mean() < 0.15
+
+
+def test_blocks_agree_with_one_block(spark):
+    """Dealt to several blocks the fit gives nearly the same decisions as on all rows at once."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    one, several = ({r["doc_id"]: r["predicted"] for r in quality.score_quality(docs, labels, block_rows=n).collect()} for n in (10**6, 2200))
+    assert np.mean([one[k] == several[k] for k in one]) > 0.97
+
+
+def test_executors_without_the_package(tmp_path):
+    """A session whose workers can't import this package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from tessera.session import local_session
+from tessera.llm.queries import QUERIES
+spark = local_session("bare", 2, 2)
+assert QUERIES["op5_quality_classifier"](spark, "/root/testdata/sf0.001").count() == 200
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
