@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera import session
 from tessera.llm import quality
 from tests.llm.test_near_dedup import brute
 
@@ -94,15 +95,11 @@ def test_columns_with_the_names_used_inside(spark, sf, tmp_path):
             assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in stored.collect()}, name
 
 
-def test_scratch_of_a_stage_goes(spark, sf, tmp_path):
+def test_scratch_of_a_stage_goes(spark, sf, tmp_path, monkeypatch):
     """What a stage leaves in the shared folder is the list of dropped rows, no copies of texts."""
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        docs = spark.read.parquet(f"{sf}/documents.parquet")
-        for name, stage in corpus_pipeline.STAGES[1:3]:
-            kept = stage(spark, docs, sf)
-            assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"dropped"}, name
-            assert kept.count() > 50
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(session, "_LOCAL_SCRATCH", [str(tmp_path)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        kept = stage(spark, docs, sf)
+        assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"dropped"}, name
+        assert kept.count() > 50
