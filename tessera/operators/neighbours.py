@@ -1,10 +1,18 @@
 """Exact cosine neighbours and distance sums over an embedding table.
 
-All-pairs similarity is the definition of these metrics, so the work is
-quadratic; what Spark controls is its shape. Queries are hashed into blocks of
-bounded size, a task streams the candidates past a block, and only the best ``m`` of
-each query and cell - or one distance sum per cluster - leave the task. No row pair is
-ever shuffled, and what is written grows with the rows, not with their square.
+Neighbours: rows are dealt to tiles around pivots. A tile is known by its pivot, its
+size and its radius, and on the sphere these bound every similarity between two tiles
+(triangle inequality). From the bounds alone follows which candidate tiles can hold one
+of the ``m`` nearest rows of a query tile; only their vectors are sent to it, so a tile
+pair that is ruled out costs nothing but the comparison of its bounds. A task streams
+the surviving candidates past its queries, nearest tiles first, and skips what its
+results have outgrown.
+
+Distance sums need every pair. Queries are hashed into blocks of bounded size, and a
+task streams all candidates past a block; each vector is sent once per block.
+
+Only the best ``m`` of each query and cell - or one distance sum per cluster - leave a
+task: what is written grows with the rows, not with their square.
 """
 
 from __future__ import annotations
@@ -21,8 +29,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.operators.ranking import _join_on
+from tessera.session import materialize
 
 BLOCK_ROWS = 16384
+#: Pivots, and rows to choose them from: what the driver collects of the vectors.
+PIVOTS, PIVOT_SAMPLE = 256, 2048
+TILE, BOUND = "__tile", "__bound"
+#: Bounds on similarities are widened by this: rounding of angles and of similarities.
+SLACK = 1e-6
 LEAST_BLOCK = 256
 CELL_NUMBER = "__cell"
 WINDOW_EXTRA = 64  # fixed value: extra candidates looked at beyond k
@@ -159,10 +173,13 @@ def neighbour_partials(
     class Nearest:
         def __init__(self, queries: pa.Table) -> None:
             self.queries, self.vectors = queries, _matrix(queries[vector])
-            self.best = None
+            self.best, self.beat = None, -2.0
 
         def add(self, candidates: pa.Table) -> None:
-            candidates = candidates.sort_by(id_col)
+            near = pc.greater_equal(candidates[BOUND], pa.scalar(self.beat))  # a row below can't be among the best of any query
+            candidates = candidates.filter(near).drop_columns([BOUND]).sort_by(id_col)
+            if not len(candidates):
+                return
             base = _matrix(candidates[vector])
             slim = candidates.select([id_col, *(c for c in carry if c != id_col)])
             found = [] if self.best is None else [self.best]
@@ -174,13 +191,156 @@ def neighbour_partials(
             every = every.take(pc.sort_indices(every, [("__row", "ascending"), ("__sim", "descending"), (id_col, "ascending")]))
             row = every["__row"].to_numpy()
             self.best = every.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < m))
+            last = np.searchsorted(self.best["__row"].to_numpy(), np.arange(len(self.vectors)), "right") - 1
+            if len(self.best) == m * len(self.vectors):
+                self.beat = float(self.best["__sim"].to_numpy()[last].min()) - SLACK
 
         def result(self) -> pa.Table:
             q = self.queries.take(self.best["__row"])
             columns = [q[id_col], self.best[id_col], self.best["__sim"], *(q[c] for c in carry), *(self.best[c] for c in carry)]
             return pa.Table.from_arrays(columns, names=schema.names)
 
-    return _fold_blocks(slim, id_col, list(cells), block_rows, schema, Nearest)
+    return _fold_tiles(slim, m, id_col, vector, list(cells), block_rows, schema, Nearest)
+
+
+def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
+    """Rows of the sample far from each other: each next one has the least similarity to those chosen."""
+    chosen, nearest = [0], sample @ sample[0]
+    while len(chosen) < min(count, len(sample)):
+        far = int(nearest.argmin())
+        if nearest[far] > 1 - SLACK:
+            break
+        chosen.append(far)
+        nearest = np.maximum(nearest, sample @ sample[far])
+    return sample[chosen]
+
+
+def surviving_tiles(own: np.ndarray, cell: np.ndarray, pivot: np.ndarray, rows: np.ndarray, radius: np.ndarray, angles: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query tile, candidate tile, greatest similarity) of the pairs that may hold neighbours.
+
+    ``cell``, ``pivot``, ``rows`` and ``radius`` describe all tiles, in order of cells;
+    ``angles`` are those between pivots. A query of a tile is at least
+    angle - radius - radius away from a candidate of another one, and at most
+    angle + radius + radius. The nearest candidate tiles of a cell that hold m rows
+    together so bound the m-th neighbour; tiles that begin beyond it are left out.
+    """
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+    ends = np.r_[starts[1:], len(cell)]
+    found = []
+    for a in own:
+        between, reach = angles[pivot[a], pivot], radius[a] + radius
+        highest = np.cos(np.maximum(between - reach, 0.0))
+        lowest = np.cos(np.minimum(between + reach, np.pi))
+        for start, end in zip(starts, ends, strict=True):
+            near = np.argsort(-lowest[start:end], kind="stable") + start
+            enough = np.searchsorted(np.cumsum(rows[near]), m)
+            least = lowest[near[enough]] if enough < len(near) else -1.0
+            stay = np.flatnonzero(highest[start:end] + SLACK >= least) + start
+            found.append((np.full(len(stay), a), stay, highest[stay] + SLACK))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _tiled(df: DataFrame, id_col: str, vector: str, cells: Sequence[str], tile_rows: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The rows with their cell number and tile, written; the tiles (tile, cell, pivot, rows,
+    radius), numbered in order of cells; and the angles between pivots."""
+    spark = df.sparkSession
+    sample = df.select(vector).orderBy(F.xxhash64(id_col), id_col).limit(PIVOT_SAMPLE).toArrow()
+    unit = _matrix(sample[vector]) if len(sample) else np.zeros((0, 1))
+    unit = unit[np.abs((unit * unit).sum(axis=1) - 1) < SLACK]
+    pivots = choose_pivots(unit, PIVOTS) if len(unit) else np.zeros((1, 1))
+    angles = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    shared = spark.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
+
+    counts = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n"))
+    numbered = counts.withColumn(CELL_NUMBER, (F.row_number().over(Window.orderBy(*(cells or [F.lit(0)]))) - 1).cast("int"))
+    placed = _join_on(df, numbered.drop("__n"), cells) if cells else df.withColumn(CELL_NUMBER, F.lit(0))
+    at = placed.columns.index(vector)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _matrix(pa.chunked_array([batch.column(at)])) if batch.num_rows else np.zeros((0, shared.value.shape[1]))
+            if own.shape[1] != shared.value.shape[1]:
+                own = np.zeros((batch.num_rows, shared.value.shape[1]))
+            sims = own @ shared.value.T
+            nearest = np.nan_to_num(sims, nan=-1.0).argmax(axis=1)
+            angle = np.arccos(np.clip(sims[np.arange(len(own)), nearest], -1.0, 1.0))
+            # A vector without a direction has no angle: its tile reaches everywhere.
+            regular = np.abs((own * own).sum(axis=1) - 1) < SLACK
+            angle = np.where(regular, angle, np.pi)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(angle), pa.array(~regular)], names=[*batch.schema.names, "__pivot", "__angle", "__odd"])
+
+    fields = T.StructType([*placed.schema.fields, T.StructField("__pivot", T.IntegerType()), T.StructField("__angle", T.DoubleType()), T.StructField("__odd", T.BooleanType())])
+    assigned = materialize(placed.mapInArrow(assign, fields), "assigned")
+    around = [CELL_NUMBER, "__pivot", "__odd"]
+    part = F.pmod(F.xxhash64(id_col), F.col("__parts")).cast("int").alias("__part")
+    parts = assigned.groupBy(*around).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("__parts"))
+    parted = _join_on(assigned, materialize(parts, "tile-parts"), around).select("*", part)
+    key = [*around, "__part"]
+    tiles = parted.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max("__angle").alias("radius"))
+    # One row per tile: their number is that of the rows over tile_rows, and of the cells times the pivots.
+    tiles = materialize(tiles.withColumn(TILE, (F.row_number().over(Window.orderBy(*key)) - 1).cast("int")), "tiles")
+    rows = _join_on(parted, tiles.select(*key, TILE), key).select(TILE, CELL_NUMBER, *df.columns)
+    return rows, tiles.select(TILE, CELL_NUMBER, F.col("__pivot").alias("pivot"), "rows", "radius"), angles
+
+
+def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence[str], block_rows: int, schema: T.StructType, begin: Callable[[pa.Table], _Fold]) -> DataFrame:
+    """Result of ``begin(query tile)`` for each cell after it has seen the candidate tiles
+    of that cell that may hold one of a query's m nearest rows.
+
+    Queries are sent once, candidates once for each query tile that they survive for.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tile_rows = min(block_rows, max(LEAST_BLOCK, -(-df.count() // (2 * tasks))))
+    rows, tiles, angles = _tiled(df, id_col, vector, cells, tile_rows)
+    known = tiles.orderBy(TILE).toArrow()  # a row of numbers per tile
+    column = {c: known[c].to_numpy() for c in known.column_names}
+    shared = spark.sparkContext.broadcast((column[CELL_NUMBER], column["pivot"], column["rows"], column["radius"], angles))
+    n_tiles = known.num_rows
+
+    def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in np.array_split(batch.column(0).to_numpy(), max(1, batch.num_rows // 16)):
+                block, tile, bound = surviving_tiles(own, *shared.value, m)
+                yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int32()), pa.array(block, pa.int32()), pa.array(bound)], names=[TILE, "__block", BOUND])
+
+    pairs = spark.range(n_tiles).repartition(max(1, min(n_tiles, tasks)), "id").mapInArrow(survive, f"{TILE} int, __block int, {BOUND} double")
+    needed = materialize(pairs.groupBy(TILE).agg(F.collect_list(F.struct("__block", BOUND)).alias("by")), "surviving-tiles")
+    sent = _join_on(rows, needed, [TILE]).withColumn("b", F.explode("by"))
+    candidates = sent.select(F.col("b.__block").alias("__block"), CELL_NUMBER, F.lit(1).alias("__kind"), F.col(f"b.{BOUND}").alias(BOUND), *df.columns)
+    queries = rows.select(F.col(TILE).alias("__block"), F.lit(-1).alias(CELL_NUMBER), F.lit(0).alias("__kind"), F.lit(0.0).alias(BOUND), *df.columns)
+    dealt = queries.unionByName(candidates).repartition(max(1, min(n_tiles, 32 * tasks)), "__block")
+    arrow = to_arrow_schema(schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, cell, queries, work = None, None, [], None
+
+        def results() -> Iterator[pa.RecordBatch]:
+            if work is not None:
+                yield from work.result().cast(arrow).to_batches(max_chunksize=65536)
+
+        for batch in batches:
+            parts = np.stack([batch.column(k).to_numpy() for k in range(2)])
+            cuts = np.flatnonzero((parts[:, 1:] != parts[:, :-1]).any(axis=0)) + 1
+            rows = pa.Table.from_batches([batch]).drop_columns(["__block", CELL_NUMBER, "__kind"])
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                own, now = parts[:, start]
+                if own != block or now != cell:
+                    yield from results()
+                    queries, work = queries if own == block else [], None
+                    block, cell = own, now
+                if now < 0:
+                    queries.append(rows.slice(start, end - start))
+                    continue
+                if work is None:
+                    work = begin(pa.concat_tables(queries).drop_columns([BOUND]))
+                work.add(rows.slice(start, end - start))
+        yield from results()
+
+    order = ["__block", CELL_NUMBER, F.desc(BOUND), id_col]
+    return dealt.sortWithinPartitions(*order).mapInArrow(fold, schema)
 
 
 def _nearest_first(keys: Sequence[str]) -> Window:
