@@ -62,10 +62,3 @@ def threshold_schedule(start: float, floor: float, step: float, policy: str = "l
         steps > 0, F.transform(F.sequence(F.lit(0), steps - 1), lambda i: F.bround(s - i * d, 6))
     ).otherwise(F.array().cast("array<double>"))
     return F.array_distinct(F.concat(above, F.array(F.bround(f, 6))))
-
-
-def vector_column(vector: Column) -> Column:
-    """array<double> -> MLlib vector, for the estimators that need one."""
-    from pyspark.ml.functions import array_to_vector
-
-    return array_to_vector(vector)

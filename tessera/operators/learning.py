@@ -1,28 +1,24 @@
-"""Linear probes on top of MLlib, and scores of joint k-means fits.
+"""Linear probes and clustering scores of embeddings, and batch inference.
 
-MLlib fits one model per call; independent fits are submitted from a small thread
-pool so their jobs overlap on the cluster, each reading its own partition of the
-stored rows. What goes through the driver is model coefficients and scores, never rows.
+Fits of all splits, and of all pairs, advance together (``probes``, ``clustering``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.arrays import dot, l2_normalize, to_doubles, vector_column
+from tessera.functions.arrays import dot, l2_normalize, to_doubles
 from tessera.operators import clustering
-from tessera.operators.agreement import cell_counts, mean_std, sorted_codes
+from tessera.operators.agreement import cell_counts, mean_std
 from tessera.operators.clustering import assign_clusters, best_attempts, fit_kmeans
 from tessera.operators.performance_drop import accuracy_by_rho, average_performance_drop
 from tessera.operators.robustness import CELL, infer_pairs, subsample_pairs, subset_by_pair
-from tessera.operators.ranking import salted_join
+from tessera.operators.probes import fit_probes, probe_accuracy, probe_rows
 from tessera.session import materialize
 
 MIN_PAIR_ROWS = 8  # fixed value: smaller pairs are not clustered
@@ -37,22 +33,6 @@ def align_features(splits: DataFrame, features: DataFrame, vector: str = "embedd
     return splits.join(unit, "sample_id")
 
 
-def _checked_partitions(aligned: DataFrame) -> list[tuple[int, int, float, int]]:
-    """(rep, split_id, level, training rows) of every split; all three partitions
-    must be there. As many rows as there are splits."""
-    counts = aligned.groupBy("rep", "split_id").agg(
-        F.max("correlation_level").alias("level"),
-        *[F.count_if(F.col("partition") == p).alias(p) for p in ("train", "id_test", "ood_test")],
-    )
-    rows = counts.orderBy("rep", "split_id").collect()
-    if not rows:
-        raise RuntimeError("no splits to probe")
-    for r in rows:
-        if not (r["train"] and r["id_test"] and r["ood_test"]):
-            raise RuntimeError(f"split {r['split_id']} of repetition {r['rep']} lacks a partition")
-    return [(r["rep"], r["split_id"], r["level"], r["train"]) for r in rows]
-
-
 def score_linear(rows: DataFrame, models: DataFrame) -> DataFrame:
     """Adds ``predicted`` (class code) from the linear model of the row's split."""
     margins = F.zip_with(
@@ -66,52 +46,27 @@ def score_linear(rows: DataFrame, models: DataFrame) -> DataFrame:
     ).drop("__m", "weights", "intercepts")
 
 
-def linear_probe(
-    aligned: DataFrame, c: float = 1.0, max_iter: int = 1000, parallelism: int = 8
-) -> DataFrame:
-    """Accuracy on both test sides per (rep, split_id, correlation_level).
+def probe_splits(splits: DataFrame, features: DataFrame, c: float = 1.0, max_iter: int = 1000) -> DataFrame:
+    """Accuracy on both test sides per (rep, split_id, correlation_level), with the largest
+    entry of each fit's final gradient and the passes it took.
 
-    L2-penalised logistic regression with an unpenalised intercept; ``C`` relates
-    to MLlib's penalty as ``regParam = 1 / (C * n)``. All splits are scored in one job.
+    L2-penalised logistic regression with an unpenalised intercept: the mean loss of the
+    n training rows plus |w|^2 / (2 C n). ``features`` has one unit-length feature per
+    sample; samples without one drop out.
     """
-    codes = sorted_codes(aligned, "label")
-    stored = materialize(
-        salted_join(aligned, codes, ["label"], ["sample_id"]).select(
-            "rep", "split_id", "correlation_level", "partition", "feature", F.col("code")
-        ),
-        "probe",
-        partition_by=("rep", "split_id"),
-    )
-    train = stored.where("partition = 'train'").withColumn("x", vector_column(F.col("feature")))
-
-    def fit(split: tuple[int, int, float, int]):
-        rep, split_id, _, n = split
-        estimator = LogisticRegression(
-            featuresCol="x", labelCol="code", regParam=1.0 / (c * n), elasticNetParam=0.0,
-            standardization=False, maxIter=max_iter, tol=1e-6,
-        )
-        model = estimator.fit(train.where((F.col("rep") == rep) & (F.col("split_id") == split_id)))
-        return (
-            rep,
-            split_id,
-            [[float(v) for v in row] for row in model.coefficientMatrix.toArray()],
-            [float(v) for v in model.interceptVector.toArray()],
-        )
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        fitted = list(pool.map(fit, _checked_partitions(stored)))
-    models = aligned.sparkSession.createDataFrame(fitted, MODEL_SCHEMA)
-    scored = score_linear(stored.where("partition <> 'train'"), models)
-    right = (F.col("predicted") == F.col("code")).cast("double")
-    return scored.groupBy("rep", "split_id", "correlation_level").agg(
-        F.avg(F.when(F.col("partition") == "id_test", right)).alias("acc_id"),
-        F.avg(F.when(F.col("partition") == "ood_test", right)).alias("acc_ood"),
-    )
+    rows, known, classes = probe_rows(splits, features)
+    return probe_accuracy(rows, fit_probes(rows, known, classes, c, max_iter))
+
 
+def linear_probe(aligned: DataFrame, **probe) -> DataFrame:
+    """``probe_splits`` of rows that carry their feature."""
+    return probe_splits(aligned.drop("feature"), aligned.select("sample_id", "feature").dropDuplicates(["sample_id"]), **probe)
 
-def compute_apd(splits: DataFrame, features: DataFrame, **probe) -> tuple[DataFrame, DataFrame]:
+
+def compute_apd(splits: DataFrame, features: DataFrame, vector: str = "embedding", **probe) -> tuple[DataFrame, DataFrame]:
     """(drop per side, accuracy per correlation level) of probes on all splits."""
-    accuracy = materialize(linear_probe(align_features(splits, features), **probe), "accuracy")
+    unit = features.select("sample_id", l2_normalize(F.col(vector)).alias("feature"))
+    accuracy = materialize(probe_splits(splits, unit, **probe), "accuracy")
     return average_performance_drop(accuracy), accuracy_by_rho(accuracy)
 
 

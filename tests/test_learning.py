@@ -74,3 +74,33 @@ def test_event_keeps_going_and_demands_its_selection(spark, sf):
     with pytest.raises(ValueError, match="was not emitted"):
         E.evaluate(spark, plugins, data, 1, 64, stopping)
     assert E.evaluate(spark, [], data, 1, 64).rows.isEmpty()
+
+
+def test_joint_probes_reach_the_optimum(spark):
+    """Two classes (Newton steps) and three (remembered gradients), splits that overlap."""
+    from tessera.operators import probes as P
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 5))
+    for names in ("ab", "abc"):
+        label = [names[k] for k in (x[:, :3].argmax(axis=1) % len(names))]
+        sides = ["train", "train", "id_test", "ood_test"]
+        rows = [(f"s{i}", label[i], sides[(i + s) % 4], 0.0, s, 0) for i in range(120) for s in (1, 2, 3)]
+        splits = spark.createDataFrame(rows, "sample_id string, label string, partition string, correlation_level double, split_id bigint, rep bigint")
+        features = spark.createDataFrame([(f"s{i}", v.tolist()) for i, v in enumerate(x)], "sample_id string, feature array<double>")
+        stored, known, classes = P.probe_rows(splits, features)
+        assert classes == len(names) and [k[1:2] for k in known] == [(1,), (2,), (3,)]
+        fits = P.fit_probes(stored, known, classes, c=0.5)
+        for fit in fits:
+            assert fit.done and fit.flatness <= P.TOLERANCE
+            own = [i for i in range(120) if sides[(i + fit.split_id) % 4] == "train"]
+            design, code = np.c_[x[own], np.ones(len(own))], np.array([names.index(label[i]) for i in own])
+            penalty = np.tile(np.r_[np.ones(5), 0], len(fit.point) // 6) / (0.5 * len(own))
+            objective = lambda w: P.loss_of(design, code, w, False)[0] / len(own) + 0.5 * (penalty * w * w).sum()  # noqa: B023, E731
+            assert all(objective(fit.point) <= objective(fit.point + 1e-3 * rng.normal(size=len(fit.point))) for _ in range(20))
+        got = {r["split_id"]: r for r in P.probe_accuracy(stored, fits).collect()}
+        for fit in fits:
+            z = np.c_[x, np.ones(120)] @ fit.point.reshape(-1, 6).T
+            guess = (z[:, 0] > 0).astype(int) if z.shape[1] == 1 else z.argmax(axis=1)
+            test = [i for i in range(120) if sides[(i + fit.split_id) % 4] == "id_test"]
+            assert got[fit.split_id]["acc_id"] == np.mean([guess[i] == names.index(label[i]) for i in test])
