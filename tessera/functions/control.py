@@ -11,14 +11,3 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def evaluate_once(value: Column) -> Column:
-    """Keep the optimizer from copying ``value`` into filters above it.
-
-    Predicates are normally pushed through a projection by substituting its
-    expressions, and ``explode`` adds such predicates on its own. For a long fold
-    that repeats the whole search. The always-true test is non-deterministic to
-    the optimizer, which pins the expression to its projection.
-    """
-    return F.when(F.monotonically_increasing_id() >= 0, value)

@@ -2,27 +2,32 @@
 
 Placement is rejection sampling with a greedy acceptance rule. Each anchor row
 carries the tissue rectangles of its own context, so the whole search - seeded
-candidates, bounds, overlap, tissue, threshold relaxation - is a fold inside one
-row: no candidate is ever materialised as a row and nothing is shuffled after
-the rectangles have been attached.
+candidates, bounds, overlap, tissue, threshold relaxation - is done where the row is
+(``placement``): no candidate is ever materialised as a row and nothing is shuffled
+after the rectangles have been attached.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions import geometry as G
-from tessera.functions.control import evaluate_once, let
-from tessera.functions.hashing import hash_hex, hex_to_long
 from tessera.operators.index import SamplingProfile
+from tessera.operators.placement import Search
 from tessera.operators.ranking import salted_join, spread
 
 MAX_ATTEMPTS = 4000  # fixed value
-BOX_TYPE = "array<struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint,fraction:double>>"
+BOX_FIELDS = ("x0", "y0", "x1", "y1", "fraction")
+BOX_TYPE = T.ArrayType(T.StructType([*(T.StructField(c, T.LongType()) for c in BOX_FIELDS[:4]), T.StructField(BOX_FIELDS[4], T.DoubleType())]))
 
 
 @dataclass(frozen=True)
@@ -163,31 +168,6 @@ def attach_context_tissue(planned: DataFrame, mask_runs: DataFrame, bin_px: int
     ).drop("__tissue")
 
 
-def _candidate(digest: Column, spec: dict[str, Column], aligned: bool, patch: int) -> Column:
-    """Box number i of an anchor from the first 16 hex digits of its hash."""
-    size = spec["size"]
-    hx = hex_to_long(F.substring(digest, 1, 8))
-    hy = hex_to_long(F.substring(digest, 9, 8))
-    if aligned:
-        x0 = spec["start"] + F.lit(patch) * F.pmod(hx, spec["count"])
-        y0 = spec["start"] + F.lit(patch) * F.pmod(hy, spec["count"])
-    else:
-        span = spec["hi"] - spec["lo"] + 1
-        x0 = spec["lo"] + F.pmod(hx, span) - G.half(size)
-        y0 = spec["lo"] + F.pmod(hy, span) - G.half(size)
-    return let(
-        F.struct(x0.cast("bigint").alias("x0"), y0.cast("bigint").alias("y0")),
-        lambda o: G.box(o["x0"], o["y0"], o["x0"] + size, o["y0"] + size),
-    )
-
-
-def _fraction(b: Column, tissue: Column, size: Column) -> Column:
-    area = F.aggregate(
-        tissue, F.lit(0.0), lambda acc, r: acc + G.overlap_area(b, r).cast("double")
-    )
-    return area / (size * size).cast("double")
-
-
 def place_targets(
     anchors: DataFrame,
     profile: SamplingProfile,
@@ -215,99 +195,35 @@ def place_targets(
     ready = anchors.withColumn("__margin", margin).withColumn(
         "__range", G.aligned_origin_range(F.col("__margin"), ctx, size, policy.patch)
     )
-    thresholds = policy.thresholds()
-    spec = {
-        "size": size,
-        "lo": F.col("__margin"),
-        "hi": ctx - F.col("__margin") - 1,
-        "start": F.col("__range.start"),
-        "count": F.col("__range.count"),
-    }
-    possible = spec["count"] > 0 if policy.aligned else spec["hi"] >= spec["lo"]
-    wanted = F.lit(profile.targets_per_context)
-    none = F.array().cast(BOX_TYPE)
-
-    def candidate(i: Column) -> Column:
-        return let(
-            hash_hex(seed, pass_index, key, i),
-            lambda digest: _candidate(digest, spec, policy.aligned, policy.patch),
-        )
-
-    def fraction(b: Column) -> Column:
-        return F.when(F.col("tissue").isNotNull(), _fraction(b, F.col("tissue"), size))
-
-    def judged(b: Column, f: Column) -> Column:
-        return F.struct(*[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")], f.alias("fraction"))
-
-    def full(accepted: Column) -> Column:
-        return F.size(accepted) >= wanted
-
-    def accept(accepted: Column, c: Column, threshold: Column) -> Column:
-        return F.when(c["fraction"] < threshold, accepted).otherwise(F.concat(accepted, F.array(c)))
-
-    def clashes(b: Column, accepted: Column) -> Column:
-        return ~G.box_within(b, ctx, ctx) | G.overlaps_too_much(b, accepted, size)
-
-    def attempt(accepted: Column, i: Column, threshold: Column) -> Column:
-        """Try candidate i; tissue is only measured where the box would fit."""
-        return F.when(full(accepted), accepted).otherwise(
-            let(
-                candidate(i),
-                lambda b: F.when(clashes(b, accepted), accepted).otherwise(
-                    let(judged(b, fraction(b)), lambda c: accept(accepted, c, threshold))
-                ),
-            )
-        )
-
-    numbers = F.sequence(F.lit(1), F.lit(policy.max_attempts))
-    first, lowest = F.lit(thresholds[0]), F.lit(thresholds[-1])
-    others = [F.lit(t) for t in thresholds[1:]]
-
-    def result(boxes: Column, threshold: Column) -> Column:
-        return F.struct(boxes.alias("boxes"), F.when(full(boxes), threshold).alias("threshold"))
-
-    def relaxed() -> Column:
-        """Lower thresholds share one list of the candidates any of them can take."""
-        measured = F.filter(
-            F.transform(numbers, lambda i: let(candidate(i), lambda b: judged(b, fraction(b)))),
-            lambda c: c["fraction"].isNull() | (c["fraction"] >= lowest),
-        )
-
-        def refold(cands: Column, threshold: Column) -> Column:
-            return F.aggregate(
-                cands,
-                none,
-                lambda acc, c: F.when(full(acc) | (c["fraction"] < threshold), acc)
-                .when(clashes(c, acc), acc)
-                .otherwise(F.concat(acc, F.array(c))),
-            )
-
-        def lower(acc: Column, threshold: Column, cands: Column) -> Column:
-            return F.when(acc["threshold"].isNotNull(), acc).otherwise(
-                let(refold(cands, threshold), lambda boxes: result(boxes, threshold))
-            )
-
-        start = F.struct(none.alias("boxes"), F.lit(None).cast("double").alias("threshold"))
-        return let(
-            measured,
-            lambda cands: F.aggregate(F.array(*others), start, lambda acc, t: lower(acc, t, cands)),
-        )
-
-    search = let(
-        F.aggregate(numbers, none, lambda acc, i: attempt(acc, i, first)),
-        lambda boxes: F.when(full(boxes), result(boxes, first)).otherwise(
-            relaxed() if others else result(boxes, first)
-        ),
-    )
-    found = F.when(possible, search)
-    return (
-        ready.withColumn("__found", evaluate_once(found))
-        .withColumn("effective_threshold", F.col("__found.threshold"))
-        .withColumn(
-            "targets", F.when(F.col("effective_threshold").isNotNull(), F.col("__found.boxes"))
-        )
-        .drop("__found", "__margin", "__range")
-    )
+    if policy.aligned:
+        low, step, count, shift = F.col("__range.start"), F.lit(policy.patch), F.col("__range.count"), F.lit(0)
+    else:
+        low, step, count, shift = F.col("__margin"), F.lit(1), ctx - 2 * F.col("__margin"), G.half(size)
+    wanted, thresholds, attempts = profile.targets_per_context, policy.thresholds(), policy.max_attempts
+    numbers = [x.cast("bigint").alias(f"__{n}") for n, x in (("ctx", ctx), ("size", size), ("low", low), ("step", step), ("count", count), ("shift", shift))]
+    prefix = F.concat(F.lit(f"{seed}|{pass_index}|"), key.cast("string"), F.lit("|")).alias("__prefix")
+    given = ready.select("*", prefix, *numbers).drop("__margin", "__range")
+    own = ["__prefix", "__ctx", "__size", "__low", "__step", "__count", "__shift"]
+    schema = T.StructType([*anchors.schema.fields, T.StructField("effective_threshold", T.DoubleType()), T.StructField("targets", BOX_TYPE)])
+    arrow = to_arrow_schema(schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tissue = batch.column("tissue")
+            lengths, edges = tissue.value_lengths().to_pylist(), tissue.flatten()
+            rectangles = np.stack([edges.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], axis=1)
+            at, found = 0, []
+            for n, *values in zip(lengths, *(batch.column(c).to_pylist() for c in own), strict=True):
+                mine = None if n is None else rectangles[at : at + n]
+                at += n or 0
+                possible = all(v is not None for v in values) and values[5] > 0
+                found.append(Search(*values, mine).result(thresholds, wanted, attempts) if possible else None)
+            boxes = [None if f is None else [dict(zip(BOX_FIELDS, b, strict=True)) for b in f[0]] for f in found]
+            kept = [c for c in batch.schema.names if c not in own]
+            columns = [*(batch.column(c) for c in kept), pa.array([f and f[1] for f in found], pa.float64()), pa.array(boxes, arrow.field("targets").type)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return given.mapInArrow(search, schema)
 
 
 def target_centers(placed: DataFrame) -> DataFrame:

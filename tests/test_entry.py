@@ -9,8 +9,6 @@ from tools.check import TABLES, canonical, rows_of
 
 # Queries on training data have tests of their own.
 NAMES = list(catalog.queries())
-# Heavy at any scale (4000 candidates per anchor in SQL).
-SLOW = {"target_boxes_relaxed", "target_boxes_aligned", "sampling_plan"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +28,7 @@ def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in SLOW])
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, sf, name):
     df = entry.queries()[name](spark, sf)
     got = df.collect()
