@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import (
+    BUCKET,
+    _attach,
     bucketed_row_number,
     fixed_width_bucket,
     previous_value,
     running,
+    salted_join,
 )
+from tessera.session import materialize
 
 ORDER_BUCKET = 1 << 16
 # Whether a larger or a smaller value of a metric counts as better.
@@ -255,6 +259,20 @@ def early_stop(
     """
     if patience <= 0:
         raise ValueError("patience must be > 0")
+    judged = materialize(best_so_far(metrics, keys, order, mode), "judged")
+    stops = ~F.col("improved") & (F.col("evals") >= min_evals) & (F.col("bad_streak") >= patience)
+    first = judged.groupBy(*keys).agg(F.min(F.when(stops, F.col("evals"))).alias("__stop"))
+    known = salted_join(judged, first, keys, ["evals"])
+    return known.withColumn("should_stop", F.coalesce(F.col("evals") >= F.col("__stop"), F.lit(False))).drop("__stop")
+
+
+def best_so_far(metrics: DataFrame, keys: Sequence[str], order: str, mode: Column | str | None = None) -> DataFrame:
+    """Per row: evals (its place from 1), best, improved, and bad_streak, the rows since the last improvement.
+
+    A bucket of rows sums up as its size, its best value and where that came first. From
+    these follow the best and the last improvement before each bucket, and from them
+    everything inside a bucket, by windows of one exchange.
+    """
     if mode is None:
         table = F.create_map(*[F.lit(x) for pair in METRIC_MODES.items() for x in pair])
         mode = F.element_at(table, F.col("metric"))
@@ -269,30 +287,27 @@ def early_stop(
     )
     bucket = fixed_width_bucket(F.col(order), ORDER_BUCKET)
     scored = metrics.withColumn("__sign", sign).withColumn("__v", F.col("value") * F.col("__sign"))
-    placed = bucketed_row_number(scored, keys, [order], bucket, "__pos")
-    best = running(
-        placed,
-        keys,
-        [order],
-        bucket,
-        {"__before": ("max", "__v", False), "__best": ("max", "__v", True)},
-    )
-    improved = F.col("__before").isNull() | (F.col("__v") > F.col("__before"))
-    marked = best.withColumn("improved", improved).withColumn(
-        "__hit", F.when(F.col("improved"), F.col("__pos"))
+    inside = Window.partitionBy(*keys, BUCKET).orderBy(order)
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    rows = scored.withColumn(BUCKET, bucket).withColumn("__at", F.row_number().over(inside))
+    sums = rows.groupBy(*keys, BUCKET).agg(
+        F.count(F.lit(1)).alias("__n"), F.max("__v").alias("__top"), F.min_by("__at", F.struct(F.col("__v").isNull().alias("none"), (-F.col("__v")).alias("v"), "__at")).alias("__first")
     )
-    since = running(marked, keys, [order], bucket, {"__last": ("max", "__hit", True)})
-    streak = F.col("__pos") - F.col("__last")
-    stop_now = (
-        ~F.col("improved") & (F.col("__pos") + 1 >= min_evals) & (F.col("bad_streak") >= patience)
+    carried = sums.select(
+        *keys, BUCKET, "__top", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"), F.max("__top").over(earlier).alias("__best_before")
     )
-    flagged = since.withColumn("bad_streak", streak).withColumn("__stop", stop_now.cast("int"))
-    final = running(flagged, keys, [order], bucket, {"__sticky": ("max", "__stop", True)})
+    gained = F.col("__best_before").isNull() | (F.col("__top") > F.col("__best_before"))
+    place = F.when(gained, F.col("__offset") + F.col("__first") - 1)
+    carried = carried.withColumn("__last_before", F.max(place).over(earlier)).drop("__top", "__first")
+    placed = _attach(rows, carried, keys).withColumn("__pos", F.col("__offset") + F.col("__at") - 1)
+    before = F.greatest("__best_before", F.max("__v").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = placed.withColumn("__before", before).withColumn("improved", F.col("__before").isNull() | (F.col("__v") > F.col("__before")))
+    own_last = F.max(F.when(F.col("improved"), F.col("__pos"))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        final.withColumn("evals", F.col("__pos") + 1)
-        .withColumn("best", F.col("__best") * F.col("__sign"))
-        .withColumn("should_stop", F.col("__sticky") == 1)
-        .drop("__sign", "__v", "__pos", "__before", "__best", "__hit", "__last", "__stop", "__sticky")
+        marked.withColumn("bad_streak", F.col("__pos") - F.greatest("__last_before", own_last))
+        .withColumn("evals", F.col("__pos") + 1)
+        .withColumn("best", F.greatest("__before", "__v") * F.col("__sign"))
+        .drop("__sign", "__v", "__at", "__pos", "__before", "__offset", "__best_before", "__last_before", BUCKET)
     )
 
 

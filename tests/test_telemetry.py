@@ -115,8 +115,26 @@ def test_metric_sink_ignores_a_replayed_batch(spark, tmp_path):
 from tessera.schemas import METRIC_ROW as Y_SCHEMA  # noqa: E402
 
 
+def test_early_stop_over_many_buckets(spark, monkeypatch):
+    """Buckets of three rows: the carried best, last improvement and stop against a plain loop."""
+    import random
+
+    monkeypatch.setattr(Y, "ORDER_BUCKET", 3)
+    rng = random.Random(9)
+    values = {r: [rng.randint(0, 12 + k // 4) / 4 for k in range(60)] for r in ("a", "b", "c")}
+    df = spark.createDataFrame([(r, "ri", k, v) for r, own in values.items() for k, v in enumerate(own)], "run string, metric string, tune_index bigint, value double")
+    got = {(r["run"], r["tune_index"]): (r["best"], r["bad_streak"], r["improved"], r["should_stop"]) for r in Y.early_stop(df, ["run", "metric"], "tune_index", 9, 2).collect()}
+    for run, own in values.items():
+        best, streak, stop = None, 0, False
+        for k, v in enumerate(own):
+            better = best is None or v > best
+            best, streak = (v, 0) if better else (best, streak + 1)
+            stop = stop or (not better and k + 1 >= 2 and streak >= 9)
+            assert got[run, k] == (best, streak, better, stop)
+
+
 def test_hot_run_never_meets_in_one_window(spark, sf):
     """Windows are keyed by (run, bucket), never by the run alone."""
-    plan = Y.early_stop(X.metric_log(spark, sf), ["run", "metric"], "tune_index", 3)._jdf.queryExecution().optimizedPlan().toString()
+    plan = Y.best_so_far(X.metric_log(spark, sf), ["run", "metric"], "tune_index")._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.split("\n") if "Window [" in line and "__n" not in line and "__t_" not in line]
     assert windows and all("__bucket" in line for line in windows)
