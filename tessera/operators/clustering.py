@@ -9,6 +9,7 @@ groups or fits.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -16,16 +17,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.agreement import clustering_agreement, mean_std
 from tessera.operators.neighbours import silhouette
-from tessera.operators.ranking import sample_per_cell
 from tessera.session import materialize
 
-#: Rows of a group that starting centres are drawn from.
-POOL = 512
+#: Candidates that each round draws for the largest k of a group, per k, and the rounds.
+CANDIDATES, ROUNDS = 4, 4
 
 
 @dataclass
@@ -40,18 +40,74 @@ class Fit:
     moving: bool = True
 
 
-def _spread_out(pool: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k rows of the pool, each drawn with the squared distance to those before it."""
-    chosen = [int(rng.integers(len(pool)))]
+def _spread_out(pool: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the candidates, each drawn with its weight times the squared distance to those before it."""
+    chosen = [int(rng.choice(len(pool), p=weight / weight.sum()))]
     nearest = ((pool - pool[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < k:
-        total = nearest.sum()
-        at = int(rng.choice(len(pool), p=nearest / total)) if total > 0 else int(rng.integers(len(pool)))
+        share = weight * nearest
+        total = share.sum()
+        at = int(rng.choice(len(pool), p=share / total)) if total > 0 else int(rng.integers(len(pool)))
         chosen.append(at)
         nearest = np.minimum(nearest, ((pool - pool[at]) ** 2).sum(axis=1))
     return pool[chosen].copy()
 
 
+def _unit_hash(*parts: Column) -> Column:
+    """Uniform in (0, 1)."""
+    return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + 0.5) / float(2**53)
+
+
+def starting_candidates(rows: DataFrame, largest: dict[str, int], seed: int, group: str, identity: str, feature: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per group candidates for centres and the number of rows nearest to each.
+
+    The first round draws rows evenly, each later one with the squared distance to the
+    nearest candidate so far. A row's key is -log(u) / distance with a hash u of
+    (seed, round, row); the rows with the smallest keys are a draw without replacement,
+    and tasks keep only as many as are asked for.
+    """
+    wanted = {g: CANDIDATES * k for g, k in largest.items()}
+    pool: dict[str, np.ndarray] = {}
+    keyed = type(rows.schema)([*rows.schema.fields, *rows.select(F.lit(0.0).alias("u"), F.lit(0.0).alias("key")).schema.fields])
+    for turn in range(ROUNDS):
+        shared = rows.sparkSession.sparkContext.broadcast((pool, wanted))
+
+        def draw(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, most = shared.value
+            held: dict[str, pa.Table] = {}
+            for batch in batches:
+                for name, place, x in _by_group(batch.select([group, feature]), group, feature):
+                    if name not in most:
+                        continue
+                    gap = _distances(x, known[name]).min(axis=1) if name in known else np.ones(len(x))
+                    far = gap > 1e-12
+                    key = -np.log(batch.column("u").to_numpy()[place[far]]) / gap[far]
+                    own = pa.Table.from_batches([batch.take(pa.array(place[far]))]).append_column("key", pa.array(key))
+                    own = pa.concat_tables([held[name], own]) if name in held else own
+                    held[name] = own.take(np.argsort(own["key"].to_numpy(), kind="stable")[: most[name]])
+            for own in held.values():
+                yield from own.combine_chunks().to_batches()
+
+        drawn = rows.withColumn("u", _unit_hash(F.lit(seed), F.lit(turn), F.col(identity))).mapInArrow(draw, keyed)
+        first = Window.partitionBy(group).orderBy("key", identity)
+        limits = rows.sparkSession.createDataFrame(list(wanted.items()), [group, "limit"])
+        kept = drawn.withColumn("place", F.row_number().over(first)).join(limits, group).where("place <= limit")
+        fresh: dict[str, list] = defaultdict(list)
+        for r in kept.select(group, identity, feature).orderBy(group, identity).collect():
+            fresh[r[group]].append(r[feature])
+        for name, vectors in fresh.items():
+            new = np.array(vectors, np.float64)
+            pool[name] = np.concatenate([pool[name], new]) if name in pool else new
+    counted = _pass(rows, [(n, Fit(name, len(own), 0, own)) for n, (name, own) in enumerate(pool.items())], group, feature)
+    weights = {}
+    for n, (name, own) in enumerate(pool.items()):
+        weight = np.zeros(len(own))
+        for place, (rows_near, _, _) in counted[n].items():
+            weight[place] = rows_near
+        weights[name] = (own, weight)
+    return weights
+
+
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2.0 * (x @ centres.T), 0.0)
 
@@ -65,24 +121,23 @@ def _by_group(batch: pa.RecordBatch, group: str, feature: str) -> Iterator[tuple
         yield name, at, vectors[at]
 
 
-def fit_kmeans(rows: DataFrame, wanted: Sequence[tuple[str, int, int]], seed: int = 0, group: str = "group_id", identity: str = "sample_id", feature: str = "feature", max_passes: int = 60, tolerance: float = 1e-6) -> list[Fit]:
+def fit_kmeans(rows: DataFrame, wanted: Sequence[tuple[str, int, int]], seed: int = 0, group: str = "group_id", identity: str = "sample_id", feature: str = "feature", max_passes: int = 300, tolerance: float = 1e-6) -> list[Fit]:
     """Fits of (group, k, attempt) in the order asked for; rows are a written table.
 
     Starting centres depend on (seed, group, k, attempt) and the rows alone. A centre
-    that loses all its rows stays where it is.
+    that loses all its rows stays where it is. Fits that still move after ``max_passes``
+    keep ``moving`` set and are warned of.
     """
     sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     fits = [Fit(*w) for w in wanted]
+    largest: dict[str, int] = {}
     for f in fits:
         if f.k > sizes.get(f.group, 0):
             raise ValueError(f"{f.k} clusters asked of the {sizes.get(f.group, 0)} rows of {f.group}")
-    wants = rows.select(group).distinct().join(rows.groupBy(group).agg(F.least(F.count(F.lit(1)), F.lit(POOL)).alias("want")), group)
-    pool: dict[str, list] = defaultdict(list)
-    for r in sample_per_cell(rows, wants, [group], [identity], [seed, F.col(identity)]).select(group, identity, feature).collect():
-        pool[r[group]].append((r[identity], r[feature]))
+        largest[f.group] = max(f.k, largest.get(f.group, 0))
+    candidates = starting_candidates(rows, largest, seed, group, identity, feature) if fits else {}
     for f in fits:
-        own = np.array([v for _, v in sorted(pool[f.group])], np.float64)
-        f.centres = _spread_out(own, f.k, np.random.default_rng([seed, zlib.crc32(f.group.encode()), f.k, f.attempt]))
+        f.centres = _spread_out(*candidates[f.group], f.k, np.random.default_rng([seed, zlib.crc32(f.group.encode()), f.k, f.attempt]))
 
     for _ in range(max_passes):
         moving = [(n, f) for n, f in enumerate(fits) if f.moving]
@@ -96,6 +151,8 @@ def fit_kmeans(rows: DataFrame, wanted: Sequence[tuple[str, int, int]], seed: in
                 after[cluster] = total / count
             f.moving = bool(np.abs(after - f.centres).max() > tolerance)
             f.centres = after
+    if unsettled := sum(f.moving for f in fits):
+        warnings.warn(f"{unsettled} of {len(fits)} k-means fits still moved after {max_passes} passes", stacklevel=2)
     return fits
 
 
