@@ -236,6 +236,25 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SPLIT_ROW).parquet(path)
 
 
+def read_split_files(spark: SparkSession, root: str, dataset: str) -> DataFrame:
+    """Splits kept as CSV with a header, ``rep_<n>/split_<n>.csv`` below ``root``.
+
+    Repetition and split are those of the path; columns that a file lacks are NULL.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(f"{root.rstrip('/')}/rep_*/split_*.csv")
+    numbers = r"rep_(\d+)/split_(\d+)\.csv"
+    named = {
+        "dataset": F.lit(dataset),
+        "rep": F.regexp_extract(F.col("_metadata.file_path"), numbers, 1),
+        "split_id": F.regexp_extract(F.col("_metadata.file_path"), numbers, 2),
+    }
+    columns = []
+    for f in SPLIT_ROW.fields:
+        value = named.get(f.name, F.col(f.name) if f.name in raw.columns else F.lit(None))
+        columns.append(value.cast(f.dataType).alias(f.name))
+    return raw.select(*columns)
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Content hash (1 row) that no order of rows or columns changes: number of rows, sum
     and xor of parts of the md5 of each row's named values."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.sqlfunctions import register_sql_functions
@@ -12,8 +15,8 @@ from tessera.operators.learning import embed
 from tessera.plans.index_queries import ANCHOR_CTES, P, anchors
 from tessera.plans.oracle_ctes import CTES
 from tessera.plans.registry import ORACLES, query, with_ctes
-from tessera.plans.split_queries import _custom_splits, C_CTES, _splits_sql
-from tessera.session import scratch_dir
+from tessera.plans.split_queries import C_CTES, CUSTOM_LEVELS, FRACTION, REPS, SEED, _custom_splits, _splits_sql
+from tessera.session import materialize, scratch_dir
 from tessera.sources import catalog as C
 from tessera.sources import fixtures as X
 from tessera.sources import logs as G
@@ -89,6 +92,36 @@ def source_anchor_catalog(spark, sf):
     )
 
 
+@query(
+    "anchor_shard_files",
+    with_ctes(CTES, ANCHOR_CTES, "SELECT slide_id, anchor_idx // 8 AS shard_index, 1::BIGINT AS files, count(*) AS rows, max(stratum_id) AS stratum_id, count(*) AS counted FROM anchors GROUP BY ALL"),
+)
+def anchor_shard_files(spark, sf):
+    """One stored file per slide's shard, with its rows per stratum."""
+    path = scratch_dir(spark, "anchor-catalog")
+    C.write_anchor_catalog(anchors(spark, sf), path, P, rows_per_shard=8)
+    shards = C.catalog_shards(spark, path)
+    own_slides = shards.groupBy("path").agg(F.count(F.lit(1)).alias("shards"))
+    entry = shards.join(own_slides.where("shards = 1"), "path").select("*", F.explode("stratum_counts").alias("stratum", "counted"))
+    return entry.groupBy("slide_id", "shard_index").agg(
+        F.countDistinct("path").alias("files"), F.sum("rows").alias("rows"), F.max("stratum").alias("stratum_id"), F.sum("counted").alias("counted")
+    )
+
+
+@query(
+    "source_anchor_document",
+    with_ctes(CTES, ANCHOR_CTES, "SELECT anchor_id, slide_id, tissue_fraction, (SELECT count(*) FROM anchors) AS total_anchors FROM anchors WHERE stratum_id = 'EUROPE'"),
+)
+def source_anchor_document(spark, sf):
+    """Anchors of one stratum by way of a single-document manifest: other shards aren't opened."""
+    path = scratch_dir(spark, "anchor-catalog")
+    C.write_anchor_catalog(anchors(spark, sf), path, P, rows_per_shard=8)
+    C.catalog_document(spark, path).coalesce(1).write.json(f"{path}/manifest")
+    total = spark.read.schema("total_anchors bigint").option("multiLine", True).json(f"{path}/manifest")
+    found = C.read_manifest_anchors(spark, f"{path}/manifest", "EUROPE").select("anchor_id", "slide_id", "tissue_fraction")
+    return found.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 @query(
     "stratum_anchors",
     with_ctes(CTES, ANCHOR_CTES, "SELECT anchor_id, tissue_fraction FROM anchors WHERE stratum_id = 'EUROPE'"),
@@ -154,6 +187,43 @@ def source_splits(spark, sf):
     )
 
 
+@query("source_split_files", ORACLES["source_splits"])
+def source_split_files(spark, sf):
+    """Splits kept as one CSV per repetition and split."""
+    splits = materialize(_custom_splits(spark, sf), "splits")
+    root = scratch_dir(spark, "split-files")
+    for r in splits.select("rep", "split_id").distinct().collect():  # a folder per split
+        own = splits.where((F.col("rep") == r["rep"]) & (F.col("split_id") == r["split_id"])).drop("rep", "split_id", "dataset")
+        own.write.option("header", True).csv(f"{root}/rep_{r['rep']:02d}/split_{r['split_id']:02d}.csv")
+    return S.read_split_files(spark, root, "tiles").groupBy("rep", "split_id", "partition").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("slide_id").alias("slides")
+    )
+
+
+@query(
+    "split_cache_reuse",
+    with_ctes(
+        CTES,
+        C_CTES,
+        _splits_sql("c_alloc", "tiles").split("\n      SELECT sample_id, label, medical_center, slide_id, partition, rho AS")[0]
+        + """
+        SELECT step, reused, CASE WHEN step <> 'other seed' THEN (SELECT count(*) FROM allrows JOIN sp USING (split_id)) END AS n
+        FROM (VALUES ('first', false), ('again', true), ('shared', true), ('other seed', false)) AS v(step, reused)""",
+        recursive=True,
+    ),
+)
+def split_cache_reuse(spark, sf):
+    """Made once, found again, found below a shared root, and made anew for other parameters."""
+    manifest = X.eval_manifest(spark, sf)
+    own, other = scratch_dir(spark, "split-cache"), scratch_dir(spark, "split-cache")
+    given = {"id_centers": X.ID_CENTERS, "ood_centers": X.OOD_CENTERS, "levels": CUSTOM_LEVELS, "repetitions": REPS, "id_test_fraction": FRACTION, "mode": "custom"}
+    rows = []
+    for step, root, shared, seed in (("first", own, (), SEED), ("again", own, (), SEED), ("shared", other, (own,), SEED), ("other seed", other, (own,), SEED + 1)):
+        found, reused = S.cached_splits(manifest, "tiles", root, shared, seed=seed, **given)
+        rows.append(found.agg(F.lit(step).alias("step"), F.lit(reused).alias("reused"), F.when(F.lit(seed == SEED), F.count(F.lit(1))).alias("n")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 STEP_COLUMNS = (
     "images_seen", "pass_index", "iteration", "loss", "context_keep_tokens",
     "target_predict_tokens", "iteration_time_ms", "learning_rate", "weight_decay",
@@ -196,6 +266,28 @@ def source_metric_log(spark, sf):
     )
 
 
+@query(
+    "metric_sink",
+    with_ctes(CTES, "metrics", "SELECT plugin, dataset, metric, tune_index, images_seen, value, 1::BIGINT AS copies FROM metrics"),
+)
+def metric_sink(spark, sf):
+    """A stream of metric rows into the keyed sink, with every second batch written twice."""
+    path, stored = scratch_dir(spark, "metric-log"), scratch_dir(spark, "metric-sink")
+    X.metric_log(spark, sf).drop("run").repartition(4).write.json(path)
+    sink = G.idempotent_metric_sink(stored)
+
+    def with_replays(batch, epoch: int) -> None:
+        for _ in range(1 + epoch % 2):
+            sink(batch, epoch)
+
+    stream = G.stream_metric_log(spark, path, max_files=1).writeStream.foreachBatch(with_replays)
+    run = stream.option("checkpointLocation", scratch_dir(spark, "metric-sink-progress")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    copies = spark.read.parquet(stored).groupBy("plugin", "dataset", "metric", "tune_index").agg(F.count(F.lit(1)).alias("copies"))
+    rows = G.stored_metrics(spark, stored).select("plugin", "dataset", "metric", "tune_index", "images_seen", "value")
+    return rows.join(copies, ["plugin", "dataset", "metric", "tune_index"])
+
+
 @query(
     "source_mask_runs",
     with_ctes(CTES, "slides runs", "SELECT slide_id, y0, y1, x0, x1 FROM runs"),
@@ -225,12 +317,14 @@ def source_embeddings(spark, sf):
         CTES,
         "images",
         """SELECT 'center' AS facet, medical_center AS value, count(*) AS samples, (SELECT count(*) FROM images) AS total FROM images GROUP BY 2
-           UNION ALL SELECT 'label', label, count(*), (SELECT count(*) FROM images) FROM images GROUP BY 2""",
+           UNION ALL SELECT 'label', label, count(*), (SELECT count(*) FROM images) FROM images GROUP BY 2
+           UNION ALL SELECT 'centers', list(DISTINCT medical_center ORDER BY medical_center)::VARCHAR, NULL, count(*) FROM images
+           UNION ALL SELECT 'labels', list(DISTINCT label ORDER BY label)::VARCHAR, NULL, count(*) FROM images""",
     ),
 )
 def dataset_profile_json(spark, sf):
     document = M.dataset_profile_json(M.dataset_profile(X.labelled_images(spark, sf)))
-    schema = "total_samples bigint, samples_per_center map<string,bigint>, samples_per_label map<string,bigint>"
+    schema = "total_samples bigint, centers array<string>, labels array<string>, samples_per_center map<string,bigint>, samples_per_label map<string,bigint>"
     parsed = document.select(F.from_json("profile", schema).alias("d"))
 
     def facet(name: str, column: str):
@@ -240,7 +334,12 @@ def dataset_profile_json(spark, sf):
             F.col("d.total_samples").alias("total"),
         )
 
-    return facet("center", "samples_per_center").unionByName(facet("label", "samples_per_label"))
+    def listed(name: str):
+        value = F.concat(F.lit("["), F.array_join(f"d.{name}", ", "), F.lit("]"))
+        return parsed.select(F.lit(name).alias("facet"), value.alias("value"), F.lit(None).cast("bigint").alias("samples"), F.col("d.total_samples").alias("total"))
+
+    counts = facet("center", "samples_per_center").unionByName(facet("label", "samples_per_label"))
+    return counts.unionByName(listed("centers")).unionByName(listed("labels"))
 
 
 @query(
