@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.pair_merges import byte_pairs, merge_units, read_ranks
-from tessera.llm.tasks import RecentValues, arrow_batch, str_texts, worker_store
+from tessera.llm.tasks import RecentValues, arrow_batch, row_slices, str_texts, worker_store
 
 #: Characters of texts whose units are merged together, and units of a longer text at a time.
 CHUNK_CHARS, CHUNK_UNITS = 1_000_000, 250_000
@@ -65,7 +65,7 @@ class ByteEncoder:
         # Texts of single-byte characters need no Unicode tables.
         latin = {name: "".join(re.escape(chr(c)) for c in range(256) if regex.match(name, chr(c))) for name in older}
         self.latin = re.compile(spelled(pattern, latin))
-        self.known = RecentValues()
+        self.known = RecentValues(150_000)
 
     def cut(self, text: str) -> re.Pattern | regex.Pattern:
         """The pattern for this text, in the form that is fastest for its characters."""
@@ -142,7 +142,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_store(f"ranks:{ranks}:{pattern}", lambda: ByteEncoder(ranks, pattern))
         for batch in batches:
-            rows = ((i, len(ids) // 4, ids) for i, ids in zip(batch.column(0).to_pylist(), encoder.texts(str_texts(batch.column(1))), strict=True))
+            parts = (zip(b.column(0).to_pylist(), encoder.texts(str_texts(b.column(1))), strict=True) for b in row_slices(batch))
+            rows = ((i, len(ids) // 4, ids) for i, ids in chain.from_iterable(parts))
             yield from _in_parts(rows, ("doc_id", "n_tokens", "ids"), (batch.schema.field(0).type, pa.int64(), pa.binary()))
 
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -160,7 +161,8 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
         for batch in batches:
             rows = (
                 (i, n, ids, b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())))
-                for i, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for b in row_slices(batch)
+                for i, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True)
             )
             yield from _in_parts(rows, ("doc_id", "n_tokens", "ids", "decoded"), (batch.schema.field(0).type, pa.int64(), pa.binary(), pa.binary()))
 

@@ -18,7 +18,7 @@ NONE, PAD = np.int32(2**31 - 1), np.int32(-1)
 #: Widths of the buckets; longer units are merged one by one.
 WIDTHS = np.array([4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256])
 #: Cells of a matrix.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 class PairTable:

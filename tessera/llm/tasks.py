@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
@@ -48,6 +48,12 @@ class RecentValues:
         return self.young
 
 
+def row_slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of few rows, of which one at a time becomes Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; NULL counts as the empty text."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
