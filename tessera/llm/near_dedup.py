@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.filters import bit_filter, filter_position, may_hold
 from tessera.llm.shingles import HASHES, MinHasher, WordHashes, overlap, shingle_set, words_of
-from tessera.llm.tasks import arrow_batch, byte_texts, worker_store
+from tessera.llm.tasks import arrow_batch, byte_texts, row_slices, worker_store
 from tessera.session import materialize
 
 PERCENT = 85
@@ -37,7 +37,7 @@ BANDS, ROWS = 25, 5  # misses 4e-7 of the pairs at 0.85
 BATCH = 16
 MISS = 1e-6
 #: Shingles of a block of a bucket: two blocks are what one task holds of it at a time.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 
 def least_agreements(threshold: float, miss: float, hashes: int = HASHES, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -79,7 +79,7 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, row_column: str
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, signer = worker_store("word_hashes", WordHashes), MinHasher()
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole, 1024)):
             sets = [shingle_set(words_of(t), hashes) for t in byte_texts(batch.column(1))]
             names = [set_name(s) for s in sets]
             yield arrow_batch({
