@@ -240,14 +240,14 @@ def surviving_tiles(own: np.ndarray, cell: np.ndarray, pivot: np.ndarray, rows:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
-def _tiled(df: DataFrame, id_col: str, vector: str, cells: Sequence[str], tile_rows: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def _tiled(df: DataFrame, id_col: str, vector: str, cells: Sequence[str], tile_rows: int, count: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """The rows with their cell number and tile, written; the tiles (tile, cell, pivot, rows,
     radius), numbered in order of cells; and the angles between pivots."""
     spark = df.sparkSession
     sample = df.select(vector).orderBy(F.xxhash64(id_col), id_col).limit(PIVOT_SAMPLE).toArrow()
     unit = _matrix(sample[vector]) if len(sample) else np.zeros((0, 1))
     unit = unit[np.abs((unit * unit).sum(axis=1) - 1) < SLACK]
-    pivots = choose_pivots(unit, PIVOTS) if len(unit) else np.zeros((1, 1))
+    pivots = choose_pivots(unit, count) if len(unit) else np.zeros((1, 1))
     angles = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
     shared = spark.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
 
@@ -291,8 +291,11 @@ def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence
     """
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tile_rows = min(block_rows, max(LEAST_BLOCK, -(-df.count() // (2 * tasks))))
-    rows, tiles, angles = _tiled(df, id_col, vector, cells, tile_rows)
+    size = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("cells")).first()
+    tile_rows = min(block_rows, max(LEAST_BLOCK, -(-size["n"] // tasks)))
+    # No more pivots than fill the tiles of a cell: small tiles would send each vector often.
+    pivots = max(1, min(PIVOTS, size["n"] // (tile_rows * max(1, size["cells"]))))
+    rows, tiles, angles = _tiled(df, id_col, vector, cells, tile_rows, pivots)
     known = tiles.orderBy(TILE).toArrow()  # a row of numbers per tile
     column = {c: known[c].to_numpy() for c in known.column_names}
     shared = spark.sparkContext.broadcast((column[CELL_NUMBER], column["pivot"], column["rows"], column["radius"], angles))
