@@ -61,7 +61,7 @@ def copies(rng, words, n, changes):
 
 
 # Blocks of 8 members split the large group's buckets over many tasks.
-@pytest.mark.parametrize("block", [600, 1 << 21])  # shingles
+@pytest.mark.parametrize("block", [4000, 1 << 21])  # shingles
 def test_near_duplicates(spark, block):
     rng = random.Random(5)
     base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
