@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import _join_on, bucketed_row_number, fixed_width_bucket
+from tessera.operators.ranking import bucketed_row_number, fixed_width_bucket
 
 EPS = 1e-12
 CODE_BUCKET = 1 << 16
@@ -51,32 +51,50 @@ def cramers_v(cells: DataFrame, label: str, center: str, keys: Sequence[str] = (
     )
 
 
-def adjusted_rand(df: DataFrame, truth: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adjusted Rand index per key; 0 for n < 2 or a degenerate denominator."""
-    cells = df.groupBy(*keys, F.col(truth).alias("__t"), F.col(predicted).alias("__p")).agg(
-        F.count(F.lit(1)).cast("double").alias("n")
+def count_cube(df: DataFrame, axes: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of each combination of the axes, as ``n``. What scores agreement reads the
+    rows once, here; all margins are sums over cells."""
+    return df.groupBy(*keys, *axes).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _like_pairs(cells: DataFrame, keys: Sequence[str], alike: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Per key: ``total`` rows, and for each name in ``alike`` the number of row pairs
+    whose values in those columns are the same.
+
+    All margins come from one aggregation by grouping sets over the cells.
+    """
+    columns = list(dict.fromkeys(c for by in alike.values() for c in by))
+    # Bit of a column in a set's number: set where the column is summed over.
+    number = {by: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in by) for by in (*alike.values(), ())}
+    margins = cells.groupingSets([[F.col(c) for c in (*keys, *by)] for by in number], *keys, *columns).agg(
+        F.sum("n").cast("double").alias("__n"), F.grouping_id().alias("__set")
     )
-    row = F.sum("n").over(Window.partitionBy(*keys, "__t"))
-    col = F.sum("n").over(Window.partitionBy(*keys, "__p"))
-    sums = (
-        cells.withColumn("__r", row)
-        .withColumn("__c", col)
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("total"),
-            F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("nij"),
-            # summed over the cells of a row this is comb2(row)
-            F.sum(F.col("n") * (F.col("__r") - 1) / 2).alias("ai"),
-            F.sum(F.col("n") * (F.col("__c") - 1) / 2).alias("bj"),
-        )
+    pairs = F.col("__n") * (F.col("__n") - 1) / 2
+    return margins.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(F.col("__set") == number[()], F.col("__n"))), F.lit(0.0)).alias("total"),
+        *[F.sum(F.when(F.col("__set") == number[by], pairs)).alias(name) for name, by in alike.items()],
     )
+
+
+def _rand_index(both: str, one: str, other: str) -> Column:
+    """Adjusted Rand index from pairs alike in both columns, in one and in the other."""
     pairs = F.col("total") * (F.col("total") - 1) / 2
-    expected = F.col("ai") * F.col("bj") / pairs
-    denominator = (F.col("ai") + F.col("bj")) / 2 - expected
-    score = F.when(
-        (F.col("total") < 2) | (F.abs(denominator) < EPS), F.lit(0.0)
-    ).otherwise((F.col("nij") - expected) / denominator)
-    return sums.select(*keys, score.alias("ari"), F.col("total").cast("bigint").alias("n"))
+    expected = F.try_divide(F.col(one) * F.col(other), pairs)
+    denominator = (F.col(one) + F.col(other)) / 2 - expected
+    return F.when((F.col("total") < 2) | (F.abs(denominator) < EPS), F.lit(0.0)).otherwise(
+        F.try_divide(F.col(both) - expected, denominator)
+    )
+
+
+def adjusted_rand(df: DataFrame, truth: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adjusted Rand index per key; 0 for n < 2 or a degenerate denominator.
+
+    NULL is a class like any other. Without keys an empty table gives one row, 0 of 0.
+    """
+    named = df.select(*keys, F.col(truth).alias("__t"), F.col(predicted).alias("__p"))
+    alike = {"__both": ("__t", "__p"), "__one": ("__t",), "__other": ("__p",)}
+    counted = _like_pairs(count_cube(named, ["__t", "__p"], keys), keys, alike)
+    return counted.select(*keys, _rand_index("__both", "__one", "__other").alias("ari"), F.col("total").cast("bigint").alias("n"))
 
 
 def clustering_agreement(
@@ -85,17 +103,25 @@ def clustering_agreement(
     label: str = "label",
     center: str = "medical_center",
     keys: Sequence[str] = (),
+    counted: bool = False,
 ) -> DataFrame:
-    """ARI with the label minus ARI with the centre."""
-    bio = adjusted_rand(df, label, cluster, keys).withColumnRenamed("ari", "ari_label")
-    site = adjusted_rand(df, center, cluster, keys).select(
-        *keys, F.col("ari").alias("ari_center"), F.lit(1).alias("__one")
-    )
-    if keys:
-        joined = _join_on(bio, site.drop("__one"), keys)
-    else:
-        joined = bio.withColumn("__one", F.lit(1)).join(site, "__one").drop("__one")
-    return joined.withColumn("score", F.col("ari_label") - F.col("ari_center"))
+    """ARI with the label minus ARI with the centre, from one (label, centre, cluster)
+    cube: (keys, ari_label, n, ari_center, score).
+
+    ``df`` holds rows, or, if ``counted``, cells with the number of their rows as ``n``
+    (several cells of one combination add up).
+    """
+    cells = df if counted else count_cube(df, [label, center, cluster], keys)
+    alike = {
+        "__label": (label,), "__center": (center,), "__cluster": (cluster,),
+        "__label_cluster": (label, cluster), "__center_cluster": (center, cluster),
+    }
+    return _like_pairs(cells, keys, alike).select(
+        *keys,
+        _rand_index("__label_cluster", "__label", "__cluster").alias("ari_label"),
+        F.col("total").cast("bigint").alias("n"),
+        _rand_index("__center_cluster", "__center", "__cluster").alias("ari_center"),
+    ).withColumn("score", F.col("ari_label") - F.col("ari_center"))
 
 
 def balanced_accuracy(

@@ -11,6 +11,8 @@ from tessera.functions.hashing import hash_hex
 from tessera.operators.agreement import (
     balanced_accuracy,
     cell_counts,
+    clustering_agreement,
+    count_cube,
     first_appearance_codes,
     majority_vote,
     mean_std,
@@ -92,10 +94,21 @@ def pair_membership(pairs: DataFrame) -> DataFrame:
     )
 
 
-def subset_by_pair(df: DataFrame, pairs: DataFrame) -> DataFrame:
+def subset_by_pair(df: DataFrame, pairs: DataFrame, spread_by: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Rows of every pair in one pass, tagged with ``pair_id``."""
     member = pair_membership(pairs).select("pair_id", "pair_rows", *CELL)
-    return salted_join(df, member, CELL, ["sample_id"])
+    return salted_join(df, member, CELL, spread_by)
+
+
+def pair_agreement(df: DataFrame, pairs: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Agreement of one given clustering with labels and centres within each pair:
+    (pair_id, ari_label, n, ari_center, score).
+
+    Rows are counted once, into a (label, centre, cluster) cube; a pair is a sum over
+    its cells, so no row is repeated for the pairs it is in.
+    """
+    cells = subset_by_pair(count_cube(df, [*CELL, cluster]), pairs, [cluster])
+    return clustering_agreement(cells, cluster, *CELL, keys=["pair_id"], counted=True)
 
 
 def cell_neighbours(

@@ -280,8 +280,7 @@ CTES["ari_center"] = _ari_sql("medical_center")
     ),
 )
 def adjusted_rand(spark, sf):
-    rows = R.subset_by_pair(X.eval_manifest(spark, sf), infer_pairs(spark, sf))
-    return A.clustering_agreement(rows, "cluster", keys=["pair_id"]).select(
+    return R.pair_agreement(X.eval_manifest(spark, sf), infer_pairs(spark, sf)).select(
         "pair_id", *[F.round(c, 6).alias(c) for c in ("ari_label", "ari_center", "score")]
     )
 
@@ -296,8 +295,7 @@ def adjusted_rand(spark, sf):
     ),
 )
 def clustering_score_fixed(spark, sf):
-    rows = R.subset_by_pair(X.eval_manifest(spark, sf), infer_pairs(spark, sf))
-    scores = A.clustering_agreement(rows, "cluster", keys=["pair_id"])
+    scores = R.pair_agreement(X.eval_manifest(spark, sf), infer_pairs(spark, sf))
     return A.mean_std(scores, "score").select(
         F.round("value", 6).alias("value"), F.round("std", 6).alias("std"), "n"
     )

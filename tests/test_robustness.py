@@ -115,6 +115,31 @@ def test_ari_against_pair_counting(spark):
     assert one(A.adjusted_rand(df, "t", "p"))["ari"] == pytest.approx(expected)
 
 
+def test_agreement_of_pairs_is_that_of_their_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"l{a}", f"m{b}", None if c == 3 else int(c)) for i, (a, b, c) in enumerate(zip(*(rng.integers(0, n, 400).tolist() for n in (3, 3, 4))))]
+    df = spark.createDataFrame(rows, "sample_id long, label string, medical_center string, cluster int")
+    pairs = R.infer_pairs(A.cell_counts(df, "label", "medical_center"), "d")
+    columns = ["pair_id", "n", *[F.round(c, 9).alias(c) for c in ("ari_label", "ari_center", "score")]]
+    by_cube = R.pair_agreement(df, pairs).select(*columns)
+    by_rows = A.clustering_agreement(R.subset_by_pair(df, pairs), "cluster", keys=["pair_id"]).select(*columns)
+    assert by_cube.count() == pairs.count() > 1
+    assert by_cube.exceptAll(by_rows).isEmpty() and by_rows.exceptAll(by_cube).isEmpty()
+    some = pairs.limit(1)
+    apart = R.subset_by_pair(df, some)
+    label, got = one(A.adjusted_rand(apart, "label", "cluster")), one(R.pair_agreement(df, some))
+    assert got["ari_label"] == pytest.approx(label["ari"]) and got["n"] == label["n"]
+    center = one(A.adjusted_rand(apart, "medical_center", "cluster"))
+    assert got["score"] == pytest.approx(label["ari"] - center["ari"])
+
+
+def test_agreement_of_nothing(spark):
+    none = spark.createDataFrame([], "sample_id long, label string, medical_center string, cluster int")
+    assert tuple(one(A.adjusted_rand(none, "label", "cluster"))) == (0.0, 0)
+    assert A.adjusted_rand(none, "label", "cluster", ["sample_id"]).isEmpty()
+    assert one(A.clustering_agreement(none, "cluster"))["score"] == 0.0
+
+
 @pytest.mark.parametrize("table,v", [([[2100, 2100], [2100, 2100]], 0.0), ([[0, 4200], [4200, 0]], 1.0), ([[1500, 2700], [2700, 1500]], 0.2857)])
 def test_cramers_v(spark, table, v):
     rows = [(str(i), str(j), n) for i, r in enumerate(table) for j, n in enumerate(r)]
