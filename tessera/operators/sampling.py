@@ -24,6 +24,8 @@ from tessera.operators.ranking import (
 
 DRAW_BUCKET = 1 << 16
 UNIT_BINS = 4096
+WORD_BITS = 32
+ORDER_DIGITS = 3
 ALL_STRATA = "__all__"
 
 
@@ -197,18 +199,24 @@ def sample_anchors(
 
 def shuffled_shards(shards: DataFrame, seed: int, pass_index: int) -> DataFrame:
     """Row range [shard_lo, shard_hi) of each shard in the shuffled order of its
-    cycle. Rows: (partition, draw_stratum, cycle, shard_key, rows)."""
+    cycle. Rows: (partition, draw_stratum, cycle, shard_key, rows).
+
+    The order is that of a hash, so its first digits split a cycle evenly: shards of one
+    prefix are added up in a window, prefixes over their totals (at most 16^3 of them).
+    A finished cycle has a draw for every row of every shard, so the rows here are fewer
+    than the draws but for the last cycle.
+    """
     key = hash_hex(seed, pass_index, F.col("partition"), F.col("cycle"), F.col("shard_key"))
-    within = (
-        Window.partitionBy("partition", "draw_stratum", "cycle")
-        .orderBy("__h", "shard_key")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    hashed = shards.withColumn("__h", key)
+    placed = running(
+        hashed,
+        ["partition", "draw_stratum", "cycle"],
+        ["__h", "shard_key"],
+        F.substring("__h", 1, ORDER_DIGITS),
+        {"shard_hi": ("sum", "rows", True)},
     )
-    return (
-        shards.withColumn("__h", key)
-        .withColumn("shard_hi", F.sum("rows").over(within))
-        .withColumn("shard_lo", F.col("shard_hi") - F.col("rows"))
-        .select("partition", "draw_stratum", "cycle", "shard_key", "shard_lo", "shard_hi")
+    return placed.withColumn("shard_lo", F.col("shard_hi") - F.col("rows")).select(
+        "partition", "draw_stratum", "cycle", "shard_key", "shard_lo", "shard_hi"
     )
 
 
@@ -217,7 +225,8 @@ def anchor_by_index(
 ) -> DataFrame:
     """For each requested index the first usable anchor at or after index mod n,
     wrapping around. ``order`` numbers the anchors 0..n-1; no usable anchor at all
-    is an error.
+    is an error. A request looks up one word of 32 positions (see ``usable_words``),
+    and the anchors are joined to the answers only.
     """
     stats = anchors.agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(F.col(usable), F.col(order))).alias("first")
@@ -225,17 +234,37 @@ def anchor_by_index(
     if not stats["n"] or stats["first"] is None:
         raise ValueError("no anchor can be sampled")
     n, first = int(stats["n"]), int(stats["first"])
-    backwards = anchors.withColumn("__rev", F.lit(n - 1) - F.col(order)).withColumn(
-        "__ok", F.when(F.col(usable), F.col(order))
-    )
-    ahead = running(
-        backwards,
-        [],
-        ["__rev"],
-        fixed_width_bucket(F.col("__rev"), DRAW_BUCKET),
-        {"__next": ("min", "__ok", True)},
-    ).select(
-        F.col(order).alias("__start"), F.coalesce("__next", F.lit(first)).alias("__target")
-    )
-    resolved = requests.withColumn("__start", F.pmod(F.col("index"), F.lit(n))).join(ahead, "__start")
-    return resolved.join(anchors, F.col("__target") == F.col(order)).drop("__start", "__target")
+    start = F.pmod(F.col("index"), F.lit(n))
+    asked = requests.withColumn("__start", start).withColumn("__word", F.floor(F.col("__start") / WORD_BITS).cast("bigint"))
+    # Bits before the start are cleared; what is left holds the answer, or a later word does.
+    low = F.col("__start") - F.col("__word") * WORD_BITS
+    rest = F.col("__bits").bitwiseAND(F.lit(1 << WORD_BITS) - _power(low))
+    target = F.when(rest != 0, F.col("__word") * WORD_BITS + _lowest_bit(rest)).otherwise(F.coalesce("__later", F.lit(first)))
+    found = asked.join(usable_words(anchors, usable, order), "__word").withColumn("__target", target)
+    return found.join(anchors, F.col("__target") == F.col(order)).drop("__start", "__word", "__bits", "__later", "__target")
+
+
+def _power(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int"))
+
+
+def _lowest_bit(word: Column) -> Column:
+    """Place of the lowest set bit of a positive number: the bits below it are those
+    that are set in the number less one and not in the number."""
+    return F.bit_count((word - 1).bitwiseAND(F.bitwise_not(word)))
+
+
+def usable_words(anchors: DataFrame, usable: str, order: str) -> DataFrame:
+    """Successor structure over the positions: (__word, __bits, __later).
+
+    A word is a run of 32 positions with a bit for each usable one; ``__later`` is the
+    first usable position behind the word, NULL if there is none. The catalog is
+    aggregated once, map-side; everything else sees a thirty-second of its rows.
+    """
+    word = F.floor(F.col(order) / WORD_BITS).cast("bigint")
+    bit = F.when(F.col(usable), _power(F.col(order) - word * WORD_BITS)).otherwise(F.lit(0).cast("bigint"))
+    words = anchors.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    first = F.when(F.col("__bits") != 0, F.col("__word") * WORD_BITS + _lowest_bit(F.col("__bits")))
+    backwards = words.withColumns({"__first": first, "__rev": -F.col("__word")})
+    bucket = fixed_width_bucket(F.col("__rev"), DRAW_BUCKET)
+    return running(backwards, [], ["__rev"], bucket, {"__later": ("min", "__first", False)}).select("__word", "__bits", "__later")

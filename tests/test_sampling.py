@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +97,35 @@ def test_index_lookup_wraps_and_fails(spark):
         W.anchor_by_index(anchors.withColumn("ok", F.lit(False)), requests, "ok")
 
 
+@pytest.mark.parametrize("n,share", [(1, 1.0), (31, 0.2), (32, 0.2), (33, 0.1), (500, 0.02), (3000, 0.3)])
+def test_index_lookup_against_a_scan(spark, n, share):
+    rng = np.random.default_rng(n)
+    ok = rng.random(n) < share
+    ok[rng.integers(n)] = True
+    anchors = spark.createDataFrame([(i, f"a{i}", None if i % 7 == 3 and not u else bool(u)) for i, u in enumerate(ok)], "position bigint, anchor_id string, ok boolean")
+    asked = [int(i) for i in rng.integers(-n, 3 * n, 200)] + [0, n - 1, n, -1]
+    requests = spark.createDataFrame(list(enumerate(asked)), "r int, index bigint")
+    found = {r["r"]: r["position"] for r in W.anchor_by_index(anchors, requests, "ok").collect()}
+    places = np.flatnonzero(ok)
+    for r, index in enumerate(asked):
+        ahead = places[places >= index % n]
+        assert found[r] == (ahead[0] if len(ahead) else places[0])
+    assert len(found) == len(asked)
+
+
+def test_shards_of_a_cycle_are_in_hash_order(spark):
+    sizes = {f"s{i:03d}": 1 + i % 5 for i in range(300)}
+    rows = [(0, "A", c, k, n) for c in range(3) for k, n in sizes.items()]
+    shards = spark.createDataFrame(rows, "partition bigint, draw_stratum string, cycle bigint, shard_key string, rows bigint")
+    got = {(r["cycle"], r["shard_key"]): (r["shard_lo"], r["shard_hi"]) for r in W.shuffled_shards(shards, 4, 1).collect()}
+    for cycle in range(3):
+        at = 0
+        for key in sorted(sizes, key=lambda k: hashlib.md5(f"4|1|0|{cycle}|{k}".encode()).hexdigest()):
+            assert got.pop((cycle, key)) == (at, at + sizes[key])
+            at += sizes[key]
+    assert not got
+
+
 def context(spark, tissue, ctx=64, target=16, margin_um=8.0, keys=20):
     """Anchors with a given context tissue (list of rectangles or None)."""
     kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
