@@ -6,6 +6,7 @@ from tessera.sources import fixtures as X
 from tessera.streaming.events import late_rows, tumbling_windows
 from tessera.streaming.metrics import bounded_queue_stream, early_stop_stream, step_log_rollup
 from tessera.streaming.run import drain
+from tessera.streaming.stopping import early_stop_any_order
 
 
 def batches(spark, df, path, parts):
@@ -81,3 +82,45 @@ def test_late_events_are_left_out_and_counted(spark, tmp_path):
     got = {r["window_start"].minute: (r["events"], r["total"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: (2, 2.0), 30: (2, 2.0), 50: (1, 1.0)}
     assert late_rows(query) == 1
+
+
+STOP_COLUMNS = ["run", "metric", "tune_index", "best", "evals", "bad_streak", "should_stop"]
+
+
+def timed(spark, rows):
+    df = spark.createDataFrame(rows, "run string, metric string, tune_index bigint, value double")
+    return df.withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("tune_index") * 60))
+
+
+def test_rows_in_any_order_stop_as_in_order(spark, tmp_path):
+    values = [0.1, 0.5, 0.4, None, 0.6, 0.5, 0.5, float("nan"), 0.9, 0.2, 0.1, 0.3]
+    df = timed(spark, [(run, m, i, v) for run in ("a", "b") for m in ("ri", "apd_avg") for i, v in enumerate(values)])
+    # Each part is in falling order and its rows are up to four minutes behind the part before; the last one only moves time on.
+    end = timed(spark, [("end", "ri", 100, 1.0)])
+    order = [(0, 3, 4), (1, 2, 6), (5, 7, 8), (9, 10, 11)]
+    parts = [df.where(F.col("tune_index").isin(*o)).orderBy(F.desc("tune_index")) for o in order] + [end]
+    stream = early_stop_any_order(batches(spark, df, tmp_path, parts), 2, 2, delay="5 minutes")
+    got = drain(stream, "any-order", rocksdb=True).select(*STOP_COLUMNS)
+    batch = early_stop(df, ["run", "metric"], "tune_index", 2, 2).select(*STOP_COLUMNS)
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_known_distance_needs_no_watermark(spark, tmp_path):
+    df = timed(spark, [("r", "ri", i, v) for i, v in [(0, 0.1), (5, 0.5), (10, 0.4), (15, 0.3), (20, 0.2), (30, 0.9)]])
+    late = timed(spark, [("other", "ri", 40, 1.0)])
+    parts = [df.where("tune_index = 0"), late, df.where("tune_index in (10, 15, 20)"), df.where("tune_index in (5, 30)"), df.where("tune_index = 10")]
+    stream = early_stop_any_order(batches(spark, df, tmp_path, parts[:4]), 2, delay="36 minutes", every=5)
+    got = {r["tune_index"]: (r["evals"], r["should_stop"]) for r in drain(stream, "distance", rocksdb=True).where("run = 'r'").collect()}
+    # 0 goes by the watermark of 40; then 5 frees 10 to 20, and 30 waits for 25 or the time.
+    assert got == {0: (1, False), 5: (2, False), 10: (3, False), 15: (4, True), 20: (5, True)}
+
+
+def test_what_was_emitted_is_final(spark, tmp_path):
+    df = timed(spark, [("r", "ri", i, 0.1) for i in (0, 1, 2)])
+    wrong = df.where("tune_index = 0").withColumn("ts", F.timestamp_seconds(F.lit(1_700_007_200)))
+    ahead = timed(spark, [("end", "ri", 60, 1.0)])
+    parts = [df.where("tune_index > 0"), ahead, ahead.withColumn("tune_index", F.lit(61).cast("bigint")), wrong]
+    with pytest.raises(Exception, match="arrived after"):
+        drain(early_stop_any_order(batches(spark, df, tmp_path, parts), 2, delay="1 minute"), "final", rocksdb=True)
+    with pytest.raises(ValueError):
+        early_stop_any_order(df, 0)
