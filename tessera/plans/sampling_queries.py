@@ -503,16 +503,57 @@ def random_token_split(spark, sf):
     )
 
 
-@query("multiblock_masks")
+def _u32(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+
+
+def _block_sql(name: str, low: float, high: float, flat: float, steep: float) -> str:
+    """Height and width of a batch's blocks of one kind."""
+    u = f"{_u32(f"'{SEED}|{name}|' || (p_partkey // 32)")} / 4294967296.0::DOUBLE"
+    return f"""SELECT batch_id, least(round_even(sqrt(area * ratio), 0)::BIGINT, 13) AS h, least(round_even(sqrt(area / ratio), 0)::BIGINT, 13) AS w
+      FROM (SELECT batch_id, floor(196.0::DOUBLE * ({low}::DOUBLE + u * ({high}::DOUBLE - {low}::DOUBLE))) AS area, {flat}::DOUBLE + u * ({steep}::DOUBLE - {flat}::DOUBLE) AS ratio
+            FROM (SELECT DISTINCT p_partkey // 32 AS batch_id, {u} AS u FROM part))"""
+
+
+def _in_block(prefix: str) -> str:
+    return f"k // 14 >= {prefix}top AND k // 14 < {prefix}top + {prefix}h AND k % 14 >= {prefix}lft AND k % 14 < {prefix}lft + {prefix}w"
+
+
+@query(
+    "multiblock_masks",
+    f"""WITH ps AS ({_block_sql("pred", 0.15, 0.2, 0.75, 1.5)}), es AS ({_block_sql("enc", 0.85, 1.0, 1.0, 1.0)}),
+        pb AS (SELECT p_partkey AS sample_idx, batch_id, b, h, w, {_u32(f"'{SEED}|p|' || p_partkey || '|' || b || '|top'")} % (14 - h) AS top,
+                 {_u32(f"'{SEED}|p|' || p_partkey || '|' || b || '|left'")} % (14 - w) AS lft
+               FROM part JOIN ps ON batch_id = p_partkey // 32, (SELECT unnest(range(4)) AS b)),
+        pt AS (SELECT *, list_filter(range(196), lambda k: {_in_block("")}) AS ids FROM pb),
+        avoided AS (SELECT sample_idx, n, list_distinct(flatten(list(ids) FILTER (b < n))) AS away FROM pt, (SELECT unnest(range(5)) AS n) GROUP BY ALL),
+        tries AS (SELECT p_partkey AS sample_idx, batch_id, t, 4 - t // 20 AS n, h, w, {_u32(f"'{SEED}|e|0|' || p_partkey || '|' || t || '|top'")} % (14 - h) AS top,
+                    {_u32(f"'{SEED}|e|0|' || p_partkey || '|' || t || '|left'")} % (14 - w) AS lft
+                  FROM part JOIN es ON batch_id = p_partkey // 32, (SELECT unnest(range(100)) AS t)),
+        kept AS (SELECT sample_idx, batch_id, t, list_filter(range(196), lambda k: {_in_block("")} AND NOT list_contains(coalesce(away, []), k)) AS rest
+                 FROM tries JOIN avoided USING (sample_idx, n)),
+        enc AS (SELECT *, min(len(rest)) OVER (PARTITION BY batch_id) AS keep_enc FROM (
+                  SELECT sample_idx, batch_id, arg_min(rest, t) AS rest FROM kept WHERE len(rest) > 10 GROUP BY ALL)),
+        pred AS (SELECT *, min(len(ids)) OVER (PARTITION BY batch_id) AS keep_pred FROM pt)
+        SELECT sample_idx, batch_id, max(keep_pred)::BIGINT AS keep_pred, max(keep_enc)::BIGINT AS keep_enc, sum(list_sum(ids[:keep_pred]))::BIGINT AS pred_sum,
+          list_sum(max(rest)[:max(keep_enc)])::BIGINT AS enc_sum, len(list_intersect(max(rest)[:max(keep_enc)], flatten(list(ids[:keep_pred]))))::BIGINT AS shared
+        FROM pred JOIN enc USING (sample_idx, batch_id) GROUP BY ALL""",
+)
 def multiblock_masks(spark, sf):
     made = K.multiblock_masks(
         X.target_boxes(spark, sf).select("sample_idx", "batch_id"), 14, 14, seed=SEED
     )
+
+    def total(ids):
+        return F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, i: a + i)
+
     return made.select(
         "sample_idx",
         "batch_id",
         F.col("keep_pred").cast("bigint").alias("keep_pred"),
         F.col("keep_enc").cast("bigint").alias("keep_enc"),
+        total(F.flatten("pred_masks")).alias("pred_sum"),
+        total(F.element_at("enc_masks", 1)).alias("enc_sum"),
         F.size(F.array_intersect(F.element_at("enc_masks", 1), F.flatten("pred_masks")))
         .cast("bigint")
         .alias("shared"),
