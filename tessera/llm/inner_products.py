@@ -2,8 +2,10 @@
 
 Candidates are ordered by descending length and dealt to slices of bounded size.
 Queries come in blocks. The slice of the longest vectors goes first and gives every
-query a score to beat; each later slice is worked off for all queries in a task of
-its own. There, chunks whose longest vector can't reach the score to beat end the
+query a score to beat, and with it the length that a vector needs at least. Later slices
+follow in rounds of twice as many each; before a round queries are dealt to blocks by the
+length that they need, and a block meets a slice, in a task of its own, only if the
+slice's longest vector has the length that one of the block's queries needs. There, chunks whose longest vector can't reach the score to beat end the
 work; in the others the product of the leading coordinates, after a rotation that
 gathers most of the variance in them, plus the product of the remaining lengths
 (Cauchy-Schwarz) bounds the score, and only what may pass is multiplied out in
@@ -117,9 +119,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, id_column: str = "v
     rotation = spark.sparkContext.broadcast(_rotation(rows, width))  # width x width
 
     dealt = rows.repartitionByRange(n_slices, F.desc("norm"), "id").withColumn("slice", F.spark_partition_id())
-    dealt = materialize(dealt.select("slice", "id", "data"), "slices")
+    dealt = materialize(dealt.select("slice", "id", "norm", "data"), "slices")
+    reach = materialize(dealt.groupBy("slice").agg(F.max("norm").alias("longest")), "reach")
     queries = materialize(
-        rows.where("query").select("id", "data").distinct().select(F.col("id").alias("query_id"), "data", F.xxhash64("id", "data").alias("q"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block")),
+        rows.where("query").select("id", "norm", "data").distinct().select(F.col("id").alias("query_id"), "norm", "data", F.xxhash64("id", "data").alias("q"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block")),
         "queries",
     )
 
@@ -131,20 +134,44 @@ def top_inner_products(vectors: DataFrame, is_query: Column, id_column: str = "v
         place, ids, score = best_of(_matrix(left["data"], width), left["query_id"].to_numpy(), least, right["id"].to_numpy(), _matrix(right["data"], width), rotation.value, k)
         return pd.DataFrame({"q": left["q"].to_numpy()[place], "query_id": left["query_id"].to_numpy()[place], "vec_id": ids, "score": score})
 
-    def against(queries: DataFrame, slices: DataFrame, numbers: Column) -> DataFrame:
-        """Each query block meets each slice in one task."""
-        left = queries.withColumn("slice", F.explode(numbers))
-        right = slices.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    def against(asks: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Each query block meets its slices of ``pairs``, one task a pair."""
+        left = asks.join(pairs, "block").where(F.col("longest") >= F.col("needs")).select("block", "slice", "q", "query_id", "least", "data")
+        right = dealt.join(pairs.select("block", "slice"), "slice").select("block", "slice", "id", "data")
         return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(search, "q long, query_id long, vec_id long, score long")
 
-    first = materialize(against(queries.withColumn("least", F.lit(None).cast("long")), dealt.where("slice = 0"), F.array(F.lit(0))), "longest")
-    beat = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("lowest")).select("q", F.when(F.col("n") >= k, F.col("lowest")).alias("least"))
-    found = first
-    if n_slices > 1:
-        later = against(queries.join(beat, "q", "left"), dealt.where("slice > 0"), F.sequence(F.lit(1), F.lit(n_slices - 1)))
-        found = first.union(later)
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def leading(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    asks = queries.withColumns({"least": F.lit(None).cast("long"), "needs": F.lit(-1.0)})
+    found = materialize(against(asks, materialize(open_pairs(asks, reach, 0, 1), "pairs")), "longest")
+    at = 1
+    while at < n_slices:
+        best = materialize(leading(found), "leading")
+        beat = best.where(F.col("rank") == k).select("q", F.col("score").alias("least"))
+        asks = queries.drop("block").join(beat, "q", "left").withColumn("needs", needed_length(F.col("least"), F.col("norm")))
+        asks = materialize(asks.repartitionByRange(n_blocks, "needs", "q").withColumn("block", F.spark_partition_id()), "asks")
+        pairs = materialize(open_pairs(asks, reach, at, min(2 * at, n_slices)), "pairs")
+        if pairs.isEmpty():
+            break  # the slices behind hold shorter vectors still
+        found = materialize(best.drop("rank").union(against(asks, pairs)), "found")
+        at *= 2
+    return leading(found).select("query_id", "rank", "vec_id", "score")
+
+
+def needed_length(least: Column, norm: Column) -> Column:
+    """Length below which no vector's product with a query of length ``norm`` comes to
+    ``least``; -1 if any vector's may. Slack covers the rounding of lengths."""
+    return F.coalesce(F.when(norm > 0, (least.cast("double") - 1e-6) / (norm * (1 + 1e-9))), F.lit(-1.0))
+
+
+def open_pairs(asks: DataFrame, reach: DataFrame, first: int, end: int) -> DataFrame:
+    """(block, slice, longest) for the slices from ``first`` to before ``end`` that can
+    hold what one of a block's queries needs. Only numbers of blocks and slices are paired."""
+    blocks = asks.groupBy("block").agg(F.min("needs").alias("least_needed"))
+    numbered = blocks.withColumn("slice", F.explode(F.sequence(F.lit(first), F.lit(end - 1))))
+    return numbered.join(reach, "slice").where(F.col("longest") >= F.col("least_needed")).select("block", "slice", "longest")
 
 
 def _rotation(rows: DataFrame, width: int) -> np.ndarray:

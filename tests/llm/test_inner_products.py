@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.inner_products import top_inner_products
+from tessera.llm.inner_products import needed_length, open_pairs, top_inner_products
 
 
 def brute(rows, k=10):
@@ -42,3 +42,30 @@ def test_scores_that_leave_64_bits_are_an_error(spark):
     far = spark.createDataFrame([(0, [3e6] * 4), (1, [3e6] * 4)], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too long for scores"):
         top_inner_products(far, F.col("vec_id") == 0).collect()
+
+
+def test_slices_of_short_vectors_meet_no_query(spark, monkeypatch):
+    from tessera.llm import inner_products
+
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) * 0.97**i for _ in range(12)]) for i in range(400)] + [(400, [0.0] * 12), (405, [-1.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met = []
+
+    def counted(asks, reach, first, end):
+        pairs = open_pairs(asks, reach, first, end)
+        met.append((pairs.count(), asks.select("block").distinct().count() * (end - first)))
+        return pairs
+
+    monkeypatch.setattr(inner_products, "open_pairs", counted)
+    got = top_inner_products(df, F.col("vec_id") % 5 == 0, k=5, slice_rows=25, query_block=4)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute(rows, 5)
+    later = met[1:]
+    assert later and sum(n for n, _ in later) < sum(of for _, of in later) / 2
+
+
+def test_needed_length(spark):
+    rows = [(10, 2.0, 5.0), (None, 2.0, -1.0), (0, 0.0, -1.0), (-4, 2.0, -2.0), (10**18, 2.0**30, 10**18 / 2.0**30)]
+    df = spark.createDataFrame(rows, "least long, norm double, want double")
+    for r in df.withColumn("got", needed_length(F.col("least"), F.col("norm"))).collect():
+        assert r["got"] == pytest.approx(r["want"], rel=1e-6) and (r["want"] < 0 or r["got"] <= r["want"])
