@@ -16,6 +16,7 @@ from tessera.operators.targets import (
     resolution_plan,
     with_plan,
 )
+from tessera.session import materialize
 
 
 def sampling_plan(
@@ -37,15 +38,17 @@ def sampling_plan(
 ) -> DataFrame:
     """One row per usable sample: anchor, boxes, effective threshold, token masks.
 
-    Context tissue is computed once per anchor and joined to its draws; draws that
-    cannot place all targets are dropped, the others fill batches in draw order per
-    reader. ``bin_px`` should be near the context size in mask pixels.
+    Draws come first: context tissue is measured once for each anchor that was drawn, and
+    for no other, and joined to its draws. Draws that cannot place all targets are
+    dropped, the others fill batches in draw order per reader. ``bin_px`` should be near
+    the context size in mask pixels.
     """
-    contexts = attach_context_tissue(
-        with_plan(anchors, resolution_plan(slides, profile, policy.patch)), mask_runs, bin_px
+    drawn = materialize(
+        sample_anchors(with_shards(anchors, rows_per_shard), draws, seed, pass_index, partitions, weights, strategy), "drawn"
     )
-    drawn = sample_anchors(
-        with_shards(anchors, rows_per_shard), draws, seed, pass_index, partitions, weights, strategy
+    visited = drawn.select(*anchors.columns).dropDuplicates(["anchor_id"])
+    contexts = attach_context_tissue(
+        with_plan(visited, resolution_plan(slides, profile, policy.patch)), mask_runs, bin_px
     )
     added = [c for c in contexts.columns if c not in anchors.columns]
     drawn = drawn.join(contexts.select("anchor_id", *added), "anchor_id")
