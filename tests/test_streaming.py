@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.telemetry import early_stop
 from tessera.sources import fixtures as X
+from tessera.streaming.anchors import stream_anchors
 from tessera.streaming.events import late_rows, tumbling_windows
 from tessera.streaming.metrics import bounded_queue_stream, early_stop_stream, step_log_rollup
 from tessera.streaming.run import drain
@@ -124,3 +125,17 @@ def test_what_was_emitted_is_final(spark, tmp_path):
         drain(early_stop_any_order(batches(spark, df, tmp_path, parts), 2, delay="1 minute"), "final", rocksdb=True)
     with pytest.raises(ValueError):
         early_stop_any_order(df, 0)
+
+
+def test_anchor_stream_lists_its_stratum_only(spark, tmp_path):
+    """A batch for each file of the stratum, and none for another's; names are escaped as in folders."""
+    name = "a/b=c [x]*"
+    rows = spark.createDataFrame([(f"{s}{i}", s, i) for s in (name, name[:-1], "other") for i in range(3)], "anchor_id string, stratum_id string, i int")
+    root = f"{tmp_path}/anchors"
+    rows.repartitionByRange(3, "i").write.partitionBy("stratum_id", "i").parquet(root)
+    seen = []
+    stream = stream_anchors(spark, str(tmp_path), spark.read.parquet(root).schema, name[:-1], max_files=1)
+    run = stream.writeStream.foreachBatch(lambda batch, epoch: seen.append({r["anchor_id"] for r in batch.collect()})).option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert set().union(*seen) == {f"{name[:-1]}{i}" for i in range(3)}
+    assert len(seen) <= 6  # of nine files; a name that begins alike is filtered
