@@ -26,6 +26,8 @@ from tessera.session import materialize
 
 #: Candidates that each round draws for the largest k of a group, per k, and the rounds.
 CANDIDATES, ROUNDS = 4, 4
+#: Rows that meet all centres of their group at a time.
+SLICE = 1024
 
 
 @dataclass
@@ -114,11 +116,14 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def _by_group(batch: pa.RecordBatch, group: str, feature: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(group, places in the batch, vectors) of each group of a batch."""
-    names = np.array(batch.column(group).to_pylist(), object)
-    vectors = np.array(batch.column(feature).to_pylist(), np.float64)
-    for name in dict.fromkeys(names.tolist()):
-        at = np.flatnonzero(names == name)
-        yield name, at, vectors[at]
+    vectors = batch.column(feature)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    matrix = flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+    coded = batch.column(group).dictionary_encode()
+    code = coded.indices.to_numpy()
+    for number, name in enumerate(coded.dictionary.to_pylist()):
+        at = np.flatnonzero(code == number)
+        yield name, at, matrix[at]
 
 
 def fit_kmeans(rows: DataFrame, wanted: Sequence[tuple[str, int, int]], seed: int = 0, group: str = "group_id", identity: str = "sample_id", feature: str = "feature", max_passes: int = 300, tolerance: float = 1e-6) -> list[Fit]:
@@ -140,28 +145,50 @@ def fit_kmeans(rows: DataFrame, wanted: Sequence[tuple[str, int, int]], seed: in
         f.centres = _spread_out(*candidates[f.group], f.k, np.random.default_rng([seed, zlib.crc32(f.group.encode()), f.k, f.attempt]))
 
     for _ in range(max_passes):
-        moving = [(n, f) for n, f in enumerate(fits) if f.moving]
-        if not moving:
+        if not any(f.moving for f in fits):
             break
-        sums = _pass(rows, moving, group, feature)
-        for n, f in moving:
-            f.cost = sum(cost for _, cost, _ in sums[n].values())
-            after = f.centres.copy()
-            for cluster, (count, _, total) in sums[n].items():
-                after[cluster] = total / count
-            f.moving = bool(np.abs(after - f.centres).max() > tolerance)
-            f.centres = after
+        _advance(rows, fits, tolerance, group, feature)
     if unsettled := sum(f.moving for f in fits):
         warnings.warn(f"{unsettled} of {len(fits)} k-means fits still moved after {max_passes} passes", stacklevel=2)
     return fits
 
 
+def _advance(rows: DataFrame, fits: Sequence[Fit], tolerance: float, group: str, feature: str) -> None:
+    """One step of all fits that move."""
+    moving = [(n, f) for n, f in enumerate(fits) if f.moving]
+    sums = _pass(rows, moving, group, feature)
+    for n, f in moving:
+        f.cost = sum(cost for _, cost, _ in sums[n].values())
+        after = f.centres.copy()
+        for cluster, (count, _, total) in sums[n].items():
+            after[cluster] = total / count
+        f.moving = bool(np.abs(after - f.centres).max() > tolerance)
+        f.centres = after
+
+
+def settle(rows: DataFrame, fits: Sequence[Fit], group: str = "group_id", feature: str = "feature", tolerance: float = 1e-12) -> Sequence[Fit]:
+    """The fits, gone on with until no row changes its cluster, however many passes that takes.
+
+    The cost falls with each change, so there is an end. A row that changes moves two
+    centres by far more than the tolerance, which is for sums added in another order.
+    """
+    for f in fits:
+        f.moving = True
+    while any(f.moving for f in fits):
+        _advance(rows, fits, tolerance, group, feature)
+    return fits
+
+
 def _pass(rows: DataFrame, fits: list[tuple[int, Fit]], group: str, feature: str) -> dict[int, dict]:
     """Per fit and cluster: (rows, cost, sum of vectors) with the present centres."""
     of_group: dict[str, list] = defaultdict(list)
     for n, f in fits:
         of_group[f.group].append((n, f.centres))
-    shared = rows.sparkSession.sparkContext.broadcast(dict(of_group))
+    # All centres of a group meet a row in one product; starts[i] is where fit i's begin.
+    stacked = {
+        name: ([n for n, _ in own], np.cumsum([0, *(len(c) for _, c in own)]), np.concatenate([c for _, c in own])) for name, own in of_group.items()
+    }
+    shared = rows.sparkSession.sparkContext.broadcast(stacked)
     schema = "fit int, cluster int, n long, cost double, total array<double>"
 
     def batch_of(sums: dict) -> pa.RecordBatch:
@@ -176,15 +203,29 @@ def _pass(rows: DataFrame, fits: list[tuple[int, Fit]], group: str, feature: str
         sums[key] = (before[0] + n, before[1] + cost, before[2] + total)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
+        held: dict = {}
         for batch in batches:
-            for name, _, x in _by_group(batch, group, feature):
-                for n, centres in shared.value.get(name, ()):
-                    distance = _distances(x, centres)
-                    nearest = distance.argmin(axis=1)
-                    for cluster in np.unique(nearest):
-                        own = nearest == cluster
-                        add(sums, (n, int(cluster)), int(own.sum()), float(distance[own, cluster].sum()), x[own].sum(axis=0))
+            for name, _, vectors in _by_group(batch, group, feature):
+                if name not in shared.value:
+                    continue
+                _, starts, centres = shared.value[name]
+                if name not in held:
+                    held[name] = (np.zeros(len(centres)), np.zeros(len(centres)), np.zeros(centres.shape))
+                count, cost, total = held[name]
+                for at in range(0, len(vectors), SLICE):
+                    x = vectors[at : at + SLICE]
+                    distance, member = _distances(x, centres), np.zeros((len(x), len(centres)))
+                    for start, end in zip(starts, starts[1:], strict=False):
+                        member[np.arange(len(x)), start + distance[:, start:end].argmin(axis=1)] = 1.0
+                    count += member.sum(axis=0)
+                    cost += (member * distance).sum(axis=0)
+                    total += member.T @ x
+        sums: dict = {}
+        for name, (count, cost, total) in held.items():
+            numbers, starts, _ = shared.value[name]
+            for n, start, end in zip(numbers, starts, starts[1:], strict=False):
+                for c in np.flatnonzero(count[start:end]):
+                    sums[n, int(c)] = (int(count[start + c]), float(cost[start + c]), total[start + c])
         yield batch_of(sums)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

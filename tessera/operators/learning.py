@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tessera.functions.arrays import dot, l2_normalize, to_doubles
 from tessera.operators import clustering
 from tessera.operators.agreement import cell_counts, mean_std
-from tessera.operators.clustering import assign_clusters, best_attempts, fit_kmeans
+from tessera.operators.clustering import assign_clusters, best_attempts, fit_kmeans, settle
 from tessera.operators.performance_drop import accuracy_by_rho, average_performance_drop
 from tessera.operators.robustness import CELL, infer_pairs, subsample_pairs, subset_by_pair
 from tessera.operators.probes import fit_probes, probe_accuracy, probe_rows
@@ -71,9 +71,10 @@ def compute_apd(splits: DataFrame, features: DataFrame, vector: str = "embedding
 
 
 def kmeans(df: DataFrame, k: int, restarts: int = 10, seed: int = 0, feature: str = "feature") -> DataFrame:
-    """Rows with ``cluster`` from the restart with the lowest cost."""
+    """Rows with ``cluster`` from the restart with the lowest cost; each row is in the
+    cluster with the nearest mean."""
     rows = materialize(df.withColumn("group_id", F.lit("all")).withColumn("feature", to_doubles(F.col(feature))), "points")
-    best = best_attempts(fit_kmeans(rows, [("all", k, a) for a in range(restarts)], seed))
+    best = settle(rows, best_attempts(fit_kmeans(rows, [("all", k, a) for a in range(restarts)], seed)))
     return assign_clusters(rows, list(enumerate(best))).drop("group_id", "fit")
 
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import learning as M
+from tessera.operators.clustering import fit_kmeans
 from tessera.plans import evaluation as E
 from tessera.sources import fixtures as X
 from tests.conftest import one
@@ -28,6 +29,18 @@ def test_kmeans_and_silhouette_find_the_blobs(spark):
     assert M.best_k_by_silhouette(df, 2, 4, restarts=4) == 3
 
 
+def test_kmeans_goes_on_until_rows_stay(spark, monkeypatch):
+    """A fit that still moves when the joint passes end is not the result."""
+    monkeypatch.setattr(M, "fit_kmeans", lambda rows, wanted, seed: fit_kmeans(rows, wanted, seed, max_passes=1))
+    x = np.random.default_rng(2).normal(size=(400, 3))
+    df = spark.createDataFrame([(f"s{i}", v.tolist()) for i, v in enumerate(x)], "sample_id string, feature array<double>")
+    with pytest.warns(UserWarning, match="still moved"):
+        rows = M.kmeans(df, 4, restarts=2).collect()
+    x, own = np.array([r["feature"] for r in rows]), np.array([r["cluster"] for r in rows])
+    means = np.array([x[own == c].mean(axis=0) for c in range(4)])
+    assert (((x[:, None] - means) ** 2).sum(axis=2).argmin(axis=1) == own).all()
+
+
 def test_clustering_score_prefers_labels(spark):
     row = one(M.clustering_score(blobs(spark), "d", repeats=1, k_max=3, search_restarts=2, score_restarts=2))
     assert row["n"] == 1 and row["value"] > 0.4
