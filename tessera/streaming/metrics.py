@@ -47,13 +47,19 @@ STOP_SCHEMA = (
 STOP_STATE = "last bigint, best double, evals bigint, bad_streak bigint, should_stop boolean"
 
 
-def _in_order(chunks: Iterator[pd.DataFrame], order: str, last: int | None, key: tuple) -> pd.DataFrame:
-    """A key's rows of one micro-batch in order; a row that comes after a later one
-    of an earlier micro-batch is an error, for what was emitted can't be taken back."""
-    rows = pd.concat(list(chunks)).sort_values(order)
+#: Rows of a key that become Python objects at a time.
+SLICE = 8192
+
+
+def _in_order(chunks: Iterator[pd.DataFrame], order: str, last: int | None, key: tuple) -> Iterator[pd.DataFrame]:
+    """A key's rows of one micro-batch in order, in parts of ``SLICE`` rows; a row that
+    comes after a later one of an earlier micro-batch is an error, for what was emitted
+    can't be taken back. Chunks should hold numbers alone: all of them wait for the sort."""
+    rows = pd.concat(list(chunks), ignore_index=True).sort_values(order)
     if last is not None and len(rows) and rows[order].iloc[0] <= last:
         raise RuntimeError(f"{order} {rows[order].iloc[0]} of {key} arrived after {last}")
-    return rows
+    for at in range(0, len(rows), SLICE):
+        yield rows.iloc[at : at + SLICE]
 
 
 def early_stop_stream(metrics: DataFrame, patience: int, min_evals: int = 1, modes=None) -> DataFrame:
@@ -69,22 +75,20 @@ def early_stop_stream(metrics: DataFrame, patience: int, min_evals: int = 1, mod
         run, metric = key
         sign = {"max": 1.0, "min": -1.0}[modes[metric]]
         last, best, evals, streak, stopped = state.get if state.exists else (None, None, 0, 0, False)
-        rows = _in_order(chunks, "tune_index", last, key)
-        out = []
-        for index, value in zip(rows["tune_index"], rows["value"]):
-            evals += 1
-            if best is None or sign * value > sign * best:
-                best, streak = float(value), 0
-            else:
-                streak += 1
-                stopped = stopped or (evals >= min_evals and streak >= patience)
-            last = int(index)
-            out.append((run, metric, last, float(value), best, evals, streak, stopped))
+        columns = ["run", "metric", "tune_index", "value", "best", "evals", "bad_streak", "should_stop"]
+        for rows in _in_order((c[["tune_index", "value"]] for c in chunks), "tune_index", last, key):
+            out = []
+            for index, value in zip(rows["tune_index"], rows["value"]):
+                evals += 1
+                if best is None or sign * value > sign * best:
+                    best, streak = float(value), 0
+                else:
+                    streak += 1
+                    stopped = stopped or (evals >= min_evals and streak >= patience)
+                last = int(index)
+                out.append((run, metric, last, float(value), best, evals, streak, stopped))
+            yield pd.DataFrame(out, columns=columns)
         state.update((last, best, evals, streak, stopped))
-        yield pd.DataFrame(
-            out,
-            columns=["run", "metric", "tune_index", "value", "best", "evals", "bad_streak", "should_stop"],
-        )
 
     return (
         metrics.select("run", "metric", "tune_index", "value")
@@ -113,24 +117,25 @@ def bounded_queue_stream(events: DataFrame, max_pending: int, fail_on_backlog: b
         (run,) = key
         last, pending, dropped_total = state.get if state.exists else (None, [], 0)
         pending = list(pending)
-        rows = _in_order(chunks, "seq", last, key)
-        out = []
-        for seq, index, kind in zip(rows["seq"], rows["tune_index"], rows["kind"]):
-            last = int(seq)
-            if kind == "take":
-                if pending:
-                    out.append((run, seq, pending.pop(0), "taken", len(pending), dropped_total))
-                continue
-            while len(pending) >= max_pending:
-                if fail_on_backlog:
-                    raise RuntimeError(f"backlog limit reached for {run}: {max_pending} pending jobs")
-                dropped_total += 1
-                out.append((run, seq, pending.pop(0), "dropped", len(pending), dropped_total))
-            pending.append(int(index))
-            out.append((run, seq, int(index), "kept", len(pending), dropped_total))
-        state.update((last, pending, dropped_total))
         columns = ["run", "seq", "tune_index", "outcome", "queue_depth", "dropped_total"]
-        yield pd.DataFrame(out, columns=columns)
+        slim = (c[["seq", "tune_index"]].assign(take=c["kind"] == "take") for c in chunks)
+        for rows in _in_order(slim, "seq", last, key):
+            out = []
+            for seq, index, take in zip(rows["seq"], rows["tune_index"], rows["take"]):
+                last = int(seq)
+                if take:
+                    if pending:
+                        out.append((run, seq, pending.pop(0), "taken", len(pending), dropped_total))
+                    continue
+                while len(pending) >= max_pending:
+                    if fail_on_backlog:
+                        raise RuntimeError(f"backlog limit reached for {run}: {max_pending} pending jobs")
+                    dropped_total += 1
+                    out.append((run, seq, pending.pop(0), "dropped", len(pending), dropped_total))
+                pending.append(int(index))
+                out.append((run, seq, int(index), "kept", len(pending), dropped_total))
+            yield pd.DataFrame(out, columns=columns)
+        state.update((last, pending, dropped_total))
 
     return events.groupBy("run").applyInPandasWithState(
         advance, QUEUE_SCHEMA, QUEUE_STATE, "append", GroupStateTimeout.NoTimeout

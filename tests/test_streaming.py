@@ -127,6 +127,22 @@ def test_what_was_emitted_is_final(spark, tmp_path):
         early_stop_any_order(df, 0)
 
 
+def test_a_key_is_worked_off_in_parts(spark, tmp_path, monkeypatch):
+    """Frames of few rows leave the function, whatever the rows of a key; the result is the same."""
+    import pandas as pd
+
+    from tessera.streaming import metrics
+
+    chunks = [pd.DataFrame({"seq": range(i, 3 * metrics.SLICE, 2)}) for i in (1, 0)]
+    parts = list(metrics._in_order(iter(chunks), "seq", None, ("r",)))
+    assert [len(p) for p in parts] == [metrics.SLICE] * 3 and pd.concat(parts)["seq"].tolist() == list(range(3 * metrics.SLICE))
+    monkeypatch.setattr(metrics, "SLICE", 2)
+    df = spark.createDataFrame([("r", *e) for e in EVENTS], QUEUE)
+    out = drain(bounded_queue_stream(batches(spark, df, tmp_path, [df]), 2), "queue")
+    rows = [(r["tune_index"], r["outcome"]) for r in out.where("outcome <> 'kept'").orderBy("seq").collect()]
+    assert rows == [(1, "dropped"), (2, "taken"), (3, "dropped"), (4, "taken"), (5, "taken")]
+
+
 def test_anchor_stream_lists_its_stratum_only(spark, tmp_path):
     """A batch for each file of the stratum, and none for another's; names are escaped as in folders."""
     name = "a/b=c [x]*"
