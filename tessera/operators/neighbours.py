@@ -23,7 +23,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,6 +38,7 @@ TILE, BOUND = "__tile", "__bound"
 #: Bounds on similarities are widened by this: rounding of angles and of similarities.
 SLACK = 1e-6
 LEAST_BLOCK = 256
+BLOCKS_PER_CORE = 2
 CELL_NUMBER = "__cell"
 WINDOW_EXTRA = 64  # fixed value: extra candidates looked at beyond k
 SIM_DIGITS = 9  # similarities are compared after rounding, ties go to the lower id
@@ -67,6 +68,16 @@ def _best_per_row(sims: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.
     return rows[keep], cols[keep], values[keep]
 
 
+def _tasks(spark: SparkSession) -> tuple[int, int]:
+    """Tasks of a shuffle, and blocks that keep all cores busy.
+
+    Each candidate is sent once per block, so blocks are as many as cores need, not as
+    shuffles have partitions: those grow with the rows, and what is sent with the product.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), BLOCKS_PER_CORE * cores
+
+
 class _Fold(Protocol):
     """Work of one query block that meets its candidates batch by batch."""
 
@@ -97,8 +108,8 @@ def _fold_blocks(
     total = numbered.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("cells")).first()
     n, n_cells = int(total["n"] or 0), max(1, int(total["cells"]))
     # Blocks of at most block_rows, and enough of them to keep the cluster busy.
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = max(1, -(-n // block_rows), min(-(-tasks // n_cells), -(-n // LEAST_BLOCK)))
+    tasks, wide = _tasks(spark)
+    blocks = max(1, -(-n // block_rows), min(-(-wide // n_cells), -(-n // LEAST_BLOCK)))
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     columns = df.columns
 
@@ -290,9 +301,9 @@ def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence
     Queries are sent once, candidates once for each query tile that they survive for.
     """
     spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks, wide = _tasks(spark)
     size = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("cells")).first()
-    tile_rows = min(block_rows, max(LEAST_BLOCK, -(-size["n"] // tasks)))
+    tile_rows = min(block_rows, max(LEAST_BLOCK, -(-size["n"] // wide)))
     # No more pivots than fill the tiles of a cell: small tiles would send each vector often.
     pivots = max(1, min(PIVOTS, size["n"] // (tile_rows * max(1, size["cells"]))))
     rows, tiles, angles = _tiled(df, id_col, vector, cells, tile_rows, pivots)
@@ -312,7 +323,10 @@ def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence
     sent = _join_on(rows, needed, [TILE]).withColumn("b", F.explode("by"))
     candidates = sent.select(F.col("b.__block").alias("__block"), CELL_NUMBER, F.lit(1).alias("__kind"), F.col(f"b.{BOUND}").alias(BOUND), *df.columns)
     queries = rows.select(F.col(TILE).alias("__block"), F.lit(-1).alias(CELL_NUMBER), F.lit(0).alias("__kind"), F.lit(0.0).alias(BOUND), *df.columns)
-    dealt = queries.unionByName(candidates).repartition(max(1, min(n_tiles, 32 * tasks)), "__block")
+    parts = max(1, min(n_tiles, 32 * tasks))
+    # By number, not by hash: no task gets several tiles while another has none.
+    every = queries.unionByName(candidates).withColumn("__part", F.col("__block") % parts)
+    dealt = every.repartitionById(parts, "__part").drop("__part")
     arrow = to_arrow_schema(schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

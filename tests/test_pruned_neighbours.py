@@ -51,3 +51,20 @@ def test_pivots_are_apart():
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     assert len({int(p.argmax()) for p in N.choose_pivots(sample, 8)}) == 8
     assert len(N.choose_pivots(np.repeat(centres[:2], 9, 0), 8)) == 2
+
+
+def test_rows_sent_do_not_grow_with_shuffle_partitions(spark, monkeypatch):
+    """Blocks follow the cores: more partitions of a shuffle send no candidate more often."""
+    monkeypatch.setattr(N, "LEAST_BLOCK", 1)
+    x = np.random.default_rng(3).normal(size=(400, 6))
+    df = spark.createDataFrame([(f"r{k:04d}", v.tolist()) for k, v in enumerate(x)], "sample_id string, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(N, "_tiled", lambda *a, made=N._tiled: seen.append(a[4]) or made(*a))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            N.neighbour_partials(df, 3).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] > 2
