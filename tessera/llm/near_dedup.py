@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, id_column: str, text_column: str, classes: DataFrame,
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = worker_store("word_hashes", WordHashes), set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole)):
             stay = pa.array(may_hold(packed.value, batch.column(0).to_numpy()))
             out = []
             for text in byte_texts(batch.column(1).filter(stay)):
@@ -158,7 +158,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
     likely = materialize(sized.select("a", "b", "s_a", "s_b").mapInArrow(prune, "a long, b long"), "candidates")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole)):
             x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
             same = pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y, strict=True)])
             yield arrow_batch({"a": batch.column("a").filter(same), "b": batch.column("b").filter(same)})
