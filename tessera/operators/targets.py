@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions import geometry as G
 from tessera.operators.index import SamplingProfile
-from tessera.operators.placement import Search
+from tessera.operators.placement import search_together
 from tessera.operators.ranking import salted_join, spread
 
 MAX_ATTEMPTS = 4000  # fixed value
@@ -212,12 +212,14 @@ def place_targets(
             tissue = batch.column("tissue")
             lengths, edges = tissue.value_lengths().to_pylist(), tissue.flatten()
             rectangles = np.stack([edges.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")], axis=1)
-            at, found = 0, []
-            for n, *values in zip(lengths, *(batch.column(c).to_pylist() for c in own), strict=True):
-                mine = None if n is None else rectangles[at : at + n]
-                at += n or 0
-                possible = all(v is not None for v in values) and values[5] > 0
-                found.append(Search(*values, mine).result(thresholds, wanted, attempts) if possible else None)
+            ends = np.cumsum([n or 0 for n in lengths])
+            mine = [None if n is None else rectangles[end - n : end] for n, end in zip(lengths, ends, strict=True)]
+            prefixes, *values = (batch.column(c).to_pylist() for c in own)
+            possible = [k for k, v in enumerate(zip(prefixes, *values, strict=True)) if None not in v and v[5] > 0]
+            numbers = np.array([[v[k] for v in values] for k in possible], np.int64).reshape(-1, len(values))
+            found = [None] * batch.num_rows
+            for k, f in zip(possible, search_together([prefixes[k] for k in possible], numbers, [mine[k] for k in possible], thresholds, wanted, attempts), strict=True):
+                found[k] = f
             boxes = [None if f is None else [dict(zip(BOX_FIELDS, b, strict=True)) for b in f[0]] for f in found]
             kept = [c for c in batch.schema.names if c not in own]
             columns = [*(batch.column(c) for c in kept), pa.array([f and f[1] for f in found], pa.float64()), pa.array(boxes, arrow.field("targets").type)]

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.operators.placement import Search, TissueArea
+from tessera.operators.placement import Search, TissueArea, digests, digests_together, search_together
 
 
 def disjoint(rng, n, width):
@@ -66,3 +66,27 @@ def test_search_is_the_plain_loop(seed):
     if found:
         assert found[1] == want[1] and [b[:2] for b in found[0]] == [b[:2] for b in want[0]]
         assert all(b[4] == w[2] or abs(b[4] - w[2]) < 1e-12 for b, w in zip(found[0], want[0], strict=True))
+
+
+def test_search_together_is_the_single_search():
+    """Masks or none, none of their rectangles or many, long prefixes, aligned or not; some anchors need the last stage."""
+    rng = np.random.default_rng(5)
+    prefixes, numbers, rectangles = [], [], []
+    for k in range(90):
+        size = int(rng.integers(8, 24))
+        low, step, count, shift = (size // 2, 1, 64 - 2 * (size // 2), size // 2) if k % 2 else (0, 4, 12, 0)
+        prefixes.append(f"7|0|a{k}|" + "x" * (60 * (k % 9 == 8)))
+        numbers.append((64, size, low, step, count, shift))
+        rectangles.append(None if k % 7 == 6 else np.round(disjoint(rng, int(rng.integers(0, 25)) + 45 * (k % 11 == 10), 80).reshape(-1, 4)))
+    for policy in (([0.6, 0.4, 0.2, 0.05], 4, 700), ([0.9], 3, 40), ([0.5, 0.1], 2, 1200)):
+        alone = [Search(p, *n, r).result(*policy) for p, n, r in zip(prefixes, numbers, rectangles, strict=True)]
+        assert search_together(prefixes, np.array(numbers), rectangles, *policy) == alone
+        assert {f is None for f in alone} == {True, False}
+    assert search_together([], np.empty((0, 6), np.int64), [], [0.5], 4, 700) == []
+
+
+def test_digests_together():
+    prefixes = [b"", b"7|0|S1_0000001|", b"x" * 48]
+    both = digests_together(prefixes, 1203)
+    for k, prefix in enumerate(prefixes):
+        assert (np.stack([both[0][k], both[1][k]], 1) == digests(prefix.decode(), 1, 1203)).all()
