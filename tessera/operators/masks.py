@@ -51,7 +51,7 @@ def footprint_masks(
     in_batch = Window.partitionBy(batch)
     # Shuffle boxes, not the token lists they grow into; the window reuses it.
     tokens = footprint_tokens(spread(samples, batch), grid_w, grid_h, patch, boxes).withColumn(
-        "union_tokens", F.array_sort(F.array_distinct(F.flatten("raw_tokens")))
+        "union_tokens", F.sort_array(F.array_distinct(F.flatten("raw_tokens")))
     )
     rest = tokens.withColumn("__rest", token_complement(F.col("union_tokens"), total))
     short = F.size("__rest") < min_keep

@@ -56,8 +56,10 @@ def sampling_plan(
     placed = place_targets(drawn, profile, policy, seed, key, pass_index).where(
         F.col("targets").isNotNull()
     )
+    # Numbering reads its rows twice: what was searched is written, not searched again.
+    placed = materialize(placed.drop("tissue"), "placed")
     numbered = bucketed_row_number(
-        placed.drop("tissue"),
+        placed,
         ["partition"],
         ["draw_idx"],
         fixed_width_bucket(F.col("draw_idx"), DRAW_BUCKET),

@@ -283,6 +283,15 @@ def test_sampling_pass(spark, sf, catalog):
     assert sorted(r["sample_idx"] for r in rows) == list(range(len(rows)))
 
 
+def test_sampling_pass_searches_once(spark, sf, catalog):
+    """The rows that are numbered come from a table: the search is not in the plan that reads them twice."""
+    plan = sampling_plan(
+        X.slides(spark, sf), X.mask_runs(spark, sf), catalog.drop("shard_index", "row_in_shard"),
+        W.draw_range(spark, 8), P, T.PlacementPolicy(), rows_per_shard=8,
+    )
+    assert "MapInArrow" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_repeat_interleave_matches_blocks(spark):
     rows = spark.range(6).select("id", F.col("id").alias("o"))
     got = [r["id"] for r in K.repeat_interleave(rows, "o", 2, 3).orderBy("o").collect()]
