@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.control import let
+
 # Names of the ways a pyramid level is chosen.
 NATIVE, FROM_FINER, FROM_COARSER = "native_or_close", "fallback_from_finer", "fallback_from_coarser"
 MAX_OVERLAP_RATIO = 0.25
@@ -231,14 +233,20 @@ def box_to_tokens(b: Column, grid_w, grid_h, patch) -> Column:
     xs = token_span(b["x0"], b["x1"], patch, grid_w)
     ys = token_span(b["y0"], b["y1"], patch, grid_h)
     gw = whole(grid_w)
-    cells = F.flatten(
-        F.transform(
-            F.sequence(ys["first"], ys["last"] - 1),
-            lambda y: F.transform(F.sequence(xs["first"], xs["last"] - 1), lambda x: y * gw + x),
-        )
+    span = F.struct(
+        (ys["first"] * gw + xs["first"]).alias("start"),
+        (xs["last"] - xs["first"]).alias("wide"),
+        (ys["last"] - ys["first"]).alias("high"),
     )
-    empty = (xs["last"] <= xs["first"]) | (ys["last"] <= ys["first"])
-    return F.when(empty, F.array(F.lit(0).cast("bigint"))).otherwise(cells)
+
+    def cells(s: Column) -> Column:
+        # One sequence of row starts and one per row: no function call for each token.
+        starts = F.sequence(s["start"], s["start"] + (s["high"] - 1) * gw, gw)
+        rows = F.transform(starts, lambda first: F.sequence(first, first + s["wide"] - 1))
+        empty = (s["wide"] <= 0) | (s["high"] <= 0)
+        return F.when(empty, F.array(F.lit(0).cast("bigint"))).otherwise(F.flatten(rows))
+
+    return let(span, cells)
 
 
 def token_offsets(b: Column, patch) -> Column:

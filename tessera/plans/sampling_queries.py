@@ -9,7 +9,7 @@ from tessera.operators import index as I
 from tessera.operators import masks as K
 from tessera.operators import sampling as W
 from tessera.operators import targets as T
-from tessera.operators.ranking import bucketed_row_number
+from tessera.operators.ranking import bucketed_row_number, spread
 from tessera.plans.index_queries import ANCHOR_CTES, P, anchors
 from tessera.plans.oracle_ctes import CTES
 from tessera.plans.registry import query, with_ctes
@@ -398,8 +398,12 @@ def footprint_masks(spark, sf):
     ),
 )
 def box_tokens(spark, sf):
-    raw = K.footprint_tokens(X.target_boxes(spark, sf), GRID, GRID, PATCH)
-    return raw.select("sample_idx", F.posexplode("raw_tokens").alias("t", "ids")).select(
+    # A box is a few bytes and some seventy rows: tasks follow the rows made, not the bytes read.
+    boxes = spread(X.target_boxes(spark, sf), "sample_idx")
+    raw = K.footprint_tokens(boxes, GRID, GRID, PATCH)
+    # Outer, for a filter on the lists would be moved before the exchange and make them twice;
+    # without a list the second explode leaves nothing.
+    return raw.select("sample_idx", F.posexplode_outer("raw_tokens").alias("t", "ids")).select(
         "sample_idx", F.col("t").cast("bigint").alias("target"), F.explode("ids").alias("token")
     )
 

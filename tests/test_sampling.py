@@ -9,6 +9,7 @@ from tessera.operators import index as I
 from tessera.operators import masks as K
 from tessera.operators import sampling as W
 from tessera.operators import targets as T
+from tessera.plans.catalog import queries as catalog_queries
 from tessera.plans.sampling_pass import sampling_plan
 from tessera.session import materialize
 from tessera.sources import fixtures as X
@@ -297,3 +298,11 @@ def test_repeat_interleave_matches_blocks(spark):
     got = [r["id"] for r in K.repeat_interleave(rows, "o", 2, 3).orderBy("o").collect()]
     x = np.arange(6)
     assert got == np.concatenate([np.tile(x[i : i + 2], 3) for i in (0, 2, 4)]).tolist()
+
+
+def test_box_tokens_are_made_in_all_tasks(spark, sf):
+    """Some seventy rows a box: a file of few bytes is not expanded in one task."""
+    made = catalog_queries()["box_tokens"](spark, sf)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(transform" not in plan[plan.index("RepartitionByExpression") :]
