@@ -43,6 +43,8 @@ CELL_NUMBER = "__cell"
 WINDOW_EXTRA = 64  # fixed value: extra candidates looked at beyond k
 SIM_DIGITS = 9  # similarities are compared after rounding, ties go to the lower id
 _TILE = 512
+#: Rows that a task holds where it merges what a query tile found in all cells.
+HELD_ROWS = 1 << 23
 
 
 def _matrix(column: pa.ChunkedArray, unit: bool = True) -> np.ndarray:
@@ -78,6 +80,17 @@ def _tasks(spark: SparkSession) -> tuple[int, int]:
     return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), BLOCKS_PER_CORE * cores
 
 
+class Merge(Protocol):
+    """What becomes, inside the task, of the nearest rows of a query tile in all cells."""
+
+    schema: T.StructType
+
+    def pack(self, queries: pa.Table, best: pa.Table) -> pa.Table:
+        """What is held of one cell; ``best`` has __row (of the query), __sim, the id and what is carried."""
+
+    def close(self, queries: pa.Table, parts: list[pa.Table]) -> pa.Table: ...
+
+
 class _Fold(Protocol):
     """Work of one query block that meets its candidates batch by batch."""
 
@@ -161,12 +174,14 @@ def neighbour_partials(
     carry: Sequence[str] = (),
     cells: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    merge: Merge | None = None,
 ) -> DataFrame:
     """The ``m`` most similar candidates (self included) of each query in each cell:
     (query_id, neighbour_id, similarity, q_*, n_*).
 
     Without ``cells`` all rows are one cell. With them, the neighbours within any
     union of cells can be merged from one result of at most rows x cells x m rows.
+    With ``merge`` these rows stay in the task, and what it makes of a query tile is returned.
     """
     carry = list(dict.fromkeys([*carry, *cells]))
     slim = df.select(id_col, vector, *[c for c in carry if c != id_col])
@@ -211,7 +226,9 @@ def neighbour_partials(
             columns = [q[id_col], self.best[id_col], self.best["__sim"], *(q[c] for c in carry), *(self.best[c] for c in carry)]
             return pa.Table.from_arrays(columns, names=schema.names)
 
-    return _fold_tiles(slim, m, id_col, vector, list(cells), block_rows, schema, Nearest)
+    if merge is not None:
+        schema = merge.schema
+    return _fold_tiles(slim, m, id_col, vector, list(cells), block_rows, schema, Nearest, merge)
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -294,7 +311,7 @@ def _tiled(df: DataFrame, id_col: str, vector: str, cells: Sequence[str], tile_r
     return rows, tiles.select(TILE, CELL_NUMBER, F.col("__pivot").alias("pivot"), "rows", "radius"), angles
 
 
-def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence[str], block_rows: int, schema: T.StructType, begin: Callable[[pa.Table], _Fold]) -> DataFrame:
+def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence[str], block_rows: int, schema: T.StructType, begin: Callable[[pa.Table], _Fold], merge: Merge | None = None) -> DataFrame:
     """Result of ``begin(query tile)`` for each cell after it has seen the candidate tiles
     of that cell that may hold one of a query's m nearest rows.
 
@@ -303,6 +320,8 @@ def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence
     spark = df.sparkSession
     tasks, wide = _tasks(spark)
     size = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("cells")).first()
+    if merge is not None:
+        block_rows = max(1, min(block_rows, HELD_ROWS // (m * max(1, size["cells"]))))
     tile_rows = min(block_rows, max(LEAST_BLOCK, -(-size["n"] // wide)))
     # No more pivots than fill the tiles of a cell: small tiles would send each vector often.
     pivots = max(1, min(PIVOTS, size["n"] // (tile_rows * max(1, size["cells"]))))
@@ -330,11 +349,17 @@ def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence
     arrow = to_arrow_schema(schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, cell, queries, work = None, None, [], None
+        block, cell, queries, work, held = None, None, [], None, []
 
-        def results() -> Iterator[pa.RecordBatch]:
-            if work is not None:
+        def results(over: bool) -> Iterator[pa.RecordBatch]:
+            """Of the cell that ends, and of the tile where that is over too."""
+            if work is not None and merge is None:
                 yield from work.result().cast(arrow).to_batches(max_chunksize=65536)
+            elif work is not None:
+                held.append(merge.pack(work.queries, work.best))
+                if over:
+                    yield from merge.close(work.queries, held).cast(arrow).to_batches(max_chunksize=65536)
+                    held.clear()
 
         for batch in batches:
             parts = np.stack([batch.column(k).to_numpy() for k in range(2)])
@@ -345,7 +370,7 @@ def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence
                     continue
                 own, now = parts[:, start]
                 if own != block or now != cell:
-                    yield from results()
+                    yield from results(own != block)
                     queries, work = queries if own == block else [], None
                     block, cell = own, now
                 if now < 0:
@@ -354,7 +379,7 @@ def _fold_tiles(df: DataFrame, m: int, id_col: str, vector: str, cells: Sequence
                 if work is None:
                     work = begin(pa.concat_tables(queries).drop_columns([BOUND]))
                 work.add(rows.slice(start, end - start))
-        yield from results()
+        yield from results(True)
 
     order = ["__block", CELL_NUMBER, F.desc(BOUND), id_col]
     return dealt.sortWithinPartitions(*order).mapInArrow(fold, schema)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.hashing import hash_hex
 from tessera.operators.agreement import (
@@ -121,6 +125,11 @@ def cell_neighbours(
     )
 
 
+def whole_neighbours(df: DataFrame, kmax: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Nearest rows of each query in the whole set: a row's window, not one for each cell."""
+    return neighbour_partials(df, kmax + WINDOW_EXTRA, carry=["slide_id", "label"], block_rows=block_rows)
+
+
 def knn_label_accuracy(
     df: DataFrame, partials: DataFrame, k_values: Sequence[int], rows: int
 ) -> DataFrame:
@@ -179,6 +188,71 @@ def pair_robustness(partials: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     )
 
 
+class PairCounts:
+    """Counts of ``pair_robustness`` from the nearest rows of a query tile in all cells.
+
+    All queries of a tile are of one cell, so each pair that it is in merges the same four cells.
+    """
+
+    schema = T.StructType([T.StructField("pair_id", T.StringType()), T.StructField("so", T.LongType()), T.StructField("os", T.LongType())])
+
+    def __init__(self, pairs: Sequence[Row], k: int, id_col: str = "sample_id") -> None:
+        self.k, self.id_col = k, id_col
+        self.pairs: dict = {}
+        for p in pairs:
+            corners = [(label, center) for label in (p["c1"], p["c2"]) for center in (p["m1"], p["m2"])]
+            for corner in corners:
+                self.pairs.setdefault(corner, []).append((p["pair_id"], p["pair_rows"], corners))
+
+    def pack(self, queries: pa.Table, best: pa.Table) -> tuple:
+        own = queries.take(best["__row"])
+        slim = {
+            "row": best["__row"].cast(pa.int32()),
+            "sim": best["__sim"],
+            "id": best[self.id_col],
+            "same": pc.equal(own["slide_id"], best["slide_id"]),
+            "itself": pc.equal(own[self.id_col], best[self.id_col]),
+        }
+        return tuple(best[c][0].as_py() for c in CELL), pa.table(slim).combine_chunks()
+
+    def close(self, queries: pa.Table, parts: list) -> pa.Table:
+        label, center = (queries[c][0].as_py() for c in CELL)
+        found = dict(parts)
+        counts = [(pair, *self._count(found, corners, label, center, rows)) for pair, rows, corners in self.pairs.get((label, center), [])]
+        return pa.table([list(c) for c in zip(*counts, strict=True)] or [[], [], []], names=self.schema.names)
+
+    def _count(self, found: dict, corners: list, label: str, center: str, rows: int) -> tuple[int, int]:
+        cells = []
+        for corner in corners:
+            kind = 1 if corner[0] == label and corner[1] != center else 2 if corner[0] != label and corner[1] == center else 0
+            cells.append(found[corner].append_column("kind", pa.array(np.full(len(found[corner]), kind, np.int8))))
+        every = pa.concat_tables(cells)
+        every = every.take(pc.sort_indices(every, [("row", "ascending"), ("sim", "descending"), ("id", "ascending")]))
+        row, same, itself, kind = (every[c].to_numpy() for c in ("row", "same", "itself", "kind"))
+        near = np.arange(len(row)) - np.searchsorted(row, row)
+        seen = (near < min(self.k + WINDOW_EXTRA, rows - 1)) & ~itself
+        row, same, near, kind = row[seen], same[seen], near[seen], kind[seen]
+        order = np.lexsort((near, same, row))
+        row, kind = row[order], kind[order]
+        first, last = np.searchsorted(row, row), np.searchsorted(row, row, "right")
+        if len(row) and (last - first).min() < self.k:
+            raise ValueError("not enough neighbours to compute the index")
+        kind = kind[np.arange(len(row)) - first < self.k]
+        return int((kind == 1).sum()), int((kind == 2).sum())
+
+
+def pair_robustness_of(df: DataFrame, pairs: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``pair_robustness`` of rows with embeddings. Cells are merged where they were found:
+    a task returns counts per pair, not the nearest rows of every query in every cell."""
+    usable = pairs.where(F.col("pair_rows") > k + 1).collect()  # label pairs x centre pairs
+    counts = neighbour_partials(
+        df, k + WINDOW_EXTRA, carry=["slide_id"], cells=CELL, block_rows=block_rows, merge=PairCounts(usable, k)
+    )
+    counted = counts.groupBy("pair_id").agg(F.sum("so").alias("so"), F.sum("os").alias("os"))
+    total = F.col("so") + F.col("os")
+    return counted.withColumn("value", F.when(total > 0, F.col("so") / total).otherwise(F.lit(0.5)))
+
+
 def compute_ri(
     df: DataFrame,
     dataset: str,
@@ -189,16 +263,17 @@ def compute_ri(
 ) -> DataFrame:
     """Robustness index of a dataset: (dataset, k, value, std, n).
 
-    The neighbour lists are computed once and written to the scratch folder; the
-    choice of k and all pairs read them from there.
+    k is chosen from the neighbours in the whole set. Then each task merges the cells of
+    the pairs for its queries: lists per cell are neither shuffled nor written.
     """
     kmax = max(k_candidates)
     cells = cell_counts(df, *CELL)
     rows = int(cells.agg(F.sum("n")).first()[0] or 0)
-    partials = materialize(cell_neighbours(df, kmax, block_rows), "neighbours")
+    whole = whole_neighbours(df, kmax, block_rows)
     pairs = subsample_pairs(infer_pairs(cells, dataset), max_pairs, seed)
-    k = int(best_k(knn_label_accuracy(df, partials, k_candidates, rows), k_candidates).first()["k"])
-    summary = mean_std(pair_robustness(partials, pairs, k), "value")
+    k = int(best_k(knn_label_accuracy(df, whole, k_candidates, rows), k_candidates).first()["k"])
+    # One small row per pair, read more than once.
+    summary = mean_std(materialize(pair_robustness_of(df, pairs, k, block_rows), "pairs"), "value")
     checked = F.when(
         F.col("n") == 0, F.raise_error(F.lit(f"{dataset}: no usable label/centre pairs"))
     ).otherwise(F.col("value"))

@@ -65,6 +65,33 @@ def test_no_informative_neighbour_is_one_half(spark):
     assert (row["so"], row["os"], row["value"]) == (0, 0, 0.5)
 
 
+def merged_frame(spark):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(150, 4))
+    v[20:30] = v[20]  # ties across cells and slides
+    return frame(spark, v, rng.integers(0, 3, 150), rng.integers(0, 3, 150), rng.integers(0, 6, 150))
+
+
+@pytest.mark.parametrize(("block_rows", "held"), [(4096, 1 << 23), (4096, 9 * 67 * 10)])
+def test_cells_merged_in_the_task(spark, monkeypatch, block_rows, held):
+    """Counts of the pairs are those from lists per cell, whatever a task holds; the lists stay in the task."""
+    monkeypatch.setattr(N, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(N, "HELD_ROWS", held)
+    df = merged_frame(spark)
+    pairs = R.infer_pairs(A.cell_counts(df, *R.CELL), "d")
+    want = {tuple(r) for r in R.pair_robustness(R.cell_neighbours(df, 3), pairs, 3).select("pair_id", "so", "os", "value").collect()}
+    got = {tuple(r) for r in R.pair_robustness_of(df, pairs, 3, block_rows).select("pair_id", "so", "os", "value").collect()}
+    assert got == want and len(got) == 9
+
+
+def test_windows_of_the_whole_set_have_one_list_a_row(spark):
+    df = merged_frame(spark)
+    assert R.whole_neighbours(df, 3).count() == 150 * 67
+    keys = ["query_id", "neighbour_id", "rank", "backfilled"]
+    one_list, by_cell = ({tuple(r) for r in N.slide_aware_neighbours(p, 3, 67).select(*keys).collect()} for p in (R.whole_neighbours(df, 3), R.cell_neighbours(df, 3)))
+    assert one_list == by_cell
+
+
 def test_pairs_need_four_cells(spark):
     cells = spark.createDataFrame(
         [("a", "x", 3), ("a", "y", 1), ("b", "x", 2), ("b", "y", 4), ("c", "x", 9), ("c", "z", 1)],
