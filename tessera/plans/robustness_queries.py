@@ -193,7 +193,7 @@ def knn_topk(spark, sf):
 def slide_aware_neighbours(spark, sf):
     df = X.eval_features(spark, sf)
     rows = df.count()
-    chosen = N.slide_aware_neighbours(R.cell_neighbours(df, 15), 15, min(79, rows - 1))
+    chosen = N.slide_aware_neighbours(R.whole_neighbours(df, 15), 15, min(79, rows - 1))
     return chosen.select(
         "query_id", "neighbour_id", "backfilled", F.col("rank").cast("bigint").alias("rank")
     )
@@ -201,7 +201,7 @@ def slide_aware_neighbours(spark, sf):
 
 def _accuracy(spark, sf):
     df = X.eval_features(spark, sf)
-    return R.knn_label_accuracy(df, R.cell_neighbours(df, 15), R.K_CANDIDATES, df.count())
+    return R.knn_label_accuracy(df, R.whole_neighbours(df, 15), R.K_CANDIDATES, df.count())
 
 
 @query(
@@ -232,9 +232,8 @@ def robustness_index_by_pair(spark, sf):
     df = X.eval_features(spark, sf)
     cells = A.cell_counts(df, *R.CELL)
     rows = df.count()
-    partials = R.materialize(R.cell_neighbours(df, 15), "neighbours")
-    k = R.best_k(R.knn_label_accuracy(df, partials, R.K_CANDIDATES, rows), R.K_CANDIDATES).first()["k"]
-    return R.pair_robustness(partials, R.infer_pairs(cells, "tiles"), int(k)).select(
+    k = R.best_k(R.knn_label_accuracy(df, R.whole_neighbours(df, 15), R.K_CANDIDATES, rows), R.K_CANDIDATES).first()["k"]
+    return R.pair_robustness_of(df, R.infer_pairs(cells, "tiles"), int(k)).select(
         "pair_id", "so", "os", F.round("value", 6).alias("value")
     )
 
@@ -328,7 +327,7 @@ def silhouette_fixed(spark, sf):
 )
 def majority_vote(spark, sf):
     df = X.eval_features(spark, sf)
-    chosen = N.slide_aware_neighbours(R.cell_neighbours(df, 15), 15, min(79, df.count() - 1))
+    chosen = N.slide_aware_neighbours(R.whole_neighbours(df, 15), 15, min(79, df.count() - 1))
     ks = F.array(*[F.lit(k).cast("bigint") for k in R.K_CANDIDATES])
     votes = chosen.select(
         "query_id",
