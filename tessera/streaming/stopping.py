@@ -2,23 +2,34 @@
 
 A row waits in keyed state until nothing can come before it: until the watermark has
 passed its time, which a timer reports, or, where evaluations come at a known distance,
-until the one before it is done. State is on disk (RocksDB), rows pass one by one, and
-only the rows of one delay wait.
+until the one before it is done. State is on disk (RocksDB) and holds the rows of one
+delay, those of neighbouring indices together: a call to the state moves many rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.telemetry import METRIC_MODES
-from tessera.streaming.metrics import STOP_SCHEMA
 
-PROGRESS = "last bigint, best double, evals bigint, bad_streak bigint, should_stop boolean, wake bigint"
+PROGRESS = "last bigint, best double, evals bigint, bad_streak bigint, should_stop boolean, wake bigint, parts bigint"
+#: Pandas can't tell NULL from NaN, so NULL has columns of its own.
+TAKEN = (
+    "run string, metric string, tune_index bigint, value double, value_missing boolean, best double, "
+    "best_missing boolean, evals bigint, bad_streak bigint, should_stop boolean"
+)
+ROWS = np.dtype([("tune_index", "<i8"), ("at", "<i8"), ("value", "<f8"), ("missing", "?")])
+
+#: Indices (steps of ``every``, where it is known) whose waiting rows are kept together.
+WIDTH = 1 << 16
+#: Rows of a key that are put into the state at a time, and that leave it at a time.
+SLICE, OUT = 1 << 17, 1 << 13
 
 
 def early_stop_any_order(
@@ -39,7 +50,7 @@ def early_stop_any_order(
 
     As in the batch form, NaN beats every number, and a NULL value lengthens the streak
     without being one to stop at. The first row of a waiting index counts and its repeats
-    don't. A row
+    don't; the rows of a micro-batch wait until all of them are there. A row
     without time or index, a metric without known direction and a row whose index is not
     beyond what was emitted stop the stream: what was emitted can't be taken back.
 
@@ -49,33 +60,97 @@ def early_stop_any_order(
     if patience <= 0:
         raise ValueError("patience must be > 0")
     signs = {m: {"max": 1.0, "min": -1.0}[mode] for m, mode in (METRIC_MODES if modes is None else modes).items()}
+    layout, width, slice_rows, out_rows = ROWS, WIDTH * (every or 1), SLICE, OUT
 
     # Inside the function, so that it travels by value and executors need no package.
     class Stopping(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.progress = handle.getValueState("progress", PROGRESS)
-            self.waiting = handle.getMapState("waiting", "tune_index bigint", "at bigint, value double")
+            # Rows by bucket of the index and by part, which counts what was put in; the first time of each.
+            self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "rows binary")
+            self.soonest = handle.getMapState("soonest", "bucket bigint, part bigint", "at bigint")
 
         def _load(self) -> list:
-            return list(self.progress.get()) if self.progress.exists() else [None, None, 0, 0, False, None]
-
-        def _take(self, key: tuple, p: list, index: int, value: float | None) -> Row:
-            if p[0] is not None and index <= p[0]:
-                raise RuntimeError(f"tune_index {index} of {key} arrived after {p[0]}")
-            sign, best = signs[key[1]], p[1]
-            gained = best is None
-            if value is not None and best is not None:
-                gained = not math.isnan(best) and (math.isnan(value) or sign * value > sign * best)
-            p[0], p[2], p[3] = index, p[2] + 1, 0 if gained else p[3] + 1
-            p[1] = value if gained and value is not None else best
-            p[4] = p[4] or (not gained and value is not None and p[2] >= min_evals and p[3] >= patience)
-            return Row(run=key[0], metric=key[1], tune_index=index, value=value, best=p[1], evals=p[2], bad_streak=p[3], should_stop=p[4])
-
-        def _followers(self, key: tuple, p: list) -> Iterator[Row]:
-            while every and p[0] is not None and (found := self.waiting.getValue((p[0] + every,))):
-                self.waiting.removeKey((p[0] + every,))
-                yield self._take(key, p, p[0] + every, found[1])
+            return list(self.progress.get()) if self.progress.exists() else [None, None, 0, 0, False, None, 0]
+
+        def _firsts(self, parts: list) -> np.ndarray:
+            """The first row of each index, by index."""
+            rows = np.concatenate(parts)
+            return rows[np.unique(rows["tune_index"], return_index=True)[1]]
+
+        def _in_order(self, key: tuple, p: list, rows: np.ndarray) -> None:
+            if p[0] is not None and rows["tune_index"][0] <= p[0]:
+                raise RuntimeError(f"tune_index {rows['tune_index'][0]} of {key} arrived after {p[0]}")
+
+        def _wait(self, p: list, rows: np.ndarray) -> int:
+            """Puts rows, by index, into the state; returns their first time."""
+            buckets = rows["tune_index"] // width
+            for some in np.split(rows, np.flatnonzero(np.diff(buckets)) + 1):
+                place = (int(some["tune_index"][0] // width), p[6])
+                self.waiting.updateValue(place, (some.tobytes(),))
+                self.soonest.updateValue(place, (int(some["at"].min()),))
+            p[6] += 1
+            return int(rows["at"].min())
+
+        def _take(self, key: tuple, p: list, rows: np.ndarray) -> pd.DataFrame:
+            self._in_order(key, p, rows)
+
+            def before(ufunc, start, column):
+                return ufunc.accumulate(np.concatenate(([start], column)))[:-1]
+
+            sign, best, value, there = signs[key[1]], p[1], rows["value"], ~rows["missing"]
+            nan = there & np.isnan(value)
+            score = np.where(there & ~nan, sign * value, -np.inf)
+            known = best is not None
+            over = known and bool(np.isnan(best))
+            top = before(np.maximum, sign * best if known and not over else -np.inf, score)
+            beaten = ~before(np.logical_or, over, nan) & (nan | (score > top))
+            gained = ~before(np.logical_or, known, there) | (there & beaten)
+            n = np.arange(1, len(rows) + 1)
+            gain = np.maximum.accumulate(np.where(gained, n, 0))
+            streak = np.where(gain > 0, n - gain, p[3] + n)
+            evals = p[2] + n
+            stop = np.logical_or.accumulate(~gained & there & (evals >= min_evals) & (streak >= patience)) | p[4]
+            source = np.maximum.accumulate(np.where(gained & there, n, 0))
+            bests = np.where(source > 0, value[source - 1], best if known else np.nan)
+            unknown = (source == 0) & (not known)
+            p[0], p[2], p[3], p[4] = int(rows["tune_index"][-1]), int(evals[-1]), int(streak[-1]), bool(stop[-1])
+            p[1] = None if unknown[-1] else float(bests[-1])
+            columns = {
+                "run": key[0], "metric": key[1], "tune_index": rows["tune_index"], "value": value, "value_missing": ~there,
+                "best": bests, "best_missing": unknown, "evals": evals, "bad_streak": streak, "should_stop": stop,
+            }
+            return pd.DataFrame(columns)
+
+        def _release(self, key: tuple, p: list, passed: int) -> Iterator[pd.DataFrame]:
+            """Takes the rows whose time has passed and those that follow the last one."""
+            places: dict[int, list] = {}
+            for (bucket, part), (at,) in list(self.soonest.iterator()):
+                places.setdefault(bucket, []).append((part, at))
+            left = []
+            for bucket, parts in sorted(places.items()):
+                follows = every and p[0] is not None and (p[0] + every) // width == bucket
+                first = min(at for _, at in parts)
+                if first > passed and not follows:
+                    left.append(first)
+                    continue
+                stored = [(bucket, part) for part, _ in sorted(parts)]
+                rows = self._firsts([np.frombuffer(self.waiting.getValue(place)[0], layout) for place in stored])
+                ready = rows["at"] <= passed
+                last = p[0]
+                for i, index in enumerate(rows["tune_index"].tolist() if every else ()):
+                    if ready[i] or (last is not None and index == last + every):
+                        ready[i], last = True, index
+                for place in stored:
+                    self.waiting.removeKey(place)
+                    self.soonest.removeKey(place)
+                if not ready.all():
+                    left.append(self._wait(p, rows[~ready]))
+                taken = rows[ready]
+                for at in range(0, len(taken), out_rows):
+                    yield self._take(key, p, taken[at : at + out_rows])
+            self._wake_at(p, min(left, default=None))
 
         def _wake_at(self, p: list, at: int | None) -> None:
             """One timer a key, at the time of the first row that waits."""
@@ -86,43 +161,49 @@ def early_stop_any_order(
                     self.handle.registerTimer(at)
                 p[5] = at
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             p = self._load()
-            soonest = p[5]
-            for r in rows:
-                if r["tune_index"] is None or r["at"] is None or key[1] not in signs:
+            soonest, held, size = p[5], [], 0
+
+            def put() -> None:
+                nonlocal soonest
+                some = self._firsts(held)
+                self._in_order(key, p, some)
+                first = self._wait(p, some)
+                soonest = first if soonest is None else min(soonest, first)
+
+            for frame in rows:
+                if key[1] not in signs or frame["tune_index"].isna().any() or frame["at"].isna().any():
                     raise RuntimeError(f"row of {key} without an index, a time or a direction")
-                index = r["tune_index"]
-                if every and p[0] is not None and index == p[0] + every:
-                    yield self._take(key, p, index, r["value"])
-                    yield from self._followers(key, p)
-                elif p[0] is not None and index <= p[0]:
-                    raise RuntimeError(f"tune_index {index} of {key} arrived after {p[0]}")
-                elif not self.waiting.containsKey((index,)):
-                    self.waiting.updateValue((index,), (r["at"], r["value"]))
-                    soonest = r["at"] if soonest is None else min(soonest, r["at"])
+                part = np.empty(len(frame), layout)
+                for name in layout.names:
+                    part[name] = frame[name]
+                held.append(part)
+                size += len(part)
+                if size >= slice_rows:
+                    put()
+                    held, size = [], 0
+            if size:
+                put()
             self._wake_at(p, soonest)
+            if every and p[0] is not None:
+                yield from self._release(key, p, np.iinfo(np.int64).min)
             self.progress.update(tuple(p))
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             p = self._load()
             if p[5] == expiredTimerInfo.getExpiryTimeInMs():
                 p[5] = None  # it has fired and is gone
-            passed = timerValues.getCurrentWatermarkInMs()
-            ready = sorted((index, value) for (index,), (at, value) in list(self.waiting.iterator()) if at <= passed)
-            for index, value in ready:
-                if self.waiting.containsKey((index,)):
-                    self.waiting.removeKey((index,))
-                    yield self._take(key, p, index, value)
-                    yield from self._followers(key, p)
-            self._wake_at(p, min((at for _, (at, _) in self.waiting.iterator()), default=None))
+            yield from self._release(key, p, timerValues.getCurrentWatermarkInMs())
             self.progress.update(tuple(p))
 
     # A timer counts whole milliseconds; what comes within one goes when it is over.
     at = F.ceil(F.unix_micros(F.col(event_time)) / 1000).cast("bigint")
-    timed = metrics.withWatermark(event_time, delay).withColumn("at", at)
-    return (
-        timed.select("run", "metric", "tune_index", "value", "at", event_time)
+    timed = metrics.withWatermark(event_time, delay).withColumns({"at": at, "missing": F.col("value").isNull()})
+    taken = (
+        timed.select("run", "metric", "tune_index", "value", "missing", "at", event_time)
         .groupBy("run", "metric")
-        .transformWithState(Stopping(), STOP_SCHEMA, "append", "EventTime")
+        .transformWithStateInPandas(Stopping(), TAKEN, "append", "EventTime")
     )
+    number = {c: F.when(~F.col(f"{c}_missing"), F.coalesce(c, F.lit(float("nan")))) for c in ("value", "best")}
+    return taken.withColumns(number).drop("value_missing", "best_missing")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,7 @@ from tessera.sources import fixtures as X
 from tessera.streaming.anchors import stream_anchors
 from tessera.streaming.events import late_rows, tumbling_windows
 from tessera.streaming.metrics import bounded_queue_stream, early_stop_stream, step_log_rollup
-from tessera.streaming.run import drain
+from tessera.streaming.run import drain, rocksdb_state
 from tessera.streaming.stopping import early_stop_any_order
 
 
@@ -127,6 +129,38 @@ def test_what_was_emitted_is_final(spark, tmp_path):
         early_stop_any_order(df, 0)
 
 
+@pytest.mark.parametrize("every", [None, 1])
+def test_waiting_rows_go_in_any_parts(spark, tmp_path, monkeypatch, every):
+    """Buckets, parts and frames of a few rows each, repeats, NULL and NaN; the result is that of the batch form."""
+    from tessera.streaming import stopping
+
+    for name, few in (("WIDTH", 7), ("SLICE", 20), ("OUT", 3)):
+        monkeypatch.setattr(stopping, name, few)
+    dice = random.Random(5)
+    values = {m: [dice.choice([None, float("nan"), -0.0, 0.0, dice.random(), dice.random()]) if i > 40 else dice.choice([None, round(dice.random(), 1)]) for i in range(200)] for m in ("ri", "apd_avg")}
+    rows = [("r", m, i, values[m][i]) for m in values for i in range(200)]
+    dealt = sorted(rows, key=lambda r: r[2] + 30 * dice.random())
+    parts = [dealt[i : i + 100] + dealt[i : i + 10] for i in range(0, 400, 100)] + [[("end", "ri", 900, 1.0)]]
+    df = timed(spark, rows)
+    stream = batches(spark, df, tmp_path, [timed(spark, p) for p in parts])
+    got = drain(early_stop_any_order(stream, 3, 2, delay="40 minutes", every=every), "parts", rocksdb=True).select(*STOP_COLUMNS)
+    batch = early_stop(df, ["run", "metric"], "tune_index", 3, 2).select(*STOP_COLUMNS)
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_rows_wait_together(spark, tmp_path):
+    """The state has few entries, however many rows wait: a call for each row took most of the time."""
+    df = timed(spark, [("r", "ri", i, float(i % 7)) for i in range(3000)])
+    stream = early_stop_any_order(batches(spark, df, tmp_path / "in", [df]), 3, delay="100 days")
+    with rocksdb_state(spark):
+        query = (
+            stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+    query.awaitTermination()
+    assert 0 < max(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"]) < 50
+
+
 def test_a_key_is_worked_off_in_parts(spark, tmp_path, monkeypatch):
     """Frames of few rows leave the function, whatever the rows of a key; the result is the same."""
     import pandas as pd
