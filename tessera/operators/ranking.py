@@ -241,19 +241,21 @@ def lookup_interval(
     intervals: DataFrame,
     low: str,
     high: str,
-    width: float,
+    width: float | Column,
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """Join each point to the interval ``[low, high)`` holding it.
 
-    Intervals are spread over the fixed-width bins they touch, which turns the
-    range condition into an equi-join with at most a few intervals per bin.
+    Intervals are spread over the bins they touch, which turns the range condition into
+    an equi-join. The width of the bins should be about that of the intervals, so that
+    few of either meet; a column that is one of the keys gives each key its own.
     """
-    lo_bin = F.floor(F.col(low) / F.lit(width)).cast("bigint")
-    hi_bin = F.greatest(lo_bin, (F.ceil(F.col(high) / F.lit(width)) - 1).cast("bigint"))
+    width = width if isinstance(width, Column) else F.lit(width)
+    lo_bin = F.floor(F.col(low) / width).cast("bigint")
+    hi_bin = F.greatest(lo_bin, (F.ceil(F.col(high) / width) - 1).cast("bigint"))
     spread = intervals.where(F.col(high) > F.col(low)).withColumn(
         "__bin", F.explode(F.sequence(lo_bin, hi_bin))
     )
-    binned = points.withColumn("__bin", F.floor(F.col(point) / F.lit(width)).cast("bigint"))
+    binned = points.withColumn("__bin", F.floor(F.col(point) / width).cast("bigint"))
     joined = _join_on(binned, spread, [*keys, "__bin"])
     return joined.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__bin")

@@ -138,7 +138,9 @@ def sample_anchors(
     shards = placed.groupBy("partition", "draw_stratum", "shard_key").agg(
         F.count(F.lit(1)).alias("rows")
     )
-    totals = shards.groupBy("partition", "draw_stratum").agg(F.sum("rows").alias("total"))
+    # As many positions as a shard has rows on average make a bin of the lookup below.
+    mean = F.ceil(F.sum("rows") / F.count(F.lit(1)))
+    totals = shards.groupBy("partition", "draw_stratum").agg(F.sum("rows").alias("total"), mean.alias("width"))
     by_stratum = totals.groupBy(F.col("draw_stratum").alias("stratum_id")).agg(
         F.sum("total").alias("anchors")
     )
@@ -158,12 +160,12 @@ def sample_anchors(
         local.withColumn("__cum", cumulative)
         .withColumn("__hi", F.when(is_last, F.lit(1.0)).otherwise(F.col("__cum")))
         .withColumn("__lo", F.coalesce(F.lag("__cum").over(in_order), F.lit(0.0)))
-        .select("partition", "draw_stratum", "total", "__lo", "__hi")
+        .select("partition", "draw_stratum", "total", "width", "__lo", "__hi")
     )
     uniform = draws.withColumn("__u", hash_unit(seed, pass_index, F.col("partition"), F.col("draw_idx")))
     chosen = lookup_interval(
         uniform, "__u", bounds, "__lo", "__hi", 1.0 / UNIT_BINS, ["partition"]
-    ).select("partition", "draw_idx", "draw_stratum", "total")
+    ).select("partition", "draw_idx", "draw_stratum", "total", "width")
     visited = bucketed_row_number(
         chosen,
         ["partition", "draw_stratum"],
@@ -173,7 +175,7 @@ def sample_anchors(
     )
     cycled = visited.withColumn("cycle", F.floor(F.col("visit") / F.col("total")).cast("bigint"))
     cycled = cycled.withColumn("pos", F.col("visit") - F.col("cycle") * F.col("total"))
-    depth = cycled.groupBy("partition", "draw_stratum").agg(F.max("cycle").alias("__last"))
+    depth = cycled.groupBy("partition", "draw_stratum", "width").agg(F.max("cycle").alias("__last"))
     order = shuffled_shards(
         shards.join(depth, ["partition", "draw_stratum"]).withColumn(
             "cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__last")))
@@ -187,8 +189,8 @@ def sample_anchors(
         order,
         "shard_lo",
         "shard_hi",
-        float(1 << 14),
-        ["partition", "draw_stratum", "cycle"],
+        F.col("width"),
+        ["partition", "draw_stratum", "cycle", "width"],
     ).withColumn("unit_row", F.col("pos") - F.col("shard_lo"))
     return _join_on(
         placed,
@@ -199,7 +201,7 @@ def sample_anchors(
 
 def shuffled_shards(shards: DataFrame, seed: int, pass_index: int) -> DataFrame:
     """Row range [shard_lo, shard_hi) of each shard in the shuffled order of its
-    cycle. Rows: (partition, draw_stratum, cycle, shard_key, rows).
+    cycle. Rows: (partition, draw_stratum, cycle, shard_key, rows); other columns stay.
 
     The order is that of a hash, so its first digits split a cycle evenly: shards of one
     prefix are added up in a window, prefixes over their totals (at most 16^3 of them).
@@ -215,9 +217,7 @@ def shuffled_shards(shards: DataFrame, seed: int, pass_index: int) -> DataFrame:
         F.substring("__h", 1, ORDER_DIGITS),
         {"shard_hi": ("sum", "rows", True)},
     )
-    return placed.withColumn("shard_lo", F.col("shard_hi") - F.col("rows")).select(
-        "partition", "draw_stratum", "cycle", "shard_key", "shard_lo", "shard_hi"
-    )
+    return placed.withColumn("shard_lo", F.col("shard_hi") - F.col("rows")).drop("__h", "rows")
 
 
 def anchor_by_index(

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import blake_partition, hash_partition
@@ -66,6 +67,21 @@ def test_each_cycle_visits_every_anchor_once(spark, catalog):
     assert all(b["row_in_shard"] == a["row_in_shard"] + 1 for a, b in zip(rows, rows[1:]) if a["shard_key"] == b["shard_key"])
 
 
+def test_draws_meet_few_shards(spark, catalog, monkeypatch):
+    """A bin of positions holds about one shard, whatever the number of shards: in bins of a
+    fixed width every draw met all shards of its bin."""
+    calls = []
+    lookup = W.lookup_interval
+    monkeypatch.setattr(W, "lookup_interval", lambda *a: calls.append(a) or lookup(*a))
+    fine = I.with_shards(catalog.drop("shard_index", "row_in_shard"), 2)
+    drawn = W.sample_anchors(fine, W.draw_range(spark, 1500), seed=3, weights={"ASIA": 1.0})
+    points, point, intervals, low, high, width, keys = calls[-1]
+    width = width if isinstance(width, Column) else F.lit(width)
+    bins = intervals.withColumn("bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
+    pairs = points.withColumn("bin", F.floor(F.col(point) / width)).join(bins.select(*keys, "bin"), [*keys, "bin"]).count()
+    assert drawn.count() == 1500 and pairs <= 3 * 1500
+
+
 def test_readers_see_disjoint_anchors_and_passes_differ(spark, catalog):
     draws = W.draw_range(spark, 400, 2)
     drawn = W.sample_anchors(catalog, draws, seed=1, partitions=2)
