@@ -1,10 +1,15 @@
 """k-means over many row groups, cluster counts and restarts at once.
 
-All fits advance together: one pass over the rows assigns every row to its nearest
-centre in each fit of its group and sums up per centre, first in the tasks, then over
-them. The driver holds the centres - fits x k vectors, a number given by parameters -
-and never a row. How many passes there are depends on convergence, not on the number of
-groups or fits.
+All fits advance together, several steps in each pass over the rows. A pass assigns every
+row to its nearest centre in each fit of its group. As long as no centre has moved farther
+than a fit's reach, a row whose second nearest centre is more than twice the reach farther
+than its nearest one can't change its cluster: of these rows only sums leave a task. The
+others, at most about ``HELD`` numbers, are sent to the task that takes the fit's steps,
+until a centre leaves the reach. These are the steps of passes over all rows, without the
+passes; in a small group no row is summed and one pass takes all steps.
+
+The driver holds the centres - fits x k vectors, a number given by parameters - and never
+a row.
 """
 
 from __future__ import annotations
@@ -17,17 +22,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.agreement import clustering_agreement, mean_std
-from tessera.operators.neighbours import silhouette
+from tessera.operators.neighbours import silhouettes
 from tessera.session import materialize
 
 #: Candidates that each round draws for the largest k of a group, per k, and the rounds.
 CANDIDATES, ROUNDS = 4, 4
 #: Rows that meet all centres of their group at a time.
 SLICE = 1024
+#: Numbers of the vectors that a task holds to take steps with.
+HELD = 1 << 22
+#: Margins are counted in bins of a quarter of an octave, from 2^-40 to 2^40.
+BINS, OCTAVE = 320, 4
+#: A margin must exceed twice the reach by this share of both distances: rounding.
+SLACK = 1e-9
 
 
 @dataclass
@@ -40,6 +52,10 @@ class Fit:
     centres: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
     cost: float = float("inf")
     moving: bool = True
+    steps: int = 0
+    #: Rows by margin at the start of the last pass, and how far its last step went.
+    margins: np.ndarray | None = None
+    shift: float = float("inf")
 
 
 def _spread_out(pool: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -90,30 +106,40 @@ def starting_candidates(rows: DataFrame, largest: dict[str, int], seed: int, gro
             for own in held.values():
                 yield from own.combine_chunks().to_batches()
 
+        def nearest_keys(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held: dict[str, pa.Table] = {}
+            for batch in batches:
+                for name in batch.column(group).unique().to_pylist():
+                    own = pa.Table.from_batches([batch.filter(pc.equal(batch.column(group), name))])
+                    own = pa.concat_tables([held[name], own]) if name in held else own
+                    held[name] = own.sort_by([("key", "ascending"), (identity, "ascending")]).slice(0, shared.value[1][name])
+            for own in held.values():
+                yield from own.combine_chunks().to_batches()
+
         drawn = rows.withColumn("u", _unit_hash(F.lit(seed), F.lit(turn), F.col(identity))).mapInArrow(draw, keyed)
-        first = Window.partitionBy(group).orderBy("key", identity)
-        limits = rows.sparkSession.createDataFrame(list(wanted.items()), [group, "limit"])
-        kept = drawn.withColumn("place", F.row_number().over(first)).join(limits, group).where("place <= limit")
+        kept = drawn.repartition(min(len(wanted), rows.sparkSession.sparkContext.defaultParallelism), group).mapInArrow(nearest_keys, keyed)
         fresh: dict[str, list] = defaultdict(list)
-        for r in kept.select(group, identity, feature).orderBy(group, identity).collect():
+        for r in sorted(kept.select(group, identity, feature).collect(), key=lambda r: (r[group], r[identity])):
             fresh[r[group]].append(r[feature])
         for name, vectors in fresh.items():
             new = np.array(vectors, np.float64)
             pool[name] = np.concatenate([pool[name], new]) if name in pool else new
-    counted = _pass(rows, [(n, Fit(name, len(own), 0, own)) for n, (name, own) in enumerate(pool.items())], group, feature)
-    weights = {}
-    for n, (name, own) in enumerate(pool.items()):
-        weight = np.zeros(len(own))
-        for place, (rows_near, _, _) in counted[n].items():
-            weight[place] = rows_near
-        weights[name] = (own, weight)
-    return weights
+    pools = [Fit(name, len(own), 0, own) for name, own in pool.items()]
+    counted = _pass(rows, list(enumerate(pools)), {}, 1, 0.0, group, feature)
+    return {f.group: (f.centres, counted[n]["counts"].astype(np.float64)) for n, f in enumerate(pools)}
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2.0 * (x @ centres.T), 0.0)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Nearest centre of each row; a row's own square is the same for all."""
+    half = x @ centres.T
+    half -= (centres * centres).sum(axis=1) / 2
+    return half.argmax(axis=1)
+
+
 def _by_group(batch: pa.RecordBatch, group: str, feature: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(group, places in the batch, vectors) of each group of a batch."""
     vectors = batch.column(feature)
@@ -131,7 +157,7 @@ def fit_kmeans(rows: DataFrame, wanted: Sequence[tuple[str, int, int]], seed: in
 
     Starting centres depend on (seed, group, k, attempt) and the rows alone. A centre
     that loses all its rows stays where it is. Fits that still move after ``max_passes``
-    keep ``moving`` set and are warned of.
+    steps keep ``moving`` set and are warned of.
     """
     sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     fits = [Fit(*w) for w in wanted]
@@ -144,103 +170,197 @@ def fit_kmeans(rows: DataFrame, wanted: Sequence[tuple[str, int, int]], seed: in
     for f in fits:
         f.centres = _spread_out(*candidates[f.group], f.k, np.random.default_rng([seed, zlib.crc32(f.group.encode()), f.k, f.attempt]))
 
-    for _ in range(max_passes):
-        if not any(f.moving for f in fits):
-            break
-        _advance(rows, fits, tolerance, group, feature)
+    while any(f.moving and f.steps < max_passes for f in fits):
+        _advance(rows, [f for f in fits if f.moving and f.steps < max_passes], sizes, max_passes, tolerance, group, feature)
     if unsettled := sum(f.moving for f in fits):
         warnings.warn(f"{unsettled} of {len(fits)} k-means fits still moved after {max_passes} passes", stacklevel=2)
     return fits
 
 
-def _advance(rows: DataFrame, fits: Sequence[Fit], tolerance: float, group: str, feature: str) -> None:
-    """One step of all fits that move."""
-    moving = [(n, f) for n, f in enumerate(fits) if f.moving]
-    sums = _pass(rows, moving, group, feature)
-    for n, f in moving:
-        f.cost = sum(cost for _, cost, _ in sums[n].values())
-        after = f.centres.copy()
-        for cluster, (count, _, total) in sums[n].items():
-            after[cluster] = total / count
-        f.moving = bool(np.abs(after - f.centres).max() > tolerance)
-        f.centres = after
+def _reach(fit: Fit, rows: int, together: int) -> float | None:
+    """How far the centres may go in the next pass; nothing if it is better to take one step.
+
+    Small groups are held whole. Else as many rows as ``together`` fits may hold each stay
+    open, going by the margins of the pass before.
+    """
+    width = fit.centres.shape[1]
+    if rows * width <= HELD:
+        return float("inf")
+    if fit.margins is None:
+        return None
+    below = int(np.searchsorted(np.cumsum(fit.margins), HELD // (width * together), "right"))
+    reach = 2.0 ** ((below - BINS // 2) / OCTAVE) / 2
+    return reach if below and reach >= 2 * fit.shift else None
+
+
+def _advance(rows: DataFrame, fits: Sequence[Fit], sizes: dict[str, int], limit: float, tolerance: float, group: str, feature: str) -> None:
+    """At least one step of each fit, in one pass; none goes on beyond ``limit`` steps."""
+    share = _share(rows, len(fits))
+    reach = {n: r for n, f in enumerate(fits) if (r := _reach(f, sizes[f.group], share)) is not None}
+    for n, found in _pass(rows, list(enumerate(fits)), reach, limit, tolerance, group, feature).items():
+        f = fits[n]
+        f.centres, f.cost, f.moving, f.shift, f.margins = (found[c] for c in ("centres", "cost", "moving", "shift", "margins"))
+        f.steps += found["steps"]
 
 
 def settle(rows: DataFrame, fits: Sequence[Fit], group: str = "group_id", feature: str = "feature", tolerance: float = 1e-12) -> Sequence[Fit]:
-    """The fits, gone on with until no row changes its cluster, however many passes that takes.
+    """The fits, gone on with until no row changes its cluster, however many steps that takes.
 
     The cost falls with each change, so there is an end. A row that changes moves two
     centres by far more than the tolerance, which is for sums added in another order.
     """
+    sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     for f in fits:
         f.moving = True
     while any(f.moving for f in fits):
-        _advance(rows, fits, tolerance, group, feature)
+        _advance(rows, [f for f in fits if f.moving], sizes, float("inf"), tolerance, group, feature)
     return fits
 
 
-def _pass(rows: DataFrame, fits: list[tuple[int, Fit]], group: str, feature: str) -> dict[int, dict]:
-    """Per fit and cluster: (rows, cost, sum of vectors) with the present centres."""
+def _share(rows: DataFrame, fits: int) -> int:
+    """Fits that one task advances, for two tasks per core."""
+    return max(1, -(-fits // (2 * rows.sparkSession.sparkContext.defaultParallelism)))
+
+
+def _sums(x: np.ndarray, nearest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each cluster, and the sum of their vectors."""
+    member = np.zeros((len(x), k))
+    member[np.arange(len(x)), nearest] = 1.0
+    return member.sum(axis=0), member.T @ x
+
+
+def _gaps(distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each row, and how much farther the second nearest is, less rounding."""
+    nearest = distance.argmin(axis=1)
+    if distance.shape[1] == 1:
+        return nearest, np.full(len(distance), np.inf)
+    two = np.sqrt(np.partition(distance, 1, axis=1)[:, :2])
+    return nearest, two[:, 1] - two[:, 0] - SLACK * (two[:, 0] + two[:, 1])
+
+
+def _walk(x: np.ndarray, start: np.ndarray, count: np.ndarray, total: np.ndarray, square: float, reach: float, limit: float, tolerance: float) -> dict:
+    """Steps of a fit, until it rests, a centre has left the reach, or there were ``limit``:
+    its centres, whether they move, how far the last step went, and of that the cost and
+    the rows of each cluster before it.
+
+    ``x`` are the rows that may change their cluster; ``count`` and ``total`` are those of
+    the others in each cluster, and ``square`` is the sum of the squares of all rows.
+    Seven of eight rows are summed here too, for as long as they can't change.
+    """
+    centres, steps, shift, eighth, near = start, 0, float("inf"), float("inf"), -1.0
+    while True:
+        if near < 0 or np.sqrt(((centres - base) ** 2).sum(axis=1).max()) > near:
+            base, near, own, own_count, own_total = centres, -1.0, x, count, total
+            if len(x) >= SLICE and 2 * shift < eighth:
+                nearest, margin = _gaps(_distances(x, centres))
+                eighth = float(np.partition(margin, len(margin) // 8)[len(margin) // 8]) / 2
+                if 4 * shift < eighth < float("inf"):
+                    stay = margin > 2 * eighth
+                    more, sums = _sums(x[stay], nearest[stay], len(centres))
+                    near, own, nearest, own_count, own_total = eighth, x[~stay], nearest[~stay], count + more, total + sums
+            else:
+                nearest = _nearest(x, centres)
+        else:
+            nearest = _nearest(own, centres)
+        more, sums = _sums(own, nearest, len(centres))
+        n, sums = own_count + more, own_total + sums
+        cost = float(square - 2.0 * (centres * sums).sum() + n @ (centres * centres).sum(axis=1))
+        after = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        shift = float(np.sqrt(((after - centres) ** 2).sum(axis=1).max()))
+        moving = bool(np.abs(after - centres).max() > tolerance)
+        centres, steps = after, steps + 1
+        if not moving or steps >= limit or np.sqrt(((centres - start) ** 2).sum(axis=1).max()) > reach:
+            return {"centres": centres, "counts": n, "cost": max(cost, 0.0), "moving": moving, "steps": steps, "shift": shift}
+
+
+def _batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    """Rows as a batch; arrays become bytes."""
+    types = {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    bytes_of = lambda v: v.tobytes() if isinstance(v, np.ndarray) else v
+    return pa.RecordBatch.from_arrays([pa.array([bytes_of(r.get(c)) for r in rows], types[t]) for c, t in fields], names=[c for c, _ in fields])
+
+
+def _pass(rows: DataFrame, fits: list[tuple[int, Fit]], reach: dict[int, float], limit: float, tolerance: float, group: str, feature: str) -> dict[int, dict]:
+    """Per fit what ``_walk`` returns, and its rows by margin before that. Fits without a reach take one step."""
+    share, tasks = _share(rows, len(fits)), 0
     of_group: dict[str, list] = defaultdict(list)
     for n, f in fits:
-        of_group[f.group].append((n, f.centres))
+        of_group[f.group].append((n, f))
     # All centres of a group meet a row in one product; starts[i] is where fit i's begin.
-    stacked = {
-        name: ([n for n, _ in own], np.cumsum([0, *(len(c) for _, c in own)]), np.concatenate([c for _, c in own])) for name, own in of_group.items()
-    }
-    shared = rows.sparkSession.sparkContext.broadcast(stacked)
-    schema = "fit int, cluster int, n long, cost double, total array<double>"
-
-    def batch_of(sums: dict) -> pa.RecordBatch:
-        keys, values = list(sums), list(sums.values())
-        return pa.RecordBatch.from_pydict({
-            "fit": pa.array([k[0] for k in keys], pa.int32()), "cluster": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([v[0] for v in values], pa.int64()),
-            "cost": pa.array([v[1] for v in values], pa.float64()), "total": pa.array([v[2] for v in values], pa.list_(pa.float64())),
-        })
-
-    def add(sums: dict, key: tuple, n: int, cost: float, total: np.ndarray) -> None:
-        before = sums.get(key, (0, 0.0, 0.0))
-        sums[key] = (before[0] + n, before[1] + cost, before[2] + total)
+    # Fits of a group are dealt to tasks by turns; reach is infinite where rows are not summed.
+    stacked, work = {}, {}
+    for name, own in of_group.items():
+        parts = -(-len(own) // share)
+        stacked[name] = (np.cumsum([0, *(len(f.centres) for _, f in own)]), np.concatenate([f.centres for _, f in own]), [reach.get(n, -1.0) for n, _ in own], tasks, parts)
+        for part in range(parts):
+            work[tasks + part] = [(n, f.centres, reach.get(n, 0.0), limit - f.steps if n in reach else 1) for n, f in own[part::parts]]
+        tasks += parts
+    shared = rows.sparkSession.sparkContext.broadcast((stacked, work))
+    between = "task int, turn int, counts binary, total binary, square double, margins binary, open binary, x binary"
+    schema = "fit int, centres binary, counts binary, margins binary, cost double, moving boolean, steps int, shift double"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        groups, _ = shared.value
+        held: dict[str, list] = {}
         for batch in batches:
             for name, _, vectors in _by_group(batch, group, feature):
-                if name not in shared.value:
+                if name not in groups:
                     continue
-                _, starts, centres = shared.value[name]
+                starts, centres, far, first, parts = groups[name]
                 if name not in held:
-                    held[name] = (np.zeros(len(centres)), np.zeros(len(centres)), np.zeros(centres.shape))
-                count, cost, total = held[name]
+                    held[name] = [[np.zeros(b - a), np.zeros((b - a, centres.shape[1])), np.zeros(BINS, np.int64)] for a, b in zip(starts, starts[1:], strict=False)] + [0.0]
                 for at in range(0, len(vectors), SLICE):
                     x = vectors[at : at + SLICE]
-                    distance, member = _distances(x, centres), np.zeros((len(x), len(centres)))
-                    for start, end in zip(starts, starts[1:], strict=False):
-                        member[np.arange(len(x)), start + distance[:, start:end].argmin(axis=1)] = 1.0
-                    count += member.sum(axis=0)
-                    cost += (member * distance).sum(axis=0)
-                    total += member.T @ x
-        sums: dict = {}
-        for name, (count, cost, total) in held.items():
-            numbers, starts, _ = shared.value[name]
-            for n, start, end in zip(numbers, starts, starts[1:], strict=False):
-                for c in np.flatnonzero(count[start:end]):
-                    sums[n, int(c)] = (int(count[start + c]), float(cost[start + c]), total[start + c])
-        yield batch_of(sums)
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                add(sums, (r["fit"], r["cluster"]), r["n"], r["cost"], np.array(r["total"]))
-        yield batch_of(sums)
-
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partial = rows.select(group, feature).mapInArrow(assign, schema)
-    found: dict[int, dict] = defaultdict(dict)
-    for r in partial.repartition(tasks, "fit", "cluster").mapInArrow(add_up, schema).collect():
-        found[r["fit"]][r["cluster"]] = (r["n"], r["cost"], np.array(r["total"]))
-    return found
+                    held[name][-1] += float((x * x).sum())
+                    still = np.ones((len(x), len(far)), bool)
+                    distance = _distances(x, centres) if min(far) < float("inf") else None
+                    for i, own in enumerate(held[name][:-1]):
+                        if far[i] == float("inf"):
+                            continue
+                        nearest, margin = _gaps(distance[:, starts[i] : starts[i + 1]])
+                        still[:, i] = (margin <= 2 * far[i]) & (far[i] >= 0)
+                        stay = ~still[:, i]
+                        more, total = _sums(x[stay], nearest[stay], len(own[0]))
+                        bins = np.floor(OCTAVE * np.log2(np.clip(margin, 1e-300, 1e300))) + BINS // 2
+                        own[0], own[1], own[2] = own[0] + more, own[1] + total, own[2] + np.bincount(np.clip(bins, 0, BINS - 1).astype(np.int64), minlength=BINS)
+                    for part in range(parts):
+                        sent = still[:, part::parts].any(axis=1)
+                        if sent.any():
+                            yield _batch(between, [{"task": first + part, "open": np.packbits(still[sent, part::parts], axis=1), "x": x[sent]}])
+        for name, sums in held.items():
+            _, _, _, first, parts = groups[name]
+            yield _batch(between, [{"task": first + i % parts, "turn": i // parts, "counts": c, "total": t, "margins": m, "square": sums[-1]} for i, (c, t, m) in enumerate(sums[:-1])])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        parts: dict[int, list] = defaultdict(list)
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            task = r["task"]
+            if r["x"] is not None:
+                width, bits = shared.value[1][task][0][1].shape[1], -(-len(shared.value[1][task]) // 8)
+                parts[task].append((np.frombuffer(r["x"]).reshape(-1, width), np.frombuffer(r["open"], np.uint8).reshape(-1, bits)))
+                continue
+            more = [np.frombuffer(r["counts"]), np.frombuffer(r["total"]), np.frombuffer(r["margins"], np.int64), r["square"]]
+            known = sums.get((task, r["turn"]))
+            sums[task, r["turn"]] = more if known is None else [a + b for a, b in zip(known, more, strict=True)]
+        for task in dict.fromkeys(t for t, _ in sums):
+            own = shared.value[1][task]
+            rows, bits = [np.concatenate(c) for c in zip(*parts[task], strict=True)] if task in parts else [np.zeros((0, own[0][1].shape[1])), np.zeros((0, -(-len(own) // 8)), np.uint8)]
+            still = np.unpackbits(bits, axis=1, count=len(own)).astype(bool)
+            for turn, (n, centres, far, steps) in enumerate(own):
+                count, total, margins, square = sums[task, turn]
+                x = rows if still[:, turn].all() else rows[still[:, turn]]
+                found = _walk(x, centres, count, total.reshape(centres.shape), square, far, steps, tolerance)
+                yield _batch(schema, [found | {"fit": n, "margins": margins}])
+
+    dealt = rows.select(group, feature).mapInArrow(assign, between).repartitionById(tasks, "task")
+    found = dealt.mapInArrow(walk, schema).collect()  # as many rows as fits
+    shape = {n: f.centres.shape for n, f in fits}
+    return {
+        r["fit"]: r.asDict() | {"centres": np.frombuffer(r["centres"]).reshape(shape[r["fit"]]), "counts": np.frombuffer(r["counts"]), "margins": np.frombuffer(r["margins"], np.int64)}
+        for r in found
+    }
 
 
 def best_attempts(fits: Sequence[Fit]) -> list[Fit]:
@@ -272,6 +392,21 @@ def assign_clusters(rows: DataFrame, fits: Sequence[tuple[int, Fit]], group: str
     return rows.mapInArrow(assign, type(rows.schema)([*rows.schema.fields, *numbers.fields]))
 
 
+def cluster_lists(rows: DataFrame, fits: dict[str, list[Fit]], group: str = "group_id", feature: str = "feature") -> DataFrame:
+    """Rows of the groups with ``clusters``: one in each fit of their group, in its order."""
+    shared = rows.sparkSession.sparkContext.broadcast({name: [f.centres for f in own] for name, own in fits.items()})
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at, x in _by_group(batch, group, feature):
+                if name in shared.value:
+                    nearest = np.stack([_distances(x, centres).argmin(axis=1) for centres in shared.value[name]], axis=1).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(np.arange(0, nearest.size + 1, nearest.shape[1], dtype=np.int32), nearest.ravel())
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, lists], names=[*batch.schema.names, "clusters"])
+
+    return rows.mapInArrow(assign, type(rows.schema)([*rows.schema.fields, *rows.select(F.array(F.lit(0)).alias("clusters")).schema.fields]))
+
+
 def best_k_by_silhouette(rows: DataFrame, k_min: int = 2, k_max: int = 10, restarts: int = 10, seed: int = 0, group: str = "group_id", identity: str = "sample_id") -> dict[str, int]:
     """Per group the smallest k of the highest mean silhouette, over all k at once.
 
@@ -280,16 +415,15 @@ def best_k_by_silhouette(rows: DataFrame, k_min: int = 2, k_max: int = 10, resta
     """
     sizes = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     wanted = [(g, k, a) for g, n in sorted(sizes.items()) for k in range(max(2, k_min), min(k_max, n - 1) + 1) for a in range(restarts)]
-    best = list(enumerate(best_attempts(fit_kmeans(rows, wanted, seed, group, identity))))
+    best: dict[str, list[Fit]] = defaultdict(list)
+    for f in best_attempts(fit_kmeans(rows, wanted, seed, group, identity)):
+        best[f.group].append(f)
     answer = dict.fromkeys(sizes, int(k_min))
     if best:
-        labelled = materialize(assign_clusters(rows.select(group, identity, "feature"), best, group), "clusters")
-        scores = silhouette(labelled, "cluster", keys=["fit"], id_col=identity, vector="feature", normalize=False)
-        used = labelled.groupBy("fit").agg(F.countDistinct("cluster").alias("used")).where("used > 1")
+        scores = silhouettes(cluster_lists(rows.select(group, identity, "feature"), best, group), "clusters", keys=[group], id_col=identity, vector="feature", normalize=False)
         high: dict[str, tuple] = {}
-        for r in scores.join(used, "fit").collect():
-            f = dict(best)[r["fit"]]
-            high[f.group] = max(high.get(f.group, (-2.0, 0)), (r["silhouette"], -f.k))
+        for r in scores.where("used > 1").collect():
+            high[r[group]] = max(high.get(r[group], (-2.0, 0)), (r["silhouette"], -best[r[group]][r["place"]].k))
         answer |= {g: -k for g, (_, k) in high.items()}
     return answer
 

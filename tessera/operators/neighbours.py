@@ -134,7 +134,10 @@ def _fold_blocks(
     queries = (placed if own_cell else df).select(own.alias("__block"), meets.alias(CELL_NUMBER), F.lit(0).alias("__kind"), *columns)
     candidates = placed.select(upto(blocks).alias("__block"), CELL_NUMBER, F.lit(1).alias("__kind"), *columns)
     key = ["__block", CELL_NUMBER]
-    dealt = queries.unionByName(candidates).repartition(min(blocks * n_cells, 32 * tasks), *key)
+    parts = min(blocks * n_cells, 32 * tasks)
+    # By number, not by hash: no task gets several blocks while another has none.
+    every = queries.unionByName(candidates).withColumn("__part", ((F.col(CELL_NUMBER) * blocks + F.col("__block")) % parts).cast("int"))
+    dealt = every.repartitionById(parts, "__part").drop("__part")
     arrow = to_arrow_schema(schema)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,3 +515,86 @@ def silhouette(df: DataFrame, cluster: str, keys: Sequence[str] = (), **layout)
         (F.col("b") - F.col("a")) / widest
     )
     return per_row.groupBy(*keys).agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
+def silhouettes(
+    df: DataFrame,
+    clusters: str,
+    keys: Sequence[str] = (),
+    id_col: str = "sample_id",
+    vector: str = "embedding",
+    normalize: bool = True,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``silhouette`` of several clusterings of the same rows from one set of distances:
+    (*keys, place, silhouette, n, used).
+
+    ``clusters`` is an array of a row's cluster in each, equally long within the keys;
+    ``place`` counts from 0, ``used`` is the number of clusters. A query block sees all
+    rows, so its scores are made where its sums are and only their total leaves the task.
+    """
+    slim = df.select(*keys, id_col, vector, clusters)
+    types = {f.name: f.dataType for f in slim.schema.fields}
+    numbers = [("place", T.IntegerType()), ("total", T.DoubleType()), ("rows", T.LongType()), ("used", T.IntegerType())]
+    schema = T.StructType([T.StructField(c, t) for c, t in [*((k, types[k]) for k in keys), *numbers]])
+
+    def lists(table: pa.Table) -> np.ndarray:
+        flat = table[clusters].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(len(table), -1)
+
+    class Scores:
+        """Distance sums of a query block to all clusters seen so far, side by side."""
+
+        def __init__(self, queries: pa.Table) -> None:
+            self.queries, self.vectors, self.own = queries, _matrix(queries[vector], normalize), lists(queries)
+            self.ids = queries[id_col].combine_chunks()
+            self.squares = (self.vectors * self.vectors).sum(axis=1)
+            self.columns: dict[tuple[int, int], int] = {}
+            self.sums, self.counts = np.zeros((len(queries), 0)), np.zeros(0)
+
+        def add(self, candidates: pa.Table) -> None:
+            base, theirs = _matrix(candidates[vector], normalize), lists(candidates)
+            base_sq = (base * base).sum(axis=1)
+            member = np.zeros((len(base), len(self.columns)))
+            for place in range(theirs.shape[1]):
+                for name in np.unique(theirs[:, place]):
+                    column = self.columns.setdefault((place, int(name)), len(self.columns))
+                    if column == member.shape[1]:
+                        member = np.c_[member, np.zeros(len(base))]
+                    member[:, column] = theirs[:, place] == name
+            fresh = member.shape[1] - len(self.counts)
+            self.sums = np.pad(self.sums, ((0, 0), (0, fresh)))
+            self.counts = np.pad(self.counts, (0, fresh)) + member.sum(axis=0)
+            at = pc.index_in(self.ids, candidates[id_col].combine_chunks()).fill_null(-1).to_numpy(zero_copy_only=False)
+            for start in range(0, len(at), _TILE):
+                tile = slice(start, start + _TILE)
+                distance = self.vectors[tile] @ base.T
+                distance *= -2.0
+                distance += self.squares[tile, None]
+                distance += base_sq
+                np.sqrt(np.maximum(distance, 0.0, out=distance), out=distance)
+                hit = np.flatnonzero(at[tile] >= 0)
+                distance[hit, at[tile][hit]] = 0.0
+                self.sums[tile] += distance @ member
+
+        def result(self) -> pa.Table:
+            found = []
+            rows = np.arange(len(self.own))
+            for place in range(self.own.shape[1]):
+                names, columns = zip(*sorted((name, c) for (p, name), c in self.columns.items() if p == place), strict=True)
+                sums, count = self.sums[:, columns], self.counts[list(columns)]
+                own = np.searchsorted(names, self.own[:, place])
+                alone = count[own] < 2
+                a = sums[rows, own] / np.where(alone, 1, count[own] - 1)
+                apart = sums / count
+                apart[rows, own] = np.inf
+                b = apart.min(axis=1) if len(names) > 1 else a
+                widest = np.maximum(a, b)
+                value = np.where(alone | (widest == 0), 0.0, (b - a) / np.where(widest == 0, 1.0, widest))
+                found.append((place, float(value.sum()), len(rows), len(names)))
+            scores = [pa.array(c) for c in zip(*found, strict=True)]
+            return pa.Table.from_arrays([*(self.queries[k].take(np.zeros(len(found), np.int64)) for k in keys), *scores], names=schema.names)
+
+    parts = _fold_blocks(slim, id_col, list(keys), block_rows, schema, Scores, own_cell=True)
+    total = parts.groupBy(*keys, "place").agg(F.sum("total").alias("total"), F.sum("rows").alias("n"), F.max("used").alias("used"))
+    return total.select(*keys, "place", (F.col("total") / F.col("n")).alias("silhouette"), "n", "used")

@@ -117,3 +117,53 @@ def test_joint_probes_reach_the_optimum(spark):
             guess = (z[:, 0] > 0).astype(int) if z.shape[1] == 1 else z.argmax(axis=1)
             test = [i for i in range(120) if sides[(i + fit.split_id) % 4] == "id_test"]
             assert got[fit.split_id]["acc_id"] == np.mean([guess[i] == names.index(label[i]) for i in test])
+
+
+@pytest.mark.parametrize("held", [1 << 22, 600])
+def test_kmeans_takes_its_steps_in_few_passes(spark, monkeypatch, held):
+    """The steps are those of passes over all rows, where a group is held whole and where it isn't."""
+    from tessera.operators import clustering as C
+    from tessera.session import materialize
+
+    x = np.random.default_rng(3).normal(size=(3000, 3))
+    rows = materialize(spark.createDataFrame([("g", f"s{i:04d}", v.tolist()) for i, v in enumerate(x)], "group_id string, sample_id string, feature array<double>"), "points")
+    monkeypatch.setattr(C, "HELD", held)
+    starts, passes, real = [], [], C._pass
+    monkeypatch.setattr(C, "_spread_out", lambda pool, weight, k, rng: starts.append(pool[:k].copy()) or pool[:k].copy())
+    monkeypatch.setattr(C, "_pass", lambda *args: passes.append(1) or real(*args))
+    fits = C.fit_kmeans(rows, [("g", 4, 0), ("g", 7, 0)])
+    steps = []
+    for fit, centres in zip(fits, starts, strict=True):
+        steps.append(0)
+        while True:
+            steps[-1] += 1
+            own = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+            after = np.array([x[own == c].mean(axis=0) for c in range(fit.k)])
+            cost, far, centres = ((x - centres[own]) ** 2).sum(), np.abs(after - centres).max(), after
+            if far <= 1e-6:
+                break
+        assert fit.steps == steps[-1] and not fit.moving
+        assert np.abs(fit.centres - centres).max() < 1e-9 and fit.cost == pytest.approx(cost)
+    # One pass more counts the candidates for starts.
+    assert len(passes) == 2 if held > 9000 else len(passes) - 1 < max(steps)
+
+
+def test_silhouettes_of_many_clusterings(spark):
+    """The same as one by one; a row alone in its cluster counts 0."""
+    from tessera.operators.neighbours import silhouette, silhouettes
+
+    rng = np.random.default_rng(5)
+    rows = [("ab"[i % 2], f"s{i:03d}", rng.normal(size=3).tolist(), [int(rng.integers(4)), int(i < 2), 0 if i % 2 else i % 6]) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, sample_id string, feature array<double>, clusters array<int>")
+    layout = {"keys": ["g"], "vector": "feature", "normalize": False, "block_rows": 20}
+    got = {(r["g"], r["place"]): r for r in silhouettes(df, "clusters", **layout).collect()}
+    for place in range(3):
+        one_by_one = silhouette(df.withColumn("cluster", F.col("clusters")[place]), "cluster", **layout)
+        for r in one_by_one.collect():
+            found = got.pop((r["g"], place))
+            assert found["n"] == r["n"]
+            if found["used"] > 1:
+                assert found["silhouette"] == pytest.approx(r["silhouette"], abs=1e-12)
+            else:
+                assert (r["g"], place) == ("b", 2)
+    assert not got
