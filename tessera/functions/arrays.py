@@ -19,8 +19,9 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalize(vector: Column) -> Column:
     """``x / (norm + 1e-12)``."""
     values = to_doubles(vector)
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)) + F.lit(NORM_EPS)
-    return F.transform(values, lambda x: x / norm)
+    # Divided where the sum ends: a norm beside the elements would be summed up for each of them.
+    scaled = lambda total: F.transform(values, lambda x: x / (F.sqrt(total) + F.lit(NORM_EPS)))
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x, scaled)
 
 
 def mean_pool(tokens: Column) -> Column:

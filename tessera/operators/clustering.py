@@ -35,7 +35,7 @@ CANDIDATES, ROUNDS = 4, 4
 #: Rows that meet all centres of their group at a time.
 SLICE = 1024
 #: Numbers of the vectors that a task holds to take steps with.
-HELD = 1 << 22
+HELD = 1 << 23
 #: Margins are counted in bins of a quarter of an octave, from 2^-40 to 2^40.
 BINS, OCTAVE = 320, 4
 #: A margin must exceed twice the reach by this share of both distances: rounding.
@@ -190,7 +190,7 @@ def _reach(fit: Fit, rows: int, together: int) -> float | None:
         return None
     below = int(np.searchsorted(np.cumsum(fit.margins), HELD // (width * together), "right"))
     reach = 2.0 ** ((below - BINS // 2) / OCTAVE) / 2
-    return reach if below and reach >= 2 * fit.shift else None
+    return reach if below and reach >= 4 * fit.shift else None
 
 
 def _advance(rows: DataFrame, fits: Sequence[Fit], sizes: dict[str, int], limit: float, tolerance: float, group: str, feature: str) -> None:

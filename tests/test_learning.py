@@ -167,3 +167,18 @@ def test_silhouettes_of_many_clusterings(spark):
             else:
                 assert (r["g"], place) == ("b", 2)
     assert not got
+
+
+def test_norms_are_summed_once_a_row(spark):
+    """A long vector takes time by its length, not by the square of it."""
+    from time import perf_counter
+
+    from tessera.functions.arrays import l2_normalize
+
+    x = np.random.default_rng(6).normal(size=20_000)
+    df = spark.createDataFrame([(x.tolist(),), ([3.0, 4.0],), (None,), ([],)], "v array<double>")
+    start = perf_counter()
+    long, short, none, empty = (r[0] for r in df.select(l2_normalize(F.col("v"))).collect())
+    assert perf_counter() - start < 10
+    assert np.abs(np.array(long) - x / np.sqrt((x * x).sum())).max() < 1e-12 and short == pytest.approx([0.6, 0.8])
+    assert none is None and empty == []
