@@ -70,6 +70,19 @@ def _best_per_row(sims: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.
     return rows[keep], cols[keep], values[keep]
 
 
+def _reaching(sims: np.ndarray, floor: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded similarity) of entries that may be among a row's m largest so far.
+
+    Where every row knows what its m-th reaches, only entries that reach it are looked at
+    again; the others, nearly all, are neither rounded nor ranked.
+    """
+    if floor.min() > -2.0:
+        rows, cols = np.nonzero(sims >= floor[:, None] - SLACK)
+        if len(rows) <= 2 * m * len(sims):
+            return rows, cols, np.round(sims[rows, cols], SIM_DIGITS)
+    return _best_per_row(np.round(sims, SIM_DIGITS), m)
+
+
 def _tasks(spark: SparkSession) -> tuple[int, int]:
     """Tasks of a shuffle, and blocks that keep all cores busy.
 
@@ -202,7 +215,9 @@ def neighbour_partials(
     class Nearest:
         def __init__(self, queries: pa.Table) -> None:
             self.queries, self.vectors = queries, _matrix(queries[vector])
-            self.best, self.beat = None, -2.0
+            self.merged, self.waiting = None, []
+            #: What a row must reach for each query, and for any of them.
+            self.floor, self.beat = np.full(len(self.vectors), -2.0), -2.0
 
         def add(self, candidates: pa.Table) -> None:
             near = pc.greater_equal(candidates[BOUND], pa.scalar(self.beat))  # a row below can't be among the best of any query
@@ -211,18 +226,30 @@ def neighbour_partials(
                 return
             base = _matrix(candidates[vector])
             slim = candidates.select([id_col, *(c for c in carry if c != id_col)])
-            found = [] if self.best is None else [self.best]
             for start in range(0, len(self.vectors), _TILE):
-                sims = np.round(self.vectors[start : start + _TILE] @ base.T, SIM_DIGITS)
-                rows, cols, values = _best_per_row(sims, m)
-                found.append(slim.take(cols).append_column("__row", pa.array(rows + start)).append_column("__sim", pa.array(values)))
-            every = pa.concat_tables(found)
+                sims = self.vectors[start : start + _TILE] @ base.T
+                rows, cols, values = _reaching(sims, self.floor[start : start + _TILE], m)
+                if len(rows):
+                    self.waiting.append(slim.take(cols).append_column("__row", pa.array(rows + start)).append_column("__sim", pa.array(values)))
+            # Merged when as many wait as are held: sorting them grows with what is found, not with the batches.
+            if self.merged is None or sum(map(len, self.waiting)) >= len(self.merged):
+                self._merge()
+
+        def _merge(self) -> None:
+            every = pa.concat_tables(self.waiting if self.merged is None else [self.merged, *self.waiting])
             every = every.take(pc.sort_indices(every, [("__row", "ascending"), ("__sim", "descending"), (id_col, "ascending")]))
             row = every["__row"].to_numpy()
-            self.best = every.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < m))
-            last = np.searchsorted(self.best["__row"].to_numpy(), np.arange(len(self.vectors)), "right") - 1
-            if len(self.best) == m * len(self.vectors):
-                self.beat = float(self.best["__sim"].to_numpy()[last].min()) - SLACK
+            self.merged, self.waiting = every.filter(pa.array(np.arange(len(row)) - np.searchsorted(row, row) < m)), []
+            last = np.searchsorted(self.merged["__row"].to_numpy(), np.arange(len(self.vectors)), "right") - 1
+            if len(self.merged) == m * len(self.vectors):
+                self.floor = self.merged["__sim"].to_numpy()[last]
+                self.beat = float(self.floor.min()) - SLACK
+
+        @property
+        def best(self) -> pa.Table:
+            if self.waiting:
+                self._merge()
+            return self.merged
 
         def result(self) -> pa.Table:
             q = self.queries.take(self.best["__row"])

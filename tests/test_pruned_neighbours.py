@@ -68,3 +68,19 @@ def test_rows_sent_do_not_grow_with_shuffle_partitions(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1] > 2
+
+
+def test_only_what_reaches_the_floor_is_ranked():
+    """Where the m-th of each row is known, few entries are left, and none that counts is missing."""
+    from tessera.operators import neighbours as N
+
+    rng = np.random.default_rng(8)
+    sims = np.round(rng.uniform(-1, 1, (20, 5000)), 3)
+    floor = np.sort(sims, axis=1)[:, -4]
+    rows, cols, values = N._reaching(sims, floor, 4)
+    assert len(rows) < 20 * 40 and (values == sims[rows, cols]).all()
+    wanted = set(zip(*map(np.ndarray.tolist, N._best_per_row(sims, 4)[:2]), strict=True))
+    assert wanted <= set(zip(rows.tolist(), cols.tolist(), strict=True))
+    # A floor that is too low, or none, leaves the m largest of each row.
+    for low in (np.full(20, -1.0), np.full(20, -2.0)):
+        assert len(N._reaching(sims, low, 4)[0]) == 80
